@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from quillon.llm.mixing import mix_sources
 from quillon.llm.packing import pack_documents
+from quillon.llm.secrets import RULES, scan_secrets
 from quillon.llm.sharding import shard_documents
 
 
@@ -23,12 +24,16 @@ def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_secrets(_table(spark, sf_dir, "documents"))
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(_table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_best_fit_packing, op5_mix_sources, op10_sharding)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op5_mix_sources, op6_secret_scan, op10_sharding)}
 
 
 _WORD = r"'[^\x20\x09-\x0D]+'"
@@ -92,5 +97,34 @@ FROM d JOIN s ON d.doc_id IS NOT DISTINCT FROM s.doc_id
 """
 
 
+def _op6_sql() -> str:
+    """The spans of each rule from the matches and the gaps between them."""
+    either = lambda p: "".join(f"[{c}{c.upper()}]" if c.islower() else c for c in p)
+    names, _, rest = RULES[0].pattern.partition(")")
+    patterns = [either(names) + ")" + rest, *(r.pattern for r in RULES[1:])]
+    each = []
+    for i, (r, p) in enumerate(zip(RULES, patterns, strict=True)):
+        p = p.replace("'", "''")
+        each.append(
+            f"""SELECT "row", {i} AS number, '{r.kind}' AS kind, pos AS "start", pos + length(hit) AS "end" FROM (
+  SELECT "row", hits[i] AS hit, kept[i] AS part,
+    (list_sum(list_transform(gaps[1:i], lambda g: length(g))) + coalesce(list_sum(list_transform(hits[1:i - 1], lambda h: length(h))), 0))::BIGINT AS pos
+  FROM (SELECT *, unnest(range(1, len(hits) + 1)) AS i FROM (
+    SELECT "row", string_split_regex(t, '{p}') AS gaps, regexp_extract_all(t, '{p}') AS hits, regexp_extract_all(t, '{p}', {r.group}) AS kept
+    FROM d WHERE regexp_matches(t, '{p}')))
+) WHERE length(part) >= {r.least}"""
+        )
+    base = [i for i, r in enumerate(RULES) if r.base]
+    counts = ", ".join(f"count(number) FILTER (number = {i}) AS n_{RULES[i].kind}" for i in base)
+    listed = """string_agg(kind || ':' || "start" || ':' || "end", ',' ORDER BY "start", number)"""
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS "row", doc_id, coalesce(text, '') AS t FROM documents), s AS (
+{" UNION ALL ".join(each)}
+)
+SELECT doc_id, {counts}, sha256(coalesce({listed} FILTER (number IN ({", ".join(map(str, base))})), '')) AS base_sha256, coalesce({listed}, '') AS spans
+FROM d LEFT JOIN s USING ("row") GROUP BY "row", doc_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op5_mix_sources": OP5_SQL, "op10_sharding": OP10_SQL}
+    return {"op5_mix_sources": OP5_SQL, "op6_secret_scan": _op6_sql(), "op10_sharding": OP10_SQL}
