@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from quillon.llm.embeddings import near_duplicate_vectors, top_k
 from quillon.llm.language import identify_languages
 from quillon.llm.mixing import mix_sources
 from quillon.llm.packing import pack_documents
@@ -34,16 +35,24 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(_table(spark, sf_dir, "documents"))
 
 
+def op7_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(_table(spark, sf_dir, "embeddings"))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(_table(spark, sf_dir, "documents"))
 
 
+def op9_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicate_vectors(_table(spark, sf_dir, "embeddings"))
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(_table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_best_fit_packing, op4_language_id, op5_mix_sources, op6_secret_scan, op8_token_counts, op10_sharding)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op4_language_id, op5_mix_sources, op6_secret_scan, op7_exact_top_k, op8_token_counts, op9_embedding_near_dedup, op10_sharding)}
 
 
 _WORD = r"'[^\x20\x09-\x0D]+'"
@@ -107,6 +116,20 @@ FROM d JOIN s ON d.doc_id IS NOT DISTINCT FROM s.doc_id
 """
 
 
+OP7_SQL = r"""
+WITH e AS (
+  SELECT row_number() OVER () AS "row", vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), p AS (
+  SELECT q."row", q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score
+  FROM e q JOIN e c ON q."row" <> c."row" AND len(q.v) = len(c.v) WHERE q.vec_id % 50 = 0
+), r AS (
+  SELECT *, row_number() OVER (PARTITION BY "row" ORDER BY score DESC, vec_id NULLS LAST) AS rank FROM p
+)
+SELECT query_id, rank::INT AS rank, vec_id, score FROM r WHERE rank <= 5
+"""
+
+
 def _op6_sql() -> str:
     """The spans of each rule from the matches and the gaps between them."""
     either = lambda p: "".join(f"[{c}{c.upper()}]" if c.islower() else c for c in p)
@@ -137,4 +160,4 @@ FROM d LEFT JOIN s USING ("row") GROUP BY "row", doc_id
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_mix_sources": OP5_SQL, "op6_secret_scan": _op6_sql(), "op10_sharding": OP10_SQL}
+    return {"op5_mix_sources": OP5_SQL, "op6_secret_scan": _op6_sql(), "op7_exact_top_k": OP7_SQL, "op10_sharding": OP10_SQL}
