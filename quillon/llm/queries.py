@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from quillon.llm.embeddings import near_duplicate_vectors, top_k
+from quillon.llm.jaccard import jaccard_components
 from quillon.llm.language import identify_languages
 from quillon.llm.mixing import mix_sources
 from quillon.llm.packing import pack_documents
@@ -23,6 +24,10 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_table(spark, sf_dir, "documents"))
 
 
+def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(_table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_languages(_table(spark, sf_dir, "documents"))
 
@@ -52,7 +57,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_best_fit_packing, op4_language_id, op5_mix_sources, op6_secret_scan, op7_exact_top_k, op8_token_counts, op9_embedding_near_dedup, op10_sharding)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op2_ngram_jaccard, op4_language_id, op5_mix_sources, op6_secret_scan, op7_exact_top_k, op8_token_counts, op9_embedding_near_dedup, op10_sharding)}
 
 
 _WORD = r"'[^\x20\x09-\x0D]+'"
