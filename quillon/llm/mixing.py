@@ -39,6 +39,19 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most:
     return s.select("source", "source_size", "docs", F.least(F.col("_cap").cast("double"), F.col("_final") * F.col("_w")).alias("target"))
 
 
+def _taken(docs: DataFrame, weights: tuple[int, ...], most: int, seed: str) -> DataFrame:
+    """Rows of doc_id, source, size and whatever else, with source_size, target and copies."""
+    rows = ranked(docs, "source", ["size"], ["doc_id"], "mix")
+    sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("docs"))
+    targets = source_targets(sizes, weights, most).withColumnRenamed("source", "_source").drop("docs")
+    # One row per source: broadcast only if Spark finds the table small enough.
+    rows = rows.join(targets, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
+    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
+    shift = offset_of(F.col("source"), seed)
+    copies = F.floor(shift + (F.col("rank") + 1) * rate) - F.floor(shift + F.col("rank") * rate)
+    return rows.withColumn("copies", F.least(copies, F.lit(most)).cast("long"))
+
+
 def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, seed: str = "mix") -> DataFrame:
     """How often the mix takes each document: doc_id, source, size, source_size, target, copies, taken.
 
@@ -53,13 +66,17 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int
     nothing taken. Rows that repeat are documents of their own. Empty table: no rows.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text").cast("string")).alias("size"))
-    rows = ranked(rows, "source", ["size"], ["doc_id"], "mix")
-    sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("docs"))
-    targets = source_targets(sizes, weights, most).withColumnRenamed("source", "_source")
-    # One row per source: broadcast only if Spark finds the table small enough.
-    rows = rows.join(targets, F.col("source").eqNullSafe(F.col("_source")))
-    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    shift = offset_of(F.col("source"), seed)
-    copies = F.floor(shift + (F.col("rank") + 1) * rate) - F.floor(shift + F.col("rank") * rate)
-    rows = rows.withColumn("copies", F.least(copies, F.lit(most)).cast("long"))
+    rows = _taken(rows, weights, most, seed)
     return rows.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+
+
+def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, seed: str = "mix") -> DataFrame:
+    """``docs`` as the mix takes them: each row as often as it has copies, with all its columns.
+
+    Whole rows are dealt out by source and size, so rows that repeat are taken one by one, and
+    nothing has to be joined by doc_id afterwards.
+    """
+    text = F.col("text").cast("string")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(text).alias("size"), F.struct(*docs.columns).alias("whole"))
+    taken = _taken(rows, weights, most, seed).where("copies > 0")
+    return taken.select("whole", F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int")))).select("whole.*")

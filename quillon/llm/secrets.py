@@ -228,7 +228,7 @@ def redact_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFram
 
     cleaned = F.aggregate("_spans", F.struct(F.lit(0).alias("pos"), F.lit("").alias("out")), cut, lambda acc: F.concat(acc.out, F.substring(text, acc.pos + 1, F.length(text))))
     found = F.size("_spans") > 0
-    cols = {"text": F.when(found, cleaned).otherwise(text)}
+    rows = rows.withColumn("text", F.when(found, cleaned).otherwise(text))
     if "n_chars" in docs.columns:
-        cols["n_chars"] = F.when(found, F.length(cleaned)).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
-    return rows.withColumns(cols).select(*docs.columns)
+        rows = rows.withColumn("n_chars", F.when(found, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
+    return rows.select(*docs.columns)
