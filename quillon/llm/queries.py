@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from quillon.llm.embeddings import near_duplicate_vectors, top_k
 from quillon.llm.jaccard import jaccard_components
 from quillon.llm.language import identify_languages
+from quillon.llm.licenses import TEMPLATES, scan_licenses, template_bigrams
 from quillon.llm.mixing import mix_sources
 from quillon.llm.packing import pack_documents
 from quillon.llm.secrets import RULES, scan_secrets
@@ -28,6 +29,10 @@ def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(_table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(_table(spark, sf_dir, "documents"))
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_languages(_table(spark, sf_dir, "documents"))
 
@@ -57,7 +62,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_best_fit_packing, op2_ngram_jaccard, op4_language_id, op5_mix_sources, op6_secret_scan, op7_exact_top_k, op8_token_counts, op9_embedding_near_dedup, op10_sharding)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op2_ngram_jaccard, op3_license_scan, op4_language_id, op5_mix_sources, op6_secret_scan, op7_exact_top_k, op8_token_counts, op9_embedding_near_dedup, op10_sharding)}
 
 
 _WORD = r"'[^\x20\x09-\x0D]+'"
@@ -135,6 +140,26 @@ SELECT query_id, rank::INT AS rank, vec_id, score FROM r WHERE rank <= 5
 """
 
 
+def _op3_sql() -> str:
+    rows = ", ".join(f"({i}, '{name}', [{', '.join(repr(b) for b in template_bigrams(text))}])" for i, (name, text) in enumerate(TEMPLATES))
+    return rf"""
+WITH t(k, license, bigrams) AS (VALUES {rows}), p AS (
+  SELECT doc_id, unnest(list_distinct([text] || string_split_regex(text, '\n[ \t\r]*\n') || string_split(text, chr(10)))) AS passage
+  FROM documents WHERE text IS NOT NULL
+), w AS (
+  SELECT doc_id, regexp_extract_all(lower(passage), '[a-z0-9]+') AS words FROM p
+), b AS (
+  SELECT DISTINCT doc_id, list_sort(list_distinct(list_transform(range(1, len(words)), lambda i: words[i] || ' ' || words[i + 1]))) AS own FROM w WHERE len(words) > 1
+), m AS (
+  SELECT doc_id, license, own, 2.0::DOUBLE * len(list_intersect(own, bigrams)) / (len(own) + len(bigrams)) AS dice
+  FROM b JOIN t ON len(bigrams) BETWEEN 0.8 / 1.2 * len(own) AND 1.2 / 0.8 * len(own)
+), g AS (
+  SELECT doc_id, license, own, max(dice) AS dice FROM m WHERE dice >= 0.8 GROUP BY ALL
+)
+SELECT doc_id, license, max(dice) AS dice, count(*) AS passages FROM g GROUP BY doc_id, license
+""".replace("\\\\", "\\")
+
+
 def _op6_sql() -> str:
     """The spans of each rule from the matches and the gaps between them."""
     either = lambda p: "".join(f"[{c}{c.upper()}]" if c.islower() else c for c in p)
@@ -165,4 +190,4 @@ FROM d LEFT JOIN s USING ("row") GROUP BY "row", doc_id
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_mix_sources": OP5_SQL, "op6_secret_scan": _op6_sql(), "op7_exact_top_k": OP7_SQL, "op10_sharding": OP10_SQL}
+    return {"op5_mix_sources": OP5_SQL, "op3_license_scan": _op3_sql(), "op6_secret_scan": _op6_sql(), "op7_exact_top_k": OP7_SQL, "op10_sharding": OP10_SQL}
