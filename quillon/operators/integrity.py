@@ -61,8 +61,9 @@ def span_errors(spans: DataFrame, files: DataFrame, path: str = "path") -> DataF
     """
     got = spans.join(files.select(path, F.encode("text", "UTF-8").alias("_bytes"), F.lit(True).alias("_there")), path, "left")
     head, body = F.substring(F.col("_bytes"), F.lit(1), F.col("start_byte")), F.substring(F.col("_bytes"), F.col("start_byte") + 1, F.col("end_byte") - F.col("start_byte"))
-    lines = lambda b: F.octet_length(b) - F.octet_length(F.unhex(F.regexp_replace(F.hex(b), "((?:..)*?)0A", "$1")))
-    legal = (F.col("start_byte") >= 0) & (F.col("start_byte") < F.col("end_byte")) & (F.col("end_byte") <= F.octet_length("_bytes")) & F.is_valid_utf8(F.decode(body, "ISO-8859-1"))
+    # One character per byte: line feeds are counted without decoding.
+    lines = lambda b: F.octet_length(b) - F.length(F.replace(F.decode(b, "ISO-8859-1"), F.lit("\n"), F.lit("")))
+    legal = (F.col("start_byte") >= 0) & (F.col("start_byte") < F.col("end_byte")) & (F.col("end_byte") <= F.octet_length("_bytes")) & F.is_valid_utf8(body.cast("string"))
     first = lines(head) + 1
     last = first + lines(F.substring(body, F.lit(1), F.octet_length(body) - 1))
     error = F.when(F.col("_there").isNull(), "source_error").when(~legal, "invalid_range").when((F.col("start_line") != first) | (F.col("end_line") != last), "wrong_lines")

@@ -82,8 +82,8 @@ def identifier_parts(read):
     return read("part").select("p_partkey", F.array_sort(F.array_distinct(t.parts(name))).alias("parts"))
 
 
-@query(r"""SELECT doc_id, at::BIGINT AS at, substr(text, greatest(0, least(at - 80, length(text) - 240))::BIGINT + 1, 240) AS snippet
-FROM (SELECT *, length(regexp_extract(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '^((?s:.*?)(?:^|[^\p{L}\p{N}_]))the(?:$|[^\p{L}\p{N}_])', 1)) AS at FROM documents
+@query(r"""SELECT doc_id, pos AS "at", substr(text, greatest(0, least(pos - 80, length(text) - 240)) + 1, 240) AS snippet
+FROM (SELECT *, length(regexp_extract(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '^((?s:.*?)(?:^|[^\p{L}\p{N}_]))the(?:$|[^\p{L}\p{N}_])', 1)) AS pos FROM documents
  WHERE regexp_matches(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '(^|[^\p{L}\p{N}_])the($|[^\p{L}\p{N}_])'))""")
 def search_snippet(read):
     rows = read("documents").withColumn("at", F.explode(F.array(t.first_hit(F.col("text"), "the")))).where("at IS NOT NULL")
@@ -409,9 +409,9 @@ def definition_refs(read):
     return references.reference_counts(part, used, "p_brand")
 
 
-@query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+@query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'P')")
 def unreferenced(read):
-    return references.unreferenced(read("customer").select("c_custkey"), read("orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey")
+    return references.unreferenced(read("customer").select("c_custkey"), read("orders").where("o_orderstatus = 'P'").select(F.col("o_custkey").alias("c_custkey")), "c_custkey")
 
 
 @query("""SELECT l_suppkey IN (SELECT s_suppkey FROM supplier WHERE s_acctbal > 0) AS known, CASE WHEN l_suppkey IN (SELECT s_suppkey FROM supplier WHERE s_acctbal > 0) THEN NULL ELSE 'page_not_selected' END AS error, count(*) AS n FROM lineitem GROUP BY ALL""")
@@ -501,10 +501,7 @@ def spans_valid(read):
     return spans.join(errors, "path", "left").groupBy(F.coalesce("error", F.lit("ok")).alias("error")).agg(F.count("*").alias("n"))
 
 
-@query(f"""SELECT 'no_occurrence' AS "check", id AS subject FROM (SELECT {_ID} AS id, min(doc_id) AS m FROM documents WHERE trim(text) <> '' GROUP BY 1) WHERE m % 10 = 0
-UNION ALL SELECT 'position', source FROM (SELECT {_ID} AS id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS p, doc_id FROM documents WHERE trim(text) <> '') x
- JOIN (SELECT {_ID} AS id, min(doc_id) AS m FROM documents WHERE trim(text) <> '' GROUP BY 1) y USING (id) WHERE m % 10 <> 0
- AND p <> (SELECT count(*) FROM (SELECT 1)) - 1 + 0 AND FALSE""")
+@query(f"""SELECT 'no_occurrence' AS "check", id AS subject FROM (SELECT {_ID} AS id, min(doc_id) AS m FROM documents WHERE trim(text) <> '' GROUP BY 1) WHERE m % 10 = 0""")
 def index_validation(read):
     rows = rec.with_record_id(read("documents"), "lang", "text")
     all_records = rec.record_counts(rows, "doc_id")
