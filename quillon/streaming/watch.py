@@ -46,7 +46,7 @@ def coalesced(events: DataFrame, key: str = "path", time: str = "ts", quiet_ms:
             out.append((k[0], *burst))
             state.remove()
         else:
-            times = sorted(t for b in batches for t in (b[time].astype("datetime64[ns, UTC]").astype("int64") // 1_000_000).tolist())
+            times = sorted(t for b in batches for t in b["_ms"].tolist())
             for t in times:
                 if burst and (t - burst[1] >= quiet_ms or t - burst[0] >= longest_ms):
                     out.append((k[0], *burst))
@@ -58,7 +58,7 @@ def coalesced(events: DataFrame, key: str = "path", time: str = "ts", quiet_ms:
                 state.setTimeoutTimestamp(max(until, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame(out, columns=[key, "first_ms", "last_ms", "n"])
 
-    timed = events.withWatermark(time, late).groupBy(key)
+    timed = events.withWatermark(time, late).withColumn("_ms", F.unix_millis(time)).groupBy(key)
     kind = events.schema[key].dataType.simpleString()
     return timed.applyInPandasWithState(fold, f"{key} {kind}, first_ms long, last_ms long, n long", "first_ms long, last_ms long, n long", "append", "EventTimeTimeout")
 
