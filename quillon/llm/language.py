@@ -56,7 +56,7 @@ def ngrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     keep = letter | np.append(letter[1:], True) | (np.arange(len(codes)) == 0)
     c = np.where(letter, codes, SPACE).astype(np.uint64)[keep]
     letter, owner = letter[keep], owner[keep]
-    found, owners = [], []
+    found, owners = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
     for n in (3, 4):
         if len(c) < n:
             continue
