@@ -89,11 +89,36 @@ def index_violations(records: DataFrame, occurrences: DataFrame) -> DataFrame:
     )
 
 
-def snapshot_identity(records: DataFrame, column: str = "record_id", buckets: int = 256) -> DataFrame:
-    """One hash over all records in the order of their ids, by two levels: one row ``snapshot``, ``records``.
+def snapshot_identity(records: DataFrame, column: str = "record_id", together: int = 1000) -> DataFrame:
+    """One hash over all records in the order of their ids: one row ``snapshot``, ``records``.
 
-    Ids are dealt by their first two characters; a bucket's sorted ids give a hash, and the
-    buckets' hashes, at most ``buckets``, the snapshot's. Ids are hex hashes, so buckets are even.
+    A tree over the ids, which are hex hashes and so spread evenly: ids with one prefix give a
+    hash, these with a prefix shorter by two give one, and so on. The first prefix's length
+    follows the count, so that a group has about ``together`` ids, and later ones 256.
     """
-    bucket = records.groupBy(F.substring(column, 1, 2).alias("bucket")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list(column)), ""), 256).alias("h"), F.count("*").alias("n"))
-    return bucket.agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("bucket", "h"))), lambda x: x.h), ""), 256).alias("snapshot"), F.sum("n").alias("records"))
+    depth, n = 2, records.count()
+    while n > together * 16**depth:
+        depth += 2
+    level = records.select(F.col(column).alias("k"), F.col(column).alias("h"), F.lit(1).cast("long").alias("n"))
+    while depth >= 0:
+        joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "h"))), lambda x: x.h), "")
+        level = level.groupBy(F.substring("k", 1, depth).alias("k")).agg(F.sha2(joined, 256).alias("h"), F.sum("n").alias("n"))
+        depth -= 2
+    return level.select(F.col("h").alias("snapshot"), F.col("n").alias("records"))
+
+
+def affected(changes: DataFrame, facts: DataFrame) -> DataFrame:
+    """Facts that a change may touch: the same path, a folder above it, or, for folder facts, a member.
+
+    changes: path; facts: fact, path, recursive. Each change is sent to itself and to the folders
+    above, so all meets by equality.
+    """
+    parts = F.split("path", "/")
+    up = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.struct(F.array_join(F.slice(parts, 1, i), "/").alias("at"), (F.size(parts) - i).alias("above")))
+    sent = changes.select(F.col("path").alias("changed"), F.explode(up).alias("u")).select("changed", F.col("u.at").alias("path"), F.col("u.above").alias("above"))
+    down = facts.join(sent, "path").where("above = 0 OR (recursive IS NOT NULL AND (recursive OR above = 1))").select("fact", "changed")
+    fparts = F.split("path", "/")
+    fup = F.transform(F.sequence(F.lit(1), F.size(fparts)), lambda i: F.array_join(F.slice(fparts, 1, i), "/"))
+    folders = facts.select("fact", F.explode(fup).alias("path"))
+    gone = folders.join(changes.select("path", F.col("path").alias("changed")), "path").select("fact", "changed")
+    return down.union(gone).distinct()

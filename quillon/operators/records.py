@@ -7,16 +7,22 @@ from pyspark.sql import functions as F
 
 from quillon.functions.hashing import content_id
 
+#: Order values that are numbered together.
+STRETCH = 1 << 16
+
 
 def with_record_id(rows: DataFrame, *parts: str) -> DataFrame:
     """Rows with ``record_id``: the hash of their content columns; blank bodies are no records."""
     return rows.where(F.trim(F.col(parts[-1])) != "").withColumn("record_id", content_id(*map(F.col, parts)))
 
 
-def records(rows: DataFrame, keep: list[str], occurrence: list[str]) -> DataFrame:
-    """One row per record_id with all its occurrences, sorted. Equal content is aggregated before the shuffle."""
-    first = [F.first(c).alias(c) for c in keep]
-    return rows.groupBy("record_id").agg(*first, F.array_sort(F.collect_list(F.struct(*occurrence))).alias("occurrences"))
+def records(rows: DataFrame, keep: list[str]) -> DataFrame:
+    """One row per record_id with its content; equal content is aggregated before the shuffle.
+
+    Occurrences stay rows of their own table: content that a third of all pages share would make
+    a list that no task could hold.
+    """
+    return rows.groupBy("record_id").agg(*(F.first(c).alias(c) for c in keep), F.count("*").alias("n_occurrences"))
 
 
 def record_counts(rows: DataFrame, *first_of: str) -> DataFrame:
@@ -24,9 +30,20 @@ def record_counts(rows: DataFrame, *first_of: str) -> DataFrame:
     return rows.groupBy("record_id").agg(F.count("*").alias("n_occurrences"), *(F.min(c).alias(f"first_{c}") for c in first_of))
 
 
-def positions(rows: DataFrame, page: str, order: str) -> DataFrame:
-    """Rows with ``position``: 0-based, gapless within a page."""
-    return rows.withColumn("position", (F.row_number().over(Window.partitionBy(page).orderBy(order)) - 1).cast("long"))
+def positions(rows: DataFrame, page: str, order: str, width: int = STRETCH) -> DataFrame:
+    """Rows with ``position``: 0-based, gapless within a page, by a numeric ``order``.
+
+    A page is cut into stretches of ``width`` order values. Rows are numbered within their
+    stretch, and the counts of earlier stretches, one row per page and stretch, are added, so a
+    page with a third of all rows is numbered by many tasks.
+    """
+    dealt = rows.withColumn("_stretch", F.floor(F.col(order) / width))
+    before = Window.partitionBy("_page").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = dealt.groupBy(F.col(page).alias("_page"), F.col("_stretch").alias("_part")).agg(F.count("*").alias("_n"))
+    starts = starts.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    own = F.row_number().over(Window.partitionBy(page, "_stretch").orderBy(order)) - 1
+    out = dealt.withColumn("_own", own).join(starts, F.col(page).eqNullSafe(F.col("_page")) & F.col("_stretch").eqNullSafe(F.col("_part")))
+    return out.withColumn("position", (F.col("_before") + F.col("_own")).cast("long")).drop("_stretch", "_page", "_part", "_own", "_before")
 
 
 def occurrence_ids(rows: DataFrame, page: str, order: str) -> DataFrame:

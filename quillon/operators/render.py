@@ -45,3 +45,32 @@ def included(requests: DataFrame, files: DataFrame) -> DataFrame:
     legal = F.col("first").isNull() | ((F.col("first") >= 1) & (F.col("first") <= F.col("last")) & (F.col("last") <= count))
     error = F.when(F.col("_there").isNull(), "source_error").when(~legal, "invalid_range").when(F.trim(F.regexp_replace(lines, r"\s", "")) == "", "empty_selection")
     return got.withColumns({"error": error, "markdown": F.when(error.isNull(), lines)}).drop("text", "_there")
+
+
+def substituted(text: Column, starts: Column, ends: Column, values: Column) -> Column:
+    """A text with the ranges [start, end), in characters, sorted and apart, replaced by values."""
+    calls = F.arrays_zip(starts.alias("s"), ends.alias("e"), values.alias("v"))
+    begin = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    step = lambda acc, c: F.struct(c.e.cast("int").alias("at"), F.concat(acc.out, F.substring(text, acc.at + 1, c.s.cast("int") - acc.at), c.v).alias("out"))
+    return F.aggregate(calls, begin, step, lambda acc: F.concat(acc.out, F.substring(text, acc.at + 1, F.length(text))))
+
+
+def with_appendix(pages: DataFrame, blocks: DataFrame) -> DataFrame:
+    """Pages (page, markdown) with the appendix blocks (page, plugin, markdown) of theirs, in plugin order."""
+    appendix = blocks.groupBy("page").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("plugin", "markdown"))), lambda x: x.markdown), "\n\n").alias("_more"))
+    out = pages.join(appendix, "page", "left")
+    return out.withColumn("markdown", F.when(F.col("_more").isNull(), F.col("markdown")).otherwise(F.concat("markdown", F.lit("# Appendix\n\n"), "_more", F.lit("\n")))).drop("_more")
+
+
+def gate(diagnostics: DataFrame, reports: DataFrame, pages: DataFrame) -> DataFrame:
+    """Reports that must not be published in a failed round, as they link to its pages: report.
+
+    diagnostics: severity; reports: report, target; pages: page. Empty if no check failed.
+    """
+    linking = reports.join(pages.select(F.col("page").alias("target")), "target", "left_semi").select("report").distinct()
+    return linking if diagnostics.where("severity = 'error'").head(1) else linking.where(F.lit(False))
+
+
+def first_failures(nodes: DataFrame, request: str, node: str, error: str) -> DataFrame:
+    """Each request with the error of its first failing node, null if none fails: request, error, nodes."""
+    return nodes.groupBy(request).agg(F.min_by(error, F.when(F.col(error).isNotNull(), F.col(node))).alias("error"), F.count("*").alias("nodes"))

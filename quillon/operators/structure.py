@@ -172,3 +172,44 @@ def entities(files: DataFrame, key: str = "path", text: str = "text") -> DataFra
 def sibling_index(rows: DataFrame, parent: str, name: str, order: str) -> DataFrame:
     """Rows with ``sibling``: 0-based among those of one parent and name."""
     return rows.withColumn("sibling", F.row_number().over(Window.partitionBy(parent, name).orderBy(order)) - 1)
+
+
+def leaves(files: DataFrame, key: str = "path", text: str = "text") -> DataFrame:
+    """Prose leaves of Markdown: key, leaf_no, kind (heading, code, paragraph), start_byte, end_byte, text.
+
+    Leaves are runs of lines that aren't blank; a fenced block is one, a heading too. Lines that
+    are only anchors belong to no leaf.
+    """
+    rows = fenced(lines(files, key, text), key)
+    w = Window.partitionBy(key).orderBy("line_no")
+    heading = ~F.col("in_code") & F.col("line").rlike(HEADING)
+    blank = ~F.col("in_code") & (F.trim(F.regexp_replace("line", r"\s", "")).eqNullSafe("") | F.col("line").rlike(ANCHOR))
+    rows = rows.withColumn("kind", F.when(blank, "blank").when(F.col("in_code"), "code").when(heading, "heading").otherwise("paragraph"))
+    opened = F.col("line").rlike(FENCE) & (F.coalesce(F.lag("in_code").over(w), F.lit(False)) == False)  # noqa: E712
+    fresh = F.coalesce(F.col("kind") != F.lag("kind").over(w), F.lit(True)) | heading | opened
+    rows = rows.withColumn("_leaf", F.sum(fresh.cast("int")).over(w)).where("kind != 'blank'")
+    out = rows.groupBy(key, "_leaf").agg(F.first("kind").alias("kind"), F.min("start_byte").alias("start_byte"), F.max("end_byte").alias("end_byte"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x.line), "").alias("text"))
+    return out.withColumn("leaf_no", F.row_number().over(Window.partitionBy(key).orderBy("_leaf")) - 1).drop("_leaf")
+
+
+def open_fences(files: DataFrame, key: str = "path", text: str = "text") -> DataFrame:
+    """Markdown whose last fence isn't closed: key, line_no of that fence."""
+    marks = lines(files.where(F.col(text).rlike("(?m)" + FENCE)), key, text).where(F.col("line").rlike(FENCE))
+    return marks.groupBy(key).agg(F.count("*").alias("n"), F.max("line_no").alias("line_no")).where("n % 2 = 1").drop("n")
+
+
+def selected(tree: DataFrame, steps: list[str | int], key: str = "path") -> DataFrame:
+    """Nodes (node, parent, name, start_byte) reached by a path of names and sibling numbers: key, node, error.
+
+    Each step is a join on the parent; a number picks among what the name before it found. Errors
+    are rows: selection_not_found, selection_ambiguous, selection_out_of_bounds.
+    """
+    at = tree.select(key).distinct().withColumns({"node": F.lit(None).cast(tree.schema["node"].dataType), "error": F.lit(None).cast("string")})
+    names = [(s, steps[i + 1] if i + 1 < len(steps) and isinstance(steps[i + 1], int) else None) for i, s in enumerate(steps) if isinstance(s, str)]
+    for name, number in names:
+        found = tree.where(F.col("name") == name).select(F.col(key).alias("_key"), F.col("parent").alias("_parent"), F.col("node").alias("_node"), F.col("start_byte").alias("_start"))
+        stats = found.groupBy("_key", "_parent").agg(F.count("*").alias("_n"), F.min_by("_node", "_start").alias("_first")) if number is None else found.withColumns({"_n": F.count("*").over(Window.partitionBy("_key", "_parent")), "_i": F.row_number().over(Window.partitionBy("_key", "_parent").orderBy("_start")) - 1}).groupBy("_key", "_parent").agg(F.first("_n").alias("_n"), F.max(F.when(F.col("_i") == number, F.col("_node"))).alias("_first"))
+        joined = at.join(stats, (at[key] == stats["_key"]) & at["node"].eqNullSafe(stats["_parent"]), "left")
+        error = F.when(F.col("_n").isNull(), "selection_not_found").when(F.lit(number is None) & (F.col("_n") > 1), "selection_ambiguous").when(F.col("_first").isNull(), "selection_out_of_bounds")
+        at = joined.select(key, F.when(F.col("error").isNull() & error.isNull(), F.col("_first")).alias("node"), F.coalesce("error", error).alias("error"))
+    return at

@@ -141,10 +141,10 @@ def occurrence_ids(read):
  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS p, lag(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS b FROM conversations)""")
 def position_continuity(read):
     rows = read("conversations").select("conv_id", "turn")
-    gaps = integrity.position_gaps(rows, "conv_id", "turn").agg(F.count("*").alias("gaps"))
-    late = integrity.unordered(rows, "conv_id", "turn", "turn").agg(F.count("*").alias("unordered"))
-    # Three rows of one line each.
-    return rows.agg(F.count("*").alias("rows"), F.count_distinct("conv_id").alias("pages")).join(gaps).join(late)
+    tagged = lambda df, tag: df.select("conv_id", F.lit(tag).alias("tag"))
+    found = tagged(rows, "row").union(tagged(integrity.position_gaps(rows, "conv_id", "turn"), "gap")).union(tagged(integrity.unordered(rows, "conv_id", "turn", "turn"), "late"))
+    count = lambda tag: F.count_if(F.col("tag") == tag)
+    return found.agg(count("row").alias("rows"), F.count_distinct("conv_id").alias("pages"), count("gap").alias("gaps"), count("late").alias("unordered"))
 
 
 @query("""SELECT a.conv_id, a.turn, b.turn AS near_turn, b.role AS near_role FROM conversations a JOIN conversations b
@@ -483,8 +483,8 @@ def record_handles(read):
 @query(f"SELECT count(*) AS handles, 0::BIGINT AS collisions FROM ({_IDS})")
 def handle_uniqueness(read):
     named = record_handles(read)
-    clashes = integrity.collisions(named, "handle", "record_id").agg(F.count("*").alias("collisions"))
-    return named.agg(F.count("*").alias("handles")).join(clashes)
+    clashes = integrity.collisions(named, "handle", "record_id").select(F.lit(1).alias("clash"))
+    return named.select(F.lit(0).alias("clash")).union(clashes).agg(F.count_if(F.col("clash") == 0).alias("handles"), F.count_if(F.col("clash") == 1).alias("collisions"))
 
 
 @query("""SELECT coalesce(error, 'ok') AS error, count(*) AS n FROM (SELECT doc_id, CASE WHEN doc_id % 17 = 0 THEN 'source_error' WHEN doc_id % 5 = 0 AND strlen(text) <= strlen(text) + 1 THEN 'invalid_range'
@@ -514,16 +514,16 @@ def index_validation(read):
 # --- pages and plugins --------------------------------------------------------------------------
 
 
-@query("""SELECT 'pages/' || source || '.md' AS page, length(m) AS chars, sha256(m) AS hash FROM (
- SELECT source, string_agg('> **Source**: [`' || source || '/' || doc_id || ':L1-L' || (length(text) - length(replace(text, chr(10), '')) + 1) || '`](../' || source || '/' || doc_id || '#L1) · bytes [0,' || strlen(text) || ')' || chr(10) || chr(10) || '```' || lang || chr(10) || text || CASE WHEN ends_with(text, chr(10)) THEN '' ELSE chr(10) END || '```' || chr(10) || chr(10), '' ORDER BY doc_id) AS m
- FROM documents WHERE NOT contains(text, '`') GROUP BY source)""")
+@query("""SELECT 'pages/conv' || conv_id || '.md' AS page, length(m) AS chars, sha256(m) AS hash FROM (
+ SELECT conv_id, string_agg('> **Source**: [`conv' || conv_id || ':L' || turn || '-L' || (turn + 1) || '`](../conv' || conv_id || '#L' || turn || ') · bytes [0,' || strlen(text) || ')' || chr(10) || chr(10) || '```' || role || chr(10) || text || CASE WHEN ends_with(text, chr(10)) THEN '' ELSE chr(10) END || '```' || chr(10) || chr(10), '' ORDER BY turn) AS m
+ FROM conversations WHERE NOT contains(text, '`') GROUP BY conv_id)""")
 def rendered_pages(read):
-    d = read("documents").where(~F.col("text").contains("`"))
-    path = F.concat_ws("/", "source", F.col("doc_id").cast("string"))
-    line = render.provenance("Source", path, F.lit(1), t.line_count(F.col("text")), F.lit(0), F.octet_length("text"), render.page_path(F.lit("p")))
-    chunk = F.concat(line, F.lit("\n\n"), render.fenced_code(F.col("text"), F.col("lang")), F.lit("\n\n"))
-    pages = render.assembled(d.select("source", "doc_id", chunk.alias("chunk")), "source", "doc_id", "chunk")
-    return pages.select(render.page_path(F.col("source")).alias("page"), F.length("markdown").cast("long").alias("chars"), F.sha2("markdown", 256).alias("hash"))
+    d = read("conversations").where(~F.col("text").contains("`"))
+    path = F.concat(F.lit("conv"), F.col("conv_id").cast("string"))
+    line = render.provenance("Source", path, F.col("turn"), F.col("turn") + 1, F.lit(0), F.octet_length("text"), render.page_path(F.lit("p")))
+    chunk = F.concat(line, F.lit("\n\n"), render.fenced_code(F.col("text"), F.col("role")), F.lit("\n\n"))
+    pages = render.assembled(d.select(path.alias("path"), "turn", chunk.alias("chunk")), "path", "turn", "chunk")
+    return pages.select(render.page_path(F.col("path")).alias("page"), F.length("markdown").cast("long").alias("chars"), F.sha2("markdown", 256).alias("hash"))
 
 
 @query("""SELECT doc_id, CASE WHEN doc_id % 19 = 0 THEN 'source_error' WHEN n < 3 THEN 'invalid_range' WHEN trim(m, ' ' || chr(10)) = '' THEN 'empty_selection' END AS error,
@@ -559,3 +559,112 @@ def longest_first(read):
 def link_difference(read):
     every = lambda p: F.regexp_extract_all("html", F.lit(p), F.lit(1))
     return read("pages").select("page_id", F.array_sort(F.array_except(every('href="([^"]*)"'), every('href="(/[^"]*)"'))).alias("outside"))
+
+
+@query("""SELECT doc_id, '<' || left(text, 10) || '>' || substr(text, 11, 10) || '[' || lang || ']' || substr(text, 26) AS text FROM documents WHERE length(text) >= 30""")
+def prose_substitution(read):
+    d = read("documents").where(F.length("text") >= 30)
+    values = F.array(F.concat(F.lit("<"), F.left("text", F.lit(10)), F.lit(">")), F.concat(F.lit("["), "lang", F.lit("]")))
+    return d.select("doc_id", render.substituted(F.col("text"), F.array(F.lit(0), F.lit(20)), F.array(F.lit(10), F.lit(25)), values).alias("text"))
+
+
+@query("""SELECT 'conv' || conv_id || '.md' AS path, kind, count(*) AS n FROM (
+ SELECT conv_id, 'heading' AS kind FROM conversations
+ UNION ALL SELECT conv_id, 'paragraph' FROM conversations) GROUP BY ALL""")
+def prose_leaves(read):
+    return structure.leaves(_conversation_pages(read)).groupBy("path", "kind").agg(F.count("*").alias("n"))
+
+
+@query("""SELECT page_id AS path, 1 AS line_no FROM pages WHERE page_id % 3 = 0""")
+def open_fences(read):
+    fence = F.when(F.col("page_id") % 3 == 0, F.lit("```text\n")).otherwise(F.lit("```text\nx\n```\n"))
+    files = read("pages").select(F.col("page_id").alias("path"), F.concat(fence, structure.visible_text(F.col("html"))).alias("text"))
+    return structure.open_fences(files)
+
+
+@query("""SELECT f.s_suppkey AS fact, n_nationkey AS changed FROM supplier f JOIN nation ON f.s_nationkey = n_nationkey OR (f.s_suppkey % 2 = 0 AND n_regionkey = (SELECT n_regionkey FROM nation x WHERE x.n_nationkey = f.s_nationkey)) WHERE n_nationkey % 3 = 0""")
+def change_relevance(read):
+    nation = read("nation").withColumn("path", F.concat_ws("/", F.lit("w"), F.col("n_regionkey").cast("string"), F.col("n_nationkey").cast("string")))
+    s = read("supplier").join(nation, F.col("s_nationkey") == F.col("n_nationkey"))
+    facts = s.select(F.col("s_suppkey").alias("fact"), F.when(F.col("s_suppkey") % 2 == 0, F.concat_ws("/", F.lit("w"), F.col("n_regionkey").cast("string"))).otherwise(F.col("path")).alias("path"), F.when(F.col("s_suppkey") % 2 == 0, F.lit(False)).alias("recursive"))
+    found = integrity.affected(nation.where("n_nationkey % 3 = 0").select("path"), facts)
+    return found.select("fact", F.element_at(F.split("changed", "/"), -1).cast("int").alias("changed"))
+
+
+@query("""SELECT r_name AS page, 'region ' || r_name || chr(10) || CASE WHEN m IS NULL THEN '' ELSE '# Appendix' || chr(10) || chr(10) || m || chr(10) END AS markdown FROM region LEFT JOIN (
+ SELECT n_regionkey, string_agg(n_name, chr(10) || chr(10) ORDER BY n_name) AS m FROM nation WHERE n_nationkey % 4 <> 1 AND n_regionkey <> 3 GROUP BY 1) ON r_regionkey = n_regionkey""")
+def appendix_pages(read):
+    region = read("region")
+    pages = region.select(F.col("r_name").alias("page"), F.concat(F.lit("region "), "r_name", F.lit("\n")).alias("markdown"))
+    blocks = read("nation").where("n_nationkey % 4 != 1 AND n_regionkey != 3").join(region, F.col("n_regionkey") == F.col("r_regionkey"))
+    return render.with_appendix(pages, blocks.select(F.col("r_name").alias("page"), F.col("n_name").alias("plugin"), F.col("n_name").alias("markdown")))
+
+
+@query("""SELECT l_orderkey, min_by(l_returnflag, l_linenumber) FILTER (l_returnflag <> 'N') AS error, count(*) AS nodes FROM (SELECT DISTINCT l_orderkey, l_linenumber, max(l_returnflag) AS l_returnflag FROM lineitem GROUP BY 1, 2) GROUP BY 1""")
+def first_failures(read):
+    nodes = read("lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.max("l_returnflag").alias("flag"))
+    nodes = nodes.withColumn("flag", F.when(F.col("flag") != "N", F.col("flag")))
+    return render.first_failures(nodes, "l_orderkey", "l_linenumber", "flag")
+
+
+@query("""SELECT c_custkey AS report FROM customer WHERE c_nationkey IN (SELECT s_nationkey FROM supplier WHERE s_acctbal > 3000)""")
+def publication_gate(read):
+    reports = read("customer").select(F.col("c_custkey").alias("report"), F.col("c_nationkey").alias("target"))
+    failed = read("events").select(F.when(F.col("event_type") == "error", "error").otherwise("note").alias("severity"))
+    return render.gate(failed, reports, read("supplier").where("s_acctbal > 3000").select(F.col("s_nationkey").alias("page")))
+
+
+@query("""SELECT user_id AS path, CASE WHEN n = 1 THEN v END AS node, CASE WHEN n IS NULL THEN 'selection_not_found' WHEN n > 1 THEN 'selection_ambiguous' END AS error FROM (SELECT DISTINCT user_id FROM events) LEFT JOIN (
+ SELECT user_id, count(*) AS n, min(event_id) AS v FROM events WHERE event_type = 'signup' AND event_id % 40 = 0 GROUP BY 1) USING (user_id)""")
+def tree_select(read):
+    e = read("events")
+    tree = e.select(F.col("user_id").alias("path"), F.col("event_id").alias("node"), F.lit(None).cast("long").alias("parent"), F.when((F.col("event_type") == "signup") & (F.col("event_id") % 40 == 0), "signup").otherwise("other").alias("name"), F.col("event_id").alias("start_byte"))
+    return structure.selected(tree, ["signup"])
+
+
+@query("""SELECT user_id AS path, v AS node, CASE WHEN n IS NULL THEN 'selection_not_found' WHEN v IS NULL THEN 'selection_out_of_bounds' END AS error FROM (SELECT DISTINCT user_id FROM events) LEFT JOIN (
+ SELECT user_id, count(*) AS n, max(event_id) FILTER (i = 2) AS v FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS i FROM events WHERE event_type = 'signup' AND event_id % 10 = 0) GROUP BY 1) USING (user_id)""")
+def tree_select_number(read):
+    e = read("events")
+    tree = e.select(F.col("user_id").alias("path"), F.col("event_id").alias("node"), F.lit(None).cast("long").alias("parent"), F.when((F.col("event_type") == "signup") & (F.col("event_id") % 10 == 0), "signup").otherwise("other").alias("name"), F.col("event_id").alias("start_byte"))
+    return structure.selected(tree, ["signup", 2])
+
+
+@query("""SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN '../' || source || '/d%20' || doc_id || '.md' ELSE 'd%20' || doc_id || '.md' END AS url FROM documents""")
+def link_urls(read):
+    d = read("documents")
+    target = F.concat("source", F.lit("/d "), F.col("doc_id").cast("string"), F.lit(".md"))
+    page = F.when(F.col("doc_id") % 2 == 0, F.lit("other/p.md")).otherwise(F.concat("source", F.lit("/p.md")))
+    return d.select("doc_id", t.relative_url(target, page).alias("url"))
+
+
+@query("""SELECT url, count(*) AS n, count(DISTINCT page_id) AS pages, bool_or(self) AS to_itself FROM (
+ SELECT page_id, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS url, false AS self FROM pages) GROUP BY url""")
+def link_inventory(read):
+    rows = read("pages").select("page_id", "url", F.explode(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1))).alias("to"))
+    per = rows.groupBy("to", "page_id").agg(F.count("*").alias("n"), F.bool_or(F.col("to") == F.col("url")).alias("self"))
+    return per.groupBy(F.col("to").alias("url")).agg(F.sum("n").alias("n"), F.count("*").alias("pages"), F.bool_or("self").alias("to_itself"))
+
+
+@query("""SELECT p_partkey, coalesce(l.n, 0) AS sites, coalesce(o.n, 0) AS tests, CASE WHEN l.n IS NULL THEN 'unsited' WHEN o.n IS NULL THEN 'untested' ELSE 'ok' END AS state FROM part
+LEFT JOIN (SELECT l_partkey, count(*) AS n FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1) l ON l.l_partkey = p_partkey
+LEFT JOIN (SELECT l_partkey, count(DISTINCT l_orderkey) AS n FROM lineitem WHERE l_returnflag = 'A' GROUP BY 1) o ON o.l_partkey = p_partkey""")
+def clause_assembly(read):
+    lines = read("lineitem").select(F.col("l_partkey").alias("p_partkey"), "l_orderkey", "l_returnflag")
+    sites = lines.where("l_returnflag = 'R'").groupBy("p_partkey").agg(F.count("*").alias("sites"))
+    tests = lines.where("l_returnflag = 'A'").groupBy("p_partkey").agg(F.count_distinct("l_orderkey").alias("tests"))
+    out = read("part").select("p_partkey").join(sites, "p_partkey", "left").join(tests, "p_partkey", "left")
+    state = F.when(F.col("sites").isNull(), "unsited").when(F.col("tests").isNull(), "untested").otherwise("ok")
+    return out.select("p_partkey", F.coalesce("sites", F.lit(0)).alias("sites"), F.coalesce("tests", F.lit(0)).alias("tests"), state.alias("state"))
+
+
+@query("SELECT DISTINCT user_id, event_type AS dependency, json_extract_string(props, '$.k')::BIGINT % 3 AS kind FROM events")
+def dependency_union(read):
+    rows = read("events").select("user_id", F.col("event_type").alias("dependency"), (F.get_json_object("props", "$.k").cast("long") % 3).alias("kind"))
+    return rows.distinct()
+
+
+@query()
+def canonical_events(read):
+    """Strict, canonical JSON of the events' properties; key order and refusals are beyond SQL."""
+    return read("events").select("event_id", hashing.canonical_json("props").alias("props"))

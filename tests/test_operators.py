@@ -36,8 +36,9 @@ def test_reads(spark):
 def test_records(spark):
     df = spark.createDataFrame([("a", "p", 1), ("a", "q", 1), ("b", "p", 2), (" ", "p", 3)], "body string, page string, at int")
     named = records.with_record_id(df, "body")
-    got = records.records(named, ["body"], ["page", "at"])
-    assert sorted((r["body"], [(o["page"], o["at"]) for o in r["occurrences"]]) for r in got.collect()) == [("a", [("p", 1), ("q", 1)]), ("b", [("p", 2)])]
+    assert rows(records.records(named, ["body"]).select("body", "n_occurrences")) == [("a", 2), ("b", 1)]
+    cut = records.positions(df.drop("body"), "page", "at", width=2)
+    assert rows(cut) == [("p", 1, 0), ("p", 2, 1), ("p", 3, 2), ("q", 1, 0)]
     ids = records.occurrence_ids(df, "page", "at").orderBy("page", "at")
     assert [r["occurrence_id"] for r in ids.collect()] == ["o0", "o1", "o2", "o3"]
     runs = records.mapping_runs(spark.createDataFrame([("k", i, i + (5 if i < 3 else 9)) for i in range(6)], "k string, b int, s int"), "k", "b", "s")
@@ -137,3 +138,33 @@ def test_entities(spark):
     files = [("a.rs", "pub fn f() {}\nstruct S;\n"), ("b.py", "class C:\n    def m(self): pass\n"), ("c.go", "func (s *S) Run() {}\n")]
     got = structure.entities(spark.createDataFrame(files, "path string, text string"))
     assert rows(got.select("path", "kind", "name")) == [("a.rs", "fn", "f"), ("a.rs", "struct", "S"), ("b.py", "class", "C"), ("b.py", "def", "m"), ("c.go", "func", "Run")]
+
+
+def test_leaves_and_open_fences(spark):
+    md = "# T\npara\nmore\n\n<a id=\"x\"></a>\n```\na\n\nb\n```\nend\n"
+    files = spark.createDataFrame([("x.md", md), ("y.md", "```\nopen\n")], "path string, text string")
+    got = structure.leaves(files.where("path = 'x.md'")).orderBy("leaf_no").collect()
+    assert [(r["kind"], r["text"]) for r in got] == [("heading", "# T\n"), ("paragraph", "para\nmore\n"), ("code", "```\na\n\nb\n```\n"), ("paragraph", "end\n")]
+    assert rows(structure.open_fences(files)) == [("y.md", 1)]
+
+
+def test_selection(spark):
+    tree = spark.createDataFrame([("f", 1, None, "a", 0), ("f", 2, 1, "b", 1), ("f", 3, 1, "b", 5), ("f", 4, 1, "c", 9)], "path string, node int, parent int, name string, start_byte int")
+    pick = lambda *steps: tuple(structure.selected(tree, list(steps)).first())
+    assert pick("a", "c") == ("f", 4, None) and pick("a", "b", 1) == ("f", 3, None)
+    assert pick("a", "b") == ("f", None, "selection_ambiguous") and pick("a", "b", 2) == ("f", None, "selection_out_of_bounds") and pick("x", "b") == ("f", None, "selection_not_found")
+
+
+def test_affected(spark):
+    changes = spark.createDataFrame([("a/b/c",), ("d",)], "path string")
+    facts = spark.createDataFrame([(1, "a/b/c", None), (2, "a/b", False), (3, "a", False), (4, "a", True), (5, "d/e/f", None), (6, "a/b/cc", None)], "fact int, path string, recursive boolean")
+    assert rows(integrity.affected(changes, facts)) == [(1, "a/b/c"), (2, "a/b/c"), (4, "a/b/c"), (5, "d")]
+
+
+def test_gate_and_failures(spark):
+    reports = spark.createDataFrame([("r", "p"), ("s", "q")], "report string, target string")
+    pages = spark.createDataFrame([("p",)], "page string")
+    bad, fine = (spark.createDataFrame([(x,)], "severity string") for x in ("error", "note"))
+    assert [r["report"] for r in render.gate(bad, reports, pages).collect()] == ["r"] and render.gate(fine, reports, pages).count() == 0
+    nodes = spark.createDataFrame([(1, 0, None), (1, 1, "x"), (1, 2, "y"), (2, 0, None)], "r int, n int, e string")
+    assert rows(render.first_failures(nodes, "r", "n", "e")) == [(1, "x", 3), (2, None, 1)]
