@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillon.llm.common import ranked, word_count
+from quillon.llm.common import ranked, word_count, written
 
 
 def offset_of(source: Column, seed: str) -> Column:
@@ -73,10 +73,28 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int
 def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, seed: str = "mix") -> DataFrame:
     """``docs`` as the mix takes them: each row as often as it has copies, with all its columns.
 
-    Whole rows are dealt out by source and size, so rows that repeat are taken one by one, and
-    nothing has to be joined by doc_id afterwards.
+    Copies are decided on doc_id, source, size and a hash of the text, which are narrow, and meet
+    the whole rows again once, by all but the size. Rows alike in these share the sum of their
+    copies evenly.
     """
-    text = F.col("text").cast("string")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(text).alias("size"), F.struct(*docs.columns).alias("whole"))
-    taken = _taken(rows, weights, most, seed).where("copies > 0")
-    return taken.select("whole", F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int")))).select("whole.*")
+    n = len(docs.columns)
+    alike = {c: f"_{c}_{n}" for c in ("doc_id", "source", "key")}
+    own = {"doc_id": F.col("doc_id").cast("long"), "source": F.col("source").cast("string"), "key": F.xxhash64("text")}
+    rows = docs.select(*(c.alias(k) for k, c in own.items()), word_count(F.col("text").cast("string")).alias("size"))
+    taken = _taken(rows, weights, most, seed).groupBy(*alike).agg(F.sum("copies").alias("copies"), F.count("*").alias("rows")).where("copies > 0")
+    taken = written(taken, "taken")
+    repeated = bool(taken.where("rows > 1").head(1))
+    taken = taken.withColumnsRenamed(alike | {"copies": f"_copies_{n}", "rows": f"_rows_{n}"})
+    copies, shared = F.col(f"_copies_{n}"), F.col(f"_rows_{n}")
+    # Hashed once, as a column, so that the join is on one key that is never null.
+    on = f"_on_{n}"
+    whole = docs.withColumn(on, F.xxhash64(*own.values()))
+    got = whole.join(taken.withColumn(f"{on}_", F.xxhash64(*alike.values())), F.col(on) == F.col(f"{on}_"))
+    for k, c in own.items():
+        got = got.where(c.eqNullSafe(F.col(alike[k])))
+    each = got.withColumn(f"_times_{n}", copies)
+    if repeated:  # only such rows are numbered, a few alike ones at a time
+        at = F.row_number().over(Window.partitionBy(*alike.values()).orderBy(F.lit(0))) - 1
+        each = each.where(shared == 1).unionByName(got.where(shared > 1).withColumn(f"_times_{n}", F.floor((at + 1) * copies / shared) - F.floor(at * copies / shared)))
+    times = F.array_repeat(F.lit(0), F.col(f"_times_{n}").cast("int"))
+    return each.withColumn(f"_time_{n}", F.explode(times)).select(*docs.columns)
