@@ -22,8 +22,8 @@ LEARNED_DOCUMENTS = 6000
 #: An n-gram belongs to a language if at least this share of the language's n-grams is it,
 #: and at least ``NEAR_BEST`` of its share in the language where it is most frequent.
 LEAST_SHARE, NEAR_BEST = 2e-6, 0.2
-#: Characters that are worked on at once.
-SLICE = 1 << 20
+#: Characters, and rows, that are worked on at once.
+SLICE, ROWS = 1 << 18, 1024
 SPACE = 32
 
 
@@ -176,7 +176,7 @@ def with_language(docs: DataFrame, model: Filter, pred: str = "lang_pred", score
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(i, ROWS) for b in batches for i in range(0, b.num_rows, ROWS)):
             said, scores = sent.value.predict(batch.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(said, pa.string()), pa.array(scores, pa.float64())], [*batch.schema.names, pred, score])
 
