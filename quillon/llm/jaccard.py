@@ -98,8 +98,8 @@ def _in_bitmap(table: np.ndarray, h: np.ndarray) -> np.ndarray:
 
 
 def _bits(rows: int) -> int:
-    """Bits of a filter for so many rows: 32 to 64 each, 2^20 to 2^27 in all (16 MB)."""
-    return 1 << min(27, max(20, (32 * rows).bit_length()))
+    """Bits of a filter for so many rows: 16 to 32 each, 2^20 to 2^24 in all (2 MB)."""
+    return 1 << min(24, max(20, (16 * rows).bit_length()))
 
 
 def similar(sets: list[np.ndarray], asked: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
