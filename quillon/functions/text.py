@@ -15,6 +15,8 @@ HAN = "㐀-䶿一-鿿豈-﫿\U00020000-\U000323af"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: A word is a run of letters, digits and underscores, all Han or none.
 WORD = rf"[{HAN}]+|[\p{{L}}\p{{N}}_&&[^{HAN}]]+"
+#: A character that belongs to a word other than a Han one.
+EDGE = rf"[\p{{L}}\p{{N}}_&&[^{HAN}]]"
 SNIPPET, BEFORE = 240, 80
 _TO_LOWER = str.maketrans(UPPER, LOWER)
 
@@ -53,23 +55,29 @@ def query_terms(query: str) -> list[str]:
 def matches(text: Column, term: str) -> Column:
     """Whether a term is the whole field, one of its words or identifier parts, or within a Han word.
 
-    The cheap test for the bare string comes first: only texts that have it are cut into words.
+    Regexes stop at the first word that is the term. Only texts where it may be an identifier's
+    part, with a capital, a digit's end or an underscore at its edges, are cut into parts.
     """
-    low = ascii_lower(text)
     if "/" in term:
-        return low == term
+        return ascii_lower(text) == term
     if re.match(f"[{HAN}]", term):
         return text.contains(term)
-    exact = (low == term) | F.array_contains(words(low), term) | F.array_contains(parts(text), term)
-    return F.when(low.contains(term), exact).otherwise(F.lit(False))
+    bare = _ascii_any_case(term)
+    whole = text.rlike(rf"(?<!{EDGE}){bare}(?!{EDGE})")
+    inner = rf"[\p{{L}}\p{{N}}&&[^{HAN}]]"
+    maybe = text.rlike(rf"(?:(?<!{inner})|(?=[A-Z])){bare}(?:(?!{inner})|(?=[A-Z]))")
+    return whole | (maybe & F.array_contains(parts(text), term))
+
+
+def _ascii_any_case(term: str) -> str:
+    return "".join(f"[{c}{c.upper()}]" if c in LOWER else re.escape(c) for c in term)
 
 
 def first_hit(text: Column, term: str) -> Column:
     """Position (from 0) of a term's first whole-word match in a text, null if there is none."""
-    edge = rf"[\p{{L}}\p{{N}}_]"
-    pattern = rf"(?<!{edge}){re.escape(term)}(?!{edge})"
-    at = F.regexp_instr(ascii_lower(text), F.lit(pattern))
-    return F.when(at > 0, at - 1)
+    pattern = re.escape(term) if re.match(f"[{HAN}]", term) else rf"(?<!{EDGE}){_ascii_any_case(term)}(?!{EDGE})"
+    # The length of what is before it: in code points, which positions of regexes aren't.
+    return F.when(text.rlike(pattern), F.length(F.get(F.split(text, pattern, 2), 0)))
 
 
 def snippet(text: Column, at: Column) -> Column:
