@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.functions.hashing import content_id
@@ -46,15 +46,19 @@ def positions(rows: DataFrame, page: str, order: str, width: int = STRETCH) -> D
     return out.withColumn("position", (F.col("_before") + F.col("_own")).cast("long")).drop("_stretch", "_page", "_part", "_own", "_before")
 
 
-def occurrence_ids(rows: DataFrame, page: str, order: str) -> DataFrame:
+def occurrence_ids(rows: DataFrame, page: str, order: str, bucket: Column | None = None) -> DataFrame:
     """Rows with ``occurrence_id`` o0, o1, … in the order of (page, order).
 
-    Counts of pages are summed up over the sorted pages; only these, one row per page, pass
-    through one task. The rows themselves are numbered page by page.
+    Counts are summed up in two levels: over the buckets, which alone pass through one task, and
+    over the pages of a bucket. ``bucket`` must grow with the page; for numeric pages it is the
+    stretch they are in, for others give a prefix or the like.
     """
-    counts = rows.groupBy(page).agg(F.count("*").alias("_n"))
-    before = Window.orderBy(page).rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select(page, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    counts = rows.groupBy(page).agg(F.count("*").alias("_n")).withColumn("_bucket", F.floor(F.col(page) / STRETCH) if bucket is None else bucket)
+    totals = counts.groupBy("_bucket").agg(F.sum("_n").alias("_n"))
+    before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.select("_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
+    inside = Window.partitionBy("_bucket").orderBy(page).rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.withColumn("_start", F.coalesce(F.sum("_n").over(inside), F.lit(0))).join(totals, "_bucket").select(page, (F.col("_start") + F.col("_base")).alias("_start"))
     out = positions(rows, page, order).join(starts, page)
     return out.withColumn("occurrence_id", F.concat(F.lit("o"), (F.col("_start") + F.col("position")).cast("string"))).drop("_start")
 
@@ -79,6 +83,6 @@ def mapping_runs(rows: DataFrame, key: str, body: str, source: str) -> DataFrame
     return runs.drop("_run")
 
 
-def coverage(mapped: str, total: str) -> F.Column:
+def coverage(mapped: str, total: str) -> Column:
     """``complete``, ``partial``, or ``provenance`` if nothing is mapped."""
     return F.when(F.col(mapped) == 0, "provenance").when(F.col(mapped) >= F.col(total), "complete").otherwise("partial")

@@ -39,7 +39,7 @@ def test_records(spark):
     assert rows(records.records(named, ["body"]).select("body", "n_occurrences")) == [("a", 2), ("b", 1)]
     cut = records.positions(df.drop("body"), "page", "at", width=2)
     assert rows(cut) == [("p", 1, 0), ("p", 2, 1), ("p", 3, 2), ("q", 1, 0)]
-    ids = records.occurrence_ids(df, "page", "at").orderBy("page", "at")
+    ids = records.occurrence_ids(df, "page", "at", F.substring("page", 1, 1)).orderBy("page", "at")
     assert [r["occurrence_id"] for r in ids.collect()] == ["o0", "o1", "o2", "o3"]
     runs = records.mapping_runs(spark.createDataFrame([("k", i, i + (5 if i < 3 else 9)) for i in range(6)], "k string, b int, s int"), "k", "b", "s")
     assert rows(runs) == [("k", 0, 3, 5, 8), ("k", 3, 6, 12, 15)]
