@@ -41,17 +41,36 @@ def lines(files: DataFrame, key: str = "path", text: str = "text") -> DataFrame:
     return each.select(key, (F.col("_i") + 1).alias("line_no"), "line", (F.col("end_byte") - F.octet_length("line")).alias("start_byte"), "end_byte")
 
 
-def fenced(rows: DataFrame, key: str = "path") -> DataFrame:
-    """Lines with ``in_code``: inside a fenced block or on its fences.
+def fences(rows: DataFrame, key: str = "path") -> DataFrame:
+    """Fenced blocks of the files whose lines are given: key, blocks (first and last line), open_line.
 
-    A fence is closed by the next line that is only a fence of its character. A fence line of the
-    other kind within is text, so both kinds are counted apart, and the kind opened first holds.
+    A block is closed by a line that is only a fence of its character and at least its length;
+    other fences within are text. open_line is that of a block that nothing closes, which goes
+    on to the end. Only fence lines are gathered, file by file, and folded in order.
     """
-    w = Window.partitionBy(key).orderBy("line_no")
-    mark = F.substring(F.regexp_extract("line", FENCE, 1), 1, 1)
-    rows = rows.withColumn("_fence", F.when(mark != "", 1).otherwise(0))
-    count = F.sum("_fence").over(w)
-    return rows.withColumn("in_code", (count % 2 == 1) | (F.col("_fence") == 1)).drop("_fence")
+    mark = F.regexp_extract("line", FENCE, 1)
+    marks = rows.select(key, "line_no", mark.alias("mark"), F.col("line").rlike(FENCE + r"[ \t]*\r?\n?$").alias("bare")).where("mark != ''")
+    lists = marks.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("line_no", "mark", "bare"))).alias("marks"))
+    block = "array<struct<first:int,last:int>>"
+    start = F.struct(F.lit("").alias("open"), F.lit(0).alias("at"), F.array().cast(block).alias("blocks"))
+
+    def fold(acc: Column, m: Column) -> Column:
+        closes = m.bare & (F.substring(m.mark, 1, 1) == F.substring(acc.open, 1, 1)) & (F.length(m.mark) >= F.length(acc.open))
+        opened = F.struct(m.mark.alias("open"), m.line_no.cast("int").alias("at"), acc.blocks.alias("blocks"))
+        closed = F.struct(F.lit("").alias("open"), F.lit(0).alias("at"), F.concat(acc.blocks, F.array(F.struct(acc.at.alias("first"), m.line_no.cast("int").alias("last")))).alias("blocks"))
+        return F.when(acc.open == "", opened).when(closes, closed).otherwise(acc)
+
+    done = lists.select(key, F.explode(F.array(F.aggregate("marks", start, fold))).alias("x"))
+    rest = F.array(F.struct(F.col("x.at").alias("first"), F.lit((1 << 31) - 1).alias("last"))).cast(block)
+    is_open = F.col("x.open") != ""
+    return done.select(key, F.when(is_open, F.concat("x.blocks", rest)).otherwise(F.col("x.blocks")).alias("blocks"), F.when(is_open, F.col("x.at")).alias("open_line"))
+
+
+def fenced(rows: DataFrame, key: str = "path") -> DataFrame:
+    """Lines with ``in_code``: inside a fenced block or on its fences."""
+    got = rows.join(fences(rows, key).select(F.col(key).alias("_key"), "blocks"), F.col(key) == F.col("_key"), "left")
+    inside = F.exists("blocks", lambda b: F.col("line_no").between(b.first, b.last))
+    return got.withColumn("in_code", F.coalesce(inside, F.lit(False))).drop("blocks", "_key")
 
 
 def sections(files: DataFrame, key: str = "path", text: str = "text") -> DataFrame:
@@ -185,8 +204,7 @@ def leaves(files: DataFrame, key: str = "path", text: str = "text") -> DataFrame
     heading = ~F.col("in_code") & F.col("line").rlike(HEADING)
     blank = ~F.col("in_code") & (F.trim(F.regexp_replace("line", r"\s", "")).eqNullSafe("") | F.col("line").rlike(ANCHOR))
     rows = rows.withColumn("kind", F.when(blank, "blank").when(F.col("in_code"), "code").when(heading, "heading").otherwise("paragraph"))
-    opened = F.col("line").rlike(FENCE) & (F.coalesce(F.lag("in_code").over(w), F.lit(False)) == False)  # noqa: E712
-    fresh = F.coalesce(F.col("kind") != F.lag("kind").over(w), F.lit(True)) | heading | opened
+    fresh = F.coalesce(F.col("kind") != F.lag("kind").over(w), F.lit(True)) | heading
     rows = rows.withColumn("_leaf", F.sum(fresh.cast("int")).over(w)).where("kind != 'blank'")
     out = rows.groupBy(key, "_leaf").agg(F.first("kind").alias("kind"), F.min("start_byte").alias("start_byte"), F.max("end_byte").alias("end_byte"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x.line), "").alias("text"))
     return out.withColumn("leaf_no", F.row_number().over(Window.partitionBy(key).orderBy("_leaf")) - 1).drop("_leaf")
@@ -194,8 +212,7 @@ def leaves(files: DataFrame, key: str = "path", text: str = "text") -> DataFrame
 
 def open_fences(files: DataFrame, key: str = "path", text: str = "text") -> DataFrame:
     """Markdown whose last fence isn't closed: key, line_no of that fence."""
-    marks = lines(files.where(F.col(text).rlike("(?m)" + FENCE)), key, text).where(F.col("line").rlike(FENCE))
-    return marks.groupBy(key).agg(F.count("*").alias("n"), F.max("line_no").alias("line_no")).where("n % 2 = 1").drop("n")
+    return fences(lines(files, key, text), key).where("open_line IS NOT NULL").select(key, F.col("open_line").alias("line_no"))
 
 
 def selected(tree: DataFrame, steps: list[str | int], key: str = "path") -> DataFrame:

@@ -142,7 +142,7 @@ def test_entities(spark):
 
 def test_leaves_and_open_fences(spark):
     md = "# T\npara\nmore\n\n<a id=\"x\"></a>\n```\na\n\nb\n```\nend\n"
-    files = spark.createDataFrame([("x.md", md), ("y.md", "```\nopen\n")], "path string, text string")
+    files = spark.createDataFrame([("x.md", md), ("y.md", "```\nopen\n"), ("z.md", "~~~\n```\n~~~~\n````x\n```\n````\n")], "path string, text string")
     got = structure.leaves(files.where("path = 'x.md'")).orderBy("leaf_no").collect()
     assert [(r["kind"], r["text"]) for r in got] == [("heading", "# T\n"), ("paragraph", "para\nmore\n"), ("code", "```\na\n\nb\n```\n"), ("paragraph", "end\n")]
     assert rows(structure.open_fences(files)) == [("y.md", 1)]
