@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from quillon.llm.common import ranked, word_count, written
 
 
+#: Offsets that are tried for each source.
+OFFSETS = 32
+
+
 def offset_of(source: Column, seed: str) -> Column:
     """A number in [0, 1) with 32 random bits for each source; the same in each run."""
     bits = F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.concat(F.lit("s:"), source), F.lit("null"))).cast("binary")), 1, 8)
@@ -39,28 +43,44 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most:
     return s.select("source", "source_size", "docs", F.least(F.col("_cap").cast("double"), F.col("_final") * F.col("_w")).alias("target"))
 
 
+def _copies(shift: Column, most: int) -> Column:
+    """Integers that a row's part of the sum crosses: from rank * rate to (rank + 1) * rate, shifted."""
+    crossed = F.floor(shift + (F.col("rank") + 1) * F.col("rate")) - F.floor(shift + F.col("rank") * F.col("rate"))
+    return F.least(crossed, F.lit(most)).cast("long")
+
+
 def _taken(docs: DataFrame, weights: tuple[int, ...], most: int, seed: str) -> DataFrame:
     """Rows of doc_id, source, size and whatever else, with source_size, target and copies."""
-    rows = ranked(docs, "source", ["size"], ["doc_id"], "mix")
+    docs = docs.withColumn("at", F.left(F.md5(F.col("doc_id").cast("string").cast("binary")), F.lit(16)))
+    rows = ranked(docs, "source", ["at", "doc_id"], ["size"], "mix").drop("at")
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("docs"))
     targets = source_targets(sizes, weights, most).withColumnRenamed("source", "_source").drop("docs")
+    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
+    targets = written(targets.withColumns({"rate": rate, "shift": offset_of(F.col("_source"), seed)}), "targets")
     # One row per source: broadcast only if Spark finds the table small enough.
     rows = rows.join(targets, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
-    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    shift = offset_of(F.col("source"), seed)
-    copies = F.floor(shift + (F.col("rank") + 1) * rate) - F.floor(shift + F.col("rank") * rate)
-    return rows.withColumn("copies", F.least(copies, F.lit(most)).cast("long"))
+    # The words that each offset would take; the sums are partial before the shuffle.
+    def shifted(c: Column) -> Column:
+        return F.col("shift") + c / OFFSETS - F.floor(F.col("shift") + c / OFFSETS)
+
+    tried = rows.withColumn("c", F.explode(F.array(*map(F.lit, range(OFFSETS)))))
+    words = tried.groupBy("source", "target", "c").agg(F.sum(_copies(shifted(F.col("c")), most) * F.col("size")).alias("words"))
+    off = F.struct(F.abs(F.col("words").cast("double") - F.col("target")).alias("off"), "c")
+    best = written(words.groupBy(F.col("source").alias("_source")).agg(F.min(off).getField("c").alias("c")), "offsets")
+    rows = rows.join(best, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
+    return rows.withColumn("copies", _copies(shifted(F.col("c")), most)).drop("rate", "shift", "c")
 
 
 def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, seed: str = "mix") -> DataFrame:
     """How often the mix takes each document: doc_id, source, size, source_size, target, copies, taken.
 
-    A source's documents all have the same expected copies, target / source_size. Sorted by size,
-    the expected copies are summed up from one random offset for each source; a document is
-    emitted once for each integer that its part of the sum crosses. Neighbours in this order have
-    nearly the same size, so the words taken differ from the target by about the largest
-    document at most. A sum of equal terms is a product, so it only needs the document's rank in
-    its source, which `ranked` finds without gathering a source anywhere.
+    A source's documents all have the same expected copies, target / source_size. In the order of
+    a hash of their ids, these are summed up from a random offset; a document is emitted once for
+    each integer that its part of the sum crosses. Of ``OFFSETS`` evenly spaced offsets from the
+    source's random one, that which comes nearest to the target in words is taken: with few
+    documents, or very long ones, one offset alone may miss it by a long document. A sum of equal
+    terms is a product, so it only needs the document's rank in its source, which `ranked` finds
+    without gathering a source anywhere.
 
     Null text: size 0. Null source: a source of its own, last. A source without words: target 0,
     nothing taken. Rows that repeat are documents of their own. Empty table: no rows.

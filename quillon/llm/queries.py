@@ -72,13 +72,13 @@ WITH d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), {_WORD}))::BIGINT AS size FROM documents
 ), s AS (
   SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source
-), w AS (
+), v AS (
   SELECT *, 3 * source_size AS cap, ((row_number() OVER (ORDER BY source NULLS LAST)) - 1) % 3 + 1 AS weight FROM s
 ), f AS (
   SELECT *, row_number() OVER o AS k,
     ((sum(source_size) OVER ())::BIGINT - coalesce(sum(cap) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT)::DOUBLE
       / ((sum(weight) OVER ())::BIGINT - coalesce(sum(weight) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT) AS level
-  FROM w WINDOW o AS (ORDER BY cap::DOUBLE / weight, source NULLS LAST)
+  FROM v WINDOW o AS (ORDER BY cap::DOUBLE / weight, source NULLS LAST)
 ), t AS (
   SELECT source, source_size,
     least(cap::DOUBLE, coalesce((SELECT arg_min(level, k) FROM f WHERE level * weight < cap), 0.0) * weight) AS target,
@@ -87,12 +87,16 @@ WITH d AS (
 ), r AS (
   SELECT d.*, t.source_size, t.target, t.shift,
     CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0.0 END AS rate,
-    row_number() OVER (PARTITION BY d.source ORDER BY d.size, d.doc_id NULLS FIRST) - 1 AS rank
+    row_number() OVER (PARTITION BY d.source ORDER BY left(md5(d.doc_id::VARCHAR), 16) NULLS FIRST, d.doc_id, d.size) - 1 AS rank
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
+), o AS (
+  SELECT *, shift + c / 32.0::DOUBLE - floor(shift + c / 32.0::DOUBLE) AS u FROM r, range(32) AS g(c)
+), w AS (
+  SELECT *, least(3, floor(u + (rank + 1) * rate) - floor(u + rank * rate))::BIGINT * size AS taken FROM o
+), b AS (
+  SELECT source, arg_min(c, (off, c)) AS c FROM (SELECT source, c, abs(sum(taken)::DOUBLE - target) AS off FROM w GROUP BY source, target, c) GROUP BY source
 )
-SELECT doc_id, size, source_size, target,
-  least(3, floor(shift + (rank + 1) * rate) - floor(shift + rank * rate))::BIGINT * size AS taken
-FROM r
+SELECT w.doc_id, w.size, w.source_size, w.target, w.taken FROM w JOIN b ON w.source IS NOT DISTINCT FROM b.source AND w.c = b.c
 """
 
 #: The generator's products need 128 bits, which HUGEINT has.
