@@ -44,6 +44,21 @@ def _delete(spark: SparkSession, path: str) -> None:
         pass
 
 
+def release() -> None:
+    """Give a worker's free memory back: it goes on to other stages, beside the executor's heap."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Smallest node reachable from each node of ``edges``: columns ``node``, ``root``.
 

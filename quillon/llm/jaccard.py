@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import connected_components, written
+from quillon.llm.common import connected_components, release, written
 from quillon.llm.embeddings import _forest
 from quillon.llm.shingles import mixed, shingle_set, text_bytes
 
@@ -182,6 +182,7 @@ def jaccard_components(docs: DataFrame, num: int = 90, den: int = 100, width: in
                         seen.clear()
                     seen.add(key)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "id_hash", "text_hash")), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(signs, pa.list_(pa.int64()))], ["doc_id", "id_hash", "text_hash", "n_shingles", "key", "signs"])
+        release()
 
     signed = written(rows.mapInArrow(sign, "doc_id long, id_hash long, text_hash long, n_shingles long, key binary, signs array<long>"), "signed")
     many = signed.count()
@@ -199,6 +200,7 @@ def jaccard_components(docs: DataFrame, num: int = 90, den: int = 100, width: in
             owner = np.repeat(node, signs.value_lengths().to_numpy())
             keep = _in_bitmap(sent.value, flat)
             yield pa.RecordBatch.from_arrays([pa.array(flat[keep]), pa.array(owner[keep])], ["sign", "node"])
+        release()
 
     some = signed.where("signs IS NOT NULL").select("signs", F.xxhash64("key").alias("node")).mapInArrow(thin, "sign long, node long")
     edges = some.join(shared, "sign").where("node != low").select("node", "low").distinct()
@@ -215,6 +217,7 @@ def jaccard_components(docs: DataFrame, num: int = 90, den: int = 100, width: in
             batch = batch.filter(pa.array(_in_bitmap(wanted.value, batch.column("id_hash").to_numpy())))
             sets = [shingle_set(data, width) for data in text_bytes(batch.column("text"))]
             yield pa.RecordBatch.from_arrays([pa.array([blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.astype("<u8").tobytes() for s in sets], pa.binary())], ["key", "n", "shingles"])
+        release()
 
     sets = rows.select("id_hash", "text").mapInArrow(collect, "key binary, n long, shingles binary").where("key IS NOT NULL")
     sets = sets.join(classes, "key").dropDuplicates(["key"]).select("root", "key", "n", "shingles")

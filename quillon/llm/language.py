@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillon.llm.common import written
+from quillon.llm.common import release, written
 
 UNKNOWN = "und"
 #: Slots of the filter, a power of two. With its masks it is what a worker holds and the driver sends.
@@ -151,6 +151,7 @@ def learn(docs: DataFrame, per_language: int = LEARNED_DOCUMENTS) -> Filter:
                 for start, end in _slices([len(t) for t in texts]):
                     grams, n = np.unique(ngrams(texts[start:end])[0].view(np.int64), return_counts=True)
                     yield pd.DataFrame({"lang": lang, "gram": grams, "n": n})
+        release()
 
     grams = few.select("lang", "text").mapInPandas(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     # A language's n-grams are many, a gram's languages few: only totals go by language.
@@ -179,6 +180,7 @@ def with_language(docs: DataFrame, model: Filter, pred: str = "lang_pred", score
         for batch in (b.slice(i, ROWS) for b in batches for i in range(0, b.num_rows, ROWS)):
             said, scores = sent.value.predict(batch.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(said, pa.string()), pa.array(scores, pa.float64())], [*batch.schema.names, pred, score])
+        release()
 
     return docs.mapInArrow(add, T.StructType([*docs.schema.fields, T.StructField(pred, T.StringType()), T.StructField(score, T.DoubleType())]))
 

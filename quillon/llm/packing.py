@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import written
+from quillon.llm.common import release, written
 from quillon.llm.tokens import ByteIds, loaded
 
 #: Pieces that are packed together, on average. A group wastes about one sequence.
@@ -41,6 +41,7 @@ def tokenized_pieces(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", capa
                     rows.append((doc, i, a, b - a, zlib.crc32(part), *([np.frombuffer(part, "<u4").astype("i8")] * keep_ids)))
             out = pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32", *["ids"] * keep_ids])
             yield out.astype({"doc_id": "Int64"})
+        release()
 
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<long>" * keep_ids
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInPandas(cut, schema)
