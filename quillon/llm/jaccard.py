@@ -280,7 +280,7 @@ def keep_one_of_each(docs: DataFrame, num: int = 90, den: int = 100, width: int
     All columns stay. Documents without words stay, each of them; a row that repeats the one that
     stays goes.
     """
-    found = jaccard_components(docs, num, den, width)
+    found = written(jaccard_components(docs, num, den, width), "components")
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
     one = found.where("root IS NOT NULL").groupBy("root").agg(F.min(order).alias("x"))
     named = {c: f"_{c}_{len(docs.columns)}" for c in ("doc_id", "text_hash")}
@@ -291,5 +291,6 @@ def keep_one_of_each(docs: DataFrame, num: int = 90, den: int = 100, width: int
     marked = written(marked, "kept").withColumnRenamed("_one", mark := f"_one_{len(docs.columns)}")
     hashed = docs.withColumn(own := f"_hash_{len(docs.columns)}", F.xxhash64("text"))
     got = hashed.join(marked, F.col("doc_id").cast("long").eqNullSafe(F.col(named["doc_id"])) & F.col(own).eqNullSafe(F.col(named["text_hash"])))
-    single = got.where(F.col(mark)).dropDuplicates(["doc_id", own])
-    return single.unionByName(got.where(~F.col(mark))).select(*docs.columns)
+    if found.groupBy("doc_id", "text_hash").agg(F.count("*").alias("n")).where("n > 1").head(1):
+        got = got.where(F.col(mark)).dropDuplicates(["doc_id", own]).unionByName(got.where(~F.col(mark)))
+    return got.select(*docs.columns)
