@@ -270,7 +270,8 @@ def _compared(sets: DataFrame, num: int, den: int) -> DataFrame:
     right = large.join(cuts, "root").withColumn("cut", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1))).withColumn("asked", F.lit(False))
     cols = ["root", "key", "shingles", "cut", "block", "asked"]
     both = left.select(cols).unionByName(right.select(cols))
-    more = both.groupBy("root", "cut", "block").applyInPandas(_links(num, den), "a binary, b binary")
+    # By a hash of its own: by root, the joins' partitioning would do, and a root be one task.
+    more = both.withColumn("task", F.xxhash64("root", "cut", "block")).groupBy("task").applyInPandas(_links(num, den), "a binary, b binary")
     return written(links.unionByName(more.where("a != b")), "links")
 
 
