@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import json
 import re
+import sys
+import unicodedata
 from collections.abc import Iterator
 from itertools import islice, repeat
 
@@ -41,6 +43,7 @@ class PrefixCounts:
         self.library = Tokenizer.from_file(self.path)
         self.kept: dict[str, int] = {}
         self.bpe: WordPrefixes | None = None
+        self.rules: Rules | None = None
 
     def words(self, text: str) -> list[str]:
         if any(c in text for c in SEPARATORS):
@@ -66,17 +69,32 @@ class PrefixCounts:
 
     def in_word(self, word: str) -> np.ndarray:
         """Exact counts of all prefixes of a word, the empty one first."""
-        if UNPLAIN.search(word):
-            # Prefix by prefix.
-            return np.array([0, *(len(e.ids) for e in self.library.encode_batch_fast([word[:i] for i in range(1, len(word) + 1)], add_special_tokens=False))])
         if self.bpe is None:
             self.bpe = WordPrefixes(self.path)
+        if UNPLAIN.search(word):
+            return self.in_any_word(word)
         out, done = [0], 0
         for piece in self.bpe.pieces.findall(word):
             out += [done + n for n in self.bpe.counts(piece)[1:]]
             done = out[-1]
         return np.array(out)
 
+    def in_any_word(self, word: str) -> np.ndarray:
+        """As ``in_word``, of words whose characters may join or be special strings."""
+        if self.rules is None:
+            self.rules = Rules(self.library)
+        out, at, done = np.zeros(len(word) + 1, np.int64), 0, 0
+        for start, end in [*(m.span() for m in self.rules.special.finditer(word)), (len(word), len(word) + 1)]:
+            # A special string counts as one token once it is whole, as plain signs and letters before.
+            run = Prefixes(self.bpe, self.rules)
+            inside = run.counts(word[at : end - 1])
+            out[at:end] = done + inside
+            if end <= len(word):
+                done += int(inside[start - at]) + 1
+                out[end] = done
+            at = end
+        return out
+
     def table(self, text: str) -> np.ndarray:
         """The exact count of every prefix: item i is that of text[:i]."""
         out, done = np.zeros(len(text) + 1, np.int64), 0
@@ -121,6 +139,13 @@ class WordPrefixes:
         pairs = (tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"])
         self.rank = {p: i for i, p in enumerate(pairs)}
         self.longest = max(map(len, self.vocab))
+        #: Length of the longest token with a last character, within a run and at its end.
+        self.reach: dict[str, int] = {}
+        self.reach_end: dict[str, int] = {}
+        for t in self.vocab:
+            closes = bool(self.end) and t.endswith(self.end) and t != self.end
+            of, t = (self.reach_end, t.removesuffix(self.end)) if closes else (self.reach, t)
+            of[t[-1]] = max(of.get(t[-1], 0), len(t))
         # The byte-level alphabet: printable Latin-1 stands for itself, the rest from 256 on.
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         rest = [b for b in range(256) if b not in plain]
@@ -171,6 +196,152 @@ class WordPrefixes:
         return out
 
 
+class Rules:
+    """What the vocabulary's normalising and splitting do with characters, asked of the library once for each."""
+
+    def __init__(self, library):
+        from tokenizers.normalizers import NFC
+
+        self.compose = NFC().normalize_str
+        self.normal, self.split = library.normalizer.normalize_str, library.pre_tokenizer.pre_tokenize_str
+        special = [re.escape(t.content) for t in library.get_added_tokens_decoder().values()]
+        self.special = re.compile("|".join(special) or "(?!)")
+        # Second characters of canonical pairs, vowels and finals of Hangul.
+        pairs = (unicodedata.decomposition(chr(c)).split() for c in range(sys.maxunicode + 1))
+        self.seconds = {chr(int(d[1], 16)) for d in pairs if len(d) == 2 and d[0][0] != "<"}
+        self.seconds |= {*map(chr, range(0x1161, 0x1176)), *map(chr, range(0x11A8, 0x11C3))}
+        self.known: dict[str, list[tuple[str, str, bytes]]] = {}
+        self.first: dict[str, bool] = {}
+
+    def begins(self, c: str) -> bool:
+        """Whether a character never joins, nor changes places with, what is before it."""
+        if c not in self.first:
+            d = unicodedata.normalize("NFD", c)[0]
+            self.first[c] = not unicodedata.combining(d) and d not in self.seconds
+        return self.first[c]
+
+    def lowered(self, c: str) -> list[tuple[str, str, bytes]]:
+        """The characters that one composed character becomes, each with its kind and bytes.
+
+        Kinds: letter L, number N, white space W, all others S.
+        """
+        if c not in self.known:
+            found = []
+            for x in self.normal(c):
+                if not self.split(x):
+                    kind = "W"
+                else:
+                    kind = "L" if len(self.split("a" + x)) == 1 else "S" if len(self.split("!" + x)) == 1 else "N"
+                found.append((x, kind, x.encode()))
+            self.known[c] = found
+        return self.known[c]
+
+
+class Prefixes:
+    """The counts of a growing text; its last composed characters can be taken back.
+
+    ``texts`` holds the composed characters. For each of them and the empty text, ``states`` has
+    what the text up to there has: total tokens; the last piece's kind, its first byte, its
+    characters (of a short one) and the tokens before it; and the number of bytes.
+    """
+
+    def __init__(self, bpe: WordPrefixes, rules: Rules):
+        self.bpe, self.rules = bpe, rules
+        self.texts: list[str] = []
+        self.states: list[tuple] = [(0, "W", 0, "", 0, 0, 0)]
+        self.bytes: list[str] = []
+        # By end, of the piece that has the byte before: the last token and the count.
+        self.last, self.count = [""], [0]
+
+    def counts(self, text: str) -> np.ndarray:
+        out = np.zeros(len(text) + 1, np.int64)
+        for i, c in enumerate(text, 1):
+            self.add(c)
+            out[i] = self.states[-1][0]
+        return out
+
+    def add(self, c: str) -> None:
+        """One more character of the text, as it is before composing."""
+        texts, ccc = self.texts, unicodedata.combining
+        keep = len(texts)
+        if texts and not self.rules.begins(c):
+            of = ccc(c)
+            if not of:
+                keep -= 1
+            elif ccc(texts[-1]) != of or len(unicodedata.normalize("NFD", c)) > 1:
+                # What may join or change places: from the last character that isn't a mark.
+                keep -= 1
+                while keep and ccc(texts[keep]):
+                    keep -= 1
+        new = self.rules.compose("".join(texts[keep:]) + c)
+        same = 0
+        while keep + same < len(texts) and same < len(new) and texts[keep + same] == new[same]:
+            same += 1
+        self.back(keep + same)
+        for x in new[same:]:
+            state = self.states[-1]
+            for y, kind, data in self.rules.lowered(x):
+                state = self.step(state, y, kind, data)
+            self.texts.append(x)
+            self.states.append(state)
+
+    def back(self, n: int) -> None:
+        del self.texts[n:], self.states[n + 1 :]
+        size = self.states[-1][-1]
+        del self.bytes[size:], self.last[size + 1 :], self.count[size + 1 :]
+
+    def step(self, state: tuple, c: str, kind: str, data: bytes) -> tuple:
+        total, piece, start, chars, before, sign, size = state
+        if kind == "W":
+            return (total, "W", size, "", total, 0, size)
+        # "'s" and the like are pieces of their own; "'r" is two as long as no e follows. ``sign``
+        # is 1 more than the tokens before an apostrophe that stands as a piece before one letter.
+        short = piece == "S" and chars == "'" and c in ("s", "t", "m", "d")
+        long = bool(sign) and chars + c in ("re", "ve", "ll")
+        if short or long:
+            whole, before = ("'" + c, before) if short else ("'" + chars + c, sign - 1)
+            symbols = [self.bpe.byte[b] for b in whole.encode()]
+            symbols[-1] += self.bpe.end
+            self.bytes.append(self.bpe.byte[data[0]])
+            self.last.append("")
+            self.count.append(0)
+            total = before + len(self.bpe.merged(symbols))
+            return (total, "C", size, whole, before, 0, size + 1)
+        if kind == piece and kind != "N":
+            chars, sign = (chars + c)[:3], 0
+        else:
+            sign = before + 1 if piece == "S" and chars == "'" and kind == "L" else 0
+            piece, start, chars, before = kind, size, c, total
+        for b in data:
+            self.byte(start, self.bpe.byte[b])
+        return (before + self.closed(start), piece, start, chars, before, sign, size + len(data))
+
+    def byte(self, start: int, b: str) -> None:
+        """The last token and the count of the piece with one more byte, if others follow."""
+        bpe, s, last, count = self.bpe, self.bytes, self.last, self.count
+        s.append(b)
+        i = len(s)
+        tail = "".join(s[max(start, i - bpe.reach.get(b, 1)) : i])
+        for n in range(1, len(tail) + 1):
+            t = tail[-n:]
+            if t in bpe.vocab and bpe.stands("", t, False) and bpe.stands(last[i - n] if i - n > start else "", t, False):
+                last.append(t)
+                count.append((count[i - n] if i - n > start else 0) + 1)
+                return
+        raise ValueError(f"no token ends {tail!r}")
+
+    def closed(self, start: int) -> int:
+        """Tokens of the piece if it ends here."""
+        bpe, s = self.bpe, self.bytes
+        i = len(s)
+        tail = "".join(s[max(start, i - bpe.reach_end.get(s[-1], 1)) : i])
+        for n in range(1, len(tail) + 1):
+            t = tail[-n:]
+            if t + bpe.end in bpe.vocab and bpe.stands("", t, True) and bpe.stands(self.last[i - n] if i - n > start else "", t, True):
+                return (self.count[i - n] if i - n > start else 0) + 1
+        raise ValueError(f"no token ends {tail!r}")
+
+
 def count_tokens(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", limit: int = 2048) -> DataFrame:
     """Tokens of every whole text: doc_id, n_bytes, n_tokens, over_limit, fitting_chars.
 

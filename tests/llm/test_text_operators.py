@@ -228,6 +228,38 @@ def test_prefix_tables_are_the_library(spark):
     assert token_counts.count_tokens(df.where("false")).count() == 0
 
 
+def test_prefixes_of_a_long_word_are_never_encoded_one_by_one():
+    import random
+
+    counts = token_counts.PrefixCounts("word_bpe_49k.json")
+    lib = counts.library
+    n = lambda t: len(lib.encode(t, add_special_tokens=False).ids)
+
+    class Sparing:
+        """The library, as long as it isn't asked for more characters than a word has."""
+
+        def __getattr__(self, name):
+            return getattr(lib, name)
+
+        def encode_batch_fast(self, texts, **kw):
+            assert sum(map(len, texts)) <= 200_000
+            return lib.encode_batch_fast(texts, **kw)
+
+    counts.library = Sparing()
+    r = random.Random(3)
+    parts = ["日", "本", "한", "ᄀ", "ᅡ", "ᆨ", "e", "\u0301", "\u0323", "\u0338", "<", "<|endoftext|>", "<|start", "'", "'", "s", "r", "e", "ll", "Σ", "İ", "½", "😀", "ก็", "1", "!", "\x1c\u3000"]
+    for _ in range(300):
+        word = "".join(r.choice(parts) for _ in range(15))
+        assert counts.in_word(word).tolist() == [n(word[:i]) for i in range(len(word) + 1)], ascii(word)
+    cjk = "".join(chr(0x4E00 + r.randrange(3000)) for _ in range(200_000))
+    for word in (cjk[:5_000], cjk, "don't" + "ab1{;" * 10_000, "e" + "\u0301" * 5_000):
+        got = counts.in_word(word)
+        for i in (1, 2, 7, 1000, len(word) - 1, len(word)):
+            assert got[i] == n(word[:i])
+        k = counts.longest(word, counts.at_words([word])[0], 2048)
+        assert n(word[:k]) <= 2048 < min(n(word[: k + j]) for j in range(1, 20))
+
+
 # --- sharding
 
 
