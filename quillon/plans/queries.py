@@ -12,6 +12,7 @@ from quillon.functions import text as t
 from quillon.operators import integrity, intervals, plugins, references, render, structure
 from quillon.operators import records as rec
 from quillon.operators import search as srch
+from quillon.operators.quantiles import exact_quantiles
 from quillon.streaming.watch import strongest
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -380,7 +381,10 @@ def capped_coalescing(read):
 
 @query("SELECT event_type, quantile_cont(value, 0.5) AS p50, quantile_cont(value, 0.95) AS p95, count(*) FILTER (((event_id & 32) <> 0)) AS flagged FROM events GROUP BY 1")
 def percentiles(read):
-    return read("events").groupBy("event_type").agg(F.percentile("value", 0.5).alias("p50"), F.percentile("value", 0.95).alias("p95"), F.count_if(F.col("event_id").bitwiseAND(F.lit(32)) != 0).alias("flagged"))
+    rows = read("events")
+    flagged = rows.groupBy(F.col("event_type").alias("type")).agg(F.count_if(F.col("event_id").bitwiseAND(F.lit(32)) != 0).alias("flagged"))
+    found = exact_quantiles(rows, "event_type", "value", {"p50": 0.5, "p95": 0.95})
+    return found.join(flagged, found["event_type"].eqNullSafe(flagged["type"])).drop("type")
 
 
 # --- joins, comparisons, integrity --------------------------------------------------------------

@@ -1,7 +1,8 @@
 import pytest
 from pyspark.sql import functions as F
 
-from quillon.operators import integrity, intervals, plugins, records, references, render, search, structure
+from quillon.operators import integrity, intervals, plugins, quantiles, records, references, render, search, structure
+from quillon.plans import queries
 
 
 def rows(df):
@@ -61,6 +62,21 @@ def test_capped_bursts_end_by_quiet_or_length(spark):
     assert got == [(0, 990_000, 12), (1_080_000, 1_080_000, 1), (1_300_000, 1_300_000, 1)]
 
 
+def test_exact_quantiles_hold_counts_not_values(spark, capsys):
+    inf, nan = float("inf"), float("nan")
+    values = {"a": [5.0, -1.5, -0.0, 0.0, 1e300, 3.25, None, 2.0], "b": [7.0], "c": [None], None: [2.0, 4.0], "n": [nan, 1.0, -inf, inf], "t": [1.0] * 99 + [2.0]}
+    df = spark.createDataFrame([(k, v) for k, vs in values.items() for v in vs], "k string, v double")
+    df = df.unionByName(spark.range(5000).selectExpr("'h' AS k", "CAST((id * 7919) % 5003 - 2500 AS double) / 7 AS v"))
+    at = {"low": 0.0, "mid": 0.5, "p95": 0.95, "high": 1.0}
+    got = {r["k"]: r[1:] for r in quantiles.exact_quantiles(df, "k", "v", at).collect()}
+    want = {r["k"]: r[1:] for r in df.groupBy("k").agg(*(F.percentile("v", q).alias(n) for n, q in at.items())).collect()}
+    assert got.keys() == want.keys() and got["c"] == (None,) * 4
+    for k in want:
+        assert [repr(x) if x is None or x != x else pytest.approx(x) for x in want[k]] == [repr(x) if x is None or x != x else x for x in got[k]], k
+    queries.QUERIES["percentiles"](spark, "/root/testdata/sf0.001").explain()
+    assert "percentile(" not in capsys.readouterr().out
+
+
 def test_comparisons(spark):
     a = spark.createDataFrame([(1, "x"), (2, None), (3, "z")], "k int, v string")
     b = spark.createDataFrame([(1, "x"), (2, None), (4, "z"), (3, "y")], "k int, v string")
