@@ -5,6 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillon.operators.tables import written
+
+#: Stretches of time that the longest burst is cut into.
+STRETCHES = 8
+
 
 def union_of(rows: DataFrame, key: str, start: str, end: str) -> DataFrame:
     """Merged intervals of each key; those that touch are one: key, start, end, n."""
@@ -63,22 +68,57 @@ def quiet_sessions(rows: DataFrame, key: str, time: str, gap: str) -> DataFrame:
 def capped_bursts(rows: DataFrame, key: str, time: str, quiet_us: int, most_us: int) -> DataFrame:
     """Bursts of each key: emitted ``quiet_us`` after the last event or ``most_us`` after the first, whatever is sooner.
 
-    Columns key, first_us, last_us, n. The second rule makes a burst's start depend on the one
-    before, so events go through a fold in order. Only events closer than ``quiet_us`` depend on
-    each other: what a task folds is one such island, not a key.
+    Columns key, first_us, last_us, n. Each event knows which one begins the next burst if it
+    begins one: the first at or after its time + ``most_us``, unless a quiet gap comes before.
+    The starts are what the events after quiet gaps reach by these steps, which are doubled over
+    written tables. Events are dealt by (key, stretch of time), so a key with a third of all
+    events is many tasks; through one task for a key go its stretches, one row each.
     """
-    us = rows.select(key, F.unix_micros(F.col(time).cast("timestamp")).alias("us"))
-    w = Window.partitionBy(key).orderBy("us")
-    us = us.withColumn("_new", F.coalesce(F.col("us") - F.lag("us").over(w) >= quiet_us, F.lit(True)).cast("int"))
-    us = us.withColumn("_island", F.sum("_new").over(w))
-    lists = us.groupBy(key, "_island").agg(F.array_sort(F.collect_list("us")).alias("all"))
-
-    def add(acc: Column, t: Column) -> Column:
-        fresh = F.struct(t.alias("first_us"), t.alias("last_us"), F.lit(1).cast("long").alias("n"))
-        last = F.element_at(acc, -1)
-        grown = F.struct(last.first_us.alias("first_us"), t.alias("last_us"), (last.n + 1).alias("n"))
-        new = (F.size(acc) == 0) | (t - F.get(acc, F.size(acc) - 1).first_us >= most_us)
-        return F.when(F.size(acc) == 0, F.array(fresh)).when(new, F.concat(acc, F.array(fresh))).otherwise(F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(grown)))
-
-    empty = F.array().cast("array<struct<first_us:bigint,last_us:bigint,n:bigint>>")
-    return lists.select(key, F.explode(F.aggregate("all", empty, add)).alias("b")).select(key, "b.first_us", "b.last_us", "b.n")
+    us = rows.select(F.col(key).alias("k"), F.unix_micros(F.col(time).cast("timestamp")).alias("us")).where("us IS NOT NULL")
+    width = max(1, most_us // STRETCHES)
+    dealt = Window.partitionBy("k", "s")
+    along = Window.partitionBy("_k").orderBy("_s")
+    past, ahead = along.rowsBetween(Window.unboundedPreceding, -1), along.rowsBetween(1, Window.unboundedFollowing)
+    upto = dealt.orderBy("us").rowsBetween(Window.unboundedPreceding, 0)
+
+    def stretches(rows: DataFrame, *values: Column) -> DataFrame:
+        return rows.groupBy(F.col("k").alias("_k"), F.col("s").alias("_s")).agg(*values)
+
+    def beside(rows: DataFrame, table: DataFrame) -> DataFrame:
+        return rows.join(table, rows["k"].eqNullSafe(table["_k"]) & (rows["s"] == table["_s"])).drop("_k", "_s")
+
+    events = us.groupBy("k", "us").agg(F.count("*").alias("n")).withColumn("s", F.floor(F.col("us") / width))
+    ends = stretches(events, F.max("us").alias("_end")).withColumn("_end", F.max("_end").over(past))
+    events = beside(events.withColumn("_before", F.lag("us").over(dealt.orderBy("us"))), ends)
+    quiet = F.coalesce(F.col("us") - F.coalesce("_before", "_end") >= quiet_us, F.lit(True))
+    events = written(events.select("k", "s", "us", "n", F.when(quiet, F.col("us")).alias("start")), "burst-events")
+
+    def latest(rows: DataFrame, start: str) -> DataFrame:
+        """Rows with ``latest``: the last ``start`` of the key up to each."""
+        earlier = stretches(rows, F.max(start).alias("_start")).withColumn("_start", F.max("_start").over(past))
+        own = rows.withColumn("_own", F.max(start).over(upto))
+        return beside(own, earlier).withColumn("latest", F.coalesce("_own", "_start")).drop("_own", "_start")
+
+    # Events, and the times from which each one's successor is looked for, in one order.
+    held = written(latest(events, "start").select("k", "s", "us", "latest"), "burst-islands")
+    found = held.select("k", "s", "us", F.struct("us", "latest").alias("event"), F.lit(None).cast("long").alias("of"))
+    sought = held.select("k", F.floor((F.col("us") + most_us) / width).alias("s"), (F.col("us") + most_us).alias("us"), F.lit(None).cast(found.schema["event"].dataType).alias("event"), F.col("us").alias("of"))
+    both = found.unionByName(sought)
+    after = stretches(both, F.min("event").alias("_next")).withColumn("_next", F.min("_next").over(ahead))
+    # Of equal times, what is looked for comes with the events: a range takes both.
+    here = F.min("event").over(dealt.orderBy("us").rangeBetween(Window.currentRow, Window.unboundedFollowing))
+    to = beside(both.withColumn("_here", here), after).where("of IS NOT NULL").select("k", F.col("of").alias("us"), F.coalesce("_here", "_next").alias("to"))
+    step = written(to.where("to.latest <= us").select("k", "us", F.col("to.us").alias("to")), "burst-steps")
+
+    starts = events.where("start IS NOT NULL").select("k", "us")
+    while step.head(1):
+        at = step.withColumnsRenamed({"k": "_k", "us": "_us", "to": "_to"})
+        more = starts.join(at, starts["k"].eqNullSafe(at["_k"]) & (starts["us"] == at["_us"])).select("k", F.col("_to").alias("us"))
+        starts = written(starts.union(more).distinct(), "burst-starts")
+        step = written(step.join(at, step["k"].eqNullSafe(at["_k"]) & (step["to"] == at["_us"])).select("k", "us", F.col("_to").alias("to")), "burst-steps")
+
+    named = starts.select(F.col("k").alias("_k"), F.col("us").alias("_us"))
+    marked = events.select("k", "s", "us", "n").join(named, events["k"].eqNullSafe(named["_k"]) & (events["us"] == named["_us"]), "left")
+    marked = latest(marked.select("k", "s", "us", "n", F.col("_us").alias("begun")), "begun")
+    out = marked.groupBy("k", "latest").agg(F.max("us").alias("last_us"), F.sum("n").alias("n"))
+    return out.select(F.col("k").alias(key), F.col("latest").alias("first_us"), "last_us", "n")

@@ -62,6 +62,28 @@ def test_capped_bursts_end_by_quiet_or_length(spark):
     assert got == [(0, 990_000, 12), (1_080_000, 1_080_000, 1), (1_300_000, 1_300_000, 1)]
 
 
+def test_capped_bursts_of_a_hot_key_are_no_lists(spark, capsys):
+    import random
+
+    r = random.Random(4)
+    events = [("hot", t) for t in range(0, 40_000, 7)] + [("hot", 14)] * 3 + [(None, 5), (None, 700), ("far", -9_000), ("far", None)]
+    events += [(f"k{i % 9}", r.randrange(-5_000, 5_000)) for i in range(900)]
+    want = []
+    for k in {k for k, _ in events}:
+        last = first = None
+        for t in sorted(t for e, t in events if e == k and t is not None):
+            if first is None or t - last >= 60 or t - first >= 160:
+                first = t
+                want.append([k, t, t, 0])
+            last = t
+            want[-1][2:] = [t, want[-1][3] + 1]
+    df = spark.createDataFrame(events, "k string, us long").select("k", F.timestamp_micros("us").alias("ts"))
+    got = intervals.capped_bursts(df, "k", "ts", 60, 160)
+    assert sorted(map(repr, (list(x) for x in got.collect()))) == sorted(map(repr, want))
+    got.explain()
+    assert "collect_list" not in capsys.readouterr().out
+
+
 def test_exact_quantiles_hold_counts_not_values(spark, capsys):
     inf, nan = float("inf"), float("nan")
     values = {"a": [5.0, -1.5, -0.0, 0.0, 1e300, 3.25, None, 2.0], "b": [7.0], "c": [None], None: [2.0, 4.0], "n": [nan, 1.0, -inf, inf], "t": [1.0] * 99 + [2.0]}
