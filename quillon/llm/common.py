@@ -30,12 +30,17 @@ def release() -> None:
         pass
 
 
+#: Nodes with more edges than this, and than a thousandth of all, are joined in parts.
+HUB = 20_000
+
+
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Smallest node reachable from each node of ``edges``: columns ``node``, ``root``.
 
     Alternating large-star and small-star rounds; each is two aggregations and two joins over
     rows in proportion to the edges, written out, until a round changes nothing. No step gathers
-    a node's neighbours in one row. Self-loops keep a node; nulls are not allowed.
+    a node's neighbours in one row, and the edges of a hub are joined in several parts. Self-loops
+    keep a node; nulls are not allowed.
     """
     loops = edges.select(F.col(a).alias("node")).union(edges.select(F.col(b))).distinct()
     loops = written(loops, "cc-nodes")
@@ -43,13 +48,14 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     e = written(e, "cc-edges")
     last = _digest(e)
     while last[0]:
+        most = max(HUB, last[0] // 500)
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        low = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
+        large = _with_low(both, low, most).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         tops = low.where("m < u").select("u", F.col("m").alias("v"))
         large = large.where("u != v").union(tops).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u")
+        low = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        small = _with_low(large, low, most)
         small = small.select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v")).where("u != v")
         e = written(small.union(low.select("u", F.col("m").alias("v"))).distinct(), "cc-edges")
         now = _digest(e)
@@ -61,6 +67,18 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     )
 
 
+def _with_low(edges: DataFrame, low: DataFrame, most: int) -> DataFrame:
+    """Edges with their u's ``m``. The edges of a u that has more than ``most`` are dealt to parts.
+
+    Such hubs are few, at most the ends of all edges / ``most``, which is below 2,000 rows.
+    """
+    hubs = F.broadcast(low.where(F.col("n") > most).select(F.col("u").alias("_u"), F.ceil(F.col("n") / most).cast("int").alias("parts")))
+    parts = F.coalesce("parts", F.lit(1))
+    dealt = edges.join(hubs, edges["u"] == F.col("_u"), "left").select("u", "v", F.pmod(F.xxhash64("v"), parts).alias("part"))
+    every = low.select("u", "m", F.explode(F.sequence(F.lit(0).cast("long"), F.when(F.col("n") > most, F.ceil(F.col("n") / most) - 1).otherwise(F.lit(0)).cast("long"))).alias("part"))
+    return dealt.join(every, ["u", "part"])
+
+
 def _digest(e: DataFrame) -> tuple:
     got = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").bitwiseAND(F.lit((1 << 40) - 1))), F.sum(F.xxhash64("v", "u").bitwiseAND(F.lit((1 << 40) - 1)))).first()
     return tuple(got)

@@ -2,14 +2,18 @@
 
 Texts with one set of shingles are one class from the start; the join is between classes.
 
-Blocks: sets of similar size whose Jaccard similarity is at least t differ in few shingles, at
-most d of a. If all shingles are dealt by a hash to more than d parts, the two sets agree in one
-part at least. So each class has a signature for each of its parts, and classes that share none
-can't link. What shares signatures, directly or by others, is a block of the incidence matrix.
+Blocks: all shingles have one order, rare ones first. Two sets that link overlap in so many
+shingles that the first n - ceil(t * n) + 1 of each, in this order, have one in common: these are
+a set's signs. The order comes from counts of all shingles in a table of a fixed size, so what
+many texts share, such as a passage that goes round, is hardly ever a sign; it decides on speed
+alone. The classes that share a sign and are of like size form a group, and all groups with one
+smallest class, the pivot, are a block of the incidence matrix. Candidates are never closed
+transitively before they are compared.
 
 Product: within a block, rows are documents and columns n-grams; the product of the sparse
-matrix with its transpose, taken in strips of columns, adds up the overlaps. Pairs whose sizes
-or overlaps are below the bounds are discarded. A task returns a spanning forest of its links.
+matrix with its transpose, in strips of columns and bands of rows of like size, adds up the
+overlaps. Sizes too far apart aren't multiplied, pairs whose overlap is below the bound are
+discarded. A task returns a spanning forest of its links.
 """
 
 from __future__ import annotations
@@ -25,14 +29,14 @@ from pyspark.sql import functions as F
 
 from quillon.llm.common import connected_components, release, written
 from quillon.llm.embeddings import _forest
-from quillon.llm.shingles import mixed, shingle_set, text_bytes
+from quillon.llm.shingles import shingle_set, text_bytes
 
 #: Rows, and shingles, of a block of a task, about.
 BLOCK, BLOCK_SHINGLES = 768, 1 << 20
-#: Columns of a strip.
-STRIP = 2048
-#: Parts without shingles that a set may have before it signs them too.
-SPARE = 2
+#: Columns of a strip and rows of a band.
+STRIP, BAND = 2048, 128
+#: Slots of the table of counts, a power of two, and those of a row that goes through a shuffle.
+SLOTS, CHUNK = 1 << 20, 1 << 10
 #: Candidates of a large block that all its others are compared with first.
 PIVOTS = 8
 #: Sets that a task remembers so as not to sign a copy again; only speed depends on it.
@@ -51,34 +55,50 @@ class Levels:
             self.first.append(self.first[-1] * self.den // self.num + 1)
         return int(np.searchsorted(self.first, n, "right")) - 1
 
-    def parts(self, level: int) -> int:
-        """Parts at a level: more than the shingles in which two linked sets can differ; 0 if only equal sets link.
-
-        With the smaller set's size a in this class, the sets differ in at most a * (1 - t) / t.
-        """
-        largest = self.first[level + 1] - 1
-        d = largest * (self.den - self.num) // self.num
-        return d + 1 + SPARE if d else 0
-
-    def signatures(self, s: np.ndarray) -> np.ndarray:
-        """Hashes of the parts of a set at its own level and, as a larger partner, the level below."""
-        own = self.of(len(s))
-        self.of(self.first[own + 1])
-        out = []
-        for level in {own, max(0, own - 1)}:
-            m = self.parts(level)
-            if not m:
-                continue
-            part = (s >> np.uint64(20)) % np.uint64(m)
-            part = part.astype(np.int64)
-            content = mixed(s + np.uint64(0x9E3779B97F4A7C15))
-            low = np.bincount(part, (content & np.uint64(0xFFFFFFFF)).astype(float), m).astype(np.uint64)
-            high = np.bincount(part, (content >> np.uint64(32)).astype(float), m).astype(np.uint64)
-            count = np.bincount(part, minlength=m)
-            place = mixed(np.arange(m, dtype=np.uint64) + np.uint64(level << 32))
-            signs = mixed(mixed(low ^ place) + high)
-            out.append(signs if (count == 0).sum() > SPARE else signs[count > 0])
-        return np.concatenate(out) if out else np.empty(0, np.uint64)
+
+def _slot(s: np.ndarray) -> np.ndarray:
+    return (s >> np.uint64(64 - SLOTS.bit_length() + 1)).astype(np.int64)
+
+
+def signs(s: np.ndarray, order: np.ndarray, num: int, den: int) -> np.ndarray:
+    """The first shingles of a sorted set, rare slots before frequent ones, one of which each linked set has too.
+
+    None if no other set can link with one of this size.
+    """
+    n = len(s)
+    if n * den < num * (n + 1):
+        return s[:0]
+    return s[np.argsort(order[_slot(s)], kind="stable")[: n + (-num * n) // den + 1]]
+
+
+def slot_order(texts: DataFrame, width: int) -> np.ndarray:
+    """Ranks of the slots by how many shingles of all texts fall in them: what the driver gets has a fixed size."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(SLOTS, np.uint32)
+        for batch in batches:
+            found = [_slot(shingle_set(data, width)) for data in text_bytes(batch.column("text"))]
+            counts += np.bincount(np.concatenate([np.empty(0, np.int64), *found]), minlength=SLOTS).astype(np.uint32)
+        rows = counts.reshape(-1, CHUNK)
+        some = np.flatnonzero(rows.any(1))
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array([rows[i].tobytes() for i in some], pa.binary())], ["chunk", "counts"])
+        release()
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for i, data in zip(batch.column("chunk").to_pylist(), batch.column("counts").to_pylist(), strict=True):
+                sums[i] = sums.get(i, 0) + np.frombuffer(data, np.uint32).astype(np.uint64)
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], ["chunk", "counts"])
+
+    schema = "chunk long, counts binary"
+    rows = texts.select("text").mapInArrow(count, schema).repartition(F.col("chunk")).mapInArrow(add, schema).collect()
+    total = np.zeros((SLOTS // CHUNK, CHUNK), np.uint64)
+    for r in rows:
+        total[r["chunk"]] = np.frombuffer(r["counts"], np.uint64)
+    # Ranks of 16 bits; slots alike in count are as one.
+    level = np.unique(total.ravel(), return_inverse=True)[1].ravel()
+    return np.minimum(level, (1 << 16) - 1).astype(np.uint16)
 
 
 def _bitmap(hashes: DataFrame, bits: int) -> np.ndarray:
@@ -98,47 +118,54 @@ def _in_bitmap(table: np.ndarray, h: np.ndarray) -> np.ndarray:
 
 
 def _bits(rows: int) -> int:
-    """Bits of a filter for so many rows: 16 to 32 each, 2^20 to 2^24 in all (2 MB)."""
-    return 1 << min(24, max(20, (16 * rows).bit_length()))
+    """Bits of a filter for so many rows: 16 to 32 each, 2^20 to 2^27 in all (16 MB)."""
+    return 1 << min(27, max(20, (16 * rows).bit_length()))
 
 
 def similar(sets: list[np.ndarray], asked: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (i, j), i asked for, of sets whose overlap reaches num / den of their union."""
-    n = len(sets)
+    """Pairs (i, j), one of them asked for, of sets whose overlap reaches num / den of their union."""
     sizes = np.array([len(s) for s in sets])
-    possible = sizes[:, None] * den >= sizes[None, :] * num
-    possible &= possible.T
-    possible &= asked[:, None]
-    np.fill_diagonal(possible, False)
-    if not possible.any():
-        return np.empty(0, int), np.empty(0, int)
+    by_size = np.argsort(sizes, kind="stable")
+    sizes, asked = sizes[by_size], asked[by_size]
+    n = len(sets)
+    # Of the sets after it in this order, how far a set can link; a smaller partner looks for it.
+    reach = np.searchsorted(sizes, sizes * den // num, "right")
     if n <= 3:
-        overlap = np.zeros((n, n), np.int64)
-        for i in range(n):
-            for j in range(i):
-                overlap[i, j] = overlap[j, i] = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
-    else:
-        row = np.repeat(np.arange(n), sizes)
-        _, column, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-        shared = times > 1  # an n-gram of one document adds nothing
-        number = np.cumsum(shared) - 1
-        keep = shared[column]
-        row, column = row[keep], number[column[keep]]
-        order = np.argsort(column, kind="stable")
-        row, column = row[order], column[order]
-        total = np.zeros((n, n), np.float32)
-        for first in range(0, int(shared.sum()), STRIP):
-            a, b = np.searchsorted(column, [first, first + STRIP])
-            strip = np.zeros((n, STRIP), np.float32)
-            strip[row[a:b], column[a:b] - first] = 1
-            total += strip @ strip.T
-        overlap = total.astype(np.int64)
-    union = sizes[:, None] + sizes[None, :] - overlap
-    return np.nonzero(possible & (overlap * den >= union * num))
+        pairs = [(i, j) for i in range(n) for j in range(i + 1, reach[i]) if asked[i] or asked[j]]
+        overlap = [len(np.intersect1d(sets[by_size[i]], sets[by_size[j]], assume_unique=True)) for i, j in pairs]
+        i, j = np.array(pairs, int).reshape(-1, 2).T
+        overlap = np.array(overlap, int)
+        good = overlap * den >= (sizes[i] + sizes[j] - overlap) * num
+        return by_size[i[good]], by_size[j[good]]
+    row = np.repeat(np.arange(n), sizes)
+    _, column, times = np.unique(np.concatenate([sets[i] for i in by_size]), return_inverse=True, return_counts=True)
+    shared = times > 1  # an n-gram of one document adds nothing
+    number = np.cumsum(shared) - 1
+    keep = shared[column]
+    row, column = row[keep], number[column[keep]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    bands = [(a, min(a + BAND, n), int(reach[min(a + BAND, n) - 1])) for a in range(0, n, BAND)]
+    totals = [np.zeros((b - a, end - a), np.int32) for a, b, end in bands]
+    for first in range(0, int(shared.sum()), STRIP):
+        at, to = np.searchsorted(column, [first, first + STRIP])
+        strip = np.zeros((n, STRIP), np.float32)
+        strip[row[at:to], column[at:to] - first] = 1
+        for (a, b, end), total in zip(bands, totals, strict=True):
+            if end > a + 1:
+                total += (strip[a:b] @ strip[a:end].T).astype(np.int32)  # at most STRIP: exact
+    found_i, found_j = [np.empty(0, int)], [np.empty(0, int)]
+    for (a, b, end), total in zip(bands, totals, strict=True):
+        i, j = np.arange(a, b)[:, None], np.arange(a, end)[None, :]
+        good = (total.astype(np.int64) * (den + num) >= (sizes[a:b][:, None] + sizes[a:end][None, :]) * num) & (j > i) & (j < reach[a:b][:, None]) & (asked[a:b][:, None] | asked[a:end][None, :])
+        i, j = np.nonzero(good)
+        found_i.append(i + a)
+        found_j.append(j + a)
+    return by_size[np.concatenate(found_i)], by_size[np.concatenate(found_j)]
 
 
 def _links(num: int, den: int):
-    """Links within each root of a task, as a forest; with sides, those of ``u`` rows with all."""
+    """Links within each root of a task, as a forest."""
 
     def links(pdf: pd.DataFrame) -> pd.DataFrame:
         out: list[tuple] = []
@@ -162,91 +189,97 @@ def jaccard_components(docs: DataFrame, num: int = 90, den: int = 100, width: in
     documents link where den * overlap >= num * union. ``key`` names the set (128 bits), ``root``
     the component, component_id is its smallest doc_id. Null texts and texts without words have
     an empty set, a null key, and are components of their own. Rows that repeat are of one class;
-    null doc_ids take part and count as largest. Nothing is dropped, however large a group is.
+    null doc_ids take part and count as largest. doc_id may be of any type that has an order, and
+    keeps it. Nothing is dropped, however large a group is; an empty table gives an empty one.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id").alias("id_hash"), F.xxhash64("text").alias("text_hash"), F.col("text").cast("string").alias("text"))
+    rows = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("id_hash"), F.xxhash64("text").alias("text_hash"), F.col("text").cast("string").alias("text"))
+    spark = docs.sparkSession
+    order = spark.sparkContext.broadcast(slot_order(rows, width))
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         levels, seen = Levels(num, den), set()
         for batch in batches:
-            sizes, keys, signs = [], [], []
+            sizes, keys, level, own = [], [], [], []
             for data in text_bytes(batch.column("text")):
                 s = shingle_set(data, width)
                 key = blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None
+                new = key is not None and key not in seen
                 sizes.append(len(s))
                 keys.append(key)
-                new = key is not None and key not in seen
-                signs.append(levels.signatures(s).view(np.int64) if new else None)
+                level.append(levels.of(len(s)) if key else None)
+                own.append(signs(s, order.value, num, den).view(np.int64) if new else None)
                 if new:
                     if len(seen) >= REMEMBERED:
                         seen.clear()
                     seen.add(key)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "id_hash", "text_hash")), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(signs, pa.list_(pa.int64()))], ["doc_id", "id_hash", "text_hash", "n_shingles", "key", "signs"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "id_hash", "text_hash")), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(level, pa.int32()), pa.array(own, pa.list_(pa.int64()))], ["doc_id", "id_hash", "text_hash", "n_shingles", "key", "level", "signs"])
         release()
 
-    signed = written(rows.mapInArrow(sign, "doc_id long, id_hash long, text_hash long, n_shingles long, key binary, signs array<long>"), "signed")
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    signed = written(rows.mapInArrow(sign, f"doc_id {kind}, id_hash long, text_hash long, n_shingles long, key binary, level int, signs array<long>"), "signed")
     many = signed.count()
 
-    # Signatures of two classes or more. A bitmap of a fixed size thins out the rest before the join.
-    each = signed.where("signs IS NOT NULL").select(F.explode("signs").alias("sign"), F.xxhash64("key").alias("node"))
-    shared = each.groupBy("sign").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("sign", "low")
+    # Signs of two classes or more. A filter of a bounded size thins out the rest before the join.
+    those = signed.where("signs IS NOT NULL").select("signs", F.xxhash64("key").alias("node"), "level", "n_shingles")
+    shared = those.select(F.explode("signs").alias("sign"), "node").groupBy("sign").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("sign")
     shared = written(shared, "shared")
-    sent = docs.sparkSession.sparkContext.broadcast(_bitmap(shared.select(F.col("sign").alias("h")), _bits(64 * many)))
+    sent = spark.sparkContext.broadcast(_bitmap(shared.select(F.col("sign").alias("h")), _bits(64 * many)))
 
     def thin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            signs, node = batch.column("signs"), batch.column("node").to_numpy()
-            flat = signs.flatten().to_numpy()
-            owner = np.repeat(node, signs.value_lengths().to_numpy())
+            flat = batch.column("signs").flatten().to_numpy()
+            owner = np.repeat(np.arange(batch.num_rows), batch.column("signs").value_lengths().to_numpy())
             keep = _in_bitmap(sent.value, flat)
-            yield pa.RecordBatch.from_arrays([pa.array(flat[keep]), pa.array(owner[keep])], ["sign", "node"])
+            at = pa.array(owner[keep])
+            yield pa.RecordBatch.from_arrays([pa.array(flat[keep]), *(batch.column(c).take(at) for c in ("node", "level"))], ["sign", "node", "level"])
         release()
 
-    some = signed.where("signs IS NOT NULL").select("signs", F.xxhash64("key").alias("node")).mapInArrow(thin, "sign long, node long")
-    edges = some.join(shared, "sign").where("node != low").select("node", "low").distinct()
-    blocks = connected_components(written(edges, "edges"), "node", "low")
+    some = those.select("signs", "node", "level").mapInArrow(thin, "sign long, node long, level int").join(shared, "sign")
+    # Sizes that can link are of one level or of neighbours: group g has the levels g - 1 and g.
+    # Without a member of its own level it only repeats the group below.
+    some = written(some.select("sign", "node", F.explode(F.array(F.lit(0), F.lit(1))).alias("up"), (F.col("level") + F.col("up")).alias("level")), "members")
+    groups = some.groupBy("sign", "level").agg(F.min("node").alias("root"), F.max("node").alias("high"), F.min("up").alias("up")).where("root < high AND up = 0").select("sign", "level", "root")
+    stars = written(some.join(groups, ["sign", "level"]).select("root", "node").distinct(), "stars")
 
-    # The sets of the candidates, from the texts again: one document of each class, found by its id.
-    classes = signed.where("key IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("first"))
-    classes = classes.join(blocks, F.xxhash64("key") == blocks["node"]).select("key", "root", F.xxhash64("first").alias("h"))
-    classes = written(classes, "classes")
-    wanted = docs.sparkSession.sparkContext.broadcast(_bitmap(classes.select("h"), _bits(many)))
+    # The sets of the candidates, from the texts again: one document of each class.
+    classes = signed.where("key IS NOT NULL").groupBy("key").agg(F.min("id_hash").alias("h")).withColumn("node", F.xxhash64("key"))
+    classes = written(classes.join(stars.select("node").distinct(), "node").select("key", "node", "h"), "classes")
+    wanted = spark.sparkContext.broadcast(_bitmap(classes.select("h"), _bits(many)))
 
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             batch = batch.filter(pa.array(_in_bitmap(wanted.value, batch.column("id_hash").to_numpy())))
             sets = [shingle_set(data, width) for data in text_bytes(batch.column("text"))]
-            yield pa.RecordBatch.from_arrays([pa.array([blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.astype("<u8").tobytes() for s in sets], pa.binary())], ["key", "n", "shingles"])
+            yield pa.RecordBatch.from_arrays([batch.column("id_hash"), pa.array([blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.astype("<u8").tobytes() for s in sets], pa.binary())], ["h", "key", "n", "shingles"])
         release()
 
-    sets = rows.select("id_hash", "text").mapInArrow(collect, "key binary, n long, shingles binary").where("key IS NOT NULL")
-    sets = sets.join(classes, "key").dropDuplicates(["key"]).select("root", "key", "n", "shingles")
-    sets = written(sets, "sets")
-    links = _compared(sets, num, den)
+    sets = rows.select("id_hash", "text").mapInArrow(collect, "h long, key binary, n long, shingles binary").where("key IS NOT NULL")
+    sets = written(sets.join(classes, ["key", "h"]).dropDuplicates(["key"]).select("node", "key", "n", "shingles"), "sets")
+    links = _compared(stars.join(sets, "node").select("root", "key", "n", "shingles"), num, den)
     roots = connected_components(links, "a", "b").withColumnRenamed("root", "_root")
 
-    out = signed.drop("signs", "id_hash").join(roots, signed["key"] == roots["node"], "left")
+    out = signed.select("doc_id", "text_hash", "n_shingles", "key").join(roots, signed["key"] == roots["node"], "left")
     out = out.withColumn("root", F.coalesce("_root", "key")).drop("node", "_root")
     least = out.where("root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("least")).withColumnRenamed("root", "_root")
     out = out.join(least, out["root"] == least["_root"], "left")
     return out.select("doc_id", "text_hash", "n_shingles", "key", "root", F.coalesce("least", "doc_id").alias("component_id"))
 
 
-def _compared(sets: DataFrame, num: int, den: int) -> DataFrame:
+def _compared(rows: DataFrame, num: int, den: int) -> DataFrame:
     """Links (a, b) between the keys of each root that join what all its links join.
 
-    A root of no more than a block is one product. A larger one is cut into blocks: first, each
-    block is compared within itself and with a few pivots of the root. What this joins to the
-    root's largest component needs no more comparisons among itself, so only the others are then
-    compared with all.
+    Rows are root, key, n, shingles; a key may be in several roots. A root of no more than a
+    block is one product. A larger one is cut into blocks: first, each block is compared within
+    itself and with a few pivots of the root. What this joins to the root's largest component
+    needs no more comparisons among itself, so only the others are then compared with all.
     """
-    weights = sets.groupBy("root").agg(F.count("*").alias("rows"), F.sum("n").alias("weight"))
+    rows = written(rows, "rows")
+    weights = rows.groupBy("root").agg(F.count("*").alias("rows"), F.sum("n").alias("weight"))
     weights = weights.withColumn("blocks", F.ceil(F.greatest(F.col("rows") / BLOCK, F.least(F.col("weight") / BLOCK_SHINGLES, F.col("rows") / 2))).cast("int"))
     weights = written(weights, "weights")
     total = weights.agg(F.sum("rows"), F.max("blocks")).first()
     tasks = max(1, (total[0] or 0) // BLOCK)
-    rows = sets.join(weights.select("root", "blocks"), "root").withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
-    rows = written(rows, "dealt")
+    rows = rows.join(weights.select("root", "blocks"), "root").withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
     large = rows.where("blocks > 1")
     pivots = large.groupBy("root", F.pmod(F.xxhash64("key", F.lit("pivot")), F.lit(PIVOTS)).alias("p")).agg(F.min("key").alias("key")).select("root", "key")
     pivots = large.join(pivots, ["root", "key"], "left_semi").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -275,7 +308,7 @@ def _compared(sets: DataFrame, num: int, den: int) -> DataFrame:
     return written(links.unionByName(more.where("a != b")), "links")
 
 
-def keep_one_of_each(docs: DataFrame, num: int = 90, den: int = 100, width: int = 3) -> DataFrame:
+def keep_one_of_each(docs: DataFrame, num: int = 80, den: int = 100, width: int = 5) -> DataFrame:
     """``docs`` with one document of each component: the smallest doc_id, of the smallest text hash.
 
     All columns stay. Documents without words stay, each of them; a row that repeats the one that
@@ -291,7 +324,7 @@ def keep_one_of_each(docs: DataFrame, num: int = 90, den: int = 100, width: int
     marked = one.withColumn("_one", F.lit(True)).unionByName(empty.withColumn("_one", F.lit(False)))
     marked = written(marked, "kept").withColumnRenamed("_one", mark := f"_one_{len(docs.columns)}")
     hashed = docs.withColumn(own := f"_hash_{len(docs.columns)}", F.xxhash64("text"))
-    got = hashed.join(marked, F.col("doc_id").cast("long").eqNullSafe(F.col(named["doc_id"])) & F.col(own).eqNullSafe(F.col(named["text_hash"])))
+    got = hashed.join(marked, F.col("doc_id").eqNullSafe(F.col(named["doc_id"])) & F.col(own).eqNullSafe(F.col(named["text_hash"])))
     if found.groupBy("doc_id", "text_hash").agg(F.count("*").alias("n")).where("n > 1").head(1):
         got = got.where(F.col(mark)).dropDuplicates(["doc_id", own]).unionByName(got.where(~F.col(mark)))
     return got.select(*docs.columns)

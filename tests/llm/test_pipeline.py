@@ -29,7 +29,7 @@ def test_stages(spark, tmp_path):
             assert und == {9000, 9001} and docs.count() == before.count() - 2
         if name == "near_duplicates":
             rows = before.orderBy("doc_id").collect()
-            want = brute([r["doc_id"] for r in rows], [r["text"] for r in rows])
+            want = brute([r["doc_id"] for r in rows], [r["text"] for r in rows], 80, 5)
             assert sorted(r["doc_id"] for r in docs.collect()) == sorted(set(want))
         if name == "secrets":
             assert docs.count() == before.count()
