@@ -18,8 +18,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of the n-gram Jaccard join stays."""
-    return keep_one_of_each(docs)
+    """One document of each component of the n-gram Jaccard join stays: five words, similarity 0.8 or more."""
+    return keep_one_of_each(docs, num=80, den=100, width=5)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
