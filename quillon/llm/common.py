@@ -48,7 +48,8 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     e = written(e, "cc-edges")
     last = _digest(e)
     while last[0]:
-        most = max(HUB, last[0] // 500)
+        # A node has fewer edges than there are: no hubs below that.
+        most = max(HUB, last[0] // 500) if last[0] > HUB else None
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
         large = _with_low(both, low, most).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
@@ -67,11 +68,13 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     )
 
 
-def _with_low(edges: DataFrame, low: DataFrame, most: int) -> DataFrame:
+def _with_low(edges: DataFrame, low: DataFrame, most: int | None) -> DataFrame:
     """Edges with their u's ``m``. The edges of a u that has more than ``most`` are dealt to parts.
 
     Such hubs are few, at most the ends of all edges / ``most``, which is below 2,000 rows.
     """
+    if most is None:
+        return edges.join(low, "u")
     hubs = F.broadcast(low.where(F.col("n") > most).select(F.col("u").alias("_u"), F.ceil(F.col("n") / most).cast("int").alias("parts")))
     parts = F.coalesce("parts", F.lit(1))
     dealt = edges.join(hubs, edges["u"] == F.col("_u"), "left").select("u", "v", F.pmod(F.xxhash64("v"), parts).alias("part"))
