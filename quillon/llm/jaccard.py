@@ -2,13 +2,13 @@
 
 Texts with one set of shingles are one class from the start; the join is between classes.
 
-Blocks: all shingles have one order, rare ones first. Two sets that link overlap in so many
-shingles that the first n - ceil(t * n) + 1 of each, in this order, have one in common: these are
-a set's signs. The order comes from counts of all shingles in a table of a fixed size, so what
-many texts share, such as a passage that goes round, is hardly ever a sign; it decides on speed
-alone. The classes that share a sign and are of like size form a group, and all groups with one
-smallest class, the pivot, are a block of the incidence matrix. Candidates are never closed
-transitively before they are compared.
+Blocks: all shingles have one order, rare ones first. Two sets that link differ in so few
+shingles that among the first 2 * (1 - t) * n + 2 of each, in this order, two neighbours are
+neighbours in both: pairs of neighbours are a set's signs. The order comes from counts of all
+shingles in a table of a fixed size, so what many texts share, such as a passage that goes round,
+is hardly ever in a sign; it decides on speed alone. The classes that share a sign and are of like
+size form a group, and all groups with one smallest class, the pivot, are a block of the incidence
+matrix. Candidates are never closed transitively before they are compared.
 
 Product: within a block, rows are documents and columns n-grams; the product of the sparse
 matrix with its transpose, in strips of columns and bands of rows of like size, adds up the
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from quillon.llm.common import connected_components, release, written
 from quillon.llm.embeddings import _forest
-from quillon.llm.shingles import shingle_set, text_bytes
+from quillon.llm.shingles import mixed, shingle_set, text_bytes
 
 #: Rows, and shingles, of a block of a task, about.
 BLOCK, BLOCK_SHINGLES = 768, 1 << 20
@@ -56,19 +56,28 @@ class Levels:
         return int(np.searchsorted(self.first, n, "right")) - 1
 
 
+def _key(s: np.ndarray) -> bytes | None:
+    return blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None
+
+
 def _slot(s: np.ndarray) -> np.ndarray:
     return (s >> np.uint64(64 - SLOTS.bit_length() + 1)).astype(np.int64)
 
 
 def signs(s: np.ndarray, order: np.ndarray, num: int, den: int) -> np.ndarray:
-    """The first shingles of a sorted set, rare slots before frequent ones, one of which each linked set has too.
+    """Hashes of neighbours in a sorted set's rare-first order, one of which each linked set has too.
 
-    None if no other set can link with one of this size.
+    Let sets of x and y shingles overlap in o, which linking bounds from below, and let x's first
+    q end no later in the order than y's. At least q - (x - o) of these are common. The common
+    ones have a gap fewer between them; one that isn't common, of x - o and y - o at most, lies in
+    one gap. So a gap is empty in both if q is 2 * (x - o) + (y - o) + 2, which is at most
+    2 * (1 - t) * x + 2, with y = t * x. None if no other set can link with one of this size.
     """
     n = len(s)
     if n * den < num * (n + 1):
         return s[:0]
-    return s[np.argsort(order[_slot(s)], kind="stable")[: n + (-num * n) // den + 1]]
+    first = s[np.argsort(order[_slot(s)], kind="stable")[: 2 * (den - num) * n // den + 2]]
+    return mixed(first[:-1] * np.uint64(0x9E3779B97F4A7C15) + first[1:])
 
 
 def slot_order(texts: DataFrame, width: int) -> np.ndarray:
@@ -105,9 +114,9 @@ def _bitmap(hashes: DataFrame, bits: int) -> np.ndarray:
     """A filter of ``bits`` bits, in words of 64, for a column ``h``: its size is fixed, whatever the rows."""
     at = F.pmod(F.col("h"), F.lit(bits))
     words = hashes.select(F.floor(at / 64).alias("w"), at.bitwiseAND(F.lit(63)).cast("int").alias("b"))
-    words = words.groupBy("w").agg(F.bit_or(F.expr("shiftleft(1L, b)")).alias("m")).toPandas()
+    words = words.groupBy("w").agg(F.bit_or(F.expr("shiftleft(1L, b)")).alias("m")).toArrow()
     out = np.zeros(bits // 64, np.uint64)
-    out[words["w"].to_numpy(np.int64)] = words["m"].to_numpy(np.int64).view(np.uint64)
+    out[words["w"].to_numpy()] = words["m"].to_numpy().view(np.uint64)
     return out
 
 
@@ -118,8 +127,8 @@ def _in_bitmap(table: np.ndarray, h: np.ndarray) -> np.ndarray:
 
 
 def _bits(rows: int) -> int:
-    """Bits of a filter for so many rows: 16 to 32 each, 2^20 to 2^27 in all (16 MB)."""
-    return 1 << min(27, max(20, (16 * rows).bit_length()))
+    """Bits of a filter for so many rows: 16 to 32 each, 2^20 to 2^25 in all (4 MB)."""
+    return 1 << min(25, max(20, (16 * rows).bit_length()))
 
 
 def similar(sets: list[np.ndarray], asked: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
@@ -196,66 +205,74 @@ def jaccard_components(docs: DataFrame, num: int = 90, den: int = 100, width: in
     spark = docs.sparkSession
     order = spark.sparkContext.broadcast(slot_order(rows, width))
 
-    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        levels, seen = Levels(num, den), set()
+    def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        levels = Levels(num, den)
         for batch in batches:
-            sizes, keys, level, own = [], [], [], []
-            for data in text_bytes(batch.column("text")):
-                s = shingle_set(data, width)
-                key = blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None
-                new = key is not None and key not in seen
-                sizes.append(len(s))
-                keys.append(key)
-                level.append(levels.of(len(s)) if key else None)
-                own.append(signs(s, order.value, num, den).view(np.int64) if new else None)
-                if new:
-                    if len(seen) >= REMEMBERED:
-                        seen.clear()
-                    seen.add(key)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "id_hash", "text_hash")), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(level, pa.int32()), pa.array(own, pa.list_(pa.int64()))], ["doc_id", "id_hash", "text_hash", "n_shingles", "key", "level", "signs"])
+            sets = [shingle_set(data, width) for data in text_bytes(batch.column("text"))]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "id_hash", "text_hash")), pa.array([len(s) for s in sets], pa.int64()), pa.array([_key(s) for s in sets], pa.binary()), pa.array([levels.of(len(s)) if len(s) else None for s in sets], pa.int32())], ["doc_id", "id_hash", "text_hash", "n_shingles", "key", "level"])
         release()
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    signed = written(rows.mapInArrow(sign, f"doc_id {kind}, id_hash long, text_hash long, n_shingles long, key binary, level int, signs array<long>"), "signed")
+    signed = written(rows.mapInArrow(describe, f"doc_id {kind}, id_hash long, text_hash long, n_shingles long, key binary, level int"), "signed")
     many = signed.count()
+    # One document of each class.
+    classes = written(signed.where("key IS NOT NULL").groupBy("key").agg(F.min("id_hash").alias("h")).withColumn("node", F.xxhash64("key")), "classes")
+    some = rows.select("id_hash", "text")
+
+    def sign(allowed):
+        """Signs of the sets of texts, each set once in a task; with a filter, those in it alone."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            levels, seen = Levels(num, den), set()
+            for batch in batches:
+                own, keys, level = [np.empty(0, np.uint64)], [], []
+                for data in text_bytes(batch.column("text")):
+                    s = shingle_set(data, width)
+                    key = _key(s)
+                    if key is None or key in seen:
+                        continue
+                    if len(seen) >= REMEMBERED:
+                        seen.clear()
+                    seen.add(key)
+                    h = signs(s, order.value, num, den)
+                    h = h if allowed is None else h[_in_bitmap(allowed.value, h)]
+                    own.append(h)
+                    keys += [key] * len(h)
+                    level += [levels.of(len(s))] * len(h)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(own).view(np.int64)), pa.array(keys, pa.binary()), pa.array(level, pa.int32())], ["sign", "key", "level"])
+            release()
+
+        return some.select("text").mapInArrow(run, "sign long, key binary, level int").select("sign", F.xxhash64("key").alias("node"), "level")
 
     # Signs of two classes or more. A filter of a bounded size thins out the rest before the join.
-    those = signed.where("signs IS NOT NULL").select("signs", F.xxhash64("key").alias("node"), "level", "n_shingles")
-    shared = those.select(F.explode("signs").alias("sign"), "node").groupBy("sign").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("sign")
+    shared = sign(None).groupBy("sign").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("sign")
     shared = written(shared, "shared")
     sent = spark.sparkContext.broadcast(_bitmap(shared.select(F.col("sign").alias("h")), _bits(64 * many)))
-
-    def thin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            flat = batch.column("signs").flatten().to_numpy()
-            owner = np.repeat(np.arange(batch.num_rows), batch.column("signs").value_lengths().to_numpy())
-            keep = _in_bitmap(sent.value, flat)
-            at = pa.array(owner[keep])
-            yield pa.RecordBatch.from_arrays([pa.array(flat[keep]), *(batch.column(c).take(at) for c in ("node", "level"))], ["sign", "node", "level"])
-        release()
-
-    some = those.select("signs", "node", "level").mapInArrow(thin, "sign long, node long, level int").join(shared, "sign")
+    some_signs = sign(sent).join(shared, "sign")
     # Sizes that can link are of one level or of neighbours: group g has the levels g - 1 and g.
     # Without a member of its own level it only repeats the group below.
-    some = written(some.select("sign", "node", F.explode(F.array(F.lit(0), F.lit(1))).alias("up"), (F.col("level") + F.col("up")).alias("level")), "members")
-    groups = some.groupBy("sign", "level").agg(F.min("node").alias("root"), F.max("node").alias("high"), F.min("up").alias("up")).where("root < high AND up = 0").select("sign", "level", "root")
-    stars = written(some.join(groups, ["sign", "level"]).select("root", "node").distinct(), "stars")
+    members = written(some_signs.select("sign", "node", F.explode(F.array(F.lit(0), F.lit(1))).alias("up"), (F.col("level") + F.col("up")).alias("level")), "members")
+    groups = members.groupBy("sign", "level").agg(F.min("node").alias("root"), F.max("node").alias("high"), F.min("up").alias("up")).where("root < high AND up = 0").select("sign", "level", "root")
+    stars = written(members.join(groups, ["sign", "level"]).select("root", "node").distinct(), "stars")
 
-    # The sets of the candidates, from the texts again: one document of each class.
-    classes = signed.where("key IS NOT NULL").groupBy("key").agg(F.min("id_hash").alias("h")).withColumn("node", F.xxhash64("key"))
-    classes = written(classes.join(stars.select("node").distinct(), "node").select("key", "node", "h"), "classes")
+    # The sets of the candidates, from the texts again.
+    classes = written(classes.join(stars.select("node").distinct(), "node").select("key", "node", "h"), "candidates")
     wanted = spark.sparkContext.broadcast(_bitmap(classes.select("h"), _bits(many)))
 
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None
         for batch in batches:
             batch = batch.filter(pa.array(_in_bitmap(wanted.value, batch.column("id_hash").to_numpy())))
+            # Rows that repeat in full are mostly neighbours or alone; those left are dropped below.
+            h = batch.column("id_hash").to_numpy()
+            batch, last = batch.filter(pa.array(h != np.append([h[0] - 1 if last is None else last], h[:-1]))) if len(h) else batch, h[-1] if len(h) else last
             sets = [shingle_set(data, width) for data in text_bytes(batch.column("text"))]
-            yield pa.RecordBatch.from_arrays([batch.column("id_hash"), pa.array([blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.astype("<u8").tobytes() for s in sets], pa.binary())], ["h", "key", "n", "shingles"])
+            yield pa.RecordBatch.from_arrays([batch.column("id_hash"), pa.array([_key(s) for s in sets], pa.binary()), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.astype("<u8").tobytes() for s in sets], pa.binary())], ["h", "key", "n", "shingles"])
         release()
 
-    sets = rows.select("id_hash", "text").mapInArrow(collect, "h long, key binary, n long, shingles binary").where("key IS NOT NULL")
-    sets = written(sets.join(classes, ["key", "h"]).dropDuplicates(["key"]).select("node", "key", "n", "shingles"), "sets")
-    links = _compared(stars.join(sets, "node").select("root", "key", "n", "shingles"), num, den)
+    sets = some.mapInArrow(collect, "h long, key binary, n long, shingles binary").where("key IS NOT NULL")
+    sets = written(sets.join(classes, ["key", "h"]).dropDuplicates(["key", "h"]).select("node", "key", "n", "shingles"), "sets")
+    links = _compared(stars.join(sets.select("node", "key", "n"), "node").select("root", "key", "n"), sets.select("key", "shingles"), num, den)
     roots = connected_components(links, "a", "b").withColumnRenamed("root", "_root")
 
     out = signed.select("doc_id", "text_hash", "n_shingles", "key").join(roots, signed["key"] == roots["node"], "left")
@@ -265,10 +282,11 @@ def jaccard_components(docs: DataFrame, num: int = 90, den: int = 100, width: in
     return out.select("doc_id", "text_hash", "n_shingles", "key", "root", F.coalesce("least", "doc_id").alias("component_id"))
 
 
-def _compared(rows: DataFrame, num: int, den: int) -> DataFrame:
+def _compared(rows: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """Links (a, b) between the keys of each root that join what all its links join.
 
-    Rows are root, key, n, shingles; a key may be in several roots. A root of no more than a
+    Rows are root, key, n; a key may be in several roots. Sets, key and shingles, are fetched
+    once the narrow rows have been dealt to tasks. A root of no more than a
     block is one product. A larger one is cut into blocks: first, each block is compared within
     itself and with a few pivots of the root. What this joins to the root's largest component
     needs no more comparisons among itself, so only the others are then compared with all.
@@ -279,7 +297,7 @@ def _compared(rows: DataFrame, num: int, den: int) -> DataFrame:
     weights = written(weights, "weights")
     total = weights.agg(F.sum("rows"), F.max("blocks")).first()
     tasks = max(1, (total[0] or 0) // BLOCK)
-    rows = rows.join(weights.select("root", "blocks"), "root").withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
+    rows = written(rows.join(weights.select("root", "blocks"), "root"), "dealt").withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
     large = rows.where("blocks > 1")
     pivots = large.groupBy("root", F.pmod(F.xxhash64("key", F.lit("pivot")), F.lit(PIVOTS)).alias("p")).agg(F.min("key").alias("key")).select("root", "key")
     pivots = large.join(pivots, ["root", "key"], "left_semi").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -287,7 +305,7 @@ def _compared(rows: DataFrame, num: int, den: int) -> DataFrame:
     first = rows.unionByName(pivots).withColumn("asked", F.lit(True))
     # Small roots share tasks; each is compared by itself there.
     task = F.when(F.col("blocks") > 1, F.xxhash64("root", "block")).otherwise(F.pmod(F.xxhash64("root"), F.lit(tasks)))
-    links = first.withColumn("task", task).groupBy("task", (F.col("blocks") > 1).alias("cut")).applyInPandas(_links(num, den), "a binary, b binary")
+    links = first.withColumn("task", task).join(sets, "key").groupBy("task", (F.col("blocks") > 1).alias("cut")).applyInPandas(_links(num, den), "a binary, b binary")
     links = written(links, "links")
     if (total[1] or 0) <= 1:
         return links
@@ -301,10 +319,10 @@ def _compared(rows: DataFrame, num: int, den: int) -> DataFrame:
     cuts = asked.groupBy("root").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.least(F.sum("n") / BLOCK_SHINGLES, F.count("*") / 2))).cast("int").alias("cuts"))
     left = asked.join(cuts, "root").withColumn("cut", F.pmod(F.xxhash64("key"), F.col("cuts")).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("asked", F.lit(True))
     right = large.join(cuts, "root").withColumn("cut", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1))).withColumn("asked", F.lit(False))
-    cols = ["root", "key", "shingles", "cut", "block", "asked"]
+    cols = ["root", "key", "cut", "block", "asked"]
     both = left.select(cols).unionByName(right.select(cols))
     # By a hash of its own: by root, the joins' partitioning would do, and a root be one task.
-    more = both.withColumn("task", F.xxhash64("root", "cut", "block")).groupBy("task").applyInPandas(_links(num, den), "a binary, b binary")
+    more = both.withColumn("task", F.xxhash64("root", "cut", "block")).join(sets, "key").groupBy("task").applyInPandas(_links(num, den), "a binary, b binary")
     return written(links.unionByName(more.where("a != b")), "links")
 
 

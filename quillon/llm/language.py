@@ -165,10 +165,10 @@ def learn(docs: DataFrame, per_language: int = LEARNED_DOCUMENTS) -> Filter:
     slot = F.explode(F.array(F.col("gram").bitwiseAND(low), F.shiftrightunsigned("gram", 32).bitwiseAND(low)))
     planes = (len(languages) + 63) // 64
     mask = lambda p: F.bit_or(F.when(F.floor(F.col("bit") / 64) == p, F.expr(f"shiftleft(1L, bit - {64 * p})")).otherwise(F.lit(0).cast("long"))).alias(f"m{p}")
-    slots = kept.select(slot.alias("slot"), "bit").groupBy("slot").agg(*(mask(p) for p in range(planes))).toPandas()
+    slots = kept.select(slot.alias("slot"), "bit").groupBy("slot").agg(*(mask(p) for p in range(planes))).toArrow()
     table = np.zeros((planes, SLOTS), np.uint64)
     for p in range(planes):
-        table[p, slots["slot"].to_numpy(np.int64)] = slots[f"m{p}"].to_numpy(np.int64).view(np.uint64)
+        table[p, slots["slot"].to_numpy()] = slots[f"m{p}"].to_numpy().view(np.uint64)
     return Filter(languages, table)
 
 
