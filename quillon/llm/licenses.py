@@ -1,44 +1,100 @@
-"""Licence scans: Dice coefficient of word bigrams between passages and licence templates."""
+"""Licence scans: Dice coefficient of word bigrams between windows of a text and licence templates."""
 
 from __future__ import annotations
 
+import json
+import math
 import re
+from collections import Counter
+from functools import cache
+from importlib import resources
+from itertools import product
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Names and wordings of licence notices.
-TEMPLATES = (
-    ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
+#: Wordings of notices as their licences give them.
+NOTICES = (
     ("Apache-2.0", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.'),
-    ("MIT", "Released under the MIT License."),
-    ("MIT", "This project is licensed under the MIT License."),
     ("MIT", 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.'),
     ("ISC", 'Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.'),
-    ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
+    ("BSD-2-Clause", 'Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.'),
+    ("BSD-3-Clause", 'Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.'),
+    ("Zlib", "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. 3. This notice may not be removed or altered from any source distribution."),
     ("GPL-3.0-or-later", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
     ("GPL-2.0-or-later", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
+    ("GPL-2.0-only", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License version 2 as published by the Free Software Foundation."),
+    ("AGPL-3.0-or-later", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
     ("LGPL-2.1-or-later", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."),
+    ("LGPL-3.0-or-later", "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."),
-    ("Unlicense", "This is free and unencumbered software released into the public domain."),
-    ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
-    ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
-    ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
+    ("EPL-2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/"),
+    ("Unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."),
     ("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."),
 )
 
+#: The names that licences go by.
+NAMES = {
+    "MIT": ["MIT License", "MIT"],
+    "ISC": ["ISC License"],
+    "BSD-2-Clause": ["BSD 2-Clause License", "Simplified BSD License"],
+    "BSD-3-Clause": ["BSD 3-Clause License", "New BSD License"],
+    "Apache-2.0": ["Apache License, Version 2.0", "Apache License 2.0", "Apache 2.0 License"],
+    "MPL-2.0": ["Mozilla Public License 2.0", "Mozilla Public License, version 2.0"],
+    "EPL-2.0": ["Eclipse Public License 2.0"],
+    "GPL-2.0": ["GNU General Public License, version 2", "GNU GPL v2", "GPLv2"],
+    "GPL-3.0": ["GNU General Public License, version 3", "GNU GPL v3", "GPLv3"],
+    "AGPL-3.0": ["GNU Affero General Public License, version 3", "GNU AGPL v3", "AGPLv3"],
+    "LGPL-2.1": ["GNU Lesser General Public License, version 2.1", "GNU LGPL v2.1"],
+    "LGPL-3.0": ["GNU Lesser General Public License, version 3", "GNU LGPL v3", "LGPLv3"],
+    "Unlicense": ["Unlicense"],
+    "BSL-1.0": ["Boost Software License, Version 1.0"],
+}
+#: Creative Commons licences, short and long, all of version 4.0.
+COMMONS = {"BY": "Attribution", "BY-SA": "Attribution-ShareAlike", "BY-NC": "Attribution-NonCommercial", "BY-ND": "Attribution-NoDerivatives", "BY-NC-SA": "Attribution-NonCommercial-ShareAlike", "BY-NC-ND": "Attribution-NonCommercial-NoDerivatives"}
+#: How a work says that it has a licence, before the name.
+VERBS = ("licensed under", "released under", "distributed under", "available under")
+
 THRESHOLD = 0.8
 
 
-def template_bigrams(text: str) -> list[str]:
+def bigram_list(text: str) -> list[str]:
+    """Bigrams of runs of ASCII letters and digits in lower case, in order, repeats kept."""
     words = re.findall("[a-z0-9]+", text.lower())
-    return sorted({f"{a} {b}" for a, b in zip(words, words[1:], strict=False)})
+    return [f"{a} {b}" for a, b in zip(words, words[1:], strict=False)]
 
 
-def bigrams(words: Column) -> Column:
-    """Distinct bigrams of an array of words."""
-    n = F.greatest(F.size(words) - 1, F.lit(0))
-    return F.array_distinct(F.zip_with(F.slice(words, 1, n), F.slice(words, 2, n), lambda a, b: F.concat(a, F.lit(" "), b)))
+@cache
+def templates() -> tuple[tuple[str, str], ...]:
+    """Licences and texts: whole licences, their notices, and each name after each verb, with ``the`` or without."""
+    texts = sorted((f for f in resources.files(__package__).joinpath("licence_texts").iterdir() if f.name.endswith(".txt")), key=lambda f: f.name)
+    whole = [(f.name.removesuffix(".txt"), f.read_text(encoding="utf-8")) for f in texts]
+    names = NAMES | {f"CC-{k}-4.0": [f"CC {k} 4.0", f"Creative Commons {v} 4.0 International License"] for k, v in COMMONS.items()}
+    short = [(k, f"{verb} {the}{name}") for k, v in names.items() for name, verb, the in product(v, VERBS, ("", "the "))]
+    return (*whole, *NOTICES, *short)
+
+
+class Index:
+    """What the scan needs of the templates: their bigrams, and anchors that find them.
+
+    Where the Dice coefficient of a template with b bigrams and a window reaches t, they share at
+    least t / (2 - t) * b bigrams. So of any b - that + 1 of the template's bigrams the window has
+    one; the anchors are those that come in the fewest places of all templates, longest first.
+    """
+
+    def __init__(self, known: tuple[tuple[str, str], ...], threshold: float):
+        self.names = [name for name, _ in known]
+        self.lists = [bigram_list(text) for _, text in known]
+        self.sets = [sorted(set(x)) for x in self.lists]
+        self.low, self.high = threshold / (2 - threshold), (2 - threshold) / threshold
+        places = Counter(g for x in self.lists for g in x)
+        self.anchors: dict[str, list[tuple[int, int]]] = {}
+        for k, (own, every) in enumerate(zip(self.sets, self.lists, strict=True)):
+            rare = sorted(own, key=lambda g: (places[g], -len(g), g))
+            chosen = set(rare[: len(own) - math.ceil(self.low * len(own) - 1e-9) + 1])
+            for offset, g in enumerate(every):
+                if g in chosen:
+                    self.anchors.setdefault(g, []).append((k, offset))
 
 
 def _once(value: Column) -> Column:
@@ -46,39 +102,55 @@ def _once(value: Column) -> Column:
     return F.explode(F.array(value))
 
 
-def scan_licenses(docs: DataFrame, threshold: float = THRESHOLD, templates: tuple[tuple[str, str], ...] = TEMPLATES) -> DataFrame:
-    """Licence notices in each text: doc_id, license, dice (of the best passage), passages.
+def bigrams(words: Column) -> Column:
+    """Bigrams of an array of words, in order."""
+    n = F.greatest(F.size(words) - 1, F.lit(0))
+    return F.zip_with(F.slice(words, 1, n), F.slice(words, 2, n), lambda a, b: F.concat(a, F.lit(" "), b))
+
+
+#: A window is a number: its template * this + its start, which may lie before the text.
+SPAN = 1 << 40
+
+
+def scan_licenses(docs: DataFrame, threshold: float = THRESHOLD, known: tuple[tuple[str, str], ...] | None = None) -> DataFrame:
+    """Licences in each text: doc_id, license, dice and first_word of the best window.
 
-    A passage is the whole text, a paragraph between blank lines, or a line, each different one
-    counted once for a document. It has a notice if the Dice coefficient of its set of word
-    bigrams and a template's is at least ``threshold``. A passage with a bigrams can only reach
-    that with templates of threshold / (2 - threshold) * a to (2 - threshold) / threshold * a
-    bigrams; others aren't compared. All this happens where the text is; the only shuffle is of
-    what was found.
+    Words are runs of ASCII letters, in lower case, and digits, so line ends and comment signs
+    don't matter. Wherever a text has an anchor of a template, see `Index`, the window that begins
+    where the template would, and has its length, is compared: sizes that can't reach
+    ``threshold`` are passed over, else it is the Dice coefficient of both sets of bigrams. The
+    best window of a licence counts, of equal ones the first. All this happens where the text is;
+    the only shuffle is of what was found.
 
-    Null and empty texts and texts without notices have no rows. Rows with one doc_id count
-    together; a null doc_id is kept.
+    Null and empty texts and texts without notices have no rows. Texts are scanned whole, however
+    long. Rows with one doc_id count together; a null doc_id is kept; an empty table gives none.
     """
-    known = [(name, template_bigrams(text)) for name, text in templates]
-    low, high = threshold / (2 - threshold), (2 - threshold) / threshold
-    least, most = low * min(len(b) for _, b in known), high * max(len(b) for _, b in known)
-    every = F.array(*(F.lit(x) for x in sorted({x for _, b in known for x in b})))
-    table = F.array(*(F.struct(F.lit(name).alias("license"), F.array(*map(F.lit, b)).alias("bigrams")) for name, b in known))
-
-    text = F.col("text").cast("string")
-    passages = F.array_distinct(F.concat(F.array(text), F.split(text, r"\n[ \t\r]*\n"), F.split(text, "\n")))
-    rows = docs.where(F.col("text").isNotNull()).select("doc_id", F.explode(passages).alias("passage"))
-    # Words are runs of ASCII letters, in lower case, and digits; too few of them make too few bigrams.
-    rows = rows.select("doc_id", _once(F.regexp_extract_all(F.lower("passage"), F.lit("[a-z0-9]+"), F.lit(0))).alias("words")).where(F.size("words") > least)
-    rows = rows.select("doc_id", _once(bigrams(F.col("words"))).alias("own"))
-    rows = rows.where(F.size("own").between(least, most) & F.arrays_overlap("own", every))
-
-    def dice(t: Column) -> Column:
-        n = F.size(t.bigrams)
-        fits = n.between(low * F.size("own"), high * F.size("own"))
-        value = 2.0 * F.size(F.array_intersect("own", t.bigrams)) / (F.size("own") + n)
-        return F.struct(t.license.alias("license"), F.when(fits, value).otherwise(0.0).alias("dice"))
-
-    found = rows.select("doc_id", F.explode(F.filter(F.transform(table, dice), lambda x: x.dice >= threshold)).alias("x"), F.xxhash64("own").alias("own"))
-    best = found.groupBy("doc_id", "x.license", "own").agg(F.max("x.dice").alias("dice"))
-    return best.groupBy("doc_id", "license").agg(F.max("dice").alias("dice"), F.count("*").alias("passages"))
+    index = Index(known or templates(), threshold)
+    least = index.low * min(map(len, index.sets))
+    listed = lambda column, kind: F.from_json(F.lit(json.dumps(column)), kind)
+    sets, sizes = listed(index.sets, "array<array<string>>"), listed([len(x) for x in index.lists], "array<int>")
+    found_by = listed({g: [k * SPAN - o for k, o in places] for g, places in index.anchors.items()}, "map<string,array<bigint>>")
+    anchors = ", ".join(f"'{g}'" for g in sorted(index.anchors))
+
+    rows = docs.where(F.col("text").isNotNull()).select("doc_id", _once(F.regexp_extract_all(F.lower(F.col("text").cast("string")), F.lit("[a-z0-9]+"), F.lit(0))).alias("words")).where(F.size("words") > least)
+    rows = rows.select("doc_id", _once(bigrams(F.col("words"))).alias("grams"))
+    hits = F.expr(f"filter(transform(grams, (g, i) -> CASE WHEN g IN ({anchors}) THEN struct(g AS g, i AS i) END), x -> x IS NOT NULL)")
+    rows = rows.select("doc_id", "grams", _once(hits).alias("hits")).where(F.size("hits") > 0)
+    at = F.flatten(F.transform("hits", lambda h: F.transform(F.element_at(found_by, h.g), lambda place: place + h.i)))
+    # Half a span more, so that a start before the text stays with its template.
+    rows = rows.select("doc_id", "grams", _once(F.array_distinct(F.transform(at, lambda x: x + SPAN // 2))).alias("windows"))
+
+    def compare(w: Column) -> Column:
+        template, start = F.floor(w / F.lit(SPAN)).cast("int"), F.pmod(w, F.lit(SPAN)) - SPAN // 2
+        first = F.greatest(start, F.lit(0)).cast("int")
+        end = F.least(start + F.get(sizes, template), F.size("grams")).cast("int")
+        own, other = F.array_distinct(F.slice("grams", first + 1, F.greatest(end - first, F.lit(0)))), F.get(sets, template)
+        fits = F.size(own).between(index.low * F.size(other), index.high * F.size(other))
+        dice = F.when(fits, 2.0 * F.size(F.array_intersect(own, other)) / (F.size(own) + F.size(other))).otherwise(0.0)
+        return F.struct(template.alias("template"), dice.alias("dice"), (-first).alias("before"))
+
+    good = F.filter(F.transform("windows", compare), lambda x: x.dice >= threshold)
+    found = rows.select("doc_id", F.explode(good).alias("x"))
+    license = F.get(listed(index.names, "array<string>"), F.col("x.template"))
+    best = found.groupBy("doc_id", license.alias("license")).agg(F.max(F.struct("x.dice", "x.before")).alias("x"))
+    return best.select("doc_id", "license", "x.dice", (-F.col("x.before")).alias("first_word"))

@@ -7,10 +7,8 @@ from pyspark.sql import functions as F
 
 from quillon.llm.common import ranked, word_count, written
 
-
-#: Offsets that are tried for each source.
-OFFSETS = 32
-
+#: Levels of size: longer than 1/4, 1/16, 1/64, 1/256 of the source's target, and the rest.
+LEVELS, STEP = 5, 4
 
 def offset_of(source: Column, seed: str) -> Column:
     """A number in [0, 1) with 32 random bits for each source; the same in each run."""
@@ -43,49 +41,66 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most:
     return s.select("source", "source_size", "docs", F.least(F.col("_cap").cast("double"), F.col("_final") * F.col("_w")).alias("target"))
 
 
-def _copies(shift: Column, most: int) -> Column:
-    """Integers that a row's part of the sum crosses: from rank * rate to (rank + 1) * rate, shifted."""
-    crossed = F.floor(shift + (F.col("rank") + 1) * F.col("rate")) - F.floor(shift + F.col("rank") * F.col("rate"))
-    return F.least(crossed, F.lit(most)).cast("long")
+def _level(size: Column, target: Column) -> Column:
+    out = F.lit(LEVELS - 1)
+    for k in range(LEVELS - 2, -1, -1):
+        out = F.when(size * STEP ** (k + 1) > target, k).otherwise(out)
+    return out
+
+
+def _copies(at: Column, rate: Column, most: int) -> Column:
+    """Integers that a row's part of the prefix sum crosses, from ``at`` to ``at`` + ``rate``."""
+    return F.least(F.floor(at + rate) - F.floor(at), F.lit(most)).cast("long")
 
 
 def _taken(docs: DataFrame, weights: tuple[int, ...], most: int, seed: str) -> DataFrame:
-    """Rows of doc_id, source, size and whatever else, with source_size, target and copies."""
-    docs = docs.withColumn("at", F.left(F.md5(F.col("doc_id").cast("string").cast("binary")), F.lit(16)))
-    rows = ranked(docs, "source", ["at", "doc_id"], ["size"], "mix").drop("at")
+    """Rows of doc_id, source, size, key and whatever else, with source_size, target and copies."""
+    docs = docs.withColumns({"at": F.left(F.md5(F.col("doc_id").cast("string").cast("binary")), F.lit(16)), "less": -F.col("size")})
+    rows = ranked(docs, "source", ["less", "at", "doc_id"], ["key"], "mix").drop("at", "less")
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("docs"))
-    targets = source_targets(sizes, weights, most).withColumnRenamed("source", "_source").drop("docs")
-    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    targets = written(targets.withColumns({"rate": rate, "shift": offset_of(F.col("_source"), seed)}), "targets")
-    # One row per source: broadcast only if Spark finds the table small enough.
-    rows = rows.join(targets, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
-    # The words that each offset would take; the sums are partial before the shuffle.
-    def shifted(c: Column) -> Column:
-        return F.col("shift") + c / OFFSETS - F.floor(F.col("shift") + c / OFFSETS)
-
-    tried = rows.withColumn("c", F.explode(F.array(*map(F.lit, range(OFFSETS)))))
-    words = tried.groupBy("source", "target", "c").agg(F.sum(_copies(shifted(F.col("c")), most) * F.col("size")).alias("words"))
-    off = F.struct(F.abs(F.col("words").cast("double") - F.col("target")).alias("off"), "c")
-    best = written(words.groupBy(F.col("source").alias("_source")).agg(F.min(off).getField("c").alias("c")), "offsets")
-    rows = rows.join(best, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
-    return rows.withColumn("copies", _copies(shifted(F.col("c")), most)).drop("rate", "shift", "c")
+    targets = written(source_targets(sizes, weights, most).withColumnRenamed("source", "_source").drop("docs"), "targets")
+    # One row per source, here and below: broadcast only if Spark finds the table small enough.
+    with_target = lambda df, t: df.join(t, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
+    rows = with_target(rows, targets).withColumn("level", _level(F.col("size"), F.col("target")))
+    of = lambda k, c: F.sum(F.when(F.col("level") == k, c).otherwise(0))
+    per = rows.groupBy(F.col("source").alias("_source"), "target").agg(
+        F.array(*(of(k, F.col("size")) for k in range(LEVELS))).alias("words"), F.array(*(of(k, F.lit(1)) for k in range(LEVELS))).alias("count")
+    )
+    # What is left of the target, and where the prefix sum and the ranks stand when a level begins.
+    state = per.withColumns({"left": F.col("target"), "sum": offset_of(F.col("_source"), seed), "before": F.lit(0).cast("long"), "plan": F.array().cast("array<struct<rate:double,sum:double,before:bigint>>")}).drop("target")
+    for k in range(LEVELS):
+        words = F.aggregate(F.slice("words", k + 1, LEVELS - k), F.lit(0).cast("long"), lambda a, x: a + x)
+        rate = F.when(words > 0, F.greatest(F.lit(0.0), F.least(F.col("left") / words, F.lit(float(most))))).otherwise(0.0)
+        state = state.withColumn("rate", rate).withColumn("plan", F.concat("plan", F.array(F.struct("rate", "sum", "before"))))
+        state = written(state, "level")
+        if k + 1 < LEVELS:
+            here = with_target(rows.where(F.col("level") == k), state.select("_source", "rate", "sum", "before"))
+            copies = _copies(F.col("sum") + (F.col("rank") - F.col("before")) * F.col("rate"), F.col("rate"), most)
+            got = here.groupBy(F.col("source").alias("_s")).agg(F.sum(copies * F.col("size")).alias("got"))
+            n = F.col("count")[k]
+            state = state.join(got, F.col("_source").eqNullSafe(F.col("_s")), "left").withColumns({"left": F.col("left") - F.coalesce("got", F.lit(0)), "sum": F.col("sum") + n * F.col("rate"), "before": F.col("before") + n}).drop("_s", "got", "rate")
+    rows = with_target(rows, state.select("_source", "plan")).withColumn("plan", F.col("plan")[F.col("level")])
+    copies = _copies(F.col("plan.sum") + (F.col("rank") - F.col("plan.before")) * F.col("plan.rate"), F.col("plan.rate"), most)
+    return rows.withColumn("copies", copies).drop("plan", "level")
 
 
 def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, seed: str = "mix") -> DataFrame:
     """How often the mix takes each document: doc_id, source, size, source_size, target, copies, taken.
 
-    A source's documents all have the same expected copies, target / source_size. In the order of
-    a hash of their ids, these are summed up from a random offset; a document is emitted once for
-    each integer that its part of the sum crosses. Of ``OFFSETS`` evenly spaced offsets from the
-    source's random one, that which comes nearest to the target in words is taken: with few
-    documents, or very long ones, one offset alone may miss it by a long document. A sum of equal
-    terms is a product, so it only needs the document's rank in its source, which `ranked` finds
-    without gathering a source anywhere.
+    A source's documents stand in one order, long ones first, then by a hash of their ids. Their
+    expected copies are summed up from the source's one random offset; a document is emitted once
+    for each integer that its part of the sum crosses. Expected copies are what is left of the
+    target by what is left of the source when a level of sizes begins, so that shorter documents
+    make up for what longer ones took too often or too rarely. Before the offset is drawn, each
+    document's expectation is target / source_size; the words taken miss the target by about one
+    of the shorter documents, as far as there are any. Within a level all terms are equal, so a
+    prefix sum needs the document's rank only, which `ranked` finds without gathering a source.
 
     Null text: size 0. Null source: a source of its own, last. A source without words: target 0,
-    nothing taken. Rows that repeat are documents of their own. Empty table: no rows.
+    nothing taken. Null doc_ids come first among documents of one size. Rows that repeat are
+    documents of their own. Empty table: no rows.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text").cast("string")).alias("size"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text").cast("string")).alias("size"), F.xxhash64("text").alias("key"))
     rows = _taken(rows, weights, most, seed)
     return rows.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from quillon.llm.embeddings import near_duplicate_vectors, top_k
 from quillon.llm.jaccard import jaccard_components
 from quillon.llm.language import identify_languages
-from quillon.llm.licenses import TEMPLATES, scan_licenses, template_bigrams
+from quillon.llm.licenses import THRESHOLD, Index, scan_licenses, templates
 from quillon.llm.mixing import mix_sources
 from quillon.llm.packing import pack_documents
 from quillon.llm.secrets import RULES, scan_secrets
@@ -67,6 +67,22 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 _WORD = r"'[^\x20\x09-\x0D]+'"
 
+
+
+def _level_sql(k: int) -> str:
+    """A level's rate, and where the next one begins."""
+    return f"""
+, q{k} AS (
+  SELECT p.*, CASE WHEN w.words > 0 THEN greatest(0.0::DOUBLE, least(rest / w.words, 3.0::DOUBLE)) ELSE 0.0::DOUBLE END AS rate
+  FROM p{k} p JOIN (SELECT t.source, coalesce(sum(n.words), 0)::BIGINT AS words FROM t LEFT JOIN n ON t.source IS NOT DISTINCT FROM n.source AND n.level >= {k} GROUP BY 1) w ON p.source IS NOT DISTINCT FROM w.source
+), p{k + 1} AS (
+  SELECT q.source, rest - coalesce(g.got, 0) AS rest, place + coalesce(g.docs, 0) * rate AS place, before + coalesce(g.docs, 0) AS before
+  FROM q{k} q LEFT JOIN (
+    SELECT r.source, count(*) AS docs, sum(least(3, floor(place + (rank - before) * rate + rate) - floor(place + (rank - before) * rate))::BIGINT * size)::BIGINT AS got
+    FROM r JOIN q{k} q ON r.source IS NOT DISTINCT FROM q.source WHERE r.level = {k} GROUP BY 1) g ON q.source IS NOT DISTINCT FROM g.source
+)"""
+
+
 OP5_SQL = rf"""
 WITH d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), {_WORD}))::BIGINT AS size FROM documents
@@ -85,18 +101,18 @@ WITH d AS (
     ('0x' || left(md5('mix:' || coalesce('s:' || source, 'null')), 8))::BIGINT / 4294967296.0::DOUBLE AS shift
   FROM f
 ), r AS (
-  SELECT d.*, t.source_size, t.target, t.shift,
-    CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0.0 END AS rate,
-    row_number() OVER (PARTITION BY d.source ORDER BY left(md5(d.doc_id::VARCHAR), 16) NULLS FIRST, d.doc_id, d.size) - 1 AS rank
+  SELECT d.*, t.source_size, t.target,
+    CASE WHEN d.size * 4 > t.target THEN 0 WHEN d.size * 16 > t.target THEN 1 WHEN d.size * 64 > t.target THEN 2 WHEN d.size * 256 > t.target THEN 3 ELSE 4 END AS level,
+    row_number() OVER (PARTITION BY d.source ORDER BY d.size DESC, left(md5(d.doc_id::VARCHAR), 16) NULLS FIRST, d.doc_id) - 1 AS rank
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
-), o AS (
-  SELECT *, shift + c / 32.0::DOUBLE - floor(shift + c / 32.0::DOUBLE) AS u FROM r, range(32) AS g(c)
-), w AS (
-  SELECT *, least(3, floor(u + (rank + 1) * rate) - floor(u + rank * rate))::BIGINT * size AS taken FROM o
-), b AS (
-  SELECT source, arg_min(c, (off, c)) AS c FROM (SELECT source, c, abs(sum(taken)::DOUBLE - target) AS off FROM w GROUP BY source, target, c) GROUP BY source
-)
-SELECT w.doc_id, w.size, w.source_size, w.target, w.taken FROM w JOIN b ON w.source IS NOT DISTINCT FROM b.source AND w.c = b.c
+), n AS (
+  SELECT source, level, count(*) AS docs, sum(size)::BIGINT AS words FROM r GROUP BY ALL
+), p0 AS (
+  SELECT source, target AS rest, shift AS place, 0::BIGINT AS before FROM t
+){"".join(_level_sql(k) for k in range(5))}
+SELECT r.doc_id, r.size, r.source_size, r.target, least(3, floor(place + (rank - before) * rate + rate) - floor(place + (rank - before) * rate))::BIGINT * size AS taken
+FROM r JOIN (SELECT *, 0 AS k FROM q0 UNION ALL SELECT *, 1 FROM q1 UNION ALL SELECT *, 2 FROM q2 UNION ALL SELECT *, 3 FROM q3 UNION ALL SELECT *, 4 FROM q4) q
+ON r.source IS NOT DISTINCT FROM q.source AND r.level = q.k
 """
 
 #: The generator's products need 128 bits, which HUGEINT has.
@@ -145,23 +161,30 @@ SELECT query_id, rank::INT AS rank, vec_id, score FROM r WHERE rank <= 5
 
 
 def _op3_sql() -> str:
-    rows = ", ".join(f"({i}, '{name}', [{', '.join(repr(b) for b in template_bigrams(text))}])" for i, (name, text) in enumerate(TEMPLATES))
+    """Every window that an anchor points at, from joins of bigrams with their places."""
+    index = Index(templates(), THRESHOLD)
+    quoted = lambda x: "'" + "|".join(x) + "'"
+    rows = ", ".join(f"({k}, '{name}', {len(seq)}, string_split({quoted(own)}, '|'))" for k, (name, seq, own) in enumerate(zip(index.names, index.lists, index.sets, strict=True)))
+    anchors = ", ".join(f"('{g}', {k}, {o})" for g, places in index.anchors.items() for k, o in places)
     return rf"""
-WITH t(k, license, bigrams) AS (VALUES {rows}), p AS (
-  SELECT doc_id, unnest(list_distinct([text] || string_split_regex(text, '\n[ \t\r]*\n') || string_split(text, chr(10)))) AS passage
-  FROM documents WHERE text IS NOT NULL
-), w AS (
-  SELECT doc_id, regexp_extract_all(lower(passage), '[a-z0-9]+') AS words FROM p
-), b AS (
-  SELECT DISTINCT doc_id, list_sort(list_distinct(list_transform(range(1, len(words)), lambda i: words[i] || ' ' || words[i + 1]))) AS own FROM w WHERE len(words) > 1
-), m AS (
-  SELECT doc_id, license, own, 2.0::DOUBLE * len(list_intersect(own, bigrams)) / (len(own) + len(bigrams)) AS dice
-  FROM b JOIN t ON len(bigrams) BETWEEN 0.8 / 1.2 * len(own) AND 1.2 / 0.8 * len(own)
+WITH t(k, license, n, bigrams) AS (VALUES {rows}), a(gram, k, place) AS (VALUES {anchors}), w AS (
+  SELECT row_number() OVER () AS "row", doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS words FROM documents WHERE text IS NOT NULL
 ), g AS (
-  SELECT doc_id, license, own, max(dice) AS dice FROM m WHERE dice >= 0.8 GROUP BY ALL
+  SELECT "row", doc_id, list_transform(range(1, len(words)), lambda i: words[i] || ' ' || words[i + 1]) AS grams FROM w WHERE len(words) > 1
+), h AS (
+  SELECT "row", unnest(grams) AS gram, unnest(range(len(grams))) AS i FROM g
+), s AS (
+  SELECT DISTINCT "row", k, i - place AS start FROM h JOIN a USING (gram)
+), m AS (
+  SELECT doc_id, license, bigrams, greatest(start, 0) AS first_word, list_distinct(grams[greatest(start, 0) + 1:least(start + n, len(grams))]) AS own
+  FROM s JOIN g USING ("row") JOIN t USING (k)
+), d AS (
+  SELECT doc_id, license, first_word, 2.0::DOUBLE * len(list_intersect(own, bigrams)) / (len(own) + len(bigrams)) AS dice FROM m
+), b AS (
+  SELECT *, row_number() OVER (PARTITION BY doc_id, license ORDER BY dice DESC, first_word) AS place FROM d WHERE dice >= 0.8
 )
-SELECT doc_id, license, max(dice) AS dice, count(*) AS passages FROM g GROUP BY doc_id, license
-""".replace("\\\\", "\\")
+SELECT doc_id, license, dice, first_word::INT AS first_word FROM b WHERE place = 1
+"""
 
 
 def _op6_sql() -> str:

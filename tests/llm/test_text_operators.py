@@ -114,11 +114,48 @@ def test_components_of_a_chain_and_a_star(spark):
 # --- licences
 
 
+def windows(text, known, threshold=0.8):
+    """All windows of the templates' lengths that begin anywhere, by brute force."""
+    best, grams = {}, licenses.bigram_list(text)
+    for name, template in known:
+        seq = licenses.bigram_list(template)
+        for start in range(-len(seq) + 1, len(grams)):
+            own = set(grams[max(start, 0) : start + len(seq)])
+            dice = 2 * len(own & set(seq)) / (len(own) + len(set(seq)))
+            if dice >= threshold:
+                best[name] = max(best.get(name, (0, 0)), (dice, -max(start, 0)))
+    return best
+
+
 def test_licenses(spark):
-    mit = next(t for n, t in licenses.TEMPLATES if n == "MIT" and len(t) > 500)
-    rows = [row(1, "Some prose.\nReleased under the MIT License.\nMore."), row(2, mit.replace(" ", "\n ")), row(3, "Intro\n\n" + mit.replace(". ", ".\n") + "\n\nEnd"), row(4, None), row(5, ""), row(6, "nothing of the kind here at all"), row(6, "x")]
-    got = {(r["doc_id"], r["license"]): r["dice"] for r in licenses.scan_licenses(docs(spark, rows)).collect()}
-    assert got.keys() == {(1, "MIT"), (2, "MIT"), (3, "MIT")} and min(got.values()) > 0.95
+    texts = dict(licenses.NOTICES)
+    whole = dict(licenses.templates()[:7])
+    gpl = texts["GPL-3.0-or-later"]
+    header = "/*\n" + re.sub(r"(.{50}\S*) ", r" * \1\n", gpl) + "\n */\nint main(void) { return 0; }\n" + "x = f(y);\n" * 60
+    cases = [
+        ("Some prose.\nReleased under the MIT License.\nMore.", "MIT"),
+        (texts["MIT"].replace(" ", "\n# ") + "\ncode();" * 60, "MIT"),
+        ("This tool is maintained by the data team and is Released under the MIT License. Please see the manual for details.", "MIT"),
+        (header, "GPL-3.0-or-later"),
+        (texts["BSD-2-Clause"], "BSD-2-Clause"),
+        ("Preface " * 50 + whole["Apache-2.0"].replace("\n", "\r\n> ") + " end" * 90, "Apache-2.0"),
+        (whole["GPL-3.0"], "GPL-3.0"),
+        (" ".join(w for i, w in enumerate(texts["MIT"].split()) if i % 4), None),
+        ("licensed under nothing of the kind here at all", None),
+        ("x", None),
+    ]
+    rows = [row(i, t) for i, (t, _) in enumerate(cases)] + [row(90, None), row(91, ""), row(None, cases[0][0]), row(0, cases[0][0])]
+    got = {}
+    for r in licenses.scan_licenses(docs(spark, rows).withColumns({"words": F.lit(1), "grams": F.lit(2)})).collect():
+        got.setdefault(r["doc_id"], {})[r["license"]] = (r["dice"], -r["first_word"])
+    assert got.pop(None).keys() == {"MIT"}
+    best = {k: max(v, key=lambda x: (v[x], x == cases[k][1])) for k, v in got.items()}  # versions of one notice are near each other
+    assert best == {i: w for i, (_, w) in enumerate(cases) if w}
+    few = tuple(x for x in licenses.templates()[7:] if x[0] in ("MIT", "GPL-3.0-or-later", "BSD-2-Clause", "BSD-3-Clause"))
+    for i in (0, 1, 2, 3, 4, 7):
+        want = windows(cases[i][0], few)
+        assert {k for k in got.get(i, {}) if k in dict(few)} == want.keys()
+        assert all(got[i][k] == pytest.approx(want[k]) for k in want if i < 3)
     assert licenses.scan_licenses(docs(spark, [], False)).count() == 0
 
 
@@ -142,6 +179,45 @@ def test_language(spark):
     assert language.identify_languages(df.where("false")).count() == 0
 
 
+def exact_shares(learned, texts):
+    """For each text the share of its n-grams that each language has, by sets instead of a filter."""
+    import unicodedata
+    from collections import Counter
+
+    def grams(text):
+        words = "".join(c if unicodedata.category(c)[0] == "L" else " " for c in text.lower()).split()
+        return [p[i : i + n] for p in (f" {w} " for w in words) for n in (3, 4) for i in range(len(p) - n + 1)]
+
+    counts = {}
+    for lang, text in learned:
+        counts.setdefault(lang, Counter()).update(grams(text))
+    share = {k: {g: n / c.total() for g, n in c.items()} for k, c in counts.items()}
+    best = {g: max(x.get(g, 0) for x in share.values()) for x in share.values() for g in x}
+    has = {k: {g for g, s in share[k].items() if counts[k][g] > 1 and s >= language.LEAST_SHARE and s >= language.NEAR_BEST * best[g]} for k in share}
+    found = [grams(t) for t in texts]
+    return [{k: sum(g in has[k] for g in x) / len(x) for k in sorted(has)} if x else None for x in found]
+
+
+def test_language_is_brute_force(spark):
+    import zlib
+
+    d = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    rows = d.collect()
+    learned = [(r["lang"], r["text"]) for r in rows if r["lang"] is not None and zlib.crc32(str(r["doc_id"]).encode()) % 3 != 1]
+    want = dict(zip((r["doc_id"] for r in rows), exact_shares(learned, [r["text"] for r in rows]), strict=True))
+    close = 0
+    for r in language.identify_languages(d).collect():
+        shares = want[r["doc_id"]]
+        if shares is None:
+            assert (r["lang_pred"], r["score"]) == ("und", 0)
+            continue
+        assert abs(r["score"] - shares[r["lang_pred"]]) < 0.02  # what false positives leave after their correction
+        first, second = sorted(shares.values(), reverse=True)[:2]
+        close += first - second <= 0.04
+        assert first - second <= 0.04 or shares[r["lang_pred"]] == first
+    assert close < 0.1 * len(rows)
+
+
 def test_held_out_accuracy(spark):
     d = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     got = language.identify_languages(d).where("held_out").join(d.select("doc_id", "lang"), "doc_id")
@@ -215,8 +291,21 @@ def test_secrets(spark):
     red = {r["doc_id"]: r for r in secrets.redact_secrets(df).collect()}
     assert red[2]["text"] == 'x [assign]" 😀 [access] Password: short secret: token: abcdefgh'
     assert red[2]["n_chars"] == len(red[2]["text"]) and red[0]["text"] is None and red[1]["text"] == ""
-    assert secrets.redact_secrets(df).columns == df.columns
-    assert secrets.scan_secrets(df.where("false")).count() == 0
+    clash = df.withColumns({"_rules": F.lit("r"), "_candidate": F.lit("c"), "_spans": F.lit("s"), "_Low_0": F.lit("l")})
+    assert secrets.redact_secrets(clash).columns == clash.columns
+    assert {(r["_rules"], r["_candidate"], r["_spans"], r["_Low_0"]) for r in secrets.redact_secrets(clash).collect()} == {("r", "c", "s", "l")}
+    assert secrets.scan_secrets(df.where("false")).count() == 0 and secrets.redact_secrets(df.where("false")).count() == 0
+    huge = "x " * 300_000 + SECRETS
+    got = secrets.scan_secrets(docs(spark, [row(None, huge)]).withColumn("doc_id", F.col("doc_id").cast("string"))).first()
+    assert got["base_sha256"] == hashlib.sha256(",".join(base_spans(huge)).encode()).hexdigest() and got["doc_id"] is None
+
+
+def test_the_index_by_trigram_is_its_rows_turned(spark):
+    df = docs(spark, [row(i, t) for i, t in enumerate(["", "AKIAxoxb-", "token Secret", None])])
+    trigrams = secrets.asked_trigrams(secrets.RULES)
+    turned = {(r["doc_id"], r["trigram"]) for r in secrets.postings(df, trigrams).collect()}
+    rows = df.select("doc_id", secrets.index_row(F.lower(F.coalesce("text", F.lit(""))), trigrams).alias("row")).collect()
+    assert turned == {(r["doc_id"], t) for r in rows for i, t in enumerate(trigrams) if r["row"][i // 32] >> i % 32 & 1} and (1, "aki") in turned
 
 
 def test_trigram_queries_never_miss(spark):
@@ -236,11 +325,16 @@ def test_trigram_queries_never_miss(spark):
 def test_prefix_tables_are_the_library(spark):
     lib = Tokenizer.from_file(tokenizer_path("word_bpe_49k.json"))
     n = lambda t: len(lib.encode(t, add_special_tokens=False).ids)
-    texts = ["", None, "Hello  wörld\n\tdon't foo_bar12.5!", "thththththth unbelievablyish", "日本語 テ́ x\x1cy", "<|endoftext|> a<|startoftext|>b", "İstanbul ½²", " " * 5, "ñandú çedilla ÀÉ"]
+    texts = ["", None, "Hello  wörld\n\tdon't foo_bar12.5!", "thththththth unbelievablyish", "日本語 テ́ x\x1cy", "<|endoftext|> a<|startoftext|>b", "İstanbul ½²", " " * 5, "ñandú çedilla ÀÉ", " a  b\n", "a b"]
     df = docs(spark, [row(i, t) for i, t in enumerate(texts)])
-    got = {r["doc_id"]: r["counts"] for r in token_counts.prefix_tables(df).collect()}
+    tables = token_counts.prefix_tables(df)
+    got = {r["doc_id"]: bytes(r["steps"]) for r in tables.collect()}
     for i, t in enumerate(texts):
-        assert got[i] == [n((t or "")[:k]) for k in range(len(t or "") + 1)], t
+        assert token_counts.counts(got[i]).tolist() == [n((t or "")[:k]) for k in range(len(t or "") + 1)], t
+    for limit in (0, 3, 7):  # other limits are answered from the tables
+        for r in token_counts.answers(tables, limit).collect():
+            t = texts[r["doc_id"]] or ""
+            assert (r["n_tokens"], r["over_limit"], r["fitting_chars"]) == (n(t), n(t) > limit, max(k for k in range(len(t) + 1) if n(t[:k]) <= limit))
     long = " ".join(x or "" for x in texts[:5]) * 20
     rows = token_counts.count_tokens(docs(spark, [row(i, t) for i, t in enumerate(texts)] + [row(99, long)]), limit=50).collect()
     for r in rows:
@@ -278,7 +372,7 @@ def test_prefixes_of_a_long_word_are_never_encoded_one_by_one():
         got = counts.in_word(word)
         for i in (1, 2, 7, 1000, len(word) - 1, len(word)):
             assert got[i] == n(word[:i])
-        k = counts.longest(word, counts.at_words([word])[0], 2048)
+        k = token_counts.longest(counts.steps(word), 2048)
         assert n(word[:k]) <= 2048 < min(n(word[: k + j]) for j in range(1, 20))
 
 
