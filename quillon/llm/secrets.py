@@ -1,8 +1,14 @@
-"""Secret scans: Boolean trigram queries from regexes, intersected postings, verified candidates."""
+"""Secret scans: Boolean trigram queries from regexes, intersected postings, verified candidates.
+
+The index has both forms. A document's row of it is a bitmask of the trigrams that its text has;
+this is where queries are answered in a single pass, as the text is at hand to be verified and
+needn't be shuffled. `postings` is the same index by trigram, for a table that is kept.
+"""
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 from itertools import product
 from re import _constants as sre
 from re import _parser
@@ -10,8 +16,6 @@ from re import _parser
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import written
-
 
 @dataclass(frozen=True)
 class Rule:
@@ -112,45 +116,57 @@ def _sequence(items) -> set[str] | None:
     return out
 
 
-def postings(docs: DataFrame, trigrams: list[str]) -> DataFrame:
-    """The inverted index of the rules' trigrams: one row (trigram number, doc_id) where the text has it."""
-    has = F.filter(F.array(*(F.lit(i) for i in range(len(trigrams)))), lambda i: F.col("_low").contains(F.element_at(F.array(*map(F.lit, trigrams)), i + 1)))
-    low = docs.select("doc_id", F.lower(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("_low"))
-    return low.select("doc_id", F.explode(has).alias("trigram"))
+def asked_trigrams(rules: tuple[Rule, ...]) -> list[str]:
+    """All trigrams that the rules' queries ask for, in order."""
+    return sorted({t for r in rules for alternatives in trigram_query(r.pattern) for one in alternatives for t in one})
 
 
-def candidates(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """doc_id and the numbers of the rules whose trigram query its postings fulfil.
+def index_row(low: Column, trigrams: list[str]) -> Column:
+    """A text's row of the index: an array of 32-bit masks, in longs, of the trigrams that it has.
 
-    Postings meet by doc_id, aggregated before the shuffle, so a row of it stands for a document.
-    Rules that have no mandatory trigrams aren't listed. If a doc_id repeats, its rows count
-    together; that only adds candidates.
+    ``low`` is the text in lower case.
     """
-    asked = {i: q for i, r in enumerate(rules) if (q := trigram_query(r.pattern))}
-    names = sorted({t for q in asked.values() for alternatives in q for one in alternatives for t in one})
-    number = {t: i for i, t in enumerate(names)}
-    width = (len(names) + 31) // 32
-    rows = postings(docs, names).groupBy("doc_id").agg(*(F.bit_or(F.when(F.floor(F.col("trigram") / 32) == w, F.expr(f"shiftleft(1L, trigram - {32 * w})")).otherwise(F.lit(0).cast("long"))).alias(f"_m{w}") for w in range(width)))
+    words = []
+    for start in range(0, max(1, len(trigrams)), 32):
+        bits = [F.when(low.contains(t), F.lit(1 << i)).otherwise(F.lit(0)).cast("long") for i, t in enumerate(trigrams[start : start + 32])]
+        words.append(reduce(Column.__add__, bits, F.lit(0).cast("long")))
+    return F.array(*words)
+
+
+def postings(docs: DataFrame, trigrams: list[str]) -> DataFrame:
+    """The index by trigram: one row (trigram, doc_id) for each document whose text has it."""
+    rows = docs.select("doc_id", _once(F.lower(F.coalesce(F.col("text").cast("string"), F.lit("")))).alias("low"))
+    return rows.select("doc_id", F.explode(F.filter(F.array(*map(F.lit, trigrams)), lambda t: F.col("low").contains(t))).alias("trigram"))
+
+
+def fulfilled(row: Column, rules: tuple[Rule, ...], trigrams: list[str]) -> Column:
+    """Numbers of the rules whose Boolean query an index row fulfils; rules without one aren't listed."""
+    number = {t: i for i, t in enumerate(trigrams)}
 
     def has(one: frozenset[str]) -> Column:
         out = F.lit(True)
-        for w in range(width):
+        for w in range((len(trigrams) + 31) // 32):
             if mask := sum(1 << number[t] - 32 * w for t in one if number[t] // 32 == w):
                 m = F.lit(mask).cast("long")
-                out = out & (F.col(f"_m{w}").bitwiseAND(m) == m)
+                out = out & (F.get(row, w).bitwiseAND(m) == m)
         return out
 
     def fulfils(q: list[list[frozenset[str]]]) -> Column:
-        out = F.lit(True)
-        for alternatives in q:
-            either = F.lit(False)
-            for one in alternatives:
-                either = either | has(one)
-            out = out & either
-        return out
+        return reduce(Column.__and__, (reduce(Column.__or__, map(has, alternatives), F.lit(False)) for alternatives in q), F.lit(True))
+
+    asked = {i: q for i, r in enumerate(rules) if (q := trigram_query(r.pattern))}
+    return F.array_compact(F.array(*(F.when(fulfils(q), F.lit(i)) for i, q in asked.items()), F.lit(None).cast("int")))
+
+
+def _once(value: Column) -> Column:
+    """The value as a generator's only row, so that it isn't computed again wherever it is used."""
+    return F.explode(F.array(value))
+
 
-    listed = F.array_compact(F.array(*(F.when(fulfils(q), F.lit(i)) for i, q in asked.items())))
-    return rows.select("doc_id", listed.alias("_rules")).where(F.size("_rules") > 0)
+def _names(docs: DataFrame, *names: str) -> list[str]:
+    """Column names that ``docs`` hasn't, in any case of letters."""
+    taken = {c.lower() for c in docs.columns}
+    return [next(x for k in range(len(taken) + 1) if (x := f"_{n}_{k}") not in taken) for n in names]
 
 
 def rule_spans(text: Column, rule: Rule, number: int) -> Column:
@@ -175,20 +191,23 @@ def rule_spans(text: Column, rule: Rule, number: int) -> Column:
     return F.when(text.rlike(pattern), found).otherwise(empty)
 
 
-def with_spans(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """``docs`` with ``_spans``, an array of (start, end, number of the rule) in the order of spans.
+def with_spans(docs: DataFrame, spans: str, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """``docs`` with the column ``spans``, an array of (start, end, number of the rule) in the order of spans.
 
-    Only candidates of a rule are held against its regex; rules without a trigram query are
-    tried on each text. The written candidates have a known size: Spark broadcasts them if that
-    is below its threshold, and sorts and merges both sides if not.
+    Only candidates of a rule, whose index row fulfils its query, are held against its regex;
+    rules without a trigram query are tried on each text. All happens in the row: nothing is
+    shuffled.
     """
-    some = written(candidates(docs, rules), "candidates").withColumnRenamed("doc_id", "_candidate")
-    rows = docs.join(some, docs["doc_id"].eqNullSafe(some["_candidate"]), "left")
+    low, row, listed = _names(docs, "low", "row", "rules")
+    trigrams = asked_trigrams(rules)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    rows = docs.withColumn(low, _once(F.lower(text)))
+    rows = rows.withColumn(row, _once(index_row(F.col(low), trigrams))).drop(low)
+    rows = rows.withColumn(listed, _once(fulfilled(F.col(row), rules, trigrams))).drop(row)
     empty = F.array().cast("array<struct<start:int,end:int,number:int>>")
-    each = [F.when(F.array_contains("_rules", F.lit(i)), rule_spans(text, r, i)).otherwise(empty) if trigram_query(r.pattern) else rule_spans(text, r, i) for i, r in enumerate(rules)]
+    each = [F.when(F.array_contains(listed, F.lit(i)), rule_spans(text, r, i)).otherwise(empty) if trigram_query(r.pattern) else rule_spans(text, r, i) for i, r in enumerate(rules)]
     order = lambda a, b: F.when(a.start != b.start, a.start - b.start).otherwise(a.number - b.number)
-    return rows.withColumn("_spans", F.array_sort(F.concat(*each), order)).drop("_candidate", "_rules")
+    return rows.withColumn(spans, _once(F.array_sort(F.concat(*each), order))).drop(listed)
 
 
 def _listed(spans: Column, rules: tuple[Rule, ...]) -> Column:
@@ -201,11 +220,12 @@ def scan_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
 
     ``spans`` lists kind:start:end by start, then by the rules' order, comma-joined, in code
     points, the end exclusive; base_sha256 is the hash of the base rules' list. Null and empty
-    texts have none: counts of 0, the hash of the empty string. Each row is scanned by itself,
-    so repeated rows give repeated results; an empty table gives an empty one.
+    texts have none: counts of 0, the hash of the empty string. Texts are scanned whole, however
+    long. Each row is scanned by itself, so repeated rows give repeated results, null doc_ids stay
+    as they are, other columns aren't read; an empty table gives an empty one.
     """
     base = [i for i, r in enumerate(rules) if r.base]
-    rows = with_spans(docs.select("doc_id", "text"), rules).drop("text")
+    rows = with_spans(docs.select("doc_id", "text"), "_spans", rules).drop("text")
     ours = F.filter("_spans", lambda s: s.number.isin(base))
     of = lambda i: F.filter("_spans", lambda s: s.number == i)
     counts = [F.size(of(i)).cast("long").alias(f"n_{rules[i].kind}") for i in base]
@@ -215,10 +235,12 @@ def scan_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
 def redact_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """``docs`` with each secret, or run of secrets that overlap, replaced by its first kind in brackets.
 
-    All rows and columns stay; n_chars, where there is one, follows the new text. Texts without
-    secrets, null ones too, are left as they are.
+    All rows and columns stay, whatever their names; n_chars, where there is one, follows the new
+    text. Texts without secrets, null ones too, are left as they are. Rows that repeat give
+    repeated results; an empty table gives an empty one.
     """
-    rows = with_spans(docs, rules)
+    (spans,) = _names(docs, "spans")
+    rows = with_spans(docs, spans, rules)
     kinds = F.array(*(F.lit(r.kind) for r in rules))
     text = F.col("text")
 
@@ -226,8 +248,8 @@ def redact_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFram
         new = F.concat(acc.out, F.substring(text, acc.pos + 1, s.start - acc.pos), F.lit("["), F.element_at(kinds, s.number + 1), F.lit("]"))
         return F.struct(F.greatest(acc.pos, s.end).alias("pos"), F.when(s.start >= acc.pos, new).otherwise(acc.out).alias("out"))
 
-    cleaned = F.aggregate("_spans", F.struct(F.lit(0).alias("pos"), F.lit("").alias("out")), cut, lambda acc: F.concat(acc.out, F.substring(text, acc.pos + 1, F.length(text))))
-    found = F.size("_spans") > 0
+    cleaned = F.aggregate(spans, F.struct(F.lit(0).alias("pos"), F.lit("").alias("out")), cut, lambda acc: F.concat(acc.out, F.substring(text, acc.pos + 1, F.length(text))))
+    found = F.size(spans) > 0
     rows = rows.withColumn("text", F.when(found, cleaned).otherwise(text))
     if "n_chars" in docs.columns:
         rows = rows.withColumn("n_chars", F.when(found, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
