@@ -7,26 +7,27 @@ import re
 import sys
 import unicodedata
 from collections.abc import Iterator
-from itertools import islice, repeat
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import tokenizer_path
+from quillon.llm.common import release, tokenizer_path
 from quillon.llm.tokens import loaded
 
-#: Words whose counts a worker keeps, at most; others are counted again when they come again.
-KEPT = 500_000
+#: Words whose tables a worker keeps, at most, and how long these may be; others are made again when they come again.
+KEPT, LONGEST_KEPT = 500_000, 64
 ASCII_SPACE = re.compile("[ \t\n\r\f\v]+")
 #: Python takes these four as white space, the vocabulary's patterns don't.
 SEPARATORS = "\x1c\x1d\x1e\x1f"
 #: Words in which normalising, special strings or contractions may join characters, or in which
 #: Python's character classes differ from the vocabulary's.
 UNPLAIN = re.compile("[^\x00-\u024f]|<\\||'|[\u0130\xb2\xb3\xb9\xbc-\xbe\x1c-\x1f]")
-#: Documents whose new words go to the library in one call.
-TOGETHER = 256
+#: Tables are read on so many characters at a time.
+READ = 1 << 22
 
 
 class PrefixCounts:
@@ -34,6 +35,8 @@ class PrefixCounts:
 
     No token reaches over white space, so the table of a text is count[end of word] = count[end
     of the word before] + tokens of the word, and inside a word the table of the word's prefixes.
+    A table is stored by its steps: a signed byte for each character says by how much the count of
+    the prefix that ends with it differs from that of the prefix before it.
     """
 
     def __init__(self, tokenizer: str):
@@ -41,7 +44,7 @@ class PrefixCounts:
 
         self.path = tokenizer_path(tokenizer)
         self.library = Tokenizer.from_file(self.path)
-        self.kept: dict[str, int] = {}
+        self.kept: dict[str, bytes] = {}
         self.bpe: WordPrefixes | None = None
         self.rules: Rules | None = None
 
@@ -50,22 +53,28 @@ class PrefixCounts:
             return [w for w in ASCII_SPACE.split(text) if w]
         return text.split()
 
-    def spans(self, text: str) -> Iterator[tuple[int, int]]:
-        pattern = r"[^ \t\n\r\f\v]+" if any(c in text for c in SEPARATORS) else r"\S+"
-        return (m.span() for m in re.finditer(pattern, text))
-
-    def at_words(self, texts: list[str]) -> list[np.ndarray]:
-        """For each text the exact counts of its prefixes that end with a word, the whole text's last."""
-        words = [self.words(t) for t in texts]
-        counts = [np.fromiter(map(self.kept.get, ws, repeat(-1)), np.int64, len(ws)) for ws in words]
-        new = list({ws[i] for ws, c in zip(words, counts, strict=True) for i in np.flatnonzero(c < 0)})
-        if new:
-            got = dict(zip(new, (len(e.ids) for e in self.library.encode_batch_fast(new, add_special_tokens=False)), strict=True))
-            for ws, c in zip(words, counts, strict=True):
-                for i in np.flatnonzero(c < 0):
-                    c[i] = got[ws[i]]
-            self.kept.update(islice(got.items(), max(0, KEPT - len(self.kept))))
-        return [np.cumsum(c) for c in counts]
+    def steps(self, text: str) -> bytes:
+        """The table of a text, as steps."""
+        words = self.words(text)
+        get, make = self.kept.get, self.steps_in_word
+        made = [get(w) or make(w) for w in words]
+        if len(words) + sum(map(len, words)) - 1 == len(text):
+            return b"\0".join(made)  # one character of white space between two words
+        out, at = [], 0
+        for w, d in zip(words, made, strict=True):
+            start = text.index(w, at)
+            out += (bytes(start - at), d)
+            at = start + len(w)
+        return b"".join([*out, bytes(len(text) - at)])
+
+    def steps_in_word(self, word: str) -> bytes:
+        out = np.diff(self.in_word(word))
+        if len(out) and max(out.max(), -out.min()) > 127:  # no token and no special string is so long
+            raise ValueError("a step doesn't fit a byte")
+        out = out.astype(np.int8).tobytes()
+        if len(word) <= LONGEST_KEPT and len(self.kept) < KEPT:
+            self.kept[word] = out
+        return out
 
     def in_word(self, word: str) -> np.ndarray:
         """Exact counts of all prefixes of a word, the empty one first."""
@@ -95,29 +104,26 @@ class PrefixCounts:
             at = end
         return out
 
-    def table(self, text: str) -> np.ndarray:
-        """The exact count of every prefix: item i is that of text[:i]."""
-        out, done = np.zeros(len(text) + 1, np.int64), 0
-        at = 0
-        for start, end in self.spans(text):
-            out[at:start] = done
-            inside = self.in_word(text[start:end])
-            out[start : end + 1] = done + inside
-            done, at = int(out[end]), end
-        out[at:] = done
-        return out
 
-    def longest(self, text: str, at_words: np.ndarray, limit: int) -> int:
-        """Length of the longest prefix, in characters, that has at most ``limit`` tokens.
+def total(steps: bytes) -> int:
+    """Tokens of the whole text, from its table."""
+    return int(np.frombuffer(steps, np.int8).sum(dtype=np.int64))
+
+
+def longest(steps: bytes, limit: int) -> int:
+    """Length in characters of the longest prefix that has at most ``limit`` tokens, from its table."""
+    all_steps, done, best = np.frombuffer(steps, np.int8), 0, 0
+    for at in range(0, len(all_steps), READ):
+        counts = np.cumsum(all_steps[at : at + READ], dtype=np.int64) + done
+        done = int(counts[-1])
+        fits = np.flatnonzero(counts <= limit)
+        best = at + int(fits[-1]) + 1 if len(fits) else best
+    return best
 
-        Only the word in which the limit is passed is looked into.
-        """
-        if not len(at_words) or at_words[-1] <= limit:
-            return len(text)
-        k = int(np.searchsorted(at_words, limit, "right"))
-        start, end = next(islice(self.spans(text), k, None))
-        inside = self.in_word(text[start:end]) + (int(at_words[k - 1]) if k else 0)
-        return start + int(np.flatnonzero(inside <= limit)[-1])
+
+def counts(steps: bytes) -> np.ndarray:
+    """The exact count of every prefix: item i is that of the first i characters."""
+    return np.concatenate([[0], np.cumsum(np.frombuffer(steps, np.int8), dtype=np.int64)])
 
 
 class WordPrefixes:
@@ -342,38 +348,44 @@ class Prefixes:
         raise ValueError(f"no token ends {tail!r}")
 
 
-def count_tokens(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", limit: int = 2048) -> DataFrame:
-    """Tokens of every whole text: doc_id, n_bytes, n_tokens, over_limit, fitting_chars.
+def prefix_tables(docs: DataFrame, tokenizer: str = "word_bpe_49k.json") -> DataFrame:
+    """The stored tables of whole texts: doc_id, n_bytes (UTF-8), steps (binary, a byte a character).
 
-    n_tokens is the last entry of the text's prefix table; fitting_chars the longest prefix, in
-    characters, that has at most ``limit`` tokens. A null text counts as empty: 0 of all.
-    Each row is counted by itself; repeated rows give repeated results.
+    `total`, `longest` and `counts` read them; no text is encoded again. A null text counts as
+    empty and has an empty table. Repeated rows give repeated tables; an empty table of documents
+    an empty one. Other columns aren't read.
     """
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def tables(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         table = loaded(PrefixCounts, tokenizer)
         for batch in batches:
-            texts = batch["text"].tolist()
-            n, fitting = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64)
-            for i in range(0, len(texts), TOGETHER):
-                part = texts[i : i + TOGETHER]
-                for k, (text, counts) in enumerate(zip(part, table.at_words(part), strict=True), i):
-                    n[k] = counts[-1] if len(counts) else 0
-                    fitting[k] = len(text) if n[k] <= limit else table.longest(text, counts, limit)
-            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "n_bytes": batch["n_bytes"], "n_tokens": n, "over_limit": n > limit, "fitting_chars": fitting})
+            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "n_bytes": batch["n_bytes"], "steps": [table.steps(t) for t in batch["text"]]})
+        release()
 
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.octet_length(text).cast("long").alias("n_bytes"), text.alias("text"))
-    return rows.mapInPandas(count, "doc_id long, n_bytes long, n_tokens long, over_limit boolean, fitting_chars long")
+    return rows.mapInPandas(tables, "doc_id long, n_bytes long, steps binary")
 
 
-def prefix_tables(docs: DataFrame, tokenizer: str = "word_bpe_49k.json") -> DataFrame:
-    """The stored tables: doc_id, counts, where item i (from 0) is the exact count of the first i characters."""
+def count_tokens(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", limit: int = 2048) -> DataFrame:
+    """Tokens of every whole text: doc_id, n_bytes, n_tokens, over_limit, fitting_chars, steps.
 
-    def tables(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        table = loaded(PrefixCounts, tokenizer)
+    All come from the text's prefix table, ``steps``: n_tokens is its last count, fitting_chars
+    the longest prefix, in characters, that has at most ``limit`` tokens. A null text counts as
+    empty: 0 of all. Each row is counted by itself; repeated rows give repeated results.
+    """
+    return answers(prefix_tables(docs, tokenizer), limit)
+
+
+def answers(tables: DataFrame, limit: int = 2048) -> DataFrame:
+    """``tables`` with n_tokens, over_limit and fitting_chars, for any limit, from the steps alone."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "counts": [table.table(t).tolist() for t in batch["text"]]})
+            steps = [x.as_buffer() for x in batch.column("steps")]
+            n = [total(x) for x in steps]
+            fitting = [len(x) if k <= limit else longest(x, limit) for x, k in zip(steps, n, strict=True)]
+            n = pa.array(n, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_bytes"), n, pc.greater(n, limit), pa.array(fitting, pa.int64()), batch.column("steps")], ["doc_id", "n_bytes", "n_tokens", "over_limit", "fitting_chars", "steps"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    return rows.mapInPandas(tables, "doc_id long, counts array<long>")
+    return tables.mapInArrow(read, "doc_id long, n_bytes long, n_tokens long, over_limit boolean, fitting_chars long, steps binary")
