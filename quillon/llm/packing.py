@@ -38,12 +38,12 @@ def tokenized_pieces(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", capa
                 at = [0, *range(first or capacity, n, capacity), n]
                 for i, (a, b) in enumerate(zip(at, at[1:], strict=False)):
                     part = ids[4 * a : 4 * b]
-                    rows.append((doc, i, a, b - a, zlib.crc32(part), *([np.frombuffer(part, "<u4").astype("i8")] * keep_ids)))
+                    rows.append((doc, i, a, b - a, zlib.crc32(part), *([np.frombuffer(part, "<i4")] * keep_ids)))
             out = pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32", *["ids"] * keep_ids])
             yield out.astype({"doc_id": "Int64"})
         release()
 
-    schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<long>" * keep_ids
+    schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * keep_ids
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInPandas(cut, schema)
 
 
