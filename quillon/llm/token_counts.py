@@ -18,8 +18,11 @@ from pyspark.sql import functions as F
 from quillon.llm.common import release, tokenizer_path
 from quillon.llm.tokens import loaded
 
-#: Words whose tables a worker keeps, at most, and how long these may be; others are made again when they come again.
-KEPT, LONGEST_KEPT = 500_000, 64
+#: Words, and pieces of words, whose tables a worker keeps, at most, and how long these may be; others are made
+#: again when they come again. So are the answers about pairs of tokens.
+KEPT, LONGEST_KEPT, PAIRS = 300_000, 64, 2_000_000
+#: The rank of no merge.
+NEVER = 1 << 30
 ASCII_SPACE = re.compile("[ \t\n\r\f\v]+")
 #: Python takes these four as white space, the vocabulary's patterns don't.
 SEPARATORS = "\x1c\x1d\x1e\x1f"
@@ -68,10 +71,15 @@ class PrefixCounts:
         return b"".join([*out, bytes(len(text) - at)])
 
     def steps_in_word(self, word: str) -> bytes:
-        out = np.diff(self.in_word(word))
-        if len(out) and max(out.max(), -out.min()) > 127:  # no token and no special string is so long
-            raise ValueError("a step doesn't fit a byte")
-        out = out.astype(np.int8).tobytes()
+        if self.bpe is None:
+            self.bpe = WordPrefixes(self.path)
+        if UNPLAIN.search(word):
+            out = np.diff(self.in_any_word(word))
+            if len(out) and max(out.max(), -out.min()) > 127:  # no token and no special string is so long
+                raise ValueError("a step doesn't fit a byte")
+            out = out.astype(np.int8).tobytes()
+        else:
+            out = b"".join(map(self.bpe.steps, self.bpe.pieces.findall(word)))
         if len(word) <= LONGEST_KEPT and len(self.kept) < KEPT:
             self.kept[word] = out
         return out
@@ -82,11 +90,7 @@ class PrefixCounts:
             self.bpe = WordPrefixes(self.path)
         if UNPLAIN.search(word):
             return self.in_any_word(word)
-        out, done = [0], 0
-        for piece in self.bpe.pieces.findall(word):
-            out += [done + n for n in self.bpe.counts(piece)[1:]]
-            done = out[-1]
-        return np.array(out)
+        return counts(b"".join(map(self.bpe.steps, self.bpe.pieces.findall(word))))
 
     def in_any_word(self, word: str) -> np.ndarray:
         """As ``in_word``, of words whose characters may join or be special strings."""
@@ -156,45 +160,108 @@ class WordPrefixes:
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         rest = [b for b in range(256) if b not in plain]
         self.byte = dict(zip(plain, map(chr, plain), strict=True)) | {b: chr(256 + i) for i, b in enumerate(rest)}
-        self.known: dict[tuple[str, str], bool] = {}
+        # The edges of tokens that come out of merging their characters, None for others, and whether a pair comes
+        # out of merging both, inside a run and at its end.
+        self.alone: dict[str, tuple[list, list] | None] = {}
+        self.alone_end: dict[str, tuple[list, list] | None] = {}
+        self.beside: dict[tuple[str, str], bool] = {}
+        self.beside_end: dict[tuple[str, str], bool] = {}
+        self.kept: dict[str, bytes] = {}
 
     def merged(self, symbols: list[str]) -> list[str]:
         while len(symbols) > 1:
-            rank, at = min((self.rank.get(p, 1 << 30), i) for i, p in enumerate(zip(symbols, symbols[1:], strict=False)))
-            if rank == 1 << 30:
+            rank, at = min((self.rank.get(p, NEVER), i) for i, p in enumerate(zip(symbols, symbols[1:], strict=False)))
+            if rank == NEVER:
                 break
             symbols = [*symbols[:at], symbols[at] + symbols[at + 1], *symbols[at + 2 :]]
         return symbols
 
-    def stands(self, left: str, right: str, closes: bool) -> bool:
-        """Whether merging left + right gives these two tokens (just ``right`` if left is empty)."""
-        key = (left, right + "\0" * closes)
-        if key not in self.known:
-            symbols = list(left + right)
+    def edges(self, token: str, closes: bool) -> tuple[list, list] | None:
+        """What stands at a token's left and right edge while its characters merge, each with the rank of the merge that takes it.
+
+        None if merging doesn't end with the token.
+        """
+        known = self.alone_end if closes else self.alone
+        if token not in known:
+            symbols = list(token)
             if closes:
                 symbols[-1] += self.end
-            want = [left] * bool(left) + [right + self.end * closes]
-            self.known[key] = self.merged(symbols) == want
-        return self.known[key]
+            left, right = [], []
+            while len(symbols) > 1:
+                rank, at = min((self.rank.get(p, NEVER), i) for i, p in enumerate(zip(symbols, symbols[1:], strict=False)))
+                if rank == NEVER:
+                    break
+                if at == 0:
+                    left.append((symbols[0], rank))
+                if at == len(symbols) - 2:
+                    right.append((symbols[-1], rank))
+                symbols[at : at + 2] = [symbols[at] + symbols[at + 1]]
+            known[token] = None if len(symbols) > 1 else ([*left, (symbols[0], NEVER)], [*right, (symbols[0], NEVER)])
+        return known[token]
+
+    def stands(self, left: str, right: str, closes: bool) -> bool:
+        """Whether merging left + right gives these two tokens (just ``right`` if left is empty).
+
+        A merge has a higher rank than those that made its parts, so merges go by rank. The two
+        stay apart unless what meets at their edges at some time merges before either side goes on;
+        of one rank, what is further left is first.
+        """
+        own = self.edges(right, closes)
+        if own is None or not left:
+            return own is not None
+        known, key = self.beside_end if closes else self.beside, (left, right)
+        got = known.get(key)
+        if got is None:
+            before, after, i, j = self.edges(left, False)[1], own[0], 0, 0
+            while got is None:
+                (x, a), (y, b) = before[i], after[j]
+                r = self.rank.get((x, y), NEVER)
+                if r < a and r <= b and r < NEVER:
+                    got = False
+                elif a == b == NEVER:
+                    got = True
+                elif a <= b:
+                    i += 1
+                else:
+                    j += 1
+            if len(known) >= PAIRS:
+                known.clear()
+            known[key] = got
+        return got
+
+    def steps(self, piece: str) -> bytes:
+        """By how much the counts of a piece's prefixes grow, a signed byte for each character."""
+        low = piece.lower()
+        out = self.kept.get(low)
+        if out is None:
+            counts = self.counts(low)
+            out = bytes(b - a & 255 for a, b in zip(counts, counts[1:], strict=False))  # tokens are shorter than 127
+            if len(low) <= LONGEST_KEPT and len(self.kept) < KEPT:
+                self.kept[low] = out
+        return out
 
     def counts(self, piece: str) -> list[int]:
-        chars = [len(c.encode()) for c in piece.lower()]
-        s = "".join(self.byte[b] for b in piece.lower().encode())
+        """Counts of all prefixes of a piece in lower case, the empty one first."""
+        s = "".join(self.byte[b] for b in piece.encode())
+        vocab, alone, beside, reach = self.vocab, self.alone, self.beside, self.reach
         last, count = [""], [0]
         for i in range(1, len(s) + 1):
-            last.append(s[i - 1])
-            count.append(count[i - 1] + 1)
-            for n in range(1, min(i, self.longest) + 1):
+            for n in range(1, min(i, reach.get(s[i - 1], 1)) + 1):
                 t = s[i - n : i]
-                if t in self.vocab and self.stands("", t, False) and self.stands(last[i - n], t, False):
-                    last[i], count[i] = t, count[i - n] + 1
-                    break
-        out, at = [0], 0
-        for size in chars:
+                if t in vocab and (alone.get(t) or self.stands("", t, False)):
+                    left = last[i - n]
+                    if not left or beside.get((left, t)) or self.stands(left, t, False):
+                        last.append(t)
+                        count.append(count[i - n] + 1)
+                        break
+            else:
+                raise ValueError(f"no token ends {piece[:20]!r}")
+        out, at, end, reach = [0], 0, self.end, self.reach_end
+        for size in map(len, piece) if len(s) == len(piece) else (len(c.encode()) for c in piece):
             at += size
-            for n in range(1, min(at, self.longest) + 1):
+            for n in range(1, min(at, reach.get(s[at - 1], 1)) + 1):
                 t = s[at - n : at]
-                if t + self.end in self.vocab and self.stands("", t, True) and self.stands(last[at - n], t, True):
+                if t + end in vocab and self.stands("", t, True) and ((left := last[at - n]) == "" or self.stands(left, t, True)):
                     out.append(count[at - n] + 1)
                     break
             else:
