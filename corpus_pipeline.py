@@ -13,12 +13,19 @@ from quillon.llm.secrets import redact_secrets
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language can't be told go: null texts, texts without letters or of unknown n-grams."""
+    """Documents whose language can't be told go: null texts, texts without letters or of unknown n-grams.
+
+    Repeated rows stay or go alike; other columns, whatever their names, stay as they are; an
+    empty table gives an empty one. That holds for the next stages too, but for what they say.
+    """
     return keep_identified(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of the n-gram Jaccard join stays: five words, similarity 0.8 or more."""
+    """One document of each component of the n-gram Jaccard join stays: five words, similarity 0.8 or more.
+
+    A row that repeats the one that stays goes. Documents without words stay, each of them.
+    """
     return keep_one_of_each(docs, num=80, den=100, width=5)
 
 
@@ -28,13 +35,13 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document is repeated, or left out, as the mix of the sources takes it."""
+    """Each document is repeated, or left out, as the mix of the sources takes it; rows that repeat count each."""
     return mixed_documents(docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token sequences: each copy of a document is packed by itself."""
-    return pack_documents(docs)
+    """Token sequences with their ids: each copy of a document is packed by itself."""
+    return pack_documents(docs, keep_ids=True)
 
 
 STAGES = [("language", language), ("near_duplicates", near_duplicates), ("secrets", secrets), ("mixture", mixture), ("packing", packing)]
