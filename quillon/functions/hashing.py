@@ -16,8 +16,8 @@ NAMESPACE = "quillon.handle.v1"
 
 
 def content_id(*parts: Column) -> Column:
-    """SHA-256 over the parts, each behind its length in bytes, so that no two lists look alike."""
-    framed = [F.concat(F.octet_length(F.coalesce(p, F.lit(""))).cast("string"), F.lit(":"), F.coalesce(p, F.lit(""))) for p in parts]
+    """SHA-256 over the parts, each behind its length in bytes, a null as ``-``, so that no two lists look alike."""
+    framed = [F.coalesce(F.concat(F.octet_length(p).cast("string"), F.lit(":"), p), F.lit("-")) for p in parts]
     return F.sha2(F.concat(*framed), 256)
 
 

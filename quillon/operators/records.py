@@ -12,8 +12,8 @@ STRETCH = 1 << 16
 
 
 def with_record_id(rows: DataFrame, *parts: str) -> DataFrame:
-    """Rows with ``record_id``: the hash of their content columns; blank bodies are no records."""
-    return rows.where(F.trim(F.col(parts[-1])) != "").withColumn("record_id", content_id(*map(F.col, parts)))
+    """Rows with ``record_id``: the hash of their content columns; bodies of white space alone are no records."""
+    return rows.where(F.col(parts[-1]).rlike(r"[^\s\p{Z}\x0B\x85]")).withColumn("record_id", content_id(*map(F.col, parts)))
 
 
 def records(rows: DataFrame, keep: list[str]) -> DataFrame:
@@ -46,8 +46,8 @@ def positions(rows: DataFrame, page: str, order: str, width: int = STRETCH) -> D
     return out.withColumn("position", (F.col("_before") + F.col("_own")).cast("long")).drop("_stretch", "_page", "_part", "_own", "_before")
 
 
-def occurrence_ids(rows: DataFrame, page: str, order: str, bucket: Column | None = None) -> DataFrame:
-    """Rows with ``occurrence_id`` o0, o1, … in the order of (page, order).
+def occurrence_ids(rows: DataFrame, page: str, order: str, bucket: Column | None = None, prefix: str = "o", first: int = 0, name: str = "occurrence_id") -> DataFrame:
+    """Rows with ``occurrence_id`` o0, o1, … in the order of (page, order); requests are numbered from d1 on.
 
     Counts are summed up in two levels: over the buckets, which alone pass through one task, and
     over the pages of a bucket. ``bucket`` must grow with the page; for numeric pages it is the
@@ -60,7 +60,7 @@ def occurrence_ids(rows: DataFrame, page: str, order: str, bucket: Column | None
     inside = Window.partitionBy("_bucket").orderBy(page).rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.withColumn("_start", F.coalesce(F.sum("_n").over(inside), F.lit(0))).join(totals, "_bucket").select(page, (F.col("_start") + F.col("_base")).alias("_start"))
     out = positions(rows, page, order).join(starts, page)
-    return out.withColumn("occurrence_id", F.concat(F.lit("o"), (F.col("_start") + F.col("position")).cast("string"))).drop("_start")
+    return out.withColumn(name, F.concat(F.lit(prefix), (F.col("_start") + F.col("position") + first).cast("string"))).drop("_start")
 
 
 def fields(rows: DataFrame, key: str, weights: dict[str, tuple[str, int]]) -> DataFrame:
@@ -83,6 +83,25 @@ def mapping_runs(rows: DataFrame, key: str, body: str, source: str) -> DataFrame
     return runs.drop("_run")
 
 
+def raw_range(runs: Column, start: Column, end: Column) -> Column:
+    """The body range of a field range: struct start, end; null where no run has a part of it.
+
+    ``runs`` is an array of (field_start, field_end, body_start, body_end) in order. A run of one
+    length on both sides is cut; one whose sides differ counts whole. The first run gives the
+    start, the last one the end.
+    """
+    hit = F.filter(runs, lambda r: F.greatest(r.field_start, start) < F.least(r.field_end, end))
+
+    def part(r: Column) -> Column:
+        even = r.field_end - r.field_start == r.body_end - r.body_start
+        a = F.when(even, r.body_start + F.greatest(r.field_start, start) - r.field_start).otherwise(r.body_start)
+        b = F.when(even, r.body_start + F.least(r.field_end, end) - r.field_start).otherwise(r.body_end)
+        return F.struct(a.alias("start"), b.alias("end"))
+
+    parts = F.transform(hit, part)
+    return F.when(F.size(hit) > 0, F.struct(F.get(parts, 0).getField("start").alias("start"), F.element_at(parts, -1).getField("end").alias("end")))
+
+
 def coverage(mapped: str, total: str) -> Column:
     """``complete``, ``partial``, or ``provenance`` if nothing is mapped."""
     return F.when(F.col(mapped) == 0, "provenance").when(F.col(mapped) >= F.col(total), "complete").otherwise("partial")

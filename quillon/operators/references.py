@@ -41,6 +41,16 @@ def linked(requests: DataFrame, catalog: DataFrame, target: str = "target") -> D
     return out.withColumn("error", F.when(F.col("_page").isNull(), "page_not_selected")).drop("_page")
 
 
+def associated(named: DataFrame, inventory: DataFrame, test: str, clauses: str, clause: str) -> DataFrame:
+    """One row for each test and clause that it names, of those in the inventory: clause, test, together.
+
+    ``clauses`` is an array; ``together`` counts the test's known clauses.
+    """
+    each = named.select(test, F.explode(F.array_distinct(clauses)).alias(clause)).join(inventory.select(clause).distinct(), clause, "left_semi")
+    counts = each.groupBy(test).agg(F.count("*").alias("together"))
+    return each.join(counts, test).select(clause, test, "together")
+
+
 def reviewed(current: DataFrame, ledger: DataFrame, key: str, value: str) -> DataFrame:
     """Ledger against current values: key, state: stale, unreviewed, orphan, current."""
     c = current.select(key, F.col(value).alias("_now"), F.lit(True).alias("_c"))

@@ -47,6 +47,33 @@ def included(requests: DataFrame, files: DataFrame) -> DataFrame:
     return got.withColumns({"error": error, "markdown": F.when(error.isNull(), lines)}).drop("text", "_there")
 
 
+def included_sections(requests: DataFrame, files: DataFrame, sections: DataFrame, last_only: bool = False) -> DataFrame:
+    """Include requests (path, title_path) with ``markdown``, the section's text as it is, or ``error``.
+
+    ``title_path`` names the headings from the top down, or, with ``last_only``, only the
+    section's own title. Errors are rows: source_error, selection_not_found, selection_ambiguous.
+    """
+    titles = F.slice("title_path", -1, 1) if last_only else F.col("title_path")
+    found = sections.groupBy("path", titles.alias("title_path")).agg(F.count("*").alias("_n"), F.min_by(F.struct("start_byte", "end_byte"), "start_byte").alias("_span"))
+    got = requests.join(found, ["path", "title_path"], "left").join(files.select("path", F.col("text").alias("_text")), "path", "left")
+    error = F.when(F.col("_text").isNull(), "source_error").when(F.col("_n").isNull(), "selection_not_found").when(F.col("_n") > 1, "selection_ambiguous")
+    span = F.decode(F.substring(F.encode("_text", "UTF-8"), F.col("_span.start_byte") + 1, F.col("_span.end_byte") - F.col("_span.start_byte")), "UTF-8")
+    return got.withColumns({"error": error, "markdown": F.when(error.isNull(), span)}).drop("_n", "_span", "_text")
+
+
+def reports(inputs: DataFrame, fragments: DataFrame) -> DataFrame:
+    """Reports as Markdown: report, markdown: a heading, the plugin, its inputs, then the fragments.
+
+    inputs: owner, name, order, input; fragments: owner, name, order, markdown. A report without
+    inputs or fragments has what is there of it.
+    """
+    lines = inputs.select("owner", "name", F.lit(0).alias("_part"), "order", F.concat(F.lit("  \n> **Input**: "), t.code_span(F.col("input"))).alias("_chunk"))
+    bodies = fragments.select("owner", "name", F.lit(1).alias("_part"), "order", F.concat(F.lit("\n\n"), "markdown").alias("_chunk"))
+    both = lines.unionByName(bodies).groupBy("owner", "name").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_part", "order", "_chunk"))), lambda x: x["_chunk"]), "").alias("_rest"))
+    head = F.concat(F.lit("# Report: "), t.code_span(F.col("name")), F.lit("\n\n> **Plugin**: "), t.code_span(F.col("owner")))
+    return both.select(report_path(F.col("owner"), F.col("name")).alias("report"), F.concat(head, "_rest", F.lit("\n")).alias("markdown"))
+
+
 def substituted(text: Column, starts: Column, ends: Column, values: Column) -> Column:
     """A text with the ranges [start, end), in characters, sorted and apart, replaced by values."""
     calls = F.arrays_zip(starts.alias("s"), ends.alias("e"), values.alias("v"))

@@ -119,15 +119,16 @@ def word_postings(read):
 
 # --- records and reads --------------------------------------------------------------------------
 
-_ID = "sha256(" + " || ".join(f"octet_length(encode(coalesce({c}, '')))::VARCHAR || ':' || coalesce({c}, '')" for c in ("lang", "text")) + ")"
+_ID = "sha256(" + " || ".join(f"coalesce(octet_length(encode({c}))::VARCHAR || ':' || {c}, '-')" for c in ("lang", "text")) + ")"
+_FULL = r"regexp_matches(text, '[^\s\p{Z}\x0B\x{85}]')"
 
 
-@query(f"SELECT {_ID} AS record_id, count(*) AS n_occurrences, min(doc_id) AS first_doc_id FROM documents WHERE trim(text) <> '' GROUP BY 1")
+@query(f"SELECT {_ID} AS record_id, count(*) AS n_occurrences, min(doc_id) AS first_doc_id FROM documents WHERE {_FULL} GROUP BY 1")
 def dedupe_records(read):
     return rec.record_counts(rec.with_record_id(read("documents"), "lang", "text"), "doc_id")
 
 
-@query(f"SELECT {_ID} AS record_id, source AS page, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS position FROM documents WHERE trim(text) <> ''")
+@query(f"SELECT {_ID} AS record_id, source AS page, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS position FROM documents WHERE {_FULL}")
 def record_occurrences(read):
     rows = rec.positions(rec.with_record_id(read("documents"), "lang", "text"), "source", "doc_id")
     return rows.select("record_id", F.col("source").alias("page"), "position")
@@ -206,10 +207,9 @@ def line_count(read):
     return read("documents").select("doc_id", t.line_count(F.col("text")).cast("long").alias("lines"))
 
 
-@query("SELECT doc_id, array_to_string(string_split(text, chr(10))[2:4], chr(10)) || CASE WHEN len(string_split(text, chr(10))) > 4 THEN chr(10) ELSE '' END AS part FROM documents WHERE len(string_split(text, chr(10))) >= 4")
+@query("SELECT doc_id, coalesce(array_to_string(string_split(text, chr(10))[2:4], chr(10)), '') || CASE WHEN len(string_split(text, chr(10))) > 4 THEN chr(10) ELSE '' END AS part FROM documents")
 def line_slice(read):
-    rows = read("documents").where(t.line_count(F.col("text")) >= 4)
-    return rows.select("doc_id", t.line_slice(F.col("text"), 2, 4).alias("part"))
+    return read("documents").select("doc_id", t.line_slice(F.col("text"), 2, 4).alias("part"))
 
 
 @query("SELECT page_id, repeat('#', greatest(3, 1 + coalesce(list_max(list_transform(regexp_extract_all(html, '#+'), lambda x: length(x))), 0))::BIGINT) AS fence FROM pages")
@@ -286,7 +286,8 @@ def _directive_files(read) -> DataFrame:
  CASE o_orderstatus WHEN 'F' THEN 'include' WHEN 'O' THEN 'link' ELSE 'audit' END AS name, o_orderkey % 2 <> 0 AS inline, o_orderpriority AS positional, '1-' || (o_orderkey % 9 + 1) AS lines FROM orders""")
 def directive_requests(read):
     rows = structure.directives(_directive_files(read))
-    return rows.select("path", "line_no", "name", "inline", F.array_join(structure.positional(F.col("arguments")), ",").alias("positional"), F.element_at(structure.named(F.col("arguments")), "lines").alias("lines"))
+    rows = rows.withColumn("a", structure.once(structure.arguments(F.col("arguments"))))
+    return rows.select("path", "line_no", "name", "inline", F.array_join(F.transform("a.positional", structure.plain), ",").alias("positional"), structure.plain(F.element_at("a.named", F.lit("lines"))).alias("lines"))
 
 
 @query("""SELECT CASE o_orderstatus WHEN 'F' THEN 'core' WHEN 'O' THEN 'core' END AS owner, CASE o_orderstatus WHEN 'F' THEN 'include' WHEN 'O' THEN 'link' ELSE 'audit' END AS name,
@@ -300,10 +301,10 @@ def owner_route(read):
 # --- windows, intervals, events -----------------------------------------------------------------
 
 
-@query("SELECT n_nationkey, (row_number() OVER (PARTITION BY n_regionkey, left(n_name, 7) ORDER BY n_nationkey) - 1)::INT AS sibling FROM nation")
+@query("SELECT event_id, (row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) - 1)::BIGINT AS sibling FROM events")
 def sibling_index(read):
-    rows = read("nation").withColumn("short", F.left("n_name", F.lit(7)))
-    return structure.sibling_index(rows, "n_regionkey", "short", "n_nationkey").select("n_nationkey", "sibling")
+    e = read("events").select("event_id", F.struct("user_id", "event_type").alias("place"))
+    return rec.positions(e, "place", "event_id").select("event_id", F.col("position").alias("sibling"))
 
 
 @query("""SELECT user_id, island, event_type, count(*) AS n, min(event_id) AS first_event FROM (
@@ -425,13 +426,12 @@ def link_targets(read):
     return rows.groupBy(F.col("error").isNull().alias("known"), "error").agg(F.count("*").alias("n"))
 
 
-@query("""SELECT state, count(*) AS n FROM (SELECT CASE WHEN a.doc_id IS NULL THEN 'added' WHEN b.doc_id IS NULL THEN 'removed' WHEN a.h = b.h THEN 'same' ELSE 'changed' END AS state
- FROM (SELECT doc_id, sha256(text) AS h FROM documents WHERE doc_id % 11 <> 0) a FULL JOIN (SELECT doc_id, sha256(CASE WHEN doc_id % 7 = 0 THEN text || '!' ELSE text END) AS h FROM documents WHERE doc_id % 13 <> 0) b USING (doc_id)) GROUP BY 1""")
+@query("""SELECT state, count(*) AS n FROM (SELECT CASE WHEN a.id IS NULL THEN 'added' WHEN b.id IS NULL THEN 'removed' WHEN a.h = b.h THEN 'same' ELSE 'changed' END AS state
+ FROM (SELECT doc_id AS id, sha256(text) AS h FROM documents) a FULL JOIN (SELECT item_id AS id, sha256(text) AS h FROM benchmark) b USING (id)) GROUP BY 1""")
 def fingerprint_diff(read):
-    d = read("documents").select("doc_id", "text")
-    old = d.where("doc_id % 11 != 0").select("doc_id", F.sha2("text", 256).alias("h"))
-    new = d.where("doc_id % 13 != 0").select("doc_id", F.sha2(F.when(F.col("doc_id") % 7 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text")), 256).alias("h"))
-    return integrity.compared(old, new, ["doc_id"], ["h"]).groupBy("state").agg(F.count("*").alias("n"))
+    old = read("documents").select(F.col("doc_id").alias("id"), F.sha2("text", 256).alias("h"))
+    new = read("benchmark").select(F.col("item_id").alias("id"), F.sha2("text", 256).alias("h"))
+    return integrity.compared(old, new, ["id"], ["h"]).groupBy("state").agg(F.count("*").alias("n"))
 
 
 @query("""WITH d AS (SELECT user_id, event_type, count(*) FILTER (day = 0) AS a, count(*) FILTER (day = 1) AS b FROM (
@@ -449,10 +449,11 @@ def stale_set(read):
     return have.join(read("supplier").where("s_acctbal > 5000").select(F.col("s_nationkey").alias("nation")), "nation", "left_anti").distinct()
 
 
-@query("""SELECT n_regionkey AS region, 'left' AS side FROM (SELECT n_regionkey FROM nation EXCEPT SELECT r_regionkey FROM region WHERE r_regionkey > 0)
-UNION ALL SELECT r, 'right' FROM (SELECT r_regionkey AS r FROM region WHERE r_regionkey > 0 EXCEPT SELECT n_regionkey FROM nation WHERE n_nationkey > 0)""")
+@query("""SELECT o_orderkey AS scope, 'left' AS side FROM (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F' EXCEPT SELECT l_orderkey FROM lineitem WHERE l_linestatus = 'F')
+UNION ALL SELECT r, 'right' FROM (SELECT l_orderkey AS r FROM lineitem WHERE l_linestatus = 'F' EXCEPT SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F')""")
 def scope_equal(read):
-    return integrity.set_differences(read("nation").select(F.col("n_regionkey").alias("region")), read("region").where("r_regionkey > 0").select(F.col("r_regionkey").alias("region")), "region")
+    asked = read("orders").where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("scope"))
+    return integrity.set_differences(asked, read("lineitem").where("l_linestatus = 'F'").select(F.col("l_orderkey").alias("scope")), "scope")
 
 
 @query("SELECT o_custkey AS member FROM orders WHERE o_orderstatus = 'F' AND o_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P') UNION SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT'")
@@ -462,13 +463,13 @@ def dir_members_after(read):
 
 
 @query("""SELECT coalesce(d.doc_id, l.doc_id) AS doc_id, CASE WHEN l.doc_id IS NULL THEN 'unreviewed' WHEN d.doc_id IS NULL THEN 'orphan' WHEN d.v = l.quality THEN 'current' ELSE 'stale' END AS state
-FROM (SELECT doc_id, (n_chars > 1000)::INT AS v FROM documents WHERE doc_id % 5 <> 0) d FULL JOIN labels l USING (doc_id)""")
+FROM (SELECT doc_id, (n_chars > 1000)::INT AS v FROM documents) d FULL JOIN labels l USING (doc_id)""")
 def stale_unreviewed_orphan(read):
-    now = read("documents").where("doc_id % 5 != 0").select("doc_id", (F.col("n_chars") > 1000).cast("int").alias("quality"))
+    now = read("documents").select("doc_id", (F.col("n_chars") > 1000).cast("int").alias("quality"))
     return references.reviewed(now, read("labels"), "doc_id", "quality")
 
 
-_IDS = f"SELECT {_ID} AS id FROM documents WHERE trim(text) <> '' GROUP BY 1"
+_IDS = f"SELECT {_ID} AS id FROM documents WHERE {_FULL} GROUP BY 1"
 
 
 @query(f"SELECT sha256(string_agg(h, '' ORDER BY b)) AS snapshot, sum(n)::BIGINT AS records FROM (SELECT left(id, 2) AS b, sha256(string_agg(id, '' ORDER BY id)) AS h, count(*) AS n FROM ({_IDS}) GROUP BY 1)")
@@ -505,12 +506,13 @@ def spans_valid(read):
     return spans.join(errors, "path", "left").groupBy(F.coalesce("error", F.lit("ok")).alias("error")).agg(F.count("*").alias("n"))
 
 
-@query(f"""SELECT 'no_occurrence' AS "check", id AS subject FROM (SELECT {_ID} AS id, min(doc_id) AS m FROM documents WHERE trim(text) <> '' GROUP BY 1) WHERE m % 10 = 0""")
+@query(f"""SELECT 'no_occurrence' AS "check", id AS subject FROM (SELECT {_ID} AS id, min(doc_id) AS m FROM documents WHERE {_FULL} GROUP BY 1) WHERE m NOT IN (SELECT doc_id FROM labels)""")
 def index_validation(read):
     rows = rec.with_record_id(read("documents"), "lang", "text")
     all_records = rec.record_counts(rows, "doc_id")
     known = all_records.select("record_id", F.lit("").alias("body"), F.lit(0).alias("start_byte"), F.lit(1).alias("end_byte"))
-    some = rows.join(all_records.where("first_doc_id % 10 != 0").select("record_id"), "record_id")
+    labelled = all_records.join(read("labels").select(F.col("doc_id").alias("first_doc_id")), "first_doc_id", "left_semi")
+    some = rows.join(labelled.select("record_id"), "record_id")
     placed = rec.positions(some, "source", "doc_id").select("record_id", F.col("source").alias("page"), "position")
     return integrity.index_violations(known, placed)
 
@@ -519,10 +521,10 @@ def index_validation(read):
 
 
 @query("""SELECT 'pages/conv' || conv_id || '.md' AS page, length(m) AS chars, sha256(m) AS hash FROM (
- SELECT conv_id, string_agg('> **Source**: [`conv' || conv_id || ':L' || turn || '-L' || (turn + 1) || '`](../conv' || conv_id || '#L' || turn || ') · bytes [0,' || strlen(text) || ')' || chr(10) || chr(10) || '```' || role || chr(10) || text || CASE WHEN ends_with(text, chr(10)) THEN '' ELSE chr(10) END || '```' || chr(10) || chr(10), '' ORDER BY turn) AS m
- FROM conversations WHERE NOT contains(text, '`') GROUP BY conv_id)""")
+ SELECT conv_id, string_agg('> **Source**: [`conv' || conv_id || ':L' || turn || '-L' || (turn + 1) || '`](../conv' || conv_id || '#L' || turn || ') · bytes [0,' || strlen(text) || ')' || chr(10) || chr(10) || f || role || chr(10) || text || CASE WHEN ends_with(text, chr(10)) THEN '' ELSE chr(10) END || f || chr(10) || chr(10), '' ORDER BY turn) AS m
+ FROM (SELECT *, repeat('`', greatest(3, 1 + coalesce(list_max(list_transform(regexp_extract_all(text, '`+'), lambda x: length(x))), 0))::BIGINT) AS f FROM conversations) GROUP BY conv_id)""")
 def rendered_pages(read):
-    d = read("conversations").where(~F.col("text").contains("`"))
+    d = read("conversations")
     path = F.concat(F.lit("conv"), F.col("conv_id").cast("string"))
     line = render.provenance("Source", path, F.col("turn"), F.col("turn") + 1, F.lit(0), F.octet_length("text"), render.page_path(F.lit("p")))
     chunk = F.concat(line, F.lit("\n\n"), render.fenced_code(F.col("text"), F.col("role")), F.lit("\n\n"))
@@ -530,13 +532,13 @@ def rendered_pages(read):
     return pages.select(render.page_path(F.col("path")).alias("page"), F.length("markdown").cast("long").alias("chars"), F.sha2("markdown", 256).alias("hash"))
 
 
-@query("""SELECT doc_id, CASE WHEN doc_id % 19 = 0 THEN 'source_error' WHEN n < 3 THEN 'invalid_range' WHEN trim(m, ' ' || chr(10)) = '' THEN 'empty_selection' END AS error,
- CASE WHEN doc_id % 19 <> 0 AND n >= 3 AND trim(m, ' ' || chr(10)) <> '' THEN m END AS markdown FROM (
- SELECT doc_id, len(l) - (ends_with(text, chr(10)))::INT AS n, l[2] || chr(10) || l[3] || CASE WHEN len(l) > 3 THEN chr(10) ELSE '' END AS m FROM (SELECT *, string_split(text, chr(10)) AS l FROM documents))""")
+@query("""SELECT doc_id, CASE WHEN NOT labelled THEN 'source_error' WHEN n < 3 THEN 'invalid_range' WHEN trim(m, ' ' || chr(10)) = '' THEN 'empty_selection' END AS error,
+ CASE WHEN labelled AND n >= 3 AND trim(m, ' ' || chr(10)) <> '' THEN m END AS markdown FROM (
+ SELECT doc_id, labelled, len(l) - (ends_with(text, chr(10)))::INT AS n, l[2] || chr(10) || l[3] || CASE WHEN len(l) > 3 THEN chr(10) ELSE '' END AS m FROM (SELECT *, string_split(text, chr(10)) AS l, doc_id IN (SELECT doc_id FROM labels) AS labelled FROM documents))""")
 def include_lines(read):
     d = read("documents").select("doc_id", F.col("doc_id").cast("string").alias("path"), "text")
     asked = d.select("doc_id", "path", F.lit(2).alias("first"), F.lit(3).alias("last"))
-    return render.included(asked, d.where("doc_id % 19 != 0").select("path", "text")).select("doc_id", "error", "markdown")
+    return render.included(asked, d.join(read("labels"), "doc_id", "left_semi").select("path", "text")).select("doc_id", "error", "markdown")
 
 
 def _count_words(pdf):
@@ -565,9 +567,9 @@ def link_difference(read):
     return read("pages").select("page_id", F.array_sort(F.array_except(every('href="([^"]*)"'), every('href="(/[^"]*)"'))).alias("outside"))
 
 
-@query("""SELECT doc_id, '<' || left(text, 10) || '>' || substr(text, 11, 10) || '[' || lang || ']' || substr(text, 26) AS text FROM documents WHERE length(text) >= 30""")
+@query("""SELECT doc_id, '<' || left(text, 10) || '>' || substr(text, 11, 10) || '[' || lang || ']' || substr(text, 26) AS text FROM documents""")
 def prose_substitution(read):
-    d = read("documents").where(F.length("text") >= 30)
+    d = read("documents")
     values = F.array(F.concat(F.lit("<"), F.left("text", F.lit(10)), F.lit(">")), F.concat(F.lit("["), "lang", F.lit("]")))
     return d.select("doc_id", render.substituted(F.col("text"), F.array(F.lit(0), F.lit(20)), F.array(F.lit(10), F.lit(25)), values).alias("text"))
 
@@ -595,13 +597,13 @@ def change_relevance(read):
     return found.select("fact", F.element_at(F.split("changed", "/"), -1).cast("int").alias("changed"))
 
 
-@query("""SELECT r_name AS page, 'region ' || r_name || chr(10) || CASE WHEN m IS NULL THEN '' ELSE '# Appendix' || chr(10) || chr(10) || m || chr(10) END AS markdown FROM region LEFT JOIN (
- SELECT n_regionkey, string_agg(n_name, chr(10) || chr(10) ORDER BY n_name) AS m FROM nation WHERE n_nationkey % 4 <> 1 AND n_regionkey <> 3 GROUP BY 1) ON r_regionkey = n_regionkey""")
+@query("""SELECT 'conv' || conv_id || '.md' AS page, max(text) FILTER (turn = 0) || chr(10) || coalesce('# Appendix' || chr(10) || chr(10) || string_agg(text, chr(10) || chr(10) ORDER BY turn) FILTER (turn > 0) || chr(10), '') AS markdown
+FROM conversations GROUP BY conv_id HAVING count(*) FILTER (turn = 0) > 0""")
 def appendix_pages(read):
-    region = read("region")
-    pages = region.select(F.col("r_name").alias("page"), F.concat(F.lit("region "), "r_name", F.lit("\n")).alias("markdown"))
-    blocks = read("nation").where("n_nationkey % 4 != 1 AND n_regionkey != 3").join(region, F.col("n_regionkey") == F.col("r_regionkey"))
-    return render.with_appendix(pages, blocks.select(F.col("r_name").alias("page"), F.col("n_name").alias("plugin"), F.col("n_name").alias("markdown")))
+    page = F.concat(F.lit("conv"), F.col("conv_id").cast("string"), F.lit(".md")).alias("page")
+    turns = read("conversations")
+    pages = turns.where("turn = 0").select(page, F.concat("text", F.lit("\n")).alias("markdown"))
+    return render.with_appendix(pages, turns.where("turn > 0").select(page, F.col("turn").alias("plugin"), F.col("text").alias("markdown")))
 
 
 @query("""SELECT l_orderkey, min_by(l_returnflag, l_linenumber) FILTER (l_returnflag <> 'N') AS error, count(*) AS nodes FROM (SELECT DISTINCT l_orderkey, l_linenumber, max(l_returnflag) AS l_returnflag FROM lineitem GROUP BY 1, 2) GROUP BY 1""")
@@ -618,20 +620,36 @@ def publication_gate(read):
     return render.gate(failed, reports, read("supplier").where("s_acctbal > 3000").select(F.col("s_nationkey").alias("page")))
 
 
-@query("""SELECT user_id AS path, CASE WHEN n = 1 THEN v END AS node, CASE WHEN n IS NULL THEN 'selection_not_found' WHEN n > 1 THEN 'selection_ambiguous' END AS error FROM (SELECT DISTINCT user_id FROM events) LEFT JOIN (
- SELECT user_id, count(*) AS n, min(event_id) AS v FROM events WHERE event_type = 'signup' AND event_id % 40 = 0 GROUP BY 1) USING (user_id)""")
+def _section_tree(read) -> DataFrame:
+    """Sections of the conversations' pages as a tree: their titles name them."""
+    rows = structure.sections(_conversation_pages(read))
+    return rows.select("path", F.col("section_no").alias("node"), F.col("parent_no").alias("parent"), F.col("title").alias("name"), "start_byte")
+
+
+_TREE = f"""c AS (SELECT {_MD} AS path, (row_number() OVER (PARTITION BY conv_id ORDER BY turn))::INT AS node, turn, role, turn % 3 + 1 AS level FROM conversations),
+t AS (SELECT *, (SELECT max(x.node) FROM c x WHERE x.path = c.path AND x.turn < c.turn AND x.level < c.level) AS parent FROM c)"""
+
+
+@query(f"WITH {_TREE} SELECT path, node, parent::INT AS parent FROM t")
+def section_tree(read):
+    return _section_tree(read).select("path", "node", F.col("parent").cast("int").alias("parent"))
+
+
+@query(f"""WITH {_TREE}, a AS (SELECT path, count(*) AS n, min(node) AS v FROM t WHERE parent IS NULL AND role = 'user' GROUP BY 1),
+b AS (SELECT t.path, count(*) AS n, min(t.node) AS v FROM t JOIN a ON t.path = a.path AND a.n = 1 AND t.parent = a.v WHERE t.role = 'assistant' GROUP BY 1)
+SELECT p.path, CASE WHEN b.n = 1 THEN b.v END AS node, CASE WHEN a.n IS NULL THEN 'selection_not_found' WHEN a.n > 1 THEN 'selection_ambiguous' WHEN b.n IS NULL THEN 'selection_not_found' WHEN b.n > 1 THEN 'selection_ambiguous' END AS error
+FROM (SELECT DISTINCT path FROM t) p LEFT JOIN a USING (path) LEFT JOIN b USING (path)""")
 def tree_select(read):
-    e = read("events")
-    tree = e.select(F.col("user_id").alias("path"), F.col("event_id").alias("node"), F.lit(None).cast("long").alias("parent"), F.when((F.col("event_type") == "signup") & (F.col("event_id") % 40 == 0), "signup").otherwise("other").alias("name"), F.col("event_id").alias("start_byte"))
-    return structure.selected(tree, ["signup"])
+    return structure.selected(_section_tree(read), structure.path_steps("user.assistant"))
 
 
-@query("""SELECT user_id AS path, v AS node, CASE WHEN n IS NULL THEN 'selection_not_found' WHEN v IS NULL THEN 'selection_out_of_bounds' END AS error FROM (SELECT DISTINCT user_id FROM events) LEFT JOIN (
- SELECT user_id, count(*) AS n, max(event_id) FILTER (i = 2) AS v FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS i FROM events WHERE event_type = 'signup' AND event_id % 10 = 0) GROUP BY 1) USING (user_id)""")
+@query(f"""WITH {_TREE}, a AS (SELECT path, node, row_number() OVER (PARTITION BY path ORDER BY node) - 1 AS i, count(*) OVER (PARTITION BY path) AS n FROM t WHERE parent IS NULL AND role = 'user'),
+x AS (SELECT path, max(n) AS n, max(node) FILTER (i = 1) AS v FROM a GROUP BY 1),
+b AS (SELECT t.path, count(*) AS n, min(t.node) AS v FROM t JOIN x ON t.path = x.path AND t.parent = x.v WHERE t.role = 'assistant' GROUP BY 1)
+SELECT p.path, CASE WHEN b.n IS NOT NULL THEN b.v END AS node, CASE WHEN x.n IS NULL THEN 'selection_not_found' WHEN x.v IS NULL THEN 'selection_out_of_bounds' WHEN b.n IS NULL THEN 'selection_not_found' END AS error
+FROM (SELECT DISTINCT path FROM t) p LEFT JOIN x USING (path) LEFT JOIN b USING (path)""")
 def tree_select_number(read):
-    e = read("events")
-    tree = e.select(F.col("user_id").alias("path"), F.col("event_id").alias("node"), F.lit(None).cast("long").alias("parent"), F.when((F.col("event_type") == "signup") & (F.col("event_id") % 10 == 0), "signup").otherwise("other").alias("name"), F.col("event_id").alias("start_byte"))
-    return structure.selected(tree, ["signup", 2])
+    return structure.selected(_section_tree(read), structure.path_steps('["user", 1, "assistant", 0]'))
 
 
 @query("""SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN '../' || source || '/d%20' || doc_id || '.md' ELSE 'd%20' || doc_id || '.md' END AS url FROM documents""")

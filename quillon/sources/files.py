@@ -28,6 +28,19 @@ def excluded(path: Column, prefixes: tuple[str, ...] = (), output: str | None =
     return out
 
 
+def select_inputs(found: DataFrame, explicit: DataFrame, prefixes: tuple[str, ...] = (), output: str | None = None) -> DataFrame:
+    """Inputs, each once: path, error. Both tables have ``path``.
+
+    What a listing found is taken if its path is valid, its suffix supported, and nothing excludes
+    it; the rest is passed over. What is named explicitly is never passed over: it has ``error``
+    invalid_path or unsupported_file instead.
+    """
+    valid, known = valid_path(F.col("path")), language(F.col("path")).isNotNull()
+    named = explicit.select("path", F.when(~valid, "invalid_path").when(~known, "unsupported_file").alias("error"))
+    listed = found.where(valid & known & ~excluded(F.col("path"), prefixes, output)).select("path", F.lit(None).cast("string").alias("error"))
+    return listed.unionByName(named).groupBy("path").agg(F.max("error").alias("error"))
+
+
 def scan(spark: SparkSession, root: str, prefixes: tuple[str, ...] = (), output: str | None = None, pattern: str = "*") -> DataFrame:
     """Supported files below a root: path, content, n_bytes, sha256. Spark lists and reads them where they lie."""
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(root)
@@ -41,12 +54,24 @@ def scan(spark: SparkSession, root: str, prefixes: tuple[str, ...] = (), output:
 def decoded(files: DataFrame) -> DataFrame:
     """Files with ``text`` or ``error``: invalid_utf8, byte_order_mark, nul."""
     text = F.try_validate_utf8(F.decode("content", "UTF-8"))
+    raw = F.col("content").cast("string")
     error = (
         F.when(F.substring("content", 1, 3) == F.lit(b"\xef\xbb\xbf"), "byte_order_mark")
-        .when(~F.is_valid_utf8(F.col("content").cast("string")), "invalid_utf8")
-        .when(F.col("content").cast("string").contains("\x00"), "nul")
+        .when(~F.is_valid_utf8(raw), "invalid_utf8")
+        .when(raw.contains("\x00"), "nul")
     )
-    return files.withColumn("error", error).withColumn("text", F.when(F.col("error").isNull(), text))
+    # What isn't valid is replaced by U+FFFD; from the first one on, the bytes differ.
+    before = F.when(F.col("error") == "nul", F.substring_index(raw, "\x00", 1)).when(F.col("error") == "invalid_utf8", _valid_prefix(raw)).when(F.col("error").isNotNull(), F.lit(""))
+    return files.withColumn("error", error).withColumns({"text": F.when(F.col("error").isNull(), text), "error_byte": F.octet_length(before), "error_line": F.length(before) - F.length(F.replace(before, F.lit("\n"), F.lit(""))) + 1})
+
+
+def _valid_prefix(raw: Column) -> Column:
+    """The characters before the first byte that is no UTF-8."""
+    parts = F.split(F.make_valid_utf8(raw), "\ufffd")
+    # A part ends at a real U+FFFD as long as the bytes up to there are the same.
+    upto = lambda i: F.array_join(F.slice(parts, 1, i), "\ufffd")
+    same = F.filter(F.sequence(F.lit(1), F.size(parts)), lambda i: F.substring(F.col("content"), F.lit(1), F.octet_length(upto(i))) == F.encode(upto(i), "UTF-8"))
+    return upto(F.array_max(same))
 
 
 def settings(text: str) -> dict:
