@@ -1,11 +1,15 @@
 """Text structure by lines: sections, comment and code segments, directives, page text.
 
-Lines are exploded with their byte offsets, and state that runs down a file, such as open fences
-or comments, is a running window over its lines. A file's lines meet in one task; files don't.
+Fences are folded in the file's row. Lines are exploded with their byte offsets, and other state
+that runs down a file, such as an open comment, is a running window over its lines. A file's lines
+meet in one task; files don't.
 """
 
 from __future__ import annotations
 
+import json
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,23 +38,33 @@ def language(path: Column) -> Column:
 
 
 def lines(files: DataFrame, key: str = "path", text: str = "text") -> DataFrame:
-    """Lines with their ends: key, line_no (from 1), line, start_byte, end_byte."""
-    each = files.select(key, F.posexplode(F.split(text, r"(?<=\n)")).alias("_i", "line")).where("line != ''")
+    """Lines with their ends: key, line_no (from 1), line, start_byte, end_byte, in_code.
+
+    in_code: inside a fenced block or on its fences. Fences are found in the file's row, so the
+    only shuffle is that of the running sum of bytes.
+    """
+    files = files.select(key, text, once(fences(F.col(text)).getField("blocks")).alias("_blocks"))
+    each = files.select(key, "_blocks", F.posexplode(F.split(text, r"(?<=\n)")).alias("_i", "line")).where("line != ''")
+    each = each.select(key, "_i", "line", F.exists("_blocks", lambda b: (F.col("_i") + 1).between(b.first, b.last)).alias("in_code"))
     w = Window.partitionBy(key).orderBy("_i")
     each = each.withColumn("end_byte", F.sum(F.octet_length("line")).over(w).cast("long"))
-    return each.select(key, (F.col("_i") + 1).alias("line_no"), "line", (F.col("end_byte") - F.octet_length("line")).alias("start_byte"), "end_byte")
+    return each.select(key, (F.col("_i") + 1).alias("line_no"), "line", (F.col("end_byte") - F.octet_length("line")).alias("start_byte"), "end_byte", "in_code")
+
+
+def once(value: Column) -> Column:
+    """The value as a generator's only row, so that it isn't computed again wherever it is used."""
+    return F.explode(F.array(value))
 
 
-def fences(rows: DataFrame, key: str = "path") -> DataFrame:
-    """Fenced blocks of the files whose lines are given: key, blocks (first and last line), open_line.
+def fences(text: Column) -> Column:
+    """Fenced blocks of a text: struct blocks (first and last line), open_line; in the row.
 
     A block is closed by a line that is only a fence of its character and at least its length;
     other fences within are text. open_line is that of a block that nothing closes, which goes
-    on to the end. Only fence lines are gathered, file by file, and folded in order.
+    on to the end; null if there is none.
     """
-    mark = F.regexp_extract("line", FENCE, 1)
-    marks = rows.select(key, "line_no", mark.alias("mark"), F.col("line").rlike(FENCE + r"[ \t]*\r?\n?$").alias("bare")).where("mark != ''")
-    lists = marks.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("line_no", "mark", "bare"))).alias("marks"))
+    mark = lambda line, i: F.struct((i + 1).alias("line_no"), F.regexp_extract(line, FENCE, 1).alias("mark"), line.rlike(FENCE + r"[ \t]*\r?\n?$").alias("bare"))
+    marks = F.when(text.rlike(r"(?m)" + FENCE), F.filter(F.transform(F.split(text, r"(?<=\n)"), mark), lambda m: m.mark != ""))
     block = "array<struct<first:int,last:int>>"
     start = F.struct(F.lit("").alias("open"), F.lit(0).alias("at"), F.array().cast(block).alias("blocks"))
 
@@ -60,29 +74,25 @@ def fences(rows: DataFrame, key: str = "path") -> DataFrame:
         closed = F.struct(F.lit("").alias("open"), F.lit(0).alias("at"), F.concat(acc.blocks, F.array(F.struct(acc.at.alias("first"), m.line_no.cast("int").alias("last")))).alias("blocks"))
         return F.when(acc.open == "", opened).when(closes, closed).otherwise(acc)
 
-    done = lists.select(key, F.explode(F.array(F.aggregate("marks", start, fold))).alias("x"))
-    rest = F.array(F.struct(F.col("x.at").alias("first"), F.lit((1 << 31) - 1).alias("last"))).cast(block)
-    is_open = F.col("x.open") != ""
-    return done.select(key, F.when(is_open, F.concat("x.blocks", rest)).otherwise(F.col("x.blocks")).alias("blocks"), F.when(is_open, F.col("x.at")).alias("open_line"))
+    def end(acc: Column) -> Column:
+        rest = F.array(F.struct(acc.at.alias("first"), F.lit((1 << 31) - 1).alias("last"))).cast(block)
+        is_open = acc.open != ""
+        return F.struct(F.when(is_open, F.concat(acc.blocks, rest)).otherwise(acc.blocks).alias("blocks"), F.when(is_open, acc.at).alias("open_line"))
 
-
-def fenced(rows: DataFrame, key: str = "path") -> DataFrame:
-    """Lines with ``in_code``: inside a fenced block or on its fences."""
-    got = rows.join(fences(rows, key).select(F.col(key).alias("_key"), "blocks"), F.col(key) == F.col("_key"), "left")
-    inside = F.exists("blocks", lambda b: F.col("line_no").between(b.first, b.last))
-    return got.withColumn("in_code", F.coalesce(inside, F.lit(False))).drop("blocks", "_key")
+    return F.aggregate(F.coalesce(marks, F.array().cast("array<struct<line_no:int,mark:string,bare:boolean>>")), start, fold, end)
 
 
 def sections(files: DataFrame, key: str = "path", text: str = "text") -> DataFrame:
-    """Sections by headings: key, section_no, title, anchor, level, start_byte, end_byte, title_path.
+    """Sections by headings: key, section_no, parent_no, title, anchor, level, start_byte, end_byte, title_path.
 
     A section ends where the next heading of its level or a higher one begins. An anchor on the
-    line before belongs to it. title_path lists the headings above, itself last.
+    line before belongs to it. title_path lists the headings above, itself last; parent_no is the
+    last heading before of a smaller level, null at the top.
     """
     own = lines(files, key, text)
     total = Window.partitionBy(key)
     w = total.orderBy("line_no")
-    rows = fenced(own, key).withColumns({"_end": F.max("end_byte").over(total), "_before": F.lag("line").over(w), "_from": F.lag("start_byte").over(w)})
+    rows = own.withColumns({"_end": F.max("end_byte").over(total), "_before": F.lag("line").over(w), "_from": F.lag("start_byte").over(w)})
     hashes = F.regexp_extract("line", HEADING, 1)
     rows = rows.where(~F.col("in_code") & (hashes != ""))
     anchor = F.regexp_extract("_before", ANCHOR, 1)
@@ -93,15 +103,17 @@ def sections(files: DataFrame, key: str = "path", text: str = "text") -> DataFra
     at = Window.partitionBy(key).orderBy("start_byte")
     after, upto = at.rowsBetween(1, Window.unboundedFollowing), at.rowsBetween(Window.unboundedPreceding, 0)
     ends = [F.first(F.when(F.col("level") <= k, F.col("start_byte")), ignorenulls=True).over(after) for k in range(1, 7)]
-    last = [F.last(F.when(F.col("level") == k, F.struct("start_byte", "title")), ignorenulls=True).over(upto).alias(f"_l{k}") for k in range(1, 7)]
-    rows = rows.select("*", F.row_number().over(at).alias("section_no"), F.element_at(F.array(*ends), F.col("level")).alias("_next"), *last)
+    rows = rows.withColumn("section_no", F.row_number().over(at))
+    last = [F.last(F.when(F.col("level") == k, F.struct("start_byte", "title", "section_no")), ignorenulls=True).over(upto).alias(f"_l{k}") for k in range(1, 7)]
+    rows = rows.select("*", F.element_at(F.array(*ends), F.col("level")).alias("_next"), *last)
     above = []
     for k in range(1, 7):
         newer = F.lit(True)
         for j in range(1, k):
             newer = newer & (F.coalesce(F.col(f"_l{j}.start_byte"), F.lit(-1)) < F.col(f"_l{k}.start_byte"))
         above.append(F.when((F.col("level") >= k) & newer, F.col(f"_l{k}.title")))
-    return rows.select(key, "section_no", "title", "anchor", "level", "start_byte", F.coalesce("_next", "_end").alias("end_byte"), F.array_compact(F.array(*above)).alias("title_path"))
+    parent = F.array_max(F.array(*(F.when(F.col("level") > k, F.col(f"_l{k}.section_no")) for k in range(1, 6))))
+    return rows.select(key, "section_no", parent.alias("parent_no"), "title", "anchor", "level", "start_byte", F.coalesce("_next", "_end").alias("end_byte"), F.array_compact(F.array(*above)).alias("title_path"))
 
 
 def segments(files: DataFrame, key: str = "path", text: str = "text") -> DataFrame:
@@ -122,7 +134,10 @@ def segments(files: DataFrame, key: str = "path", text: str = "text") -> DataFra
     closes = F.coalesce(F.rtrim("_bare").endswith(F.col("_m3")), F.lit(False))
     # The last line that opened or closed a comment says whether this one is inside.
     edge = F.last(F.when(closes, F.lit(0)).when(opens, F.lit(1)), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    rows = rows.withColumn("_inside", F.coalesce(edge, F.lit(0)) == 1)
+    # OCaml's comments nest: what is open before a line is counted.
+    times = lambda mark: (F.length("line") - F.length(F.replace("line", F.lit(mark), F.lit("")))) / 2
+    depth = F.sum(times("(*") - times("*)")).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    rows = rows.withColumn("_inside", F.when(F.col("_m2") == "(*", F.coalesce(depth, F.lit(0)) > 0).otherwise(F.coalesce(edge, F.lit(0)) == 1))
     block = F.col("_inside") | (opens & (closes | ~F.col("_bare").contains(F.col("_m3"))))
     line = ~F.col("_inside") & F.coalesce(F.col("_bare").startswith(F.col("_m1")), F.lit(False)) & ~(F.col("_bare").startswith("#!") & (F.col("line_no") == 1))
     kind = F.when(F.col("_s") == "md", "prose").when(block | line, "prose").when(F.trim("_body") == "", "layout").otherwise("code")
@@ -145,7 +160,7 @@ def directives(files: DataFrame, key: str = "path", text: str = "text") -> DataF
     One alone on its line, at most three spaces in, is a block; others are inline, unless a
     backslash or a code span holds them. Files without an opening tag aren't cut into lines.
     """
-    rows = fenced(lines(files.where(F.col(text).contains("{%")), key, text), key).where(~F.col("in_code") & F.col("line").contains("{%"))
+    rows = lines(files.where(F.col(text).contains("{%")), key, text).where(~F.col("in_code") & F.col("line").contains("{%"))
     plain = F.regexp_replace(F.regexp_replace("line", r"\\\{%", "  "), r"(`+)(?!`).*?[^`]\1(?!`)", " ")
     alone = F.col("line").rlike(rf"^ {{0,3}}{DIRECTIVE}[ \t]*\r?\n?$")
     tags = F.arrays_zip(F.regexp_extract_all(plain, F.lit(DIRECTIVE), F.lit(1)).alias("name"), F.regexp_extract_all(plain, F.lit(DIRECTIVE), F.lit(2)).alias("arguments"))
@@ -154,17 +169,70 @@ def directives(files: DataFrame, key: str = "path", text: str = "text") -> DataF
     return rows.select(key, "line_no", F.col("t.name").alias("name"), F.trim("t.arguments").alias("arguments"), (~F.col("_alone")).alias("inline"), number.alias("request_no"))
 
 
-def positional(arguments: Column) -> Column:
-    """Quoted values of a directive that have no name before them."""
-    return F.regexp_extract_all(F.regexp_replace(arguments, r"""[a-z_][a-z0-9_-]*=("[^"]*"|'[^']*'|\S+)""", " "), F.lit(r"""["']([^"']*)["']"""), F.lit(1))
+#: A name and equals sign, if any, and a value: a JSON string, one in single quotes, a JSON array, or a bare scalar.
+ARGUMENT = r"""(?<![^ \t])(?:([a-z][a-z0-9_-]*)[ \t]*=[ \t]*)?("(?:[^"\\]|\\.)*"|'(?:[^'\\]|\\['\\])*'|\[(?:[^\[\]"]|"(?:[^"\\]|\\.)*"|\[[^\[\]]*\])*\]|[^\s"'\[\]=]+)(?![^ \t])"""
+NUMBER = r"-?(?:0|[1-9][0-9]*)(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?"
+SAFE = float((1 << 53) - 1)
+
 
+def arguments(text: Column) -> Column:
+    """A directive's arguments: struct positional (array), named (map), error; values are JSON text, null without error.
 
-def named(arguments: Column) -> Column:
-    """Map of a directive's named values; the map functions refuse a name that comes twice."""
-    pattern = r"""([a-z_][a-z0-9_-]*)=(?:"([^"]*)"|'([^']*)'|(\S+))"""
-    got = lambda i: F.regexp_extract_all(arguments, F.lit(pattern), F.lit(i))
-    pairs = F.arrays_zip(got(1).alias("k"), got(2).alias("a"), got(3).alias("b"), got(4).alias("c"))
-    return F.map_from_entries(F.transform(pairs, lambda p: F.struct(p.k.alias("key"), F.concat(p.a, p.b, p.c).alias("value"))))
+    Strings come as JSON strings, whatever their quotes; scalars are numbers, booleans and null.
+    Errors: invalid_arguments (what is no argument, a bare word, a number that doesn't carry over,
+    a string or array that is no JSON), positional_after_named, duplicate_argument. With an error,
+    there are no arguments.
+    """
+    names, values = (F.regexp_extract_all(text, F.lit(ARGUMENT), F.lit(i)) for i in (1, 2))
+    inner = lambda v: F.substring(v, F.lit(2), F.length(v) - 2)
+    single = lambda v: F.to_json(F.struct(F.regexp_replace(inner(v), r"\\(['\\])", "$1").alias("v")))
+    as_json = lambda v: F.when(v.startswith("'"), F.regexp_replace(single(v), r'^\{"v":|\}$', "")).otherwise(v)
+
+    def legal(v: Column) -> Column:
+        number = v.cast("double")
+        scalar = v.isin("true", "false", "null") | (v.rlike(f"^{NUMBER}$") & (F.abs(number) < float("inf")) & ((number != F.floor(number)) | (F.abs(number) <= SAFE)))
+        return F.when(v.rlike("^'"), ~v.rlike(r"[\x00-\x1f]")).when(v.rlike(r'^["\[]'), F.try_parse_json(v).isNotNull()).otherwise(scalar)
+
+    pairs = F.arrays_zip(names.alias("key"), values.alias("value"))
+    named, bare = F.filter(pairs, lambda p: p.key != ""), F.filter(pairs, lambda p: p.key == "")
+    rest = F.regexp_replace(text, ARGUMENT, "")
+    late = F.exists(F.transform(pairs, lambda p, i: (p.key == "") & F.exists(F.slice(names, 1, i), lambda n: n != "")), lambda x: x)
+    keys = F.transform(named, lambda p: p.key)
+    error = (
+        F.when(rest.rlike(r"[^ \t]") | ~F.forall(values, legal), "invalid_arguments")
+        .when(F.coalesce(late, F.lit(False)), "positional_after_named")
+        .when(F.size(F.array_distinct(keys)) < F.size(keys), "duplicate_argument")
+    )
+    ok = error.isNull()
+    once = F.filter(named, lambda p: ok)
+    return F.struct(
+        F.when(ok, F.transform(bare, lambda p: as_json(p.value))).alias("positional"),
+        F.when(ok, F.map_from_entries(F.transform(once, lambda p: F.struct(p.key.alias("key"), as_json(p.value).alias("value"))))).alias("named"),
+        error.alias("error"),
+    )
+
+
+def plain(value: Column) -> Column:
+    """The text of a JSON string; other values as they are."""
+    return F.when(value.startswith('"'), F.get_json_object(F.concat(F.lit("["), value, F.lit("]")), "$[0]")).otherwise(value)
+
+
+def path_steps(path: str) -> list[str | int]:
+    """Steps of a path expression, ``a.b.0`` or ``["a", 0, "b"]``: names, each with a number after it or none.
+
+    ValueError if it is empty, begins with a number, has two numbers in a row, or one that isn't
+    a whole number from 0 to 2^53 - 1.
+    """
+    parts = json.loads(path) if path.startswith("[") else [int(x) if re.fullmatch("[0-9]+", x) else x for x in path.split(".")]
+    steps: list[str | int] = []
+    for x in parts:
+        number = isinstance(x, int | float) and not isinstance(x, bool)
+        if number and (x != int(x) or not 0 <= x < 1 << 53 or not steps or isinstance(steps[-1], int)) or not number and (not isinstance(x, str) or not x and not path.startswith("[")):
+            raise ValueError(f"invalid_arguments: {path!r} is no path")
+        steps.append(int(x) if number else x)
+    if not steps:
+        raise ValueError("invalid_arguments: an empty path")
+    return steps
 
 
 def visible_text(html: Column) -> Column:
@@ -199,7 +267,7 @@ def leaves(files: DataFrame, key: str = "path", text: str = "text") -> DataFrame
     Leaves are runs of lines that aren't blank; a fenced block is one, a heading too. Lines that
     are only anchors belong to no leaf.
     """
-    rows = fenced(lines(files, key, text), key)
+    rows = lines(files, key, text)
     w = Window.partitionBy(key).orderBy("line_no")
     heading = ~F.col("in_code") & F.col("line").rlike(HEADING)
     blank = ~F.col("in_code") & (F.trim(F.regexp_replace("line", r"\s", "")).eqNullSafe("") | F.col("line").rlike(ANCHOR))
@@ -212,7 +280,7 @@ def leaves(files: DataFrame, key: str = "path", text: str = "text") -> DataFrame
 
 def open_fences(files: DataFrame, key: str = "path", text: str = "text") -> DataFrame:
     """Markdown whose last fence isn't closed: key, line_no of that fence."""
-    return fences(lines(files, key, text), key).where("open_line IS NOT NULL").select(key, F.col("open_line").alias("line_no"))
+    return files.select(key, once(fences(F.col(text)).getField("open_line")).alias("line_no")).where("line_no IS NOT NULL")
 
 
 def selected(tree: DataFrame, steps: list[str | int], key: str = "path") -> DataFrame:
