@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -35,7 +37,13 @@ class Engine:
 
     def files(self) -> DataFrame:
         prefixes = tuple(self.settings.get("inputs", {}).get("exclude", []))
-        return src.decoded(src.scan(self.spark, self.source, prefixes))
+        return src.decoded(src.scan(self.spark, self.source, prefixes, self._inside()))
+
+    def _inside(self) -> str | None:
+        """The output folder as a path below the source, if it is: what is generated there is no input."""
+        bare = lambda p: re.sub(r"^\w+:(//)?(?=/)", "", p)
+        source, output = bare(self.source), bare(self.output)
+        return output.removeprefix(source + "/") if output.startswith(source + "/") else None
 
     def rows(self, files: DataFrame) -> DataFrame:
         """Every leaf and segment of the files: path, seq, kind, title, body, identifiers, start_byte, end_byte, error.
@@ -50,9 +58,9 @@ class Engine:
             titles.select(F.col("_path").alias("path"), F.col("_start").alias("start_byte"), F.lit(0).alias("_k"), F.lit(None).cast(leaves.select(F.struct("kind", "text", "end_byte")).schema[0].dataType).alias("leaf"), F.col("title").alias("_t"))
         )
         both = both.withColumn("title", intervals.latest_before(both, "path", ["start_byte", "_k"], F.col("_t"))).where("leaf IS NOT NULL")
-        prose = both.select("path", "start_byte", F.col("leaf.end_byte").alias("end_byte"), F.lit("prose").alias("kind"), "title", F.col("leaf.text").alias("body"), F.lit(None).cast("string").alias("identifiers"))
+        prose = both.select("path", "start_byte", F.col("leaf.end_byte").alias("end_byte"), F.lit("prose").alias("kind"), "title", F.col("leaf.text").alias("body"), F.lit(None).cast("array<string>").alias("identifiers"))
         parts = structure.segments(code).where("kind != 'layout'")
-        identifiers = F.when(F.col("kind") == "code", F.array_join(F.array_distinct(t.words(F.col("text"))), " "))
+        identifiers = F.when(F.col("kind") == "code", F.array_distinct(t.words(F.col("text"))))
         parts = parts.select("path", "start_byte", "end_byte", "kind", F.lit(None).cast("string").alias("title"), F.col("text").alias("body"), identifiers.alias("identifiers"))
         return records.positions(records.with_record_id(prose.unionByName(parts), "kind", "path", "body"), "path", "start_byte")
 
@@ -79,15 +87,41 @@ class Engine:
             raise Stale("stale: build again, or search the snapshot as it is")
 
     def search(self, query: str, path: str | None = None, limit: int = 10, snapshot: bool = False) -> DataFrame:
-        """Hits: handle, kind, path, title, snippet, terms, term_count, exact, score."""
+        """Hits: handle, kind, path, title, snippet, matches, terms, term_count, exact, score."""
+        rows = self._asked(query, path, limit, snapshot)
+        found = search.search(rows, COLUMNS, query, limit, None, ties=("path", "position", "record_id"))
+        terms = t.query_terms(query)
+        at = F.array_min(F.array(*(t.first_hit(F.col("body"), x) for x in terms))) if terms else F.lit(None).cast("int")
+        found = search.matched(found, COLUMNS, query)
+        return found.select("handle", "kind", "path", "title", t.snippet(F.col("body"), at).alias("snippet"), "matches", "terms", "term_count", "exact", "score")
+
+    def answer(self, query: str, path: str | None = None, limit: int = 10, snapshot: bool = False) -> dict:
+        """The whole answer: snapshot, freshness, query_terms, total_matches, returned, truncated, hits (rows, at most ``limit``)."""
+        total = search.scored(self._asked(query, path, limit, snapshot), COLUMNS, query).count()
+        hits = self.search(query, path, limit, snapshot=True).collect()
+        return {
+            "snapshot": snapshots.current(self.spark, self.output), "freshness": "unchecked" if snapshot else "matched", "query_terms": t.query_terms(query),
+            "total_matches": total, "returned": len(hits), "truncated": total > len(hits), "hits": hits,
+        }
+
+    def _asked(self, query: str, path: str | None, limit: int, snapshot: bool) -> DataFrame:
         search.check_query(query, limit)
         if not snapshot:
             self.check_fresh()
         rows = snapshots.table(self.spark, self.output, "records")
-        found = search.search(rows, COLUMNS, query, limit, path, ties=("path", "position", "record_id"))
-        terms = t.query_terms(query)
-        at = F.array_min(F.array(*(t.first_hit(F.col("body"), x) for x in terms))) if terms else F.lit(None).cast("int")
-        return found.select("handle", "kind", "path", "title", t.snippet(F.col("body"), at).alias("snippet"), "terms", "term_count", "exact", "score")
+        return rows if path is None else rows.where(t.under(F.col("path"), path))
+
+    def occurrences(self, handle: str, cursor: str | None = None) -> DataFrame:
+        """A page of five of a record's places: path, position, start_byte, end_byte, total, next_cursor."""
+        snapshot = snapshots.current(self.spark, self.output)
+        record, name, offset = read_cursor(cursor, snapshot) if cursor else (handle, "occurrences", 0)
+        if record != handle or name != "occurrences":
+            raise ValueError("the cursor belongs to another list")
+        rows = snapshots.table(self.spark, self.output, "records", snapshot).where(F.col("handle") == handle)
+        page = search.cursor_page(rows, "handle", ["path", "position"], snapshot, name, offset)
+        if not page.head(1):
+            raise ValueError("no such page")
+        return page.select("path", "position", "start_byte", "end_byte", "total", "next_cursor").orderBy("path", "position")
 
     def read(self, handle: str, offset: int = 0, context: int = 0) -> DataFrame:
         """A record's body from a byte offset on and, with ``context``, its neighbours on the page."""
@@ -113,8 +147,12 @@ class Engine:
         size = F.col("end_byte") - F.col("start_byte")
         return out.select("path", "title", "start_byte", "end_byte", F.decode(F.substring(F.encode("text", "UTF-8"), F.col("start_byte") + 1, size), "UTF-8").alias("body"))
 
-    def stream(self, output: str, checkpoint: str, once: bool = True) -> StreamingQuery:
-        """Follow the source tree: each batch of new files replaces their fingerprints in the snapshot under ``output``."""
-        path = F.regexp_replace("path", r"^\w+:(//)?(?=/)", "")
-        build = lambda batch: batch.groupBy(path.alias("file")).agg(F.max_by(F.sha2("content", 256), "modificationTime").alias("sha256"))
-        return watch.follow(watch.file_changes(self.spark, self.source), output, build, "file", ["sha256"], checkpoint, once)
+    def stream(self, output: str, once: bool = True) -> StreamingQuery | DataFrame | None:
+        """Keep the files' fingerprints under ``output`` current: new, edited and removed files.
+
+        Once: what changed, None if nothing did. Else a query that compares again every second.
+        """
+        listing = lambda: self.files().select("path", "sha256", "n_bytes")
+        if once:
+            return watch.refresh(self.spark, output, listing, "path", ["sha256"])
+        return watch.follow_listing(self.spark, output, listing, "path", ["sha256"])

@@ -18,7 +18,7 @@ WORD = rf"[{HAN}]+|[\p{{L}}\p{{N}}_&&[^{HAN}]]+"
 #: A character that belongs to a word other than a Han one.
 EDGE = rf"[\p{{L}}\p{{N}}_&&[^{HAN}]]"
 SNIPPET, BEFORE = 240, 80
-_TO_LOWER = str.maketrans(UPPER, LOWER)
+_TO_LOWER, _TO_UPPER = str.maketrans(UPPER, LOWER), str.maketrans(LOWER, UPPER)
 
 
 def ascii_lower(text: Column) -> Column:
@@ -80,6 +80,23 @@ def first_hit(text: Column, term: str) -> Column:
     return F.when(text.rlike(pattern), F.length(F.get(F.split(text, pattern, 2), 0)))
 
 
+def first_range(text: Column, term: str) -> Column:
+    """Where a term first matches a field: struct start, end; null if it doesn't, see `matches`.
+
+    A whole field or word comes before an identifier's part. A part is lower case, capitalized, or
+    all capitals, between changes of case or kind.
+    """
+    if "/" in term:
+        return F.when(ascii_lower(text) == term, F.struct(F.lit(0).alias("start"), F.length(text).alias("end")))
+    at = first_hit(text, term)
+    if not re.match(f"[{HAN}]", term):
+        inner = rf"[\p{{L}}\p{{N}}&&[^{HAN}]]"
+        forms = "|".join(sorted({re.escape(x) for x in (term, term[:1].translate(_TO_UPPER) + term[1:], term.translate(_TO_UPPER))}))
+        pattern = rf"(?:(?<!{inner})|(?<=[a-z0-9])(?=[A-Z])|(?<=[^ ])(?=[A-Z][a-z]))(?:{forms})(?:(?!{inner})|(?<=[a-z0-9])(?=[A-Z])|(?=[A-Z][a-z]))"
+        at = F.coalesce(at, F.when(text.rlike(pattern), F.length(F.get(F.split(text, pattern, 2), 0))))
+    return F.when(at.isNotNull(), F.struct(at.alias("start"), (at + len(term)).alias("end")))
+
+
 def snippet(text: Column, at: Column) -> Column:
     """At most 240 characters, from 80 before ``at``, moved forward to the end of a shorter rest."""
     start = F.greatest(F.lit(0), F.least(F.coalesce(at, F.lit(0)) - BEFORE, F.length(text) - SNIPPET))
@@ -104,6 +121,13 @@ def lf(text: Column) -> Column:
     return F.regexp_replace(text, r"\r\n?", "\n")
 
 
+def source_offset(text: Column, at: Column) -> Column:
+    """The place in a text of a place in its view with LF ends: one more for each CRLF before it."""
+    ends = F.transform(F.split(text, "\r\n"), lambda x: F.length(x) + 1)
+    crossed = F.aggregate(ends, F.struct(F.lit(0).alias("at"), F.lit(0).alias("n")), lambda acc, n: F.struct((acc.at + n).alias("at"), (acc.n + (acc.at + n <= at).cast("int")).alias("n")), lambda acc: acc.n)
+    return at + crossed
+
+
 def longest_run(text: Column, char: str = "`") -> Column:
     runs = F.transform(F.regexp_extract_all(text, F.lit(f"{re.escape(char)}+"), F.lit(0)), F.length)
     return F.coalesce(F.array_max(runs), F.lit(0))

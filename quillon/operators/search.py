@@ -20,17 +20,28 @@ def check_query(query: str, limit: int) -> None:
         raise ValueError("limit must be 1 to 100")
 
 
+def _has(term: str):
+    return lambda x: t.matches(x, term)
+
+
+def _field(rows: DataFrame, column: str, test) -> Column:
+    """A test of a field, or of any item of a field that is an array."""
+    many = rows.schema[column].dataType.typeName() == "array"
+    return F.coalesce(F.exists(column, test) if many else test(F.col(column)), F.lit(False))
+
+
 def scored(rows: DataFrame, columns: dict[str, str], query: str) -> DataFrame:
     """``rows`` that match a query, with terms, term_count, score and exact.
 
-    ``columns`` maps fields to columns. A term scores the weight of its heaviest field. All is
-    decided within the row: no explode, no shuffle; the terms are literals of the plan.
+    ``columns`` maps fields to columns; an array counts item by item. A term scores the weight of
+    its heaviest field. All is decided within the row: no explode, no shuffle; the terms are
+    literals of the plan.
     """
     per_term = []
     for term in t.query_terms(query):
         weight: Column = F.lit(0)
         for field, column in sorted(columns.items(), key=lambda x: WEIGHTS[x[0]]):
-            weight = F.when(t.matches(F.col(column), term), F.lit(WEIGHTS[field])).otherwise(weight)
+            weight = F.when(_field(rows, column, _has(term)), F.lit(WEIGHTS[field])).otherwise(weight)
         # The heaviest field is asked first, so lighter ones are looked at only if it has no match.
         per_term.append(F.struct(F.lit(term).alias("term"), F.coalesce(weight, F.lit(0)).alias("weight")))
     if not per_term:
@@ -38,13 +49,32 @@ def scored(rows: DataFrame, columns: dict[str, str], query: str) -> DataFrame:
     exact = F.lit(False)
     for field in EXACT_FIELDS:
         if field in columns:
-            exact = exact | F.coalesce(t.ascii_lower(F.col(columns[field])) == query.translate(t._TO_LOWER), F.lit(False))
+            exact = exact | _field(rows, columns[field], lambda x: t.ascii_lower(x) == query.translate(t._TO_LOWER))
     # As a generator's row: later filters and sorts don't evaluate the matches again.
     hits = rows.withColumn("_hits", F.explode(F.array(F.filter(F.array(*per_term), lambda x: x.weight > 0))))
     hits = hits.where(F.size("_hits") > 0)
     return hits.withColumns({"terms": F.transform("_hits", lambda x: x.term), "term_count": F.size("_hits"), "score": F.aggregate("_hits", F.lit(0), lambda a, x: a + x.weight), "exact": exact}).drop("_hits")
 
 
+def matched(rows: DataFrame, columns: dict[str, str], query: str) -> DataFrame:
+    """``rows`` with ``matches``: term, field, text (null for the body), start, end of the first hit of each term in each field.
+
+    Of an array, the first item that has the term counts. Meant for the few rows that are shown.
+    """
+    each = []
+    for term in t.query_terms(query):
+        for field, column in columns.items():
+            if rows.schema[column].dataType.typeName() == "array":
+                text = F.get(F.filter(column, _has(term)), 0)
+            else:
+                text = F.col(column).cast("string")
+            at = t.first_range(text, term)
+            shown = F.lit(None).cast("string") if field == "body" else text
+            each.append(F.when(at.isNotNull(), F.struct(F.lit(term).alias("term"), F.lit(field).alias("field"), shown.alias("text"), at.getField("start").alias("start"), at.getField("end").alias("end"))))
+    none = F.array().cast("array<struct<term:string,field:string,text:string,start:int,end:int>>")
+    return rows.withColumn("matches", F.array_compact(F.array(*each)) if each else none)
+
+
 def search(rows: DataFrame, columns: dict[str, str], query: str, limit: int = 10, path: str | None = None, path_column: str = "path", ties: tuple[str, ...] = ()) -> DataFrame:
     """The best ``limit`` rows: more terms first, then exact, score, and ``ties`` ascending."""
     check_query(query, limit)
@@ -67,13 +97,21 @@ def neighbours(rows: DataFrame, page: str, position: str, n: int) -> DataFrame:
     return rows.join(around, (rows[page] == around["_page"]) & (rows[position] == around["_at"])).drop("_step", "_at", "_page")
 
 
-def budgeted(rows: DataFrame, page: str, position: str, text: str, budget: int = BUDGET) -> DataFrame:
-    """Rows with ``shown``: the characters of each that a page's budget still has room for, in order."""
-    before = Window.partitionBy(page).orderBy(position).rowsBetween(Window.unboundedPreceding, -1)
+def budgeted(rows: DataFrame, page: str, position: str, text: str, budget: int = BUDGET, own: Column | None = None) -> DataFrame:
+    """Rows with ``shown``: the characters of each that a page's budget still has room for, in order; rows of ``own`` first."""
+    order = [position] if own is None else [(~own).cast("int"), F.col(position)]
+    before = Window.partitionBy(page).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     left = F.lit(budget) - F.coalesce(F.sum(F.length(text)).over(before), F.lit(0))
     return rows.withColumn("shown", F.greatest(F.lit(0), F.least(F.length(text), left)).cast("long"))
 
 
+def cursor_page(rows: DataFrame, record: str, order: list[str], snapshot: str, name: str, offset: int, size: int = PAGE) -> DataFrame:
+    """One page of each record's list, with the cursor of the next: ``snapshot:record:list:offset``, null on the last page."""
+    page = list_page(rows, record, order, offset, size)
+    cursor = F.concat_ws(":", F.lit(snapshot), F.col(record).cast("string"), F.lit(name), F.col("next_offset").cast("string"))
+    return page.withColumn("next_cursor", F.when(F.col("next_offset").isNotNull(), cursor))
+
+
 def list_page(rows: DataFrame, owner: str, order: list[str], offset: int, size: int = PAGE) -> DataFrame:
     """One page of each owner's list, with total, number and next_offset (null on the last page)."""
     if offset % size or offset < 0:

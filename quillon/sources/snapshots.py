@@ -1,13 +1,11 @@
-"""Published snapshots: immutable folders of Parquet tables and a pointer to the current one."""
+"""Published snapshots: immutable folders of Parquet tables and numbered pointers, the newest of which holds."""
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-POINTER = "CURRENT"
+POINTERS = "pointers"
 
 
 def _fs(spark: SparkSession, path: str):
@@ -16,38 +14,52 @@ def _fs(spark: SparkSession, path: str):
 
 
 def publish(spark: SparkSession, root: str, tables: dict[str, DataFrame], snapshot: str, expected: str | None = None) -> str:
-    """Write all tables under ``snapshot=<id>``, then move the pointer to it, which makes them visible together.
+    """Write all tables under ``snapshot=<id>``, then point to it, which makes them visible together.
 
-    A snapshot that is there already is left as it is. With ``expected``, the pointer only moves
-    if it still names that snapshot; else RuntimeError. A lost executor or driver before the move
-    leaves the old snapshot published.
+    A snapshot that is there already is left as it is. The pointer is a new file with the next
+    number, which only one publisher can create; none is ever removed or replaced, so there is
+    always one published. RuntimeError if another publisher took that number, or, with
+    ``expected``, if that snapshot isn't the current one any more. A lost executor or driver
+    before the end leaves the old snapshot published.
     """
+    number, last = _newest(spark, root)
+    if expected is not None and last != expected:
+        raise RuntimeError(f"{root} no longer has snapshot {expected}")
     folder = f"{root}/snapshot={snapshot}"
     fs, at = _fs(spark, f"{folder}/_DONE")
     if not fs.exists(at):
         for name, df in tables.items():
             df.write.mode("overwrite").parquet(f"{folder}/{name}")
         fs.create(at, True).close()
-    if expected is not None and current(spark, root) != expected:
-        raise RuntimeError(f"{root} no longer has snapshot {expected}")
-    fs, new = _fs(spark, f"{root}/.{POINTER}-{uuid.uuid4().hex}")
-    out = fs.create(new, True)
-    out.write(bytearray(snapshot.encode()))
+    if last == snapshot:
+        return folder
+    fs, at = _fs(spark, f"{root}/{POINTERS}/{number + 1:020d}")
+    try:
+        out = fs.create(at, False)
+    except Exception as e:
+        raise RuntimeError(f"another publisher was first in {root}") from e
+    out.write(bytearray(f"{snapshot}\n".encode()))
     out.close()
-    pointer = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/{POINTER}")
-    if fs.exists(pointer):
-        fs.delete(pointer, False)
-    if not fs.rename(new, pointer):
-        raise RuntimeError(f"{root}/{POINTER} could not be replaced")
     return folder
 
 
+def _newest(spark: SparkSession, root: str) -> tuple[int, str | None]:
+    """Highest number of a pointer, and the snapshot that the last complete one names."""
+    fs, at = _fs(spark, f"{root}/{POINTERS}")
+    names = sorted((f.getPath().getName() for f in fs.listStatus(at)), reverse=True) if fs.exists(at) else []
+    names = [n for n in names if n.isdigit()]
+    for n in names:
+        stream = fs.open(spark._jvm.org.apache.hadoop.fs.Path(f"{root}/{POINTERS}/{n}"))
+        text = spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        stream.close()
+        if text.endswith("\n"):  # else its publisher is still writing, or was lost
+            return int(names[0]), text[:-1]
+    return int(names[0]) if names else 0, None
+
+
 def current(spark: SparkSession, root: str) -> str | None:
     """The published snapshot's id, None before the first."""
-    fs, at = _fs(spark, f"{root}/{POINTER}")
-    if not fs.exists(at):
-        return None
-    return spark.read.text(f"{root}/{POINTER}").first()[0]
+    return _newest(spark, root)[1]
 
 
 def table(spark: SparkSession, root: str, name: str, snapshot: str | None = None) -> DataFrame:

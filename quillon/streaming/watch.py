@@ -11,10 +11,11 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState
 
 from quillon.operators.integrity import compared
+from quillon.operators.tables import written
 from quillon.sources.snapshots import current, publish, table
 
-#: Quiet time, longest wait, poll interval (ms), and dirty paths before a full scan.
-QUIET_MS, LONGEST_MS, POLL_MS, MOST_DIRTY = 100, 1000, 1000, 4096
+#: Quiet time, longest wait, poll interval, in ms.
+QUIET_MS, LONGEST_MS, POLL_MS = 100, 1000, 1000
 #: Kinds of change, weakest first; reads don't count.
 KINDS = ("attributes", "content", "created", "removed")
 
@@ -87,3 +88,33 @@ def follow(changes: DataFrame, root: str, build: Callable[[DataFrame], DataFrame
 
     writer = changes.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
     return writer.trigger(availableNow=True).start() if once else writer.trigger(processingTime=f"{POLL_MS} milliseconds").start()
+
+
+def refresh(spark: SparkSession, root: str, listing: Callable[[], DataFrame], key: str, values: list[str]) -> DataFrame | None:
+    """Publish a listing as the table ``rows`` under ``root``, if it differs from what is published.
+
+    Returns what changed (key, state: added, removed, changed), None if nothing did. What is
+    published was true before and after it was written: if the listing moved in between, nothing
+    is published, and the next round sees it.
+    """
+    last = current(spark, root)
+    now = written(listing(), "listing")
+    old = table(spark, root, "rows", last) if last is not None else now.where("false")
+    changes = compared(old, now, [key], values).where("state != 'same'")
+    if not changes.head(1) and last is not None:
+        return None
+    if compared(now, listing(), [key], values).where("state != 'same'").head(1):
+        return None
+    changes = written(changes, "changes")
+    publish(spark, root, {"rows": now, "changes": changes}, f"{int(last) + 1 if last else 0:012d}", last)
+    return changes
+
+
+def follow_listing(spark: SparkSession, root: str, listing: Callable[[], DataFrame], key: str, values: list[str], every_ms: int = POLL_MS) -> StreamingQuery:
+    """`refresh` again and again, by the clock: edits and removals count as well as what is new."""
+
+    def step(_: DataFrame, __: int) -> None:
+        refresh(spark, root, listing, key, values)
+
+    clock = spark.readStream.format("rate").option("rowsPerSecond", 1).load()
+    return clock.writeStream.foreachBatch(step).trigger(processingTime=f"{every_ms} milliseconds").start()

@@ -5,43 +5,78 @@ from quillon.engine import Engine, Stale, read_cursor
 
 @pytest.fixture
 def tree(tmp_path):
-    src = tmp_path / "src"
+    """A small gardening project."""
+    src = tmp_path / "garden"
     src.mkdir()
-    (src / "guide.md").write_text("# Policy\n\n需要重试，等待时间由配置决定。\n\n只做重试。\n")
-    (src / "a.rs").write_text("fn RetryPolicy() {}\nfn backoff_delay() {}\n")
-    (src / "b.rs").write_text("// retry only\nfn other() {}\n")
+    (src / "notes.md").write_text("# Beds\n\n春天播种，秋天收获。\n\n只在秋天浇水。\n\n## Soil\n\nAdd compost, then rest.\n")
+    (src / "pump.go").write_text("package pump\nfunc WaterPump() {}\nfunc soil_depth() int { return 3 }\n")
+    (src / "timer.py").write_text("# water at dawn\ndef start_timer():\n    return 1\n")
     return src
 
 
-def test_build_search_read(spark, tree, tmp_path):
+def test_answers_have_totals_matches_and_exact_hits(spark, tree, tmp_path):
+    e = Engine(spark, str(tree), str(tmp_path / "out"))
+    snapshot = e.build()
+    assert e.build() == snapshot
+    got = e.answer("秋天收获")
+    assert (got["snapshot"], got["freshness"], got["query_terms"]) == (snapshot, "matched", ["天收", "收获", "秋天"])
+    assert (got["total_matches"], got["returned"], got["truncated"]) == (2, 2, False)
+    first, second = got["hits"]
+    assert (first["terms"], first["snippet"], first["title"]) == (["天收", "收获", "秋天"], "春天播种，秋天收获。\n", "Beds")
+    assert [(m["term"], m["field"], m["start"], m["end"]) for m in first["matches"]] == [("天收", "body", 6, 8), ("收获", "body", 7, 9), ("秋天", "body", 5, 7)]
+    assert second["terms"] == ["秋天"] and second["snippet"].startswith("只在秋天")
+    one = e.answer("秋天", limit=1)
+    assert (one["total_matches"], one["returned"], one["truncated"]) == (2, 1, True)
+    exact = e.search("waterpump").collect()
+    assert [(r["kind"], r["path"], r["exact"]) for r in exact] == [("code", "pump.go", True)]
+    parts = e.search("water depth").collect()
+    assert (parts[0]["path"], parts[0]["term_count"], parts[0]["exact"]) == ("pump.go", 2, False)
+    assert {(m["term"], m["field"], m["text"]) for m in parts[0]["matches"]} >= {("water", "identifier", "WaterPump"), ("depth", "identifier", "soil_depth")}
+    assert e.search("epth").count() == 0
+    assert e.search("water", path="timer.py").count() == 1 and e.search("water", path="timer").count() == 0
+
+
+def test_reads_and_freshness(spark, tree, tmp_path):
     e = Engine(spark, str(tree), str(tmp_path / "out"))
     first = e.build()
-    assert e.build() == first
-    han = e.search("重试等待时间").collect()
-    assert [(r["term_count"], r["snippet"]) for r in han] == [(4, "需要重试，等待时间由配置决定。\n"), (1, "只做重试。\n")]
-    assert e.search("RetryPolicy").head()["kind"] == "code"
-    parts = e.search("policy delay").collect()
-    assert parts[0]["kind"] == "code" and parts[0]["term_count"] == 2
-    assert e.search("try").count() == 0
-    assert e.search("retry", path="b.rs").count() == 1 and e.search("retry", path="b").count() == 0
-    handle = han[0]["handle"]
-    assert e.read(handle).head()["body"]["text"] == "需要重试，等待时间由配置决定。\n"
-    assert [r["neighbour"] for r in e.read(handle, context=1).collect()] == [0, 1, 1]
+    handle = e.search("compost").head()["handle"]
+    assert e.read(handle).head()["body"]["text"] == "Add compost, then rest.\n"
+    assert [r["neighbour"] for r in e.read(handle, context=1).collect()] == [0, 1]
+    assert [(r["path"], r["total"], r["next_cursor"]) for r in e.occurrences(handle).collect()] == [("notes.md", 1, None)]
     with pytest.raises(KeyError):
         e.read("0" * 11)
-    with pytest.raises(ValueError):
-        e.read("short")
-    assert e.read_entity("guide.md", ["Policy"]).head()["body"].startswith("# Policy\n")
-    (tree / "b.rs").write_text("// changed\n")
+    for bad in (lambda: e.read("short"), lambda: e.occurrences(handle, "x:y:occurrences:5"), lambda: e.occurrences(handle, f"{first}:{handle}:occurrences:5")):
+        with pytest.raises(ValueError):
+            bad()
+    assert e.read_entity("notes.md", ["Beds", "Soil"]).head()["body"].startswith("## Soil\n")
+    (tree / "timer.py").write_text("# changed\n")
     with pytest.raises(Stale):
-        e.search("retry")
-    assert e.search("retry", snapshot=True).count() > 0
+        e.search("water")
+    assert e.answer("water", snapshot=True)["freshness"] == "unchecked"
     assert e.build() != first and e.search("changed").count() == 1
     (tree / "bad.md").write_bytes(b"\xff")
     with pytest.raises(ValueError):
         e.build()
 
 
+def test_what_is_generated_below_the_source_is_no_input(spark, tree):
+    e = Engine(spark, str(tree), str(tree / "site"))
+    (tree / "site" / "pages").mkdir(parents=True)
+    (tree / "site" / "pages" / "old.md").write_text("# Old\n")
+    assert sorted(r["path"] for r in e.files().collect()) == ["notes.md", "pump.go", "timer.py"]
+
+
+def test_stream_sees_edits_and_removals(spark, tree, tmp_path):
+    e, out = Engine(spark, str(tree), str(tmp_path / "o")), str(tmp_path / "facts")
+    states = lambda: {r["path"]: r["state"] for r in e.stream(out).collect()}
+    assert states() == {"notes.md": "added", "pump.go": "added", "timer.py": "added"}
+    assert e.stream(out) is None
+    (tree / "pump.go").write_text("package pump\n")
+    (tree / "timer.py").unlink()
+    (tree / "new.md").write_text("new\n")
+    assert states() == {"pump.go": "changed", "timer.py": "removed", "new.md": "added"}
+
+
 def test_cursor():
     assert read_cursor("s:r:sources:5", "s") == ("r", "sources", 5)
     for bad in ("x:r:sources:5", "s:r:sources:4", "s:r:other:5", "s:r:5"):

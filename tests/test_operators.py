@@ -1,7 +1,8 @@
 import pytest
 from pyspark.sql import functions as F
 
-from quillon.operators import integrity, intervals, plugins, quantiles, records, references, render, search, structure
+from quillon.functions import text as t
+from quillon.operators import integrity, intervals, plugins, quantiles, records, references, render, rounds, search, structure
 from quillon.plans import queries
 
 
@@ -10,10 +11,10 @@ def rows(df):
 
 
 def test_search_ranks_by_terms_then_exact_then_score(spark):
-    docs = spark.createDataFrame([(1, "guide", "policy only"), (2, "RetryPolicy", "nothing"), (3, "x", "policy and delay")], "id int, title string, body string")
-    got = search.search(docs, {"title": "title", "body": "body"}, "policy delay", ties=("id",)).collect()
+    docs = spark.createDataFrame([(1, "guide", "orbit only"), (2, "OrbitPlan", "nothing"), (3, "x", "orbit and thrust")], "id int, title string, body string")
+    got = search.search(docs, {"title": "title", "body": "body"}, "orbit thrust", ties=("id",)).collect()
     assert [(r["id"], r["term_count"], r["score"]) for r in got] == [(3, 2, 2), (2, 1, 8), (1, 1, 1)]
-    exact = search.search(docs, {"title": "title", "body": "body"}, "retrypolicy").collect()
+    exact = search.search(docs, {"title": "title", "body": "body"}, "orbitplan").collect()
     assert [r["exact"] for r in exact] == [True]
     assert search.search(docs, {"body": "body"}, "...").count() == 0
     with pytest.raises(ValueError):
@@ -139,8 +140,14 @@ def test_directives(spark):
     md = 'x\n\n{% include "a.rs" lines="1-2" %}\n\nsee {% link "b.md" %} and `{% link "no" %}` and \\{% no %}\n```\n{% code %}\n```\n'
     got = structure.directives(spark.createDataFrame([("x.md", md), ("y.md", "none")], "path string, text string")).orderBy("request_no").collect()
     assert [(r["name"], r["inline"], r["line_no"]) for r in got] == [("include", False, 3), ("link", True, 5)]
-    args = spark.createDataFrame([(got[0]["arguments"],)], "a string").select(structure.positional(F.col("a")), structure.named(F.col("a"))).first()
-    assert args[0] == ["a.rs"] and args[1] == {"lines": "1-2"}
+    args = spark.createDataFrame([(got[0]["arguments"],)], "a string").select(structure.arguments(F.col("a")).alias("x")).first()["x"]
+    assert args["positional"] == ['"a.rs"'] and args["named"] == {"lines": '"1-2"'} and args["error"] is None
+
+
+def test_nested_comments(spark):
+    files = spark.createDataFrame([("a.ml", "(* a (* b *)\n   c *)\nlet x = 1\n")], "path string, text string")
+    got = structure.segments(files).orderBy("segment_no").collect()
+    assert [(r["kind"], r["start_line"], r["end_line"]) for r in got] == [("prose", 1, 2), ("code", 3, 3)]
 
 
 def test_include_errors_are_rows(spark):
@@ -206,3 +213,50 @@ def test_gate_and_failures(spark):
     assert [r["report"] for r in render.gate(bad, reports, pages).collect()] == ["r"] and render.gate(fine, reports, pages).count() == 0
     nodes = spark.createDataFrame([(1, 0, None), (1, 1, "x"), (1, 2, "y"), (2, 0, None)], "r int, n int, e string")
     assert rows(render.first_failures(nodes, "r", "n", "e")) == [(1, "x", 3), (2, None, 1)]
+
+
+def test_arguments_of_directives(spark):
+    cases = {
+        "": ([], {}, None),
+        """'it"s' "a \\" b" true -1.5e3 [1, "x]"] k="v" l = 'w'""": (['"it\\"s"', '"a \\" b"', "true", "-1.5e3", '[1, "x]"]'], {"k": '"v"', "l": '"w"'}, None),
+        "a=1 a=2": (None, None, "duplicate_argument"),
+        "a=1 2": (None, None, "positional_after_named"),
+        "word": (None, None, "invalid_arguments"),
+        "9007199254740993": (None, None, "invalid_arguments"),
+        "'open": (None, None, "invalid_arguments"),
+        '"a""b"': (None, None, "invalid_arguments"),
+        "[1,": (None, None, "invalid_arguments"),
+    }
+    df = spark.createDataFrame([(x,) for x in cases], "t string")
+    for r in df.select("t", structure.arguments(F.col("t")).alias("a")).collect():
+        assert (r["a"]["positional"], r["a"]["named"], r["a"]["error"]) == cases[r["t"]], r["t"]
+
+
+def test_path_expressions():
+    assert structure.path_steps("a.b.0") == ["a", "b", 0] and structure.path_steps('["a", 0, "b.c"]') == ["a", 0, "b.c"]
+    for bad in ("", "0.a", "a.0.1", "a..b", '["a", 1.5]', '["a", -1]', "[]", '["a", true]'):
+        with pytest.raises(ValueError):
+            structure.path_steps(bad)
+
+
+def test_first_ranges_of_terms(spark):
+    cases = {"the RetryCount": ("retry", 4, 9), "re-try TRY": ("try", 3, 6), "RETRYNow x": ("now", 5, 8), "entry": ("try", None, None), "去重试": ("重试", 1, 3)}
+    for text, (term, a, b) in cases.items():
+        got = spark.createDataFrame([(text,)], "t string").select(t.first_range(F.col("t"), term).alias("r"), t.matches(F.col("t"), term).alias("m")).first()
+        assert (got["r"] and tuple(got["r"])) == (None if a is None else (a, b)) and got["m"] == (a is not None), text
+
+
+def test_rounds(spark):
+    nodes = spark.createDataFrame([(1, 0, "a", None), (1, 1, "b", None), (2, 0, None, "late"), (2, 1, None, "never"), (3, 0, " ", None)], "request int, node int, markdown string, error string")
+    assert rows(rounds.evaluated(nodes)) == [(1, "a\n\nb", None, 2), (2, None, "content[0]: late", 2), (3, None, "empty_content", 1)]
+    text = spark.createDataFrame([("x", 1), ("", 1), ("\ufeffx", 1), ("a\0", 1), ("x", 0), (" ", 0), ("```\nx", 1)], "m string, n int")
+    strict = [r[0] for r in text.select(rounds.fragment_error(F.col("m"), F.col("n"), F.lit(True), F.lit(False))).collect()]
+    assert strict == [None, "empty", "byte_order_mark", "nul", "no_sources", "empty", "open_fence"]
+    assert text.where("m = ' '").select(rounds.fragment_error(F.col("m"), F.col("n"), F.lit(True), F.lit(True))).first()[0] is None
+    pages = spark.createDataFrame([("a",), ("b",)], "page string")
+    failed = spark.createDataFrame([("error",)], "severity string")
+    assert rows(rounds.removed_pages(pages, pages.where("page = 'a'"), failed.where("false"))) == [("b",)] and not rows(rounds.removed_pages(pages, pages.limit(0), failed))
+    runs = spark.createDataFrame([([(0, 2, 10, 12), (5, 7, 20, 29)],)], "r array<struct<field_start:int,field_end:int,body_start:int,body_end:int>>")
+    for (a, b), want in {(0, 2): (10, 12), (1, 6): (11, 29), (2, 5): None, (1, 2): (11, 12)}.items():
+        got = runs.select(records.raw_range(F.col("r"), F.lit(a), F.lit(b)).alias("x")).first()["x"]
+        assert (got and tuple(got)) == want
