@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillon.operators.records import positions
+from quillon.operators.stretches import Stretches
+
 
 def compared(old: DataFrame, new: DataFrame, key: list[str], values: list[str]) -> DataFrame:
     """Full outer comparison: key and ``state``: added, removed, changed, same. Nulls equal nulls."""
@@ -31,14 +34,13 @@ def members_after(members: DataFrame, removed: DataFrame, added: DataFrame, key:
 
 def position_gaps(rows: DataFrame, page: str, position: str) -> DataFrame:
     """Rows whose position is not their number, from 0, on their page."""
-    w = Window.partitionBy(page).orderBy(position)
-    return rows.withColumn("expected", (F.row_number().over(w) - 1).cast("long")).where(F.col("expected") != F.col(position))
+    out = positions(rows.withColumnRenamed(position, "_given"), page, "_given").withColumnRenamed("position", "expected")
+    return out.where(F.col("expected") != F.col("_given")).withColumnRenamed("_given", position)
 
 
 def unordered(rows: DataFrame, group: str, order: str, value: str) -> DataFrame:
-    """Rows whose value is not above that of the row before, in a group."""
-    w = Window.partitionBy(group).orderBy(order)
-    return rows.withColumn("before", F.lag(value).over(w)).where(F.col("before") >= F.col(value))
+    """Rows whose value is not above that of the row before, in a group, by a numeric order."""
+    return Stretches(rows, group, F.col(order)).previous(F.col(value), "before").done().where(F.col("before") >= F.col(value))
 
 
 def collisions(rows: DataFrame, handle: str, target: str) -> DataFrame:

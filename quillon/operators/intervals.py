@@ -5,39 +5,32 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillon.operators.stretches import Stretches
 from quillon.operators.tables import written
 
+#: Seconds.
+DAY = 86_400
+
 #: Stretches of time that the longest burst is cut into.
 STRETCHES = 8
 
 
-def union_of(rows: DataFrame, key: str, start: str, end: str) -> DataFrame:
-    """Merged intervals of each key; those that touch are one: key, start, end, n."""
-    order = Window.partitionBy(key).orderBy(start, end)
-    reach = F.max(end).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    marked = rows.withColumn("_new", (reach.isNull() | (F.col(start) > reach)).cast("int"))
-    marked = marked.withColumn("_island", F.sum("_new").over(order))
-    return marked.groupBy(key, "_island").agg(F.min(start).alias(start), F.max(end).alias(end), F.count("*").alias("n")).drop("_island")
-
+def union_of(rows: DataFrame, key: str, start: str, end: str, width: int = DAY) -> DataFrame:
+    """Merged intervals of each key; those that touch are one: key, start, end, n. Starts are cut at multiples of ``width``."""
+    along = Stretches(rows.select(key, start, end), key, F.col(start), (end,), width).most_before(F.col(end), "_reach")
+    along.sum((F.col("_reach").isNull() | (F.col(start) > F.col("_reach"))).cast("int"), "_island")
+    return along.done().groupBy(key, "_island").agg(F.min(start).alias(start), F.max(end).alias(end), F.count("*").alias("n")).drop("_island")
 
-def islands(rows: DataFrame, key: str, order: list[str], same: list[str], joined: Column | None = None) -> DataFrame:
-    """Rows with ``island``, counted from 0 per key: a new one begins where ``same`` changes or ``joined`` is false.
 
-    ``joined`` may use `previous`.
-    """
-    w = Window.partitionBy(key).orderBy(*order)
-    stays = F.lit(True)
+def islands(rows: DataFrame, key: str, at: Column, ties: tuple[str, ...], same: list[str], within: int | None = None, width: int = DAY) -> DataFrame:
+    """Rows with ``island``, counted from 0 per key in the order of ``at``: a new one begins where ``same`` changes or ``at`` grows by more than ``within``."""
+    now = F.struct(F.col("_at").alias("at"), *same)
+    along = Stretches(rows, key, at, ties, width).previous(now, "_before")
+    stays = F.lit(True) if within is None else F.col("_at") - F.col("_before.at") <= within
     for c in same:
-        stays = stays & F.col(c).eqNullSafe(F.lag(c).over(w))
-    if joined is not None:
-        stays = stays & joined
-    first = F.row_number().over(w) == 1
-    rows = rows.withColumn("_new", F.when(first, 0).otherwise((~F.coalesce(stays, F.lit(False))).cast("int")))
-    return rows.withColumn("island", F.sum("_new").over(w)).drop("_new")
-
-
-def previous(column: str, key: str, order: list[str]) -> Column:
-    return F.lag(column).over(Window.partitionBy(key).orderBy(*order))
+        stays = stays & F.col(c).eqNullSafe(F.col(f"_before.{c}"))
+    along.sum(F.when(F.col("_before").isNull(), 0).otherwise((~F.coalesce(stays, F.lit(False))).cast("int")), "island")
+    return along.done().drop("_before")
 
 
 def containing(points: DataFrame, spans: DataFrame, key: str, at: str, start: str, end: str, width: int, how: str = "inner") -> DataFrame:
@@ -55,14 +48,14 @@ def containing(points: DataFrame, spans: DataFrame, key: str, at: str, start: st
 
 
 def latest_before(rows: DataFrame, key: str, order: list[str], value: Column) -> Column:
-    """The last non-null ``value`` in the rows of the key up to this one."""
+    """The last non-null ``value`` in the rows of a key up to this one, for keys that are files or the like."""
     return F.last(value, ignorenulls=True).over(Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
 
 
-def quiet_sessions(rows: DataFrame, key: str, time: str, gap: str) -> DataFrame:
-    """Sessions of a key that end when nothing comes for longer than ``gap``: key, started, ended, n."""
-    s = rows.groupBy(key, F.session_window(time, gap).alias("w")).agg(F.count("*").alias("n"), F.max(time).alias("ended"))
-    return s.select(key, F.col("w.start").alias("started"), "ended", "n")
+def quiet_sessions(rows: DataFrame, key: str, time: str, gap_us: int) -> DataFrame:
+    """Sessions of a key that end when nothing comes for longer than ``gap_us``: key, started, ended, n."""
+    found = islands(rows.select(key, time), key, F.unix_micros(F.col(time).cast("timestamp")), (), [], gap_us, DAY * 1_000_000)
+    return found.groupBy(key, "island").agg(F.min(time).alias("started"), F.max(time).alias("ended"), F.count("*").alias("n")).drop("island")
 
 
 def capped_bursts(rows: DataFrame, key: str, time: str, quiet_us: int, most_us: int) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.functions.hashing import content_id
+from quillon.operators.stretches import Stretches
 
 #: Order values that are numbered together.
 STRETCH = 1 << 16
@@ -76,9 +77,9 @@ def fields(rows: DataFrame, key: str, weights: dict[str, tuple[str, int]]) -> Da
 
 def mapping_runs(rows: DataFrame, key: str, body: str, source: str) -> DataFrame:
     """Runs in which body and source positions grow together: key, body_start, body_end, source_start, source_end."""
-    order = Window.partitionBy(key).orderBy(body)
-    new = (F.col(body) != F.lag(body).over(order) + 1) | (F.col(source) != F.lag(source).over(order) + 1)
-    marked = rows.withColumn("_run", F.sum(F.coalesce(new, F.lit(True)).cast("int")).over(order))
+    along = Stretches(rows.select(key, body, source), key, F.col(body)).previous(F.struct(body, source), "_before")
+    goes_on = (F.col(body) == F.col(f"_before.{body}") + 1) & (F.col(source) == F.col(f"_before.{source}") + 1)
+    marked = along.sum((~F.coalesce(goes_on, F.lit(False))).cast("int"), "_run").done()
     runs = marked.groupBy(key, "_run").agg(F.min(body).alias("body_start"), (F.max(body) + 1).alias("body_end"), F.min(source).alias("source_start"), (F.max(source) + 1).alias("source_end"))
     return runs.drop("_run")
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.functions import text as t
+from quillon.operators.stretches import Stretches
 
 #: The weight of a match by field.
 WEIGHTS = {"title": 8, "selector": 8, "identifier": 8, "path": 4, "plugin": 2, "body": 1}
@@ -99,10 +100,13 @@ def neighbours(rows: DataFrame, page: str, position: str, n: int) -> DataFrame:
 
 def budgeted(rows: DataFrame, page: str, position: str, text: str, budget: int = BUDGET, own: Column | None = None) -> DataFrame:
     """Rows with ``shown``: the characters of each that a page's budget still has room for, in order; rows of ``own`` first."""
-    order = [position] if own is None else [(~own).cast("int"), F.col(position)]
-    before = Window.partitionBy(page).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    left = F.lit(budget) - F.coalesce(F.sum(F.length(text)).over(before), F.lit(0))
-    return rows.withColumn("shown", F.greatest(F.lit(0), F.least(F.length(text), left)).cast("long"))
+    own = F.lit(False) if own is None else own
+    # The rows of ``own`` are few on a page: their lengths are summed up for all others.
+    first = rows.where(own).groupBy(F.col(page).alias("_page")).agg(F.sum(F.length(text)).alias("_first"))
+    others = Stretches(rows.withColumn("_own", own), page, F.col(position)).sum(F.when(~F.col("_own"), F.length(text)).otherwise(0), "_others", before=True).sum(F.when(F.col("_own"), F.length(text)).otherwise(0), "_ahead", before=True).done()
+    others = others.join(first, F.col(page).eqNullSafe(F.col("_page")), "left")
+    used = F.when(F.col("_own"), F.col("_ahead")).otherwise(F.col("_others") + F.coalesce("_first", F.lit(0)))
+    return others.withColumn("shown", F.greatest(F.lit(0), F.least(F.length(text), F.lit(budget) - used)).cast("long")).select(*rows.columns, "shown")
 
 
 def cursor_page(rows: DataFrame, record: str, order: list[str], snapshot: str, name: str, offset: int, size: int = PAGE) -> DataFrame:
@@ -116,9 +120,11 @@ def list_page(rows: DataFrame, owner: str, order: list[str], offset: int, size:
     """One page of each owner's list, with total, number and next_offset (null on the last page)."""
     if offset % size or offset < 0:
         raise ValueError(f"offset must be a multiple of {size}")
-    w = Window.partitionBy(owner)
-    numbered = rows.withColumns({"total": F.count("*").over(w), "number": F.row_number().over(w.orderBy(*order)) - 1})
-    page = numbered.where((F.col("number") >= offset) & (F.col("number") < offset + size))
+    w = Window.partitionBy(owner).orderBy(*order)
+    # Only the first rows of an owner pass through the shuffle; the totals are counts.
+    page = rows.withColumn("number", F.row_number().over(w)).where(F.col("number") <= offset + size).where(F.col("number") > offset).withColumn("number", F.col("number") - 1)
+    totals = rows.groupBy(F.col(owner).alias("_owner")).agg(F.count("*").alias("total"))
+    page = page.join(totals, F.col(owner).eqNullSafe(F.col("_owner"))).drop("_owner")
     return page.withColumn("next_offset", F.when(F.col("total") > offset + size, F.lit(offset + size)))
 
 

@@ -13,6 +13,7 @@ from quillon.operators import integrity, intervals, plugins, references, render,
 from quillon.operators import records as rec
 from quillon.operators import search as srch
 from quillon.operators.quantiles import exact_quantiles
+from quillon.operators.stretches import Stretches
 from quillon.streaming.watch import strongest
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -312,9 +313,8 @@ def sibling_index(read):
   SELECT *, CASE WHEN lag(event_type) OVER w IS NULL OR (event_type = lag(event_type) OVER w AND ts <= lag(ts) OVER w + INTERVAL 1 HOUR) THEN 0 ELSE 1 END AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)))
 GROUP BY ALL""")
 def line_islands(read):
-    order = ["ts", "event_id"]
-    near = F.col("ts") <= intervals.previous("ts", "user_id", order) + F.expr("INTERVAL 1 HOUR")
-    rows = intervals.islands(read("events"), "user_id", order, ["event_type"], near)
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    rows = intervals.islands(read("events"), "user_id", at, ("event_id",), ["event_type"], 3_600_000_000, intervals.DAY * 1_000_000)
     return rows.groupBy("user_id", "island", "event_type").agg(F.count("*").alias("n"), F.min("event_id").alias("first_event"))
 
 
@@ -345,7 +345,8 @@ GROUP BY user_id, s""")
 def nearest_earlier(read):
     rows = read("events")
     signup = F.when(F.col("event_type") == "signup", F.col("event_id"))
-    rows = rows.withColumn("s", intervals.latest_before(rows, "user_id", ["ts", "event_id"], signup))
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    rows = Stretches(rows, "user_id", at, ("event_id",), intervals.DAY * 1_000_000).latest(signup, "s").done()
     return rows.groupBy("user_id", "s").agg(F.max(signup).alias("last_signup"), F.count("*").alias("n")).drop("s")
 
 
@@ -366,7 +367,7 @@ def any_error_flag(read):
  SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM (
   SELECT *, CASE WHEN ts > lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 30 MINUTE THEN 1 ELSE 0 END AS fresh FROM events)) GROUP BY user_id, s""")
 def quiet_sessions(read):
-    return intervals.quiet_sessions(read("events"), "user_id", "ts", "30 minutes")
+    return intervals.quiet_sessions(read("events"), "user_id", "ts", 30 * 60_000_000)
 
 
 @query("""WITH RECURSIVE e AS (SELECT user_id, epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
