@@ -9,7 +9,6 @@ import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
@@ -29,8 +28,8 @@ SEPARATORS = "\x1c\x1d\x1e\x1f"
 #: Words in which normalising, special strings or contractions may join characters, or in which
 #: Python's character classes differ from the vocabulary's.
 UNPLAIN = re.compile("[^\x00-\u024f]|<\\||'|[\u0130\xb2\xb3\xb9\xbc-\xbe\x1c-\x1f]")
-#: Tables are read on so many characters at a time.
-READ = 1 << 22
+#: Tables are read so many characters at a time, texts so many rows.
+READ, ROWS = 1 << 22, 1024
 
 
 class PrefixCounts:
@@ -419,19 +418,20 @@ def prefix_tables(docs: DataFrame, tokenizer: str = "word_bpe_49k.json") -> Data
     """The stored tables of whole texts: doc_id, n_bytes (UTF-8), steps (binary, a byte a character).
 
     `total`, `longest` and `counts` read them; no text is encoded again. A null text counts as
-    empty and has an empty table. Repeated rows give repeated tables; an empty table of documents
+    empty and has an empty table. doc_id may be of any type and null. Repeated rows give repeated tables; an empty table of documents
     an empty one. Other columns aren't read.
     """
 
-    def tables(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def tables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = loaded(PrefixCounts, tokenizer)
-        for batch in batches:
-            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "n_bytes": batch["n_bytes"], "steps": [table.steps(t) for t in batch["text"]]})
+        for batch in (b.slice(i, ROWS) for b in batches for i in range(0, b.num_rows, ROWS)):
+            steps = pa.array([table.steps(t) for t in batch.column("text").to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_bytes"), steps], ["doc_id", "n_bytes", "steps"])
         release()
 
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.octet_length(text).cast("long").alias("n_bytes"), text.alias("text"))
-    return rows.mapInPandas(tables, "doc_id long, n_bytes long, steps binary")
+    rows = docs.select("doc_id", F.octet_length(text).cast("long").alias("n_bytes"), text.alias("text"))
+    return rows.mapInArrow(tables, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_bytes long, steps binary")
 
 
 def count_tokens(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", limit: int = 2048) -> DataFrame:
@@ -455,4 +455,4 @@ def answers(tables: DataFrame, limit: int = 2048) -> DataFrame:
             n = pa.array(n, pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_bytes"), n, pc.greater(n, limit), pa.array(fitting, pa.int64()), batch.column("steps")], ["doc_id", "n_bytes", "n_tokens", "over_limit", "fitting_chars", "steps"])
 
-    return tables.mapInArrow(read, "doc_id long, n_bytes long, n_tokens long, over_limit boolean, fitting_chars long, steps binary")
+    return tables.mapInArrow(read, f"doc_id {tables.schema['doc_id'].dataType.simpleString()}, n_bytes long, n_tokens long, over_limit boolean, fitting_chars long, steps binary")

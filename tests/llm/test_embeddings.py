@@ -50,6 +50,15 @@ def test_near_duplicates_against_brute_force(spark, monkeypatch):
     assert emb.near_duplicate_vectors(table(spark, []).limit(0)).count() == 0
 
 
+def test_many_copies_of_one_vector_are_one_class(spark, monkeypatch):
+    monkeypatch.setattr(emb, "BLOCK", 8)
+    monkeypatch.setattr(emb, "RECALL", 1 - 1e-9)
+    base = [1.0, 2.0, 3.0, 4.0]
+    rows = [(100 + i, base, 1) for i in range(300)] + [(5, [1.0, 2.0, 3.0, 4.1], 1), (6, base, 2), (7, [-4.0, 3.0, -2.0, 1.0], 1)]
+    got = {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in emb.near_duplicate_vectors(table(spark, rows)).collect()}
+    assert got == {100 + i: (300, 5, False) for i in range(300)} | {5: (300, 5, True), 6: (0, 6, True), 7: (0, 7, True)}
+
+
 def test_top_k_against_brute_force(spark):
     rows = vectors()
     ints = [(r[0], [math.floor(256 * x) for x in r[1]]) for r in rows if usable(r[1])]

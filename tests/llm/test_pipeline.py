@@ -41,11 +41,21 @@ def test_stages(spark, tmp_path):
             copies = {r["doc_id"]: r["copies"] for r in mix_sources(before).collect() if r["copies"]}
             assert {r["doc_id"]: r["count"] for r in docs.groupBy("doc_id").count().collect()} == copies
     packed = kept["packing"]
+    assert packed.where("size(ids) != length OR ids IS NULL").count() == 0
     assert packed.where("piece = 0").count() == kept["mixture"].count()
     assert packed.groupBy("sequence_id").agg(F.sum("length").alias("n")).where("n > 2048").count() == 0
     assert sets([None]) == [set()] and re
 
 
+def test_an_empty_table_goes_through(spark, tmp_path):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").where("false")
+    columns = docs.columns
+    for name, stage in corpus_pipeline.STAGES:
+        stage(spark, docs, SF).write.parquet(str(tmp_path / name))
+        docs = spark.read.parquet(str(tmp_path / name))
+        assert docs.count() == 0 and (name == "packing" or docs.columns == columns)
+
+
 def test_registered():
     names = __spark_entry__.queries()
     assert [sum(n.startswith(f"op{i}_") for n in names) for i in range(1, 11)] == [1] * 10 and "pipeline" in names

@@ -105,7 +105,8 @@ def test_keep_one_of_each(spark):
     assert jaccard.keep_one_of_each(df.where("false")).count() == 0
 
 
-def test_components_of_a_chain_and_a_star(spark):
+def test_components_of_a_chain_and_a_star(spark, monkeypatch):
+    monkeypatch.setattr(common, "HUB", 3)  # the star's middle is joined in parts
     edges = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 50)] + [(7, 7), (500, 500)]
     got = {r["node"]: r["root"] for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**{i: 0 for i in range(41)}, **{100 + i: 100 for i in range(50)}, 500: 500}
@@ -238,6 +239,19 @@ def test_filter_holds_many_languages():
 # --- mixing
 
 
+def test_ranks_of_a_hot_group(spark):
+    rows = [(None if i % 5 == 0 else "hot", i, i % 3) for i in range(500)] + [("hot", 7, 7)] * 3 + [("cold", None, None)]
+    df = spark.createDataFrame(rows, "g string, o long, s long").withColumn("x", F.lit(1))
+    got = common.ranked(df.repartition(7), "g", ["o"], ["s"], "test").collect()
+    by = {}
+    for r in got:
+        by.setdefault(r["g"], []).append((r["rank"], r["o"]))
+    assert len(got) == len(rows)
+    for group in by.values():
+        group.sort()
+        assert [k for k, _ in group] == list(range(len(group))) and [o for _, o in group] == sorted((o for _, o in group), key=lambda o: -1 if o is None else o)
+
+
 def test_mixing(spark):
     rows = [row(i, "w " * (1 + i % 7), source="abc"[i % 3] if i % 10 else "z") for i in range(400)] + [row(900, None, source=None), row(901, "one two", source=None), row(902, "", source="empty"), row(0, "w ", source="a"), row(0, "w ", source="a")]
     df = docs(spark, rows)
@@ -342,6 +356,8 @@ def test_prefix_tables_are_the_library(spark):
         assert (r["n_tokens"], r["n_bytes"], r["over_limit"]) == (n(t), len(t.encode()), n(t) > 50)
         assert r["fitting_chars"] == max(k for k in range(len(t) + 1) if n(t[:k]) <= 50)
     assert token_counts.count_tokens(df.where("false")).count() == 0
+    named = token_counts.count_tokens(df.select(F.concat(F.lit("n"), "doc_id").alias("doc_id"), "text")).collect()
+    assert {r["doc_id"]: r["n_tokens"] for r in named} == {f"n{i}": n(t or "") for i, t in enumerate(texts)}
 
 
 def test_prefixes_of_a_long_word_are_never_encoded_one_by_one():
