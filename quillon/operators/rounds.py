@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quillon.functions.text import under
 from quillon.operators import structure
+from quillon.operators.integrity import compared
 
 #: Fixed value: dirty paths of a root beyond which all of it is scanned again.
 MOST_DIRTY = 4096
@@ -114,3 +115,43 @@ def under_reasons(path: str, inputs: str, sources: str) -> Column:
     """Why a record lies below a path: an array of input and source; both columns are arrays of paths."""
     below = lambda c: F.exists(c, lambda x: under(x, path))
     return F.array_compact(F.array(F.when(below(inputs), "input"), F.when(below(sources), "source")))
+
+
+def owned_after(owned: DataFrame, replaced: DataFrame, removed: DataFrame, key: str = "page") -> DataFrame:
+    """What a publisher owns after a round: what it owned or replaced, less what it removed. A page both removed and replaced is owned."""
+    return owned.select(key).join(removed.select(key), key, "left_anti").union(replaced.select(key)).distinct()
+
+
+def subscriptions(desired: DataFrame, current: DataFrame, key: str = "folder") -> DataFrame:
+    """Changes of subscriptions, all additions before any removal: folder, action, step."""
+    more = desired.select(key).distinct().join(current.select(key), key, "left_anti").select(key, F.lit("add").alias("action"), F.lit(0).alias("step"))
+    less = current.select(key).distinct().join(desired.select(key), key, "left_anti").select(key, F.lit("remove").alias("action"), F.lit(1).alias("step"))
+    return more.unionByName(less)
+
+
+def sample(**components: DataFrame) -> DataFrame:
+    """The state of all that a round depends on: component, key, value. Each component has key and value."""
+    rows = [df.select(F.lit(name).alias("component"), F.col("key").cast("string").alias("key"), F.col("value").cast("string").alias("value")) for name, df in components.items()]
+    out = rows[0]
+    for more in rows[1:]:
+        out = out.unionByName(more)
+    return out
+
+
+def freshness(before: DataFrame, now: DataFrame) -> DataFrame:
+    """Two samples compared: component, changed (facts that were added, removed or changed), facts; stale where changed > 0."""
+    each = compared(before, now, ["component", "key"], ["value"])
+    return each.groupBy("component").agg(F.count_if(F.col("state") != "same").alias("changed"), F.count("*").alias("facts"))
+
+
+def published_reports(paths: DataFrame, owners: DataFrame) -> DataFrame:
+    """Reports of known owners among published paths: path, owner, name; ``reports/<owner>/<name>.md`` with valid names."""
+    part = lambda i: F.regexp_extract("path", r"^reports/([a-z][a-z0-9_-]*)/([A-Za-z0-9][A-Za-z0-9_#-]*)\.md$", i)
+    named = paths.select("path", part(1).alias("owner"), part(2).alias("name")).where("owner != ''")
+    return named.join(owners.select("owner").distinct(), "owner", "left_semi")
+
+
+def description_error(kind: Column, directive: Column, arguments: Column) -> Column:
+    """Why a node of a content can't be evaluated, null if it can: unknown_kind, unknown_directive, or an error of its arguments."""
+    call = structure.arguments(F.coalesce(arguments, F.lit(""))).getField("error")
+    return F.when(~kind.isin("text", "standard_call"), "unknown_kind").when((kind == "standard_call") & ~F.coalesce(directive.isin("include", "link"), F.lit(False)), "unknown_directive").when(kind == "standard_call", call)

@@ -128,6 +128,16 @@ def list_page(rows: DataFrame, owner: str, order: list[str], offset: int, size:
     return page.withColumn("next_offset", F.when(F.col("total") > offset + size, F.lit(offset + size)))
 
 
+def drained(rows: DataFrame, key: str, text: str, budget: int = BUDGET) -> DataFrame:
+    """Every text in all its bounded slices, as following the continuations gives them: key, part, body, start_byte, next_offset."""
+    count = F.greatest(F.ceil(F.length(text) / budget), F.lit(1)).cast("int")
+    each = rows.select(key, text, F.explode(F.sequence(F.lit(0), count - 1)).alias("part"))
+    before = F.substring(F.col(text), F.lit(1), F.col("part") * budget)
+    body = F.substring(F.col(text), F.col("part") * budget + 1, F.lit(budget))
+    end = F.octet_length(before) + F.octet_length(body)
+    return each.select(key, "part", body.alias("body"), F.octet_length(before).cast("long").alias("start_byte"), F.when(end < F.octet_length(text), end).cast("long").alias("next_offset"))
+
+
 def next_of_kind(rows: DataFrame, page: str, position: str, kind: str, wanted: str, value: str, within: int = 5) -> DataFrame:
     """Rows with ``next_value``: ``value`` of the nearest following row of the wanted kind, at most ``within`` rows on."""
     ahead = Window.partitionBy(page).orderBy(position).rowsBetween(1, within)

@@ -267,3 +267,73 @@ def clauses_of_tests(read):
     named = read("pages").select(F.col("page_id").alias("test"), F.regexp_extract_all("html", F.lit(r'href="(/[^"]*)"'), F.lit(1)).alias("clauses"))
     inventory = read("benchmark").select(F.explode(F.regexp_extract_all("text", F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))).alias("w")).select(F.concat(F.lit("/"), "w").alias("clause"))
     return references.associated(named, inventory, "test", "clauses", "clause")
+
+
+@query("""SELECT doc_id, part::INT AS part, substr(text, part * 500 + 1, 500) AS body, strlen(left(text, part * 500)) AS start_byte, CASE WHEN length(text) > (part + 1) * 500 THEN strlen(left(text, (part + 1) * 500)) END AS next_offset
+FROM (SELECT doc_id, text, unnest(range(greatest(1, ceil(length(text) / 500.0)::BIGINT))) AS part FROM documents)""")
+def body_pages(read):
+    return srch.drained(read("documents"), "doc_id", "text", 500)
+
+
+_THE = _HIT.format(low=_LOW.format("text"), term="the")
+
+
+@query(f"""SELECT doc_id, snippet FROM (SELECT doc_id, substr(text, greatest(0, least("at" - 80, length(text) - 240)) + 1, 240) AS snippet FROM (SELECT doc_id, text, {_THE} AS "at" FROM documents) WHERE "at" IS NOT NULL) WHERE starts_with(snippet, 'The ') ORDER BY doc_id LIMIT 1""")
+def first_with_beginning(read):
+    """Of all hits, the first whose snippet begins as asked."""
+    rows = read("documents").withColumn("at", F.explode(F.array(t.first_hit(F.col("text"), "the")))).where("at IS NOT NULL")
+    rows = rows.select("doc_id", t.snippet(F.col("text"), F.col("at")).alias("snippet"))
+    return rows.where(F.col("snippet").startswith("The ")).orderBy("doc_id").limit(1)
+
+
+@query("""SELECT DISTINCT l_orderkey, array_to_string(list_transform(list_sort(list_distinct(list({'p': l_partkey, 's': l_suppkey}) OVER (PARTITION BY l_orderkey))), lambda x: x.p || ':' || x.s), ',') AS sources FROM lineitem""")
+def source_order(read):
+    """Each order's sources, each once, by path and place."""
+    rows = read("lineitem").groupBy("l_orderkey").agg(F.collect_set(F.struct("l_partkey", "l_suppkey")).alias("x"))
+    return rows.select("l_orderkey", F.array_join(F.transform(F.array_sort("x"), lambda x: F.concat_ws(":", x.l_partkey.cast("string"), x.l_suppkey.cast("string"))), ",").alias("sources"))
+
+
+@query("SELECT DISTINCT o_custkey AS page FROM orders WHERE o_orderstatus = 'F' AND o_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '5-LOW') UNION SELECT o_custkey FROM orders WHERE o_orderstatus = 'P'")
+def owned_pages(read):
+    o = read("orders").select(F.col("o_custkey").alias("page"), "o_orderstatus", "o_orderpriority")
+    return rounds.owned_after(o.where("o_orderstatus = 'F'"), o.where("o_orderstatus = 'P'"), o.where("o_orderpriority = '5-LOW'"))
+
+
+@query("""SELECT folder, 'add' AS action, 0 AS step FROM (SELECT user_id || '/' || floor(value)::BIGINT AS folder FROM events WHERE event_type = 'click' EXCEPT SELECT user_id || '/' || floor(value)::BIGINT FROM events WHERE event_type = 'view')
+UNION ALL SELECT folder, 'remove', 1 FROM (SELECT user_id || '/' || floor(value)::BIGINT AS folder FROM events WHERE event_type = 'view' EXCEPT SELECT user_id || '/' || floor(value)::BIGINT FROM events WHERE event_type = 'click')""")
+def subscriptions(read):
+    e = read("events").select(F.concat_ws("/", F.col("user_id").cast("string"), F.floor("value").cast("string")).alias("folder"), "event_type")
+    return rounds.subscriptions(e.where("event_type = 'click'"), e.where("event_type = 'view'"))
+
+
+@query("""WITH a AS (SELECT 'inputs' AS component, doc_id::VARCHAR AS key, md5(text) AS value FROM documents UNION ALL SELECT 'settings', c_custkey::VARCHAR, c_nationkey::VARCHAR FROM customer),
+b AS (SELECT 'inputs' AS component, item_id::VARCHAR AS key, md5(text) AS value FROM benchmark UNION ALL SELECT 'settings', s_suppkey::VARCHAR, s_nationkey::VARCHAR FROM supplier)
+SELECT coalesce(a.component, b.component) AS component, count(*) FILTER (a.value IS NULL OR b.value IS NULL OR a.value <> b.value) AS changed, count(*) AS facts FROM a FULL JOIN b ON a.component = b.component AND a.key = b.key GROUP BY 1""")
+def freshness(read):
+    facts = lambda table, key, value: read(table).select(F.col(key).alias("key"), value.alias("value"))
+    before = rounds.sample(inputs=facts("documents", "doc_id", F.md5(F.col("text").cast("binary"))), settings=facts("customer", "c_custkey", F.col("c_nationkey")))
+    now = rounds.sample(inputs=facts("benchmark", "item_id", F.md5(F.col("text").cast("binary"))), settings=facts("supplier", "s_suppkey", F.col("s_nationkey")))
+    return rounds.freshness(before, now)
+
+
+@query("SELECT 'reports/' || lower(c_mktsegment) || '/' || c_name || '.md' AS path, lower(c_mktsegment) AS owner, c_name AS name FROM customer WHERE c_acctbal > 0 AND c_mktsegment IN (SELECT c_mktsegment FROM customer WHERE c_nationkey = 0)")
+def published_reports(read):
+    c = read("customer").withColumn("owner", F.lower("c_mktsegment"))
+    suffix = F.when(F.col("c_acctbal") > 0, ".md").otherwise(".txt")
+    return rounds.published_reports(c.select(F.concat(F.lit("reports/"), "owner", F.lit("/"), "c_name", suffix).alias("path")), c.where("c_nationkey = 0").select("owner"))
+
+
+@query("""SELECT event_id, CASE event_type WHEN 'error' THEN 'unknown_kind' WHEN 'view' THEN 'unknown_directive' WHEN 'purchase' THEN CASE WHEN value >= 1 THEN 'duplicate_argument' END END AS error FROM events""")
+def content_descriptions(read):
+    kind = F.when(F.col("event_type") == "error", "markup").when(F.col("event_type") == "signup", "text").otherwise("standard_call")
+    directive = F.when(F.col("event_type") == "view", "audit").otherwise("include")
+    arguments = F.concat(F.lit('"p" lines=1'), F.when((F.col("event_type") == "purchase") & (F.col("value") >= 1), " lines=2").otherwise(""))
+    return read("events").select("event_id", rounds.description_error(kind, directive, arguments).alias("error"))
+
+
+@query("SELECT doc_id, '{\"doc_id\":' || doc_id || ',\"kind\":\"prose\",\"rank\":{\"term_count\":' || (1 + (source = 'src3')::INT) || ',\"exact\":true}}' AS line FROM documents WHERE lang = 'de'")
+def result_lines(read):
+    """Answers as they are printed: a JSON object a line."""
+    d = read("documents").where("lang = 'de'")
+    hit = F.struct("doc_id", F.lit("prose").alias("kind"), F.struct((F.col("source") == "src3").cast("int") + F.lit(1), F.lit(True)).cast("struct<term_count:int,exact:boolean>").alias("rank"))
+    return d.select("doc_id", F.to_json(hit).alias("line"))
