@@ -15,6 +15,8 @@ from quillon.llm.tokens import ByteIds, loaded
 
 #: Pieces that are packed together, on average. A group wastes about one sequence.
 GROUP = 4096
+#: Documents whose pieces leave a task together.
+ROWS = 512
 
 
 def tokenized_pieces(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", capacity: int = 2048, end_id: int = 0, keep_ids: bool = False) -> DataFrame:
@@ -29,7 +31,7 @@ def tokenized_pieces(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", capa
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ids_of = loaded(ByteIds, tokenizer)
         end = int(end_id).to_bytes(4, "little")
-        for batch in batches:
+        for batch in (b.iloc[i : i + ROWS] for b in batches for i in range(0, len(b), ROWS)):
             rows = []
             for doc, text in zip(batch["doc_id"], batch["text"], strict=True):
                 ids = (ids_of(text) if text else b"") + end
@@ -98,6 +100,7 @@ def pack(pieces: DataFrame, capacity: int = 2048, group: int = GROUP) -> DataFra
     def place(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["doc_id", "piece", "ids_crc32"], kind="stable").reset_index(drop=True)
         bins, offsets = sum_of_squares(pdf["length"].to_numpy(np.int64), capacity)
+        release()
         # Group numbers are below 2^31 and a group's bins too.
         return pdf.assign(sequence_id=(pdf["_group"].to_numpy(np.int64) << 31) + bins, offset=offsets)[[*cols, "sequence_id", "offset"]]
 
