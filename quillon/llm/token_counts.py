@@ -19,7 +19,7 @@ from quillon.llm.tokens import loaded
 
 #: Words, and pieces of words, whose tables a worker keeps, at most, and how long these may be; others are made
 #: again when they come again. So are the answers about pairs of tokens.
-KEPT, LONGEST_KEPT, PAIRS = 300_000, 64, 2_000_000
+KEPT, KEPT_PIECES, LONGEST_KEPT, PAIRS = 150_000, 800_000, 64, 2_000_000
 #: The rank of no merge.
 NEVER = 1 << 30
 ASCII_SPACE = re.compile("[ \t\n\r\f\v]+")
@@ -235,7 +235,7 @@ class WordPrefixes:
         if out is None:
             counts = self.counts(low)
             out = bytes(b - a & 255 for a, b in zip(counts, counts[1:], strict=False))  # tokens are shorter than 127
-            if len(low) <= LONGEST_KEPT and len(self.kept) < KEPT:
+            if len(low) <= LONGEST_KEPT and len(self.kept) < KEPT_PIECES:
                 self.kept[low] = out
         return out
 
