@@ -14,6 +14,7 @@ from quillon.llm.mixing import mix_sources
 from quillon.llm.packing import pack_documents
 from quillon.llm.secrets import RULES, scan_secrets
 from quillon.llm.sharding import shard_documents
+from quillon.llm.spelling import spelling_variants
 from quillon.llm.substrings import dedup_substrings
 from quillon.llm.token_counts import count_tokens
 
@@ -66,8 +67,12 @@ def op11_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_substrings(_table(spark, sf_dir, "documents"))
 
 
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_best_fit_packing, op2_ngram_jaccard, op3_license_scan, op4_language_id, op5_mix_sources, op6_secret_scan, op7_exact_top_k, op8_token_counts, op9_embedding_near_dedup, op10_sharding, op11_substring_dedup)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op2_ngram_jaccard, op3_license_scan, op4_language_id, op5_mix_sources, op6_secret_scan, op7_exact_top_k, op8_token_counts, op9_embedding_near_dedup, op10_sharding, op11_substring_dedup, op12_spelling_variants)}
 
 
 _WORD = r"'[^\x20\x09-\x0D]+'"
