@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from quillon.llm.alignment import align_tokens
 from quillon.llm.embeddings import near_duplicate_vectors, top_k
 from quillon.llm.jaccard import jaccard_components
 from quillon.llm.language import identify_languages
@@ -71,8 +72,12 @@ def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling_variants(_table(spark, sf_dir, "documents"))
 
 
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align_tokens(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_best_fit_packing, op2_ngram_jaccard, op3_license_scan, op4_language_id, op5_mix_sources, op6_secret_scan, op7_exact_top_k, op8_token_counts, op9_embedding_near_dedup, op10_sharding, op11_substring_dedup, op12_spelling_variants)}
+    return {f.__name__: f for f in (op1_best_fit_packing, op2_ngram_jaccard, op3_license_scan, op4_language_id, op5_mix_sources, op6_secret_scan, op7_exact_top_k, op8_token_counts, op9_embedding_near_dedup, op10_sharding, op11_substring_dedup, op12_spelling_variants, op13_token_alignment)}
 
 
 _WORD = r"'[^\x20\x09-\x0D]+'"
