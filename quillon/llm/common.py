@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quillon.operators.tables import shared_dir, written
 
-__all__ = ["connected_components", "ranked", "release", "shared_dir", "tokenizer_path", "word_count", "written"]
+__all__ = ["connected_components", "free_names", "ranked", "release", "shared_dir", "tokenizer_path", "word_count", "written"]
 
 #: A word is a run of characters other than these six.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -30,6 +30,12 @@ def release() -> None:
         pass
 
 
+def free_names(docs: DataFrame, *names: str) -> list[str]:
+    """Column names that ``docs`` hasn't, in any case of letters."""
+    taken = {c.lower() for c in docs.columns}
+    return [next(x for k in range(len(taken) + 1) if (x := f"_{n}_{k}") not in taken) for n in names]
+
+
 #: Nodes with more edges than this, and than a thousandth of all, are joined in parts.
 HUB = 20_000
 

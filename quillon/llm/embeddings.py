@@ -169,9 +169,11 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, scale: int = 256, sha
     are. A null vec_id is no query and comes last among ties. An empty table gives an empty one.
     """
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding")).where(usable("embedding"))
-    rows = rows.select(F.monotonically_increasing_id().alias("row"), "vec_id", F.transform("embedding", lambda x: F.floor(x * float(scale))).alias("v"))
+    # No nulls: pandas would turn ids beside them into doubles.
+    none = F.col("vec_id").isNull()
+    rows = rows.select(F.monotonically_increasing_id().alias("row"), F.coalesce("vec_id", F.lit(0).cast("long")).alias("vec_id"), none.alias("none"), F.transform("embedding", lambda x: F.floor(x * float(scale))).alias("v"))
     rows = written(rows, "integers")
-    asked = rows.where(F.col("vec_id") % every == 0)
+    asked = rows.where((F.col("vec_id") % every == 0) & ~F.col("none"))
     shards, blocks = max(1, math.ceil(rows.count() / shard)), max(1, math.ceil(asked.count() / queries))
     dealt = lambda n, *salt: F.pmod(F.xxhash64("row", *map(F.lit, salt)), F.lit(n)).cast("int")
     cand = rows.withColumn("s", dealt(shards))
@@ -186,26 +188,26 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, scale: int = 256, sha
                 own = q[q["v"].map(len) == dim]
                 if len(own):
                     out += _search(own, part, k)
-        return pd.DataFrame(out, columns=["query_row", "query_id", "vec_id", "score"]).astype({"vec_id": "Int64"})
+        return pd.DataFrame(out, columns=["query_row", "query_id", "vec_id", "none", "score"])
 
-    schema = "query_row long, query_id long, vec_id long, score long"
-    none = F.lit(None).cast("long").alias("least")
-    first = asked.select("row", "vec_id", "v", none, F.col("home").alias("s")).groupBy("s").cogroup(cand.groupBy("s")).applyInPandas(search, schema)
+    schema = "query_row long, query_id long, vec_id long, none boolean, score long"
+    unknown = [F.lit(0).cast("long").alias("least"), F.lit(False).alias("known")]
+    first = asked.select("row", "vec_id", "v", *unknown, F.col("home").alias("s")).groupBy("s").cogroup(cand.groupBy("s")).applyInPandas(search, schema)
     first = written(first, "first")
-    least = first.groupBy("query_row").agg(F.count("*").alias("n"), F.min("score").alias("least")).where(F.col("n") == k).select(F.col("query_row").alias("_row"), "least")
+    least = first.groupBy("query_row").agg(F.count("*").alias("n"), F.min("score").alias("least")).where(F.col("n") == k).select(F.col("query_row").alias("_row"), F.col("least").alias("_least"))
     numbers = lambda n: F.sequence(F.lit(0), F.lit(n - 1))
-    others = asked.join(least, asked["row"] == least["_row"], "left").withColumn("s", F.explode(numbers(shards))).where("s != home")
-    rest = others.select("row", "vec_id", "v", "least", "s", "b").groupBy("s", "b").cogroup(cand.withColumn("b", F.explode(numbers(blocks))).groupBy("s", "b")).applyInPandas(search, schema)
+    others = asked.join(least, asked["row"] == least["_row"], "left").withColumns({"known": F.col("_least").isNotNull(), "least": F.coalesce("_least", F.lit(0).cast("long"))}).withColumn("s", F.explode(numbers(shards))).where("s != home")
+    rest = others.select("row", "vec_id", "v", "least", "known", "s", "b").groupBy("s", "b").cogroup(cand.withColumn("b", F.explode(numbers(blocks))).groupBy("s", "b")).applyInPandas(search, schema)
     # Spark keeps k rows of a query in each task before the shuffle.
-    order = Window.partitionBy("query_row").orderBy(F.col("score").desc(), F.col("vec_id").asc_nulls_last())
+    order = Window.partitionBy("query_row").orderBy(F.col("score").desc(), "none", "vec_id")
     best = first.unionByName(rest).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    return best.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    return best.select("query_id", F.col("rank").cast("int").alias("rank"), F.when(~F.col("none"), F.col("vec_id")).alias("vec_id"), "score")
 
 
 def _search(q: pd.DataFrame, c: pd.DataFrame, k: int) -> list[tuple]:
     """The best ``k`` candidates of a shard for each query, of those that reach the query's ``least``."""
-    c = c.sort_values("vec_id", kind="stable", na_position="last")
-    ids, own = c["vec_id"].astype("Int64"), c["row"].to_numpy()
+    c = c.sort_values(["none", "vec_id"], kind="stable")
+    ids, none, own = c["vec_id"].to_numpy(), c["none"].to_numpy(), c["row"].to_numpy()
     postings = np.stack(c["v"].to_numpy()).astype(np.int64).T
     asked = np.stack(q["v"].to_numpy()).astype(np.int64)
     # Sums that doubles hold exactly go through them, as their products are fast; Python's numbers hold any.
@@ -214,11 +216,10 @@ def _search(q: pd.DataFrame, c: pd.DataFrame, k: int) -> list[tuple]:
     postings, asked = np.ascontiguousarray(postings.astype(kind)), asked.astype(kind)
     low, high = postings.min(1), postings.max(1)
     out = []
-    for row, query_id, least, v in zip(q["row"], q["vec_id"], q["least"], asked, strict=True):
+    for row, query_id, least, known, v in zip(q["row"], q["vec_id"], q["least"], q["known"], asked, strict=True):
         upper, lower = np.maximum(v * low, v * high), np.minimum(v * low, v * high)
         bounds = upper - lower
         terms = np.argsort(bounds, kind="stable")
-        known = not pd.isna(least)
         least = int(least) if known else None
         outside = int((np.cumsum(bounds[terms]) + lower.sum() < least).sum()) if known else 0
         probed, essential = terms[:outside][::-1], terms[outside:]
@@ -249,7 +250,7 @@ def _search(q: pd.DataFrame, c: pd.DataFrame, k: int) -> list[tuple]:
             top = np.asarray(score >= worst, bool)
             alive, score = alive[top], score[top]
         best = sorted(range(len(alive)), key=lambda i: (-score[i], alive[i]))[:k]
-        out += [(row, query_id, ids.iloc[alive[i]], max(-LONG - 1, min(LONG, int(score[i])))) for i in best]
+        out += [(row, query_id, ids[alive[i]], none[alive[i]], max(-LONG - 1, min(LONG, int(score[i])))) for i in best]
     return out
 
 

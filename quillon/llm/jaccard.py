@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import connected_components, release, written
+from quillon.llm.common import connected_components, free_names, release, written
 from quillon.llm.embeddings import _forest
 from quillon.llm.shingles import mixed, shingle_set, text_bytes
 
@@ -335,13 +335,14 @@ def keep_one_of_each(docs: DataFrame, num: int = 80, den: int = 100, width: int
     found = written(jaccard_components(docs, num, den, width), "components")
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
     one = found.where("root IS NOT NULL").groupBy("root").agg(F.min(order).alias("x"))
-    named = {c: f"_{c}_{len(docs.columns)}" for c in ("doc_id", "text_hash")}
+    *others, mark, own = free_names(docs, "doc_id", "text_hash", "one", "hash")
+    named = dict(zip(("doc_id", "text_hash"), others, strict=True))
     one = one.select(*(F.col(f"x.{c}").alias(n) for c, n in named.items())).distinct()
     # Documents without words: their hashes stand for themselves.
     empty = found.where("root IS NULL").select(F.col("doc_id").alias(named["doc_id"]), F.col("text_hash").alias(named["text_hash"])).distinct()
     marked = one.withColumn("_one", F.lit(True)).unionByName(empty.withColumn("_one", F.lit(False)))
-    marked = written(marked, "kept").withColumnRenamed("_one", mark := f"_one_{len(docs.columns)}")
-    hashed = docs.withColumn(own := f"_hash_{len(docs.columns)}", F.xxhash64("text"))
+    marked = written(marked, "kept").withColumnRenamed("_one", mark)
+    hashed = docs.withColumn(own, F.xxhash64("text"))
     got = hashed.join(marked, F.col("doc_id").eqNullSafe(F.col(named["doc_id"])) & F.col(own).eqNullSafe(F.col(named["text_hash"])))
     if found.groupBy("doc_id", "text_hash").agg(F.count("*").alias("n")).where("n > 1").head(1):
         got = got.where(F.col(mark)).dropDuplicates(["doc_id", own]).unionByName(got.where(~F.col(mark)))

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillon.llm.common import release, written
+from quillon.llm.common import free_names, release, written
 
 UNKNOWN = "und"
 #: Slots of the filter, a power of two. With its masks it is what a worker holds and the driver sends.
@@ -202,6 +202,6 @@ def keep_identified(docs: DataFrame, least: float = 0.05, per_language: int = LE
 
     All columns stay as they are, whatever their names.
     """
-    pred, score = (f"_{x}_{len(docs.columns)}" for x in ("pred", "score"))
+    pred, score = free_names(docs, "pred", "score")
     rows = with_language(docs, learn(docs, per_language), pred, score)
     return rows.where((F.col(pred) != UNKNOWN) & (F.col(score) >= least)).select(*docs.columns)

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType
 
-from quillon.llm.common import ranked, word_count, written
+from quillon.llm.common import free_names, ranked, word_count, written
 
 #: Levels of size: longer than 1/4, 1/16, 1/64, 1/256 of the source's target, and the rest.
 LEVELS, STEP = 5, 4
@@ -112,24 +113,25 @@ def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most:
     the whole rows again once, by all but the size. Rows alike in these share the sum of their
     copies evenly.
     """
-    n = len(docs.columns)
-    alike = {c: f"_{c}_{n}" for c in ("doc_id", "source", "key")}
+    *others, copies_, rows_, on, on_taken, times_, time_ = free_names(docs, "doc_id", "source", "key", "copies", "rows", "on", "onto", "times", "time")
+    alike = dict(zip(("doc_id", "source", "key"), others, strict=True))
     own = {"doc_id": F.col("doc_id").cast("long"), "source": F.col("source").cast("string"), "key": F.xxhash64("text")}
     rows = docs.select(*(c.alias(k) for k, c in own.items()), word_count(F.col("text").cast("string")).alias("size"))
     taken = _taken(rows, weights, most, seed).groupBy(*alike).agg(F.sum("copies").alias("copies"), F.count("*").alias("rows")).where("copies > 0")
     taken = written(taken, "taken")
     repeated = bool(taken.where("rows > 1").head(1))
-    taken = taken.withColumnsRenamed(alike | {"copies": f"_copies_{n}", "rows": f"_rows_{n}"})
-    copies, shared = F.col(f"_copies_{n}"), F.col(f"_rows_{n}")
+    taken = taken.withColumnsRenamed(alike | {"copies": copies_, "rows": rows_})
+    copies, shared = F.col(copies_), F.col(rows_)
     # Hashed once, as a column, so that the join is on one key that is never null.
-    on = f"_on_{n}"
     whole = docs.withColumn(on, F.xxhash64(*own.values()))
-    got = whole.join(taken.withColumn(f"{on}_", F.xxhash64(*alike.values())), F.col(on) == F.col(f"{on}_"))
+    got = whole.join(taken.withColumn(on_taken, F.xxhash64(*alike.values())), F.col(on) == F.col(on_taken))
     for k, c in own.items():
         got = got.where(c.eqNullSafe(F.col(alike[k])))
-    each = got.withColumn(f"_times_{n}", copies)
+    each = got.withColumn(times_, copies)
     if repeated:  # only such rows are numbered, a few alike ones at a time
-        at = F.row_number().over(Window.partitionBy(*alike.values()).orderBy(F.lit(0))) - 1
-        each = each.where(shared == 1).unionByName(got.where(shared > 1).withColumn(f"_times_{n}", F.floor((at + 1) * copies / shared) - F.floor(at * copies / shared)))
-    times = F.array_repeat(F.lit(0), F.col(f"_times_{n}").cast("int"))
-    return each.withColumn(f"_time_{n}", F.explode(times)).select(*docs.columns)
+        # By all that they hold, so that a task that runs again repeats the same ones.
+        held = F.xxhash64(*(f.name for f in docs.schema.fields if not isinstance(f.dataType, MapType)))
+        at = F.row_number().over(Window.partitionBy(*alike.values()).orderBy(held)) - 1
+        each = each.where(shared == 1).unionByName(got.where(shared > 1).withColumn(times_, F.floor((at + 1) * copies / shared) - F.floor(at * copies / shared)))
+    times = F.array_repeat(F.lit(0), F.col(times_).cast("int"))
+    return each.withColumn(time_, F.explode(times)).select(*docs.columns)

@@ -6,7 +6,7 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,31 +22,40 @@ ROWS = 512
 def tokenized_pieces(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", capacity: int = 2048, end_id: int = 0, keep_ids: bool = False) -> DataFrame:
     """Cut each document's ids, ``end_id`` last, into pieces of at most ``capacity``.
 
+    The ids are those of ``tokenizers``; for plain Latin texts ``tiktoken`` gives them by the same
+    merges (see ``ByteIds``, whose tests compare whole tables and random texts).
+
     Columns: doc_id, piece, start, length, ids_crc32 and, with ``keep_ids``, ids. Only longer
     documents are cut; their first piece takes what is over. A null text is an empty one: one
     piece that holds ``end_id`` alone. Repeated rows give repeated pieces. Other columns of
     ``docs`` are not read.
     """
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids_of = loaded(ByteIds, tokenizer)
         end = int(end_id).to_bytes(4, "little")
-        for batch in (b.iloc[i : i + ROWS] for b in batches for i in range(0, len(b), ROWS)):
-            rows = []
-            for doc, text in zip(batch["doc_id"], batch["text"], strict=True):
+        for batch in (b.slice(i, ROWS) for b in batches for i in range(0, b.num_rows, ROWS)):
+            of, rows, parts = [], [], []
+            for k, text in enumerate(batch["text"].to_pylist()):
                 ids = (ids_of(text) if text else b"") + end
                 n = len(ids) // 4
                 first = n % capacity if n > capacity else n
                 at = [0, *range(first or capacity, n, capacity), n]
                 for i, (a, b) in enumerate(zip(at, at[1:], strict=False)):
                     part = ids[4 * a : 4 * b]
-                    rows.append((doc, i, a, b - a, zlib.crc32(part), *([np.frombuffer(part, "<i4")] * keep_ids)))
-            out = pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32", *["ids"] * keep_ids])
-            yield out.astype({"doc_id": "Int64"})
+                    of.append(k)
+                    rows.append((i, a, b - a, zlib.crc32(part)))
+                    parts += [part] * keep_ids
+            numbers = np.array(rows, np.int64).reshape(-1, 4)
+            columns = [batch["doc_id"].take(pa.array(of, pa.int64())), pa.array(numbers[:, 0].astype(np.int32)), *(pa.array(numbers[:, i]) for i in (1, 2, 3))]
+            if keep_ids:
+                offsets = np.concatenate([[0], np.cumsum(numbers[:, 2])]).astype(np.int32)
+                columns.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(parts), "<i4"))))
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "piece", "start", "length", "ids_crc32", *["ids"] * keep_ids])
         release()
 
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * keep_ids
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInPandas(cut, schema)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(cut, schema)
 
 
 def sum_of_squares(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
@@ -97,15 +106,16 @@ def pack(pieces: DataFrame, capacity: int = 2048, group: int = GROUP) -> DataFra
     # Rows that repeat in full would meet in one group: the partition they are in tells them apart.
     dealt = pieces.withColumn("_group", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", F.spark_partition_id()), F.lit(groups)))
 
-    def place(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["doc_id", "piece", "ids_crc32"], kind="stable").reset_index(drop=True)
-        bins, offsets = sum_of_squares(pdf["length"].to_numpy(np.int64), capacity)
-        release()
+    def place(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by([(c, "ascending") for c in ("doc_id", "piece", "ids_crc32")])
+        bins, offsets = sum_of_squares(rows["length"].to_numpy(), capacity)
         # Group numbers are below 2^31 and a group's bins too.
-        return pdf.assign(sequence_id=(pdf["_group"].to_numpy(np.int64) << 31) + bins, offset=offsets)[[*cols, "sequence_id", "offset"]]
+        ids = (rows["_group"].to_numpy().astype(np.int64) << 31) + bins
+        release()
+        return rows.select(cols).append_column("sequence_id", pa.array(ids)).append_column("offset", pa.array(offsets))
 
     types = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pieces.schema)
-    short = dealt.where(F.col("length") < capacity).groupBy("_group").applyInPandas(place, f"{types}, sequence_id long, offset long")
+    short = dealt.where(F.col("length") < capacity).groupBy("_group").applyInArrow(place, f"{types}, sequence_id long, offset long")
     full = pieces.where(F.col("length") >= capacity)
     # Negative ids: nothing else than the row's own number in its partition of the written table.
     full = full.withColumn("sequence_id", -1 - F.monotonically_increasing_id()).withColumn("offset", F.lit(0).cast("long"))

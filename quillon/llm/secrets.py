@@ -16,6 +16,8 @@ from re import _parser
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillon.llm.common import free_names
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -163,12 +165,6 @@ def _once(value: Column) -> Column:
     return F.explode(F.array(value))
 
 
-def _names(docs: DataFrame, *names: str) -> list[str]:
-    """Column names that ``docs`` hasn't, in any case of letters."""
-    taken = {c.lower() for c in docs.columns}
-    return [next(x for k in range(len(taken) + 1) if (x := f"_{n}_{k}") not in taken) for n in names]
-
-
 def rule_spans(text: Column, rule: Rule, number: int) -> Column:
     """Array of (start, end, number), in code points, of the matches of a rule that are long enough.
 
@@ -198,7 +194,7 @@ def with_spans(docs: DataFrame, spans: str, rules: tuple[Rule, ...] = RULES) ->
     rules without a trigram query are tried on each text. All happens in the row: nothing is
     shuffled.
     """
-    low, row, listed = _names(docs, "low", "row", "rules")
+    low, row, listed = free_names(docs, "low", "row", "rules")
     trigrams = asked_trigrams(rules)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.withColumn(low, _once(F.lower(text)))
@@ -239,7 +235,7 @@ def redact_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFram
     text. Texts without secrets, null ones too, are left as they are. Rows that repeat give
     repeated results; an empty table gives an empty one.
     """
-    (spans,) = _names(docs, "spans")
+    (spans,) = free_names(docs, "spans")
     rows = with_spans(docs, spans, rules)
     kinds = F.array(*(F.lit(r.kind) for r in rules))
     text = F.col("text")

@@ -58,5 +58,5 @@ def test_an_empty_table_goes_through(spark, tmp_path):
 
 def test_registered():
     names = __spark_entry__.queries()
-    assert [sum(n.startswith(f"op{i}_") for n in names) for i in range(1, 11)] == [1] * 10 and "pipeline" in names
+    assert [sum(n.startswith(f"op{i}_") for n in names) for i in range(1, 14)] == [1] * 13 and "pipeline" in names
     assert 4 <= len(corpus_pipeline.STAGES) <= 5
