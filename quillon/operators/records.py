@@ -52,16 +52,18 @@ def occurrence_ids(rows: DataFrame, page: str, order: str, bucket: Column | None
 
     Counts are summed up in two levels: over the buckets, which alone pass through one task, and
     over the pages of a bucket. ``bucket`` must grow with the page; for numeric pages it is the
-    stretch they are in, for others give a prefix or the like.
+    stretch they are in, for others give a prefix or the like. Rows without a page come first.
     """
     counts = rows.groupBy(page).agg(F.count("*").alias("_n")).withColumn("_bucket", F.floor(F.col(page) / STRETCH) if bucket is None else bucket)
     totals = counts.groupBy("_bucket").agg(F.sum("_n").alias("_n"))
     before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     totals = totals.select("_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
     inside = Window.partitionBy("_bucket").orderBy(page).rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.withColumn("_start", F.coalesce(F.sum("_n").over(inside), F.lit(0))).join(totals, "_bucket").select(page, (F.col("_start") + F.col("_base")).alias("_start"))
-    out = positions(rows, page, order).join(starts, page)
-    return out.withColumn(name, F.concat(F.lit(prefix), (F.col("_start") + F.col("position") + first).cast("string"))).drop("_start")
+    totals = totals.withColumnRenamed("_bucket", "_of")
+    starts = counts.withColumn("_start", F.coalesce(F.sum("_n").over(inside), F.lit(0))).join(totals, F.col("_bucket").eqNullSafe(F.col("_of")))
+    starts = starts.select(F.col(page).alias("_paged"), (F.col("_start") + F.col("_base")).alias("_start"))
+    out = positions(rows, page, order).join(starts, F.col(page).eqNullSafe(F.col("_paged")))
+    return out.withColumn(name, F.concat(F.lit(prefix), (F.col("_start") + F.col("position") + first).cast("string"))).drop("_start", "_paged")
 
 
 def fields(rows: DataFrame, key: str, weights: dict[str, tuple[str, int]]) -> DataFrame:

@@ -260,3 +260,10 @@ def test_rounds(spark):
     for (a, b), want in {(0, 2): (10, 12), (1, 6): (11, 29), (2, 5): None, (1, 2): (11, 12)}.items():
         got = runs.select(records.raw_range(F.col("r"), F.lit(a), F.lit(b)).alias("x")).first()["x"]
         assert (got and tuple(got)) == want
+
+def test_rows_without_a_page_have_numbers_too(spark):
+    from quillon.operators.records import occurrence_ids
+
+    rows = spark.createDataFrame([(None, 1), (None, 2), (1 << 60, 5), ((1 << 60) + 1, 4), (3, 9)], "page long, position_no int")
+    got = sorted((r["occurrence_id"], r["page"], r["position_no"]) for r in occurrence_ids(rows, "page", "position_no").collect())
+    assert got == [("o0", None, 1), ("o1", None, 2), ("o2", 3, 9), ("o3", 1 << 60, 5), ("o4", (1 << 60) + 1, 4)]
