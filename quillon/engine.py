@@ -10,12 +10,15 @@ from pyspark.sql.streaming import StreamingQuery
 
 from quillon.functions import hashing
 from quillon.functions import text as t
-from quillon.operators import integrity, intervals, records, render, search, structure
+from quillon.operators import integrity, intervals, records, render, rounds, search, structure
+from quillon.operators.tables import written
+from quillon.sources import facts, resolver, snapshots
 from quillon.sources import files as src
-from quillon.sources import snapshots
 from quillon.streaming import watch
 
 COLUMNS = {"title": "title", "identifier": "identifiers", "path": "path", "body": "body"}
+#: What a snapshot is made by; another version's is stale.
+GENERATOR = "quillon 1"
 
 
 class Stale(RuntimeError):
@@ -33,11 +36,38 @@ def read_cursor(cursor: str, snapshot: str) -> tuple[str, str, int]:
 class Engine:
     def __init__(self, spark: SparkSession, source: str, output: str, settings: str = "config_version = 1"):
         self.spark, self.source, self.output = spark, source.rstrip("/"), output.rstrip("/")
-        self.settings = src.settings(settings)
+        self.settings, self._settings = src.settings(settings), settings
+        #: A source that tasks can open themselves; Spark alone reads others.
+        self.mounted = not re.match(r"\w+:", source) or source.startswith("file:")
+        self.prefixes = tuple(self.settings.get("inputs", {}).get("exclude", []))
 
     def files(self) -> DataFrame:
-        prefixes = tuple(self.settings.get("inputs", {}).get("exclude", []))
-        return src.decoded(src.scan(self.spark, self.source, prefixes, self._inside()))
+        return src.decoded(src.scan(self.spark, self.source, self.prefixes, self._inside()))
+
+    def listing(self) -> DataFrame:
+        """The sources' paths and what tells whether one moved; no file is opened. Mounted sources alone."""
+        root = re.sub(r"^file:(//)?", "", self.source)
+        found = facts.entries(self.spark, root, src.SKIPPED)
+        wanted = src.valid_path(F.col("path")) & ~src.excluded(F.col("path"), self.prefixes, self._inside()) & structure.language(F.col("path")).isNotNull()
+        own = found.where((F.col("kind") == "file") & wanted)
+        links = found.where((F.col("kind") == "link") & wanted).select("path")
+        if not links.head(1):
+            return own
+        # A link to a file counts as that file, under its own path.
+        to = resolver.resolve(links, found.select("path", "kind", "target")).where("node = 'file'").select(F.col("path").alias("_link"), "resolved")
+        meant = found.withColumnRenamed("path", "_at").join(to, F.col("_at") == F.col("resolved"))
+        return own.unionByName(meant.withColumn("path", F.col("_link")).select(*own.columns))
+
+    def fingerprints(self, known: DataFrame | None = None) -> DataFrame:
+        """path, sha256 and facts of the sources now. Of mounted sources only those are read whose facts moved since ``known``."""
+        if self.mounted:
+            return facts.fingerprints(self.listing(), known, re.sub(r"^file:(//)?", "", self.source))
+        return src.scan(self.spark, self.source, self.prefixes, self._inside()).select("path", "sha256", "n_bytes")
+
+    def sample(self, fingerprints: DataFrame) -> DataFrame:
+        """All that a snapshot depends on: the generator, the settings, the sources."""
+        one = lambda v: self.spark.createDataFrame([("", v)], "key string, value string")
+        return rounds.sample(generator=one(GENERATOR), settings=one(self._settings), sources=fingerprints.select(F.col("path").alias("key"), F.col("sha256").alias("value")))
 
     def _inside(self) -> str | None:
         """The output folder as a path below the source, if it is: what is generated there is no input."""
@@ -70,30 +100,53 @@ class Engine:
         if bad := files.where("error IS NOT NULL").select("path", "error").head(5):
             raise ValueError(f"source_error: {[(r['path'], r['error']) for r in bad]}")
         rows = self.rows(files)
-        facts = files.select("path", "sha256", "n_bytes")
+        # The listing comes before the bytes are read: what is edited in between is read again at the next check.
+        listed = self.listing() if self.mounted else None
+        hashed = files.select("path", "sha256", "n_bytes")
+        if listed is not None:
+            more = listed.select(F.col("path").alias("_path"), "kind", "modified", "changed", "identity", "target")
+            hashed = hashed.join(more, F.col("path") == F.col("_path"), "left").drop("_path").withColumn("error", F.lit(None).cast("string"))
+        hashed = written(hashed, "files")
+        inside = self._inside()
+        pages_at = F.concat(F.lit(f"{inside}/" if inside else ""), render.page_path(F.col("path")))
+        conflicts = snapshots.target_conflicts(hashed.select(pages_at.alias("path")), hashed.select("path") if inside is not None else hashed.select("path").where("false"))
+        if bad := conflicts.head(5):
+            raise ValueError(f"target_conflict: {[(r['path'], r['reason']) for r in bad]}")
         chunks = rows.select("path", "position", F.concat(F.when(F.col("kind") == "code", render.fenced_code(F.col("body"), structure.language(F.col("path")))).otherwise(F.col("body")), F.lit("\n\n")).alias("chunk"))
         pages = render.assembled(chunks, "path", "position", "chunk").withColumn("page", render.page_path(F.col("path")))
-        ids = rows.select("record_id").union(facts.select(hashing.content_id(F.col("path"), F.col("sha256"))))
+        ids = rows.select("record_id").union(hashed.select(hashing.content_id(F.col("path"), F.col("sha256"))))
         got = integrity.snapshot_identity(ids).head()
         snapshot = got["snapshot"] if got else hashing.base62(0)
-        tables = {"records": rows.withColumn("handle", hashing.handles(F.col("record_id"), snapshot)), "files": facts, "pages": pages}
+        tables = {"records": rows.withColumn("handle", hashing.handles(F.col("record_id"), snapshot)), "files": hashed, "pages": pages, "sample": self.sample(hashed)}
         snapshots.publish(self.spark, self.output, tables, snapshot)
         return snapshot
 
     def check_fresh(self) -> None:
-        """Stale unless the published fingerprints are those of the files now."""
+        """Stale unless generator, settings and the sources' bytes are those that the snapshot was made of.
+
+        Mounted sources cost a listing; bytes are read where length, times or identity moved.
+        """
+        if stale := [r["component"] for r in self.freshness().where("changed > 0").collect()]:
+            raise Stale(f"stale ({', '.join(sorted(stale))}): build again, or search the snapshot as it is")
+
+    def freshness(self) -> DataFrame:
+        """Component, changed, facts: how many facts of each component moved since the snapshot was made."""
         old = snapshots.table(self.spark, self.output, "files")
-        if integrity.compared(old, self.files(), ["path"], ["sha256"]).where("state != 'same'").head(1):
-            raise Stale("stale: build again, or search the snapshot as it is")
+        return rounds.freshness(snapshots.table(self.spark, self.output, "sample"), self.sample(self.fingerprints(old)))
 
     def search(self, query: str, path: str | None = None, limit: int = 10, snapshot: bool = False) -> DataFrame:
-        """Hits: handle, kind, path, title, snippet, matches, terms, term_count, exact, score."""
+        """Hits: handle, kind, path, title, snippet, matches, terms, term_count, exact, score, path_matches.
+
+        ``path_matches`` says why a hit lies below ``path``: its page (input), the file it is from (source).
+        """
         rows = self._asked(query, path, limit, snapshot)
         found = search.search(rows, COLUMNS, query, limit, None, ties=("path", "position", "record_id"))
         terms = t.query_terms(query)
         at = F.array_min(F.array(*(t.first_hit(F.col("body"), x) for x in terms))) if terms else F.lit(None).cast("int")
         found = search.matched(found, COLUMNS, query)
-        return found.select("handle", "kind", "path", "title", t.snippet(F.col("body"), at).alias("snippet"), "matches", "terms", "term_count", "exact", "score")
+        why = rounds.under_reasons(path, F.array("path"), F.array("path")) if path is not None else F.array().cast("array<string>")
+        found = found.withColumn("path_matches", why)
+        return found.select("handle", "kind", "path", "title", t.snippet(F.col("body"), at).alias("snippet"), "matches", "terms", "term_count", "exact", "score", "path_matches")
 
     def answer(self, query: str, path: str | None = None, limit: int = 10, snapshot: bool = False) -> dict:
         """The whole answer: snapshot, freshness, query_terms, total_matches, returned, truncated, hits (rows, at most ``limit``)."""
@@ -124,20 +177,28 @@ class Engine:
         return page.select("path", "position", "start_byte", "end_byte", "total", "next_cursor").orderBy("path", "position")
 
     def read(self, handle: str, offset: int = 0, context: int = 0) -> DataFrame:
-        """A record's body from a byte offset on and, with ``context``, its neighbours on the page."""
+        """A record's body from a byte offset on, its sources and, with ``context``, its neighbours on the page.
+
+        The record and its neighbours share one budget of characters: the record first, the
+        neighbours with what it leaves, in the order of the page.
+        """
         if len(handle) != 11 or not handle.isalnum():
             raise ValueError("a handle has 11 letters and digits")
         rows = snapshots.table(self.spark, self.output, "records")
         hit = rows.where(F.col("handle") == handle)
         if not hit.head(1):
             raise KeyError("no such handle in this snapshot")
-        near = F.lit(0)
         if context:
             around = hit.select(F.col("path").alias("_path"), F.explode(F.sequence(F.col("position") - context, F.col("position") + context)).alias("_at"))
-            hit = rows.join(around, (rows["path"] == around["_path"]) & (rows["position"] == around["_at"]))
-            near = F.when(F.col("handle") != handle, F.lit(1)).otherwise(F.lit(0))
-        body = t.byte_slice(F.col("body"), F.when(F.col("handle") == handle, F.lit(offset)).otherwise(F.lit(0)), search.BUDGET)
-        return hit.select("handle", "kind", "path", "position", body.alias("body"), near.alias("neighbour")).orderBy("neighbour", "path", "position")
+            hit = rows.join(around, (rows["path"] == around["_path"]) & (rows["position"] == around["_at"])).drop("_path", "_at")
+        own = F.col("handle") == handle
+        start = F.when(own, F.lit(offset)).otherwise(F.lit(0))
+        # The budget counts the characters that are left behind the offset.
+        left = hit.withColumn("_left", F.decode(F.substring(F.encode("body", "UTF-8"), start + 1, F.octet_length("body")), "UTF-8"))
+        left = search.budgeted(left, "path", "position", "_left", search.BUDGET, own)
+        source = F.struct("path", "start_byte", "end_byte")
+        left = left.where(own | (F.col("shown") > 0)).withColumn("neighbour", F.when(own, F.lit(0)).otherwise(F.lit(1)))
+        return left.select("handle", "kind", "path", "position", t.byte_slice(F.col("body"), start, F.col("shown").cast("int")).alias("body"), "neighbour", F.array(source).alias("sources")).orderBy("neighbour", "path", "position")
 
     def read_entity(self, path: str, title_path: list[str]) -> DataFrame:
         """A section of a current Markdown file by its titles; no snapshot is needed."""
@@ -152,7 +213,11 @@ class Engine:
 
         Once: what changed, None if nothing did. Else a query that compares again every second.
         """
-        listing = lambda: self.files().select("path", "sha256", "n_bytes")
+        def listing() -> DataFrame:
+            last = snapshots.current(self.spark, output)
+            known = snapshots.table(self.spark, output, "rows", last) if last is not None and self.mounted else None
+            return self.fingerprints(known)
+
         if once:
             return watch.refresh(self.spark, output, listing, "path", ["sha256"])
         return watch.follow_listing(self.spark, output, listing, "path", ["sha256"])

@@ -82,3 +82,44 @@ def test_cursor():
     for bad in ("x:r:sources:5", "s:r:sources:4", "s:r:other:5", "s:r:5"):
         with pytest.raises(ValueError):
             read_cursor(bad, "s")
+
+
+def test_freshness_reads_only_what_moved_and_sees_settings(spark, tree, tmp_path):
+    (tree / "linked.md").symlink_to("notes.md")
+    out = str(tmp_path / "out")
+    e = Engine(spark, str(tree), out)
+    e.build()
+    known = spark.read.parquet(f"{out}/snapshot=*/files")
+    assert sorted(r["path"] for r in known.collect()) == ["linked.md", "notes.md", "pump.go", "timer.py"]
+    assert e.fingerprints(known).selectExpr("sum(n_read)").head()[0] == 0
+    (tree / "timer.py").touch()
+    assert {r["path"]: r["n_read"] for r in e.fingerprints(known).where("n_read > 0").collect()} == {"timer.py": len("# water at dawn\ndef start_timer():\n    return 1\n")}
+    assert {r["component"]: r["changed"] for r in e.freshness().collect()} == {"generator": 0, "settings": 0, "sources": 0}
+    (tree / "notes.md").write_text("# Other\n")
+    (tree / "pump.go").unlink()
+    assert {r["component"]: r["changed"] for r in e.freshness().collect()} == {"generator": 0, "settings": 0, "sources": 3}
+    other = Engine(spark, str(tree), out, 'config_version = 1\n[inputs]\nexclude = ["x"]\n')
+    with pytest.raises(Stale, match="settings, sources"):
+        other.search("water")
+
+
+def test_a_read_shares_its_budget_and_names_sources(spark, tree, tmp_path, monkeypatch):
+    from quillon.operators import search
+
+    e = Engine(spark, str(tree), str(tmp_path / "out"))
+    e.build()
+    handle = e.search("只在秋天").head()["handle"]
+    got = e.read(handle, context=2).collect()
+    assert [r["neighbour"] for r in got] == [0, 1, 1, 1, 1] and got[0]["sources"][0]["path"] == "notes.md"
+    assert e.search("soil", path="pump.go").head()["path_matches"] == ["input", "source"] and e.search("soil").head()["path_matches"] == []
+    monkeypatch.setattr(search, "BUDGET", 12)
+    got = e.read(handle, context=2).collect()
+    assert [r["body"]["text"] for r in got] == ["只在秋天浇水。\n", "# Be"]
+    assert e.read(handle, offset=6).head()["body"]["text"] == "秋天浇水。\n"
+
+
+def test_a_page_that_would_be_the_folder_of_another_stops_the_round(spark, tree, tmp_path):
+    (tree / "notes.md.md").mkdir()
+    (tree / "notes.md.md" / "b.md").write_text("# mine\n")
+    with pytest.raises(ValueError, match="target_conflict.*parent_of_target"):
+        Engine(spark, str(tree), str(tmp_path / "out")).build()
