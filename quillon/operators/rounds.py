@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quillon.functions.text import under
 from quillon.operators import structure
 from quillon.operators.integrity import compared
+from quillon.operators.regions import open_region
 
 #: Fixed value: dirty paths of a root beyond which all of it is scanned again.
 MOST_DIRTY = 4096
@@ -43,7 +44,7 @@ def evaluated(nodes: DataFrame, request: str = "request", node: str = "node", be
 
 
 def fragment_error(markdown: Column, sources: Column, required: Column, layout: Column) -> Column:
-    """Why a fragment can't be published, null if it can: byte_order_mark, nul, empty, no_sources, open_fence.
+    """Why a fragment can't be published, null if it can: byte_order_mark, nul, empty, no_sources, open_fence, open_html.
 
     ``sources`` counts its sources; ``layout`` allows white space alone, which needs none.
     """
@@ -53,7 +54,7 @@ def fragment_error(markdown: Column, sources: Column, required: Column, layout:
         .when(markdown.contains("\0"), "nul")
         .when(markdown.isNull() | (markdown == "") | (blank & ~layout), "empty")
         .when(required & ~blank & (sources == 0), "no_sources")
-        .when(structure.fences(markdown).getField("open_line").isNotNull(), "open_fence")
+        .otherwise(open_region(markdown))
     )
 
 

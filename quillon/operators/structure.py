@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.functions.text import ascii_lower
+from quillon.operators.regions import tags_of
 
 #: Language and markers of line and block comments by suffix.
 LANGUAGES = {
@@ -155,18 +156,15 @@ def segments(files: DataFrame, key: str = "path", text: str = "text") -> DataFra
 
 
 def directives(files: DataFrame, key: str = "path", text: str = "text") -> DataFrame:
-    """Directives outside code: key, line_no, name, arguments, inline, request_no (from 1, by place in the file).
+    """Directives outside literal regions: key, line_no, name, arguments, inline, request_no (from 1, by place in the file), start_byte, end_byte.
 
-    One alone on its line, at most three spaces in, is a block; others are inline, unless a
-    backslash or a code span holds them. Files without an opening tag aren't cut into lines.
+    One alone on its line, at most three spaces in, is a block; others are inline. In fenced code,
+    raw HTML, tags and code spans, and behind a backslash, they are text. Files without an opening
+    tag aren't looked at; nothing of a file but its directives leaves its row.
     """
-    rows = lines(files.where(F.col(text).contains("{%")), key, text).where(~F.col("in_code") & F.col("line").contains("{%"))
-    plain = F.regexp_replace(F.regexp_replace("line", r"\\\{%", "  "), r"(`+)(?!`).*?[^`]\1(?!`)", " ")
-    alone = F.col("line").rlike(rf"^ {{0,3}}{DIRECTIVE}[ \t]*\r?\n?$")
-    tags = F.arrays_zip(F.regexp_extract_all(plain, F.lit(DIRECTIVE), F.lit(1)).alias("name"), F.regexp_extract_all(plain, F.lit(DIRECTIVE), F.lit(2)).alias("arguments"))
-    rows = rows.select(key, "line_no", alone.alias("_alone"), F.posexplode(tags).alias("_i", "t"))
-    number = F.row_number().over(Window.partitionBy(key).orderBy("line_no", "_i"))
-    return rows.select(key, "line_no", F.col("t.name").alias("name"), F.trim("t.arguments").alias("arguments"), (~F.col("_alone")).alias("inline"), number.alias("request_no"))
+    tags = tags_of(DIRECTIVE)(F.col(text))
+    rows = files.where(F.col(text).contains("{%")).select(key, F.posexplode(tags).alias("_i", "t"))
+    return rows.select(key, F.col("t.line_no").alias("line_no"), F.col("t.name").alias("name"), F.col("t.arguments").alias("arguments"), (~F.col("t.alone")).alias("inline"), (F.col("_i") + 1).alias("request_no"), F.col("t.start").alias("start_byte"), F.col("t.end").alias("end_byte"))
 
 
 #: A name and equals sign, if any, and a value: a JSON string, one in single quotes, a JSON array, or a bare scalar.
@@ -183,7 +181,6 @@ def arguments(text: Column) -> Column:
     a string or array that is no JSON), positional_after_named, duplicate_argument. With an error,
     there are no arguments.
     """
-    names, values = (F.regexp_extract_all(text, F.lit(ARGUMENT), F.lit(i)) for i in (1, 2))
     inner = lambda v: F.substring(v, F.lit(2), F.length(v) - 2)
     single = lambda v: F.to_json(F.struct(F.regexp_replace(inner(v), r"\\(['\\])", "$1").alias("v")))
     as_json = lambda v: F.when(v.startswith("'"), F.regexp_replace(single(v), r'^\{"v":|\}$', "")).otherwise(v)
@@ -193,23 +190,31 @@ def arguments(text: Column) -> Column:
         scalar = v.isin("true", "false", "null") | (v.rlike(f"^{NUMBER}$") & (F.abs(number) < float("inf")) & ((number != F.floor(number)) | (F.abs(number) <= SAFE)))
         return F.when(v.rlike("^'"), ~v.rlike(r"[\x00-\x1f]")).when(v.rlike(r'^["\[]'), F.try_parse_json(v).isNotNull()).otherwise(scalar)
 
-    pairs = F.arrays_zip(names.alias("key"), values.alias("value"))
-    named, bare = F.filter(pairs, lambda p: p.key != ""), F.filter(pairs, lambda p: p.key == "")
-    rest = F.regexp_replace(text, ARGUMENT, "")
-    late = F.exists(F.transform(pairs, lambda p, i: (p.key == "") & F.exists(F.slice(names, 1, i), lambda n: n != "")), lambda x: x)
-    keys = F.transform(named, lambda p: p.key)
-    error = (
-        F.when(rest.rlike(r"[^ \t]") | ~F.forall(values, legal), "invalid_arguments")
-        .when(F.coalesce(late, F.lit(False)), "positional_after_named")
-        .when(F.size(F.array_distinct(keys)) < F.size(keys), "duplicate_argument")
-    )
-    ok = error.isNull()
-    once = F.filter(named, lambda p: ok)
-    return F.struct(
-        F.when(ok, F.transform(bare, lambda p: as_json(p.value))).alias("positional"),
-        F.when(ok, F.map_from_entries(F.transform(once, lambda p: F.struct(p.key.alias("key"), as_json(p.value).alias("value"))))).alias("named"),
-        error.alias("error"),
-    )
+    item = "struct<key:string,value:string>"
+
+    def checked(pairs: Column, rest: Column) -> Column:
+        """From the pairs alone, which are extracted once."""
+        start = F.struct(F.lit(False).alias("named"), F.lit(False).alias("late"), F.lit(True).alias("legal"))
+        seen = F.aggregate(pairs, start, lambda acc, p: F.struct((acc.named | (p.key != "")).alias("named"), (acc.late | (acc.named & (p.key == ""))).alias("late"), (acc.legal & F.coalesce(legal(p.value), F.lit(False))).alias("legal")))
+        keys = F.transform(F.filter(pairs, lambda p: p.key != ""), lambda p: p.key)
+        error = lambda s: (
+            F.when(rest.rlike(r"[^ \t]") | ~s.legal, "invalid_arguments")
+            .when(s.late, "positional_after_named")
+            .when(F.size(F.array_distinct(keys)) < F.size(keys), "duplicate_argument")
+        )
+        return F.transform(F.array(seen), lambda s: F.struct(pairs.alias("pairs"), error(s).alias("error")))[0]
+
+    def shown(found: Column) -> Column:
+        given = F.when(found.error.isNull(), F.transform(found.pairs, lambda p: F.struct(p.key.alias("key"), as_json(p.value).alias("value"))))
+        none = F.array().cast(f"array<{item}>")
+        named = F.filter(F.coalesce(given, none), lambda p: p.key != "")
+        return F.struct(F.transform(F.filter(given, lambda p: p.key == ""), lambda p: p.value).alias("positional"), F.when(found.error.isNull(), F.map_from_entries(named)).alias("named"), found.error.alias("error"))
+
+    # Each step takes the last one's value as the variable of a one-item array, so it is computed once.
+    whole = F.regexp_extract_all(text, F.lit(ARGUMENT), F.lit(0))
+    split = lambda m: F.struct(F.regexp_extract(m, ARGUMENT, 1).alias("key"), F.regexp_extract(m, ARGUMENT, 2).alias("value"))
+    raw = F.array(F.struct(F.transform(whole, split).alias("pairs"), F.regexp_replace(text, ARGUMENT, "").alias("rest")))
+    return F.transform(F.transform(raw, lambda r: checked(r.pairs, r.rest)), shown)[0]
 
 
 def plain(value: Column) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillon.functions import maps
+from quillon.operators import regions, structure
 from quillon.plans.queries import query
 from quillon.sources import facts, resolver
 
@@ -94,3 +96,52 @@ def changed_entries(read):
     left = touched.where("o_orderstatus != 'F'").select(F.col("order").alias("path"), F.col("folder").alias("parent"), F.lit("directory").alias("kind"), F.lit(False).alias("touched"))
     known = folders.unionByName(orders).unionByName(lines).withColumn("changed", F.lit(0).cast("long"))
     return facts.changed_entries(known, batch.unionByName(left).withColumn("changed", F.lit(1).cast("long"))).select("path", "kind", "state")
+
+
+# --- texts and their maps ----------------------------------------------------------------------------
+
+
+@query("""WITH p AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents), n AS (SELECT doc_id, len(l) - 1 AS breaks, l, list_transform(range(len(l)), lambda i: strlen(array_to_string(l[1:i], chr(10))) + (i > 0)::INT) AS starts FROM p)
+SELECT doc_id, r AS run_no, starts[r // 2 + 1] + CASE WHEN r % 2 = 1 THEN strlen(l[r // 2 + 1]) ELSE 0 END AS at, starts[r // 2 + 1] + strlen(l[r // 2 + 1]) + r % 2 AS "end", starts[r // 2 + 1] + r // 2 + CASE WHEN r % 2 = 1 THEN strlen(l[r // 2 + 1]) ELSE 0 END AS src, starts[r // 2 + 1] + r // 2 + strlen(l[r // 2 + 1]) + 2 * (r % 2) AS src_end
+FROM (SELECT doc_id, unnest(range(2 * breaks + 1)) AS r, l, starts FROM n) WHERE r % 2 = 1 OR strlen(l[r // 2 + 1]) > 0""")
+def lf_map(read):
+    """Texts with CRLF ends as their LF view: a run for each line and one for each end."""
+    d = read("documents").select("doc_id", maps.made(F.replace("text", F.lit("\n"), F.lit("\r\n")), "lf").alias("m"))
+    runs = maps.exploded(d, "doc_id", "m")
+    # Lines without characters have no run: a run's number counts them.
+    ends = (F.col("src_end") - F.col("src") > F.col("end") - F.col("at")).cast("long")
+    before = F.sum(ends).over(Window.partitionBy("doc_id").orderBy("run_no").rowsBetween(Window.unboundedPreceding, -1))
+    return runs.withColumn("run_no", F.coalesce(before, F.lit(0)) * 2 + ends).select("doc_id", "run_no", "at", "end", "src", "src_end")
+
+
+_TAGS = r"(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>|</?[a-z][^<>]*>"
+
+
+@query(rf"""WITH g AS (SELECT page_id, string_split_regex(html, '{_TAGS}') AS gaps, regexp_extract_all(html, '{_TAGS}') AS hits, html FROM (SELECT page_id, regexp_replace(html, '[&`*_~#\\\[\]]|\n\s*', '', 'g') AS html FROM pages)),
+r AS (SELECT page_id, i, gaps[i] AS part, (list_sum(list_transform(gaps[1:i], lambda x: strlen(x))) - strlen(gaps[i]))::BIGINT AS place, coalesce(list_sum(list_transform(hits[1:i - 1], lambda x: strlen(x))), 0)::BIGINT AS cut FROM (SELECT *, unnest(range(1, len(gaps) + 1)) AS i FROM g))
+SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY i) - 1 AS run_no, place AS "at", place + strlen(part) AS "end", place + cut AS src, place + cut + strlen(part) AS src_end FROM r WHERE part <> ''""")
+def visible_map(read):
+    """What a reader sees of a page, by runs that lead back to its bytes."""
+    html = F.regexp_replace("html", r"[&`*_~#\\\[\]]|\n\s*", "")
+    d = read("pages").select("page_id", maps.made(html, "visible").alias("m"))
+    return maps.exploded(d, "page_id", "m").withColumn("run_no", F.col("run_no").cast("long"))
+
+
+@query("""SELECT event_id, CASE event_type WHEN 'purchase' THEN 'open_html' WHEN 'signup' THEN 'open_fence' END AS error,
+ CASE event_type WHEN 'click' THEN 1 WHEN 'view' THEN 0 WHEN 'purchase' THEN 0 WHEN 'signup' THEN 0 ELSE 2 END AS directives,
+ CASE event_type WHEN 'click' THEN user_id::VARCHAR WHEN 'view' THEN '' WHEN 'purchase' THEN '' WHEN 'signup' THEN '' ELSE user_id || ',' || event_id END AS arguments FROM events""")
+def literal_regions(read):
+    """Directives in code spans, raw HTML and fences are text; what nothing closes is an error."""
+    a, b = F.concat(F.lit("{% x "), "user_id", F.lit(" %}")), F.concat(F.lit("{% y "), "event_id", F.lit(" %}"))
+    kind = F.col("event_type")
+    text = (
+        F.when(kind == "click", F.concat(F.lit("see "), a, F.lit(" not `"), b, F.lit("`\n")))
+        .when(kind == "view", F.concat(F.lit("<div>\n"), a, F.lit(' <i title="'), b, F.lit('">\n</div>\n')))
+        .when(kind == "purchase", F.concat(F.lit("<!-- "), a, F.lit("\n\n"), b))
+        .when(kind == "signup", F.concat(F.lit("```text\n"), a, F.lit("\n``\n"), b))
+        .otherwise(F.concat(F.lit("<script>"), b, F.lit("</script>\n"), a, F.lit("\n\n"), b, F.lit("\n")))
+    )
+    files = read("events").select("event_id", text.alias("text"))
+    found = structure.directives(files, "event_id").groupBy(F.col("event_id").alias("_id")).agg(F.count("*").alias("n"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("request_no", "arguments"))), lambda x: x.arguments), ",").alias("a"))
+    rows = files.select("event_id", regions.open_region(F.col("text")).alias("error")).join(found, F.col("event_id") == F.col("_id"), "left")
+    return rows.select("event_id", "error", F.coalesce("n", F.lit(0)).alias("directives"), F.coalesce("a", F.lit("")).alias("arguments"))
