@@ -18,7 +18,7 @@ STRETCHES = 8
 def union_of(rows: DataFrame, key: str, start: str, end: str, width: int = DAY) -> DataFrame:
     """Merged intervals of each key; those that touch are one: key, start, end, n. Starts are cut at multiples of ``width``."""
     along = Stretches(rows.select(key, start, end), key, F.col(start), (end,), width).most_before(F.col(end), "_reach")
-    along.sum((F.col("_reach").isNull() | (F.col(start) > F.col("_reach"))).cast("int"), "_island")
+    along.then().sum((F.col("_reach").isNull() | (F.col(start) > F.col("_reach"))).cast("int"), "_island")
     return along.done().groupBy(key, "_island").agg(F.min(start).alias(start), F.max(end).alias(end), F.count("*").alias("n")).drop("_island")
 
 
@@ -29,7 +29,7 @@ def islands(rows: DataFrame, key: str, at: Column, ties: tuple[str, ...], same:
     stays = F.lit(True) if within is None else F.col("_at") - F.col("_before.at") <= within
     for c in same:
         stays = stays & F.col(c).eqNullSafe(F.col(f"_before.{c}"))
-    along.sum(F.when(F.col("_before").isNull(), 0).otherwise((~F.coalesce(stays, F.lit(False))).cast("int")), "island")
+    along.then().sum(F.when(F.col("_before").isNull(), 0).otherwise((~F.coalesce(stays, F.lit(False))).cast("int")), "island")
     return along.done().drop("_before")
 
 

@@ -81,7 +81,7 @@ def mapping_runs(rows: DataFrame, key: str, body: str, source: str) -> DataFrame
     """Runs in which body and source positions grow together: key, body_start, body_end, source_start, source_end."""
     along = Stretches(rows.select(key, body, source), key, F.col(body)).previous(F.struct(body, source), "_before")
     goes_on = (F.col(body) == F.col(f"_before.{body}") + 1) & (F.col(source) == F.col(f"_before.{source}") + 1)
-    marked = along.sum((~F.coalesce(goes_on, F.lit(False))).cast("int"), "_run").done()
+    marked = along.then().sum((~F.coalesce(goes_on, F.lit(False))).cast("int"), "_run").done()
     runs = marked.groupBy(key, "_run").agg(F.min(body).alias("body_start"), (F.max(body) + 1).alias("body_end"), F.min(source).alias("source_start"), (F.max(source) + 1).alias("source_end"))
     return runs.drop("_run")
 

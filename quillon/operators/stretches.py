@@ -3,10 +3,16 @@
 A key is cut into stretches of ``width`` of a numeric column. A window runs within a stretch; what
 earlier stretches leave behind, one row for each, is carried over by a window over those rows. So
 a key with a third of all rows is many tasks, and through one task for a key go its stretches.
+
+Rows are dealt out once, by a hash of key and stretch. All values of a step share one summary of
+the stretches and one join, both of which take the rows as they were dealt; ``then`` begins a step
+whose values build on those before.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,45 +22,58 @@ class Stretches:
 
     def __init__(self, rows: DataFrame, key: str, at: Column, ties: tuple[str, ...] = (), width: int = 1 << 16):
         self.key, self.columns = key, list(rows.columns)
-        self.rows = rows.withColumn("_at", at).withColumn("_s", F.floor(F.col("_at") / width))
+        rows = rows.withColumn("_at", at).withColumn("_s", F.floor(F.col("_at") / width))
+        self.rows = rows.withColumn("_g", F.xxhash64(key, "_s")).repartition("_g")
         self.order = [F.col("_at"), *map(F.col, ties)]
-        self.own = Window.partitionBy(key, "_s").orderBy(*self.order)
+        self.own = Window.partitionBy("_g", key, "_s").orderBy(*self.order)
         self.upto = self.own.rowsBetween(Window.unboundedPreceding, 0)
         self.earlier = self.own.rowsBetween(Window.unboundedPreceding, -1)
+        #: Name, what a stretch leaves, what earlier ones leave together, the value from both.
+        self.asked: list[tuple[str, Column, Callable[[Column], Column], Callable[[Column], Column]]] = []
 
-    def _carry(self, left: Column, over) -> DataFrame:
-        """Rows with ``_carried``: ``over`` of what each earlier stretch leaves, ``left``."""
+    def then(self) -> Stretches:
+        """The values asked for so far become columns."""
+        if not self.asked:
+            return self
         along = Window.partitionBy("_k").orderBy("_t").rowsBetween(Window.unboundedPreceding, -1)
-        per = self.rows.groupBy(F.col(self.key).alias("_k"), F.col("_s").alias("_t")).agg(left.alias("_left"))
-        per = per.select("_k", "_t", over(F.col("_left")).over(along).alias("_carried"))
-        return self.rows.join(per, F.col(self.key).eqNullSafe(F.col("_k")) & F.col("_s").eqNullSafe(F.col("_t"))).drop("_k", "_t")
-
-    def _with(self, rows: DataFrame, name: str, value: Column) -> Stretches:
-        self.rows = rows.withColumn(name, value).drop("_carried")
-        self.columns.append(name)
+        names = [name for name, *_ in self.asked]
+        per = self.rows.groupBy("_g", self.key, "_s").agg(*(left.alias(f"_left_{i}") for i, (_, left, _, _) in enumerate(self.asked)))
+        per = per.select(F.col("_g").alias("_h"), F.col(self.key).alias("_k"), F.col("_s").alias("_t"), *(c for c in per.columns if c.startswith("_left_")))
+        per = per.select("_h", "_k", "_t", *(over(F.col(f"_left_{i}")).over(along).alias(f"_carried_{i}") for i, (_, _, over, _) in enumerate(self.asked)))
+        # The hash alone deals the rows out; that key and stretch are equal is looked at besides.
+        same = lambda a, b: F.coalesce(F.col(a) == F.col(b), F.col(a).isNull() & F.col(b).isNull())
+        met = self.rows.join(per, (F.col("_g") == F.col("_h")) & same(self.key, "_k") & same("_s", "_t"))
+        values = {name: value(F.col(f"_carried_{i}")) for i, (name, _, _, value) in enumerate(self.asked)}
+        self.rows = met.withColumns(values).select(*self.columns, *names, "_at", "_s", "_g")
+        self.columns += names
+        self.asked = []
         return self
 
     def sum(self, value: Column, name: str, before: bool = False) -> Stretches:
         """The sum up to each row, or before it."""
         own = F.coalesce(F.sum(value).over(self.earlier if before else self.upto), F.lit(0))
-        return self._with(self._carry(F.sum(value), F.sum), name, own + F.coalesce("_carried", F.lit(0)))
+        self.asked.append((name, F.sum(value), F.sum, lambda c: own + F.coalesce(c, F.lit(0))))
+        return self
 
     def most_before(self, value: Column, name: str) -> Stretches:
         """The greatest value before each row, null at the first."""
-        return self._with(self._carry(F.max(value), F.max), name, F.greatest(F.max(value).over(self.earlier), F.col("_carried")))
+        self.asked.append((name, F.max(value), F.max, lambda c: F.greatest(F.max(value).over(self.earlier), c)))
+        return self
 
     def previous(self, value: Column, name: str) -> Stretches:
         """The value of the row before, null at the first."""
         last = F.max_by(F.struct(value.alias("v")), F.struct(*self.order))
-        carried = self._carry(last, lambda c: F.last(c, ignorenulls=True))
         own = F.lag(F.struct(value.alias("v"))).over(self.own)
-        return self._with(carried, name, F.coalesce(own, F.col("_carried")).getField("v"))
+        self.asked.append((name, last, lambda c: F.last(c, ignorenulls=True), lambda c: F.coalesce(own, c).getField("v")))
+        return self
 
     def latest(self, value: Column, name: str) -> Stretches:
         """The last value that isn't null, up to each row."""
         last = F.max_by(value, F.when(value.isNotNull(), F.struct(*self.order)))
-        carried = self._carry(last, lambda c: F.last(c, ignorenulls=True))
-        return self._with(carried, name, F.coalesce(F.last(value, ignorenulls=True).over(self.upto), F.col("_carried")))
+        own = F.last(value, ignorenulls=True).over(self.upto)
+        self.asked.append((name, last, lambda c: F.last(c, ignorenulls=True), lambda c: F.coalesce(own, c)))
+        return self
 
     def done(self) -> DataFrame:
+        self.then()
         return self.rows.select(*self.columns)
