@@ -13,6 +13,7 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillon.functions import maps
 from quillon.functions.text import ascii_lower
 from quillon.operators.regions import tags_of
 
@@ -118,41 +119,62 @@ def sections(files: DataFrame, key: str = "path", text: str = "text") -> DataFra
 
 
 def segments(files: DataFrame, key: str = "path", text: str = "text") -> DataFrame:
-    """Prose, code and layout of source files: key, segment_no, kind, start_line, end_line, start_byte, end_byte, text.
-
-    Comments that own their lines are prose, without markers; neighbours of one indentation and
-    marker are one segment. The rest is code, or layout if blank. A line in a string that looks
-    like a comment counts as one: strings that span lines aren't followed. Markdown is one prose
-    segment.
+    """Prose, code and layout of source files: key, segment_no, kind, start_line, end_line, start_byte, end_byte, text, runs.
+
+    Comments that own their lines are prose, without markers; line comments of one indentation and
+    marker side by side are one segment, a block comment is one by itself. A block comment owns
+    its lines if blanks alone are before and behind it; else it is code, as is one that nothing
+    closes. A line that opens and closes comments is left as its last mark says. OCaml's comments nest. The
+    rest is code, or layout if blank. Strings aren't followed: marks in them count. Markdown is one
+    prose segment. ``runs`` lead from the text back to the file's bytes.
     """
     rows = lines(files.withColumn("_suffix", suffix(F.col(key))).select(key, text), key, text).withColumn("_s", suffix(F.col(key)))
     marks = {i: F.element_at(F.create_map(*(x for k, v in LANGUAGES.items() for x in (F.lit(k), F.lit(v[i])))), F.col("_s")) for i in (1, 2, 3)}
     body = F.regexp_replace("line", r"\r?\n$", "")
-    bare = F.ltrim(body)
-    rows = rows.select("*", *(m.alias(f"_m{i}") for i, m in marks.items()), bare.alias("_bare"), body.alias("_body"))
+    rows = rows.select("*", *(m.alias(f"_m{i}") for i, m in marks.items()), F.ltrim(body).alias("_bare"), body.alias("_body"))
+    md, nests = F.col("_s") == "md", F.coalesce(F.col("_m2") == "(*", F.lit(False))
     w = Window.partitionBy(key).orderBy("line_no")
-    opens = F.coalesce(F.col("_bare").startswith(F.col("_m2")), F.lit(False))
-    closes = F.coalesce(F.rtrim("_bare").endswith(F.col("_m3")), F.lit(False))
-    # The last line that opened or closed a comment says whether this one is inside.
-    edge = F.last(F.when(closes, F.lit(0)).when(opens, F.lit(1)), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    # OCaml's comments nest: what is open before a line is counted.
+    earlier = w.rowsBetween(Window.unboundedPreceding, -1)
+    # Of a line outside comments what follows ``//`` holds no marks.
+    seen = F.when(nests, F.col("_body")).otherwise(F.regexp_replace("_body", r"^((?:(?!/\*).)*?)//.*$", "$1"))
+    rows = rows.withColumn("_seen", seen)
+    last = lambda c, mark: F.length(c) - F.length(F.substring_index(c, mark, -1))
+    opens = lambda c: c.contains("/*") & (last(c, "/*") > last(c, "*/"))
+    raw = F.col("_body")
+    after = F.when(raw.contains("*/"), opens(raw).cast("int")).when(opens(F.col("_seen")), 1)
+    edge = F.last(F.when(F.col("_m2") == "/*", after), ignorenulls=True).over(earlier)
+    # What is open before a line is counted where comments nest.
     times = lambda mark: (F.length("line") - F.length(F.replace("line", F.lit(mark), F.lit("")))) / 2
-    depth = F.sum(times("(*") - times("*)")).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    rows = rows.withColumn("_inside", F.when(F.col("_m2") == "(*", F.coalesce(depth, F.lit(0)) > 0).otherwise(F.coalesce(edge, F.lit(0)) == 1))
-    block = F.col("_inside") | (opens & (closes | ~F.col("_bare").contains(F.col("_m3"))))
+    grows = F.when(nests, times("(*") - times("*)")).otherwise(0)
+    depth = F.coalesce(F.sum(grows).over(earlier), F.lit(0))
+    rows = rows.withColumn("_inside", F.when(nests, depth > 0).otherwise(F.coalesce(edge, F.lit(0)) == 1))
+    goes_on = F.when(nests, depth + grows > 0).otherwise(F.coalesce(after, F.col("_inside").cast("int")) == 1)
+    begins = ~F.col("_inside") & F.coalesce(F.col("_bare").startswith(F.col("_m2")), F.lit(False))
+    within = F.col("_inside") | begins
+    rows = rows.withColumns({"_begins": begins, "_within": within, "_ends": within & ~goes_on, "_other": ~F.col("_inside") & ~begins & goes_on})
+    # A comment's lines, from the one that it begins on; one that begins behind code is another's.
+    rows = rows.withColumn("_comment", F.sum((F.col("_begins") | F.col("_other")).cast("int")).over(w))
+    whole = Window.partitionBy(key, "_comment")
+    only = ~F.when(nests, F.col("_bare").rlike(r"\*\)[^(]*[^\s(*][^(]*\(\*")).otherwise(F.col("_bare").rlike(r"^/\*.*?\*/\s*\S") & ~F.col("_inside"))
+    behind = F.when(nests, F.rtrim("_bare").endswith("*)")).otherwise(F.col("_bare").rlike(r"^(?:(?!\*/).)*\*/\s*$") | (~F.col("_inside") & F.col("_bare").rlike(r"^/\*(?:(?!\*/).)*\*/\s*$")))
+    own = F.max(F.when(F.col("_within"), (F.col("_ends") & behind).cast("int"))).over(whole) * F.min(F.when(F.col("_within"), only.cast("int"))).over(whole)
+    head = F.max(F.col("_begins").cast("int")).over(whole) * (1 - F.max(F.col("_other").cast("int")).over(whole))
+    block = F.col("_within") & (F.coalesce(own, F.lit(0)) == 1) & (head == 1)
     line = ~F.col("_inside") & F.coalesce(F.col("_bare").startswith(F.col("_m1")), F.lit(False)) & ~(F.col("_bare").startswith("#!") & (F.col("line_no") == 1))
-    kind = F.when(F.col("_s") == "md", "prose").when(block | line, "prose").when(F.trim("_body") == "", "layout").otherwise("code")
-    mark = F.when(F.col("_s") == "md", "md").when(block, "block").when(line, F.concat(F.length("_body") - F.length("_bare"), F.lit(":"), F.col("_m1")))
+    kind = F.when(md, "prose").when(block | line, "prose").when((F.trim("_body") == "") & ~F.col("_within"), "layout").otherwise("code")
+    mark = F.when(md, "md").when(block, "block").when(line, F.concat(F.length("_body") - F.length("_bare"), F.lit(":"), F.col("_m1")))
     rows = rows.withColumns({"kind": kind, "_mark": F.coalesce(mark, F.lit(""))})
-    fresh = F.coalesce((F.col("kind") != F.lag("kind").over(w)) | (F.col("_mark") != F.lag("_mark").over(w)) | ((F.col("_mark") == "block") & ~F.col("_inside")), F.lit(True))
+    fresh = F.coalesce((F.col("kind") != F.lag("kind").over(w)) | (F.col("_mark") != F.lag("_mark").over(w)) | ((F.col("_mark") == "block") & F.col("_begins")), F.lit(True))
     rows = rows.withColumn("segment_no", F.sum(fresh.cast("int")).over(w))
-    clean = F.when(F.col("_s") == "md", F.col("line")).when(F.col("_mark") == "block", F.regexp_replace(F.regexp_replace("_bare", r"^(/\*+|\(\*+)[ ]?|[ ]?(\*+/|\*+\))[ \t]*$", ""), r"^\*[ ]?", "")).when(F.col("kind") == "prose", F.regexp_replace("_bare", r"^(//[/!]?|#) ?", ""))
-    end = F.when(F.col("_s") == "md", F.lit("")).otherwise(F.lit("\n"))
-    rows = rows.withColumn("_text", F.when(F.col("kind") == "prose", F.concat(clean, end)).otherwise(F.col("line")))
-    return rows.groupBy(key, "segment_no").agg(
+    out = rows.groupBy(key, "segment_no").agg(
         F.first("kind").alias("kind"), F.min("line_no").alias("start_line"), F.max("line_no").alias("end_line"), F.min("start_byte").alias("start_byte"), F.max("end_byte").alias("end_byte"),
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "_text"))), lambda x: x["_text"]), "").alias("text"),
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]), "").alias("_raw"), F.first((F.col("kind") == "prose") & ~md).alias("_comment"),
     )
+    # Comments alone are cleaned; the other texts are as they are, one run.
+    out = out.withColumn("_m", maps.made(F.when(F.col("_comment"), F.col("_raw")), "comment"))
+    plain = F.array(F.struct(F.lit(0).cast("long").alias("at"), F.octet_length("_raw").cast("long").alias("end"), F.lit(0).cast("long").alias("src"), F.octet_length("_raw").cast("long").alias("src_end")))
+    runs = F.transform(F.when(F.col("_comment"), F.col("_m.runs")).otherwise(plain), lambda r: F.struct(r["at"].alias("at"), r.end.alias("end"), (r.src + F.col("start_byte")).alias("src"), (r.src_end + F.col("start_byte")).alias("src_end")))
+    return out.select(key, "segment_no", "kind", "start_line", "end_line", "start_byte", "end_byte", F.when(F.col("_comment"), F.col("_m.text")).otherwise(F.col("_raw")).alias("text"), runs.alias("runs"))
 
 
 def directives(files: DataFrame, key: str = "path", text: str = "text") -> DataFrame:

@@ -133,7 +133,28 @@ def test_segments_of_comments(spark):
         ("a.rs", "prose", 1, 2), ("a.rs", "code", 3, 3), ("a.rs", "layout", 4, 4), ("a.rs", "prose", 5, 5), ("a.rs", "prose", 6, 8), ("a.rs", "code", 9, 9),
         ("b.py", "code", 1, 1), ("b.py", "prose", 2, 2), ("b.py", "code", 3, 3), ("c.ml", "prose", 1, 1), ("c.ml", "code", 2, 2), ("d.md", "prose", 1, 3),
     ]
-    assert got[0]["text"] == "one\ntwo\n" and got[-1]["text"] == "# T\n\nx\n" and got[9]["text"] == "doc\n"
+    assert got[0]["text"] == "one\ntwo\n" and got[-1]["text"] == "# T\n\nx\n" and got[9]["text"] == "doc" and got[4]["text"] == "b\nc"
+    sources = {p: t.encode() for p, t in files}
+    for r in got:  # each byte of a text is where its run says
+        for run in r["runs"]:
+            assert r["text"].encode()[run["at"] : run["end"]] == sources[r["path"]][run["src"] : run["src_end"]]
+
+
+def test_block_comments_own_their_lines_or_are_code(spark):
+    texts = {
+        "a.js": "/* a */ x();\ny();\n/* b */\nz();\nx(); /* c\nd */\n/* e\nf */ g();\n/* h */ /* i */\n// j /*\nk();\n/*\n l\n*/\n",
+        "b.go": "/* a\n\nb */\nc() // /* d\ne()\n/* open\nf()\n", "c.ts": "/** a\n * // b */\nc;\nu = 'http://x'; /* y */\nv;\n",
+        "d.ml": "(* a (* b *)\n c *)\nlet x = 1 (* d\n e *)\n(* f *) let y = 2\n(* g *)\n",
+        "e.rs": "/* a */ /* b\nc */\nd;\n/* e */\n/* f */\n",
+    }
+    got = {}
+    for r in structure.segments(spark.createDataFrame(list(texts.items()), "path string, text string")).orderBy("path", "segment_no").collect():
+        got.setdefault(r["path"], []).append((r["kind"], r["start_line"], r["end_line"]))
+    assert got == {
+        "a.js": [("code", 1, 2), ("prose", 3, 3), ("code", 4, 9), ("prose", 10, 10), ("code", 11, 11), ("prose", 12, 14)],
+        "b.go": [("prose", 1, 3), ("code", 4, 7)], "c.ts": [("prose", 1, 2), ("code", 3, 5)], "d.ml": [("prose", 1, 2), ("code", 3, 5), ("prose", 6, 6)],
+        "e.rs": [("code", 1, 3), ("prose", 4, 4), ("prose", 5, 5)],
+    }
 
 
 def test_directives(spark):
