@@ -13,6 +13,8 @@ from itertools import product
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillon.llm.common import written
+
 #: Wordings of notices as their licences give them.
 NOTICES = (
     ("Apache-2.0", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.'),
@@ -110,20 +112,44 @@ def bigrams(words: Column) -> Column:
 
 #: A window is a number: its template * this + its start, which may lie before the text.
 SPAN = 1 << 40
+#: Words of a stretch in which windows meet.
+STRETCH = 512
+
+
+def _unbeaten(found: DataFrame, rivals: Column) -> tuple[DataFrame, DataFrame]:
+    """Windows whose middle no stronger one of their ``rivals`` holds, and the others (_r, _d, _t, _f, _e, loser, winner)."""
+    middle = F.floor((F.col("first") + F.col("end")) / 2)
+    x = found.select("row", "doc_id", "license", "template", "strength", "first", "end", middle.alias("middle"), F.floor(middle / STRETCH).alias("stretch"))
+    stretches = F.sequence(F.floor(F.col("first") / STRETCH), F.floor(F.greatest("first", F.col("end") - 1) / STRETCH))
+    y = found.select(*(F.col(a).alias(b) for a, b in (("row", "_row"), ("doc_id", "_doc"), ("license", "_license"), ("template", "_template"), ("strength", "_strength"), ("first", "_first"), ("end", "_end"))), F.explode(stretches).alias("_stretch"))
+    order = lambda p: F.struct(F.col(f"{p}strength").alias("s"), (-F.col(f"{p}template")).alias("t"), (-F.col(f"{p}first")).alias("f"))
+    holds = (F.col("_first") <= F.col("middle")) & (F.col("middle") < F.col("_end")) & rivals & (order("_") > order(""))
+    met = x.join(y, (F.col("row") == F.col("_row")) & F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("stretch") == F.col("_stretch")) & holds)
+    best = F.max(F.struct(order("_").alias("o"), F.col("_license").alias("l"))).getField("l")
+    beaten = met.groupBy(F.col("row").alias("_r"), F.col("doc_id").alias("_d"), F.col("template").alias("_t"), F.col("first").alias("_f"), F.col("end").alias("_e")).agg(F.first("license").alias("loser"), best.alias("winner"))
+    beaten = written(beaten, "licence-losers")
+    left = found.join(beaten, (F.col("row") == F.col("_r")) & F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("template") == F.col("_t")) & (F.col("first") == F.col("_f")) & (F.col("end") == F.col("_e")), "left_anti")
+    return left, beaten
 
 
 def scan_licenses(docs: DataFrame, threshold: float = THRESHOLD, known: tuple[tuple[str, str], ...] | None = None) -> DataFrame:
-    """Licences in each text: doc_id, license, dice and first_word of the best window.
+    """Licences in each text: doc_id, license, dice and first_word of the best window, alternatives.
 
     Words are runs of ASCII letters, in lower case, and digits, so line ends and comment signs
     don't matter. Wherever a text has an anchor of a template, see `Index`, the window that begins
     where the template would, and has its length, is compared: sizes that can't reach
-    ``threshold`` are passed over, else it is the Dice coefficient of both sets of bigrams. The
-    best window of a licence counts, of equal ones the first. All this happens where the text is;
-    the only shuffle is of what was found.
+    ``threshold`` are passed over, else it is the Dice coefficient of both sets of bigrams.
+
+    Windows compete for a place: one gives way to a stronger one that holds its middle, first to
+    those of its own licence, then to those of others that are left. Stronger is: more shared
+    bigrams times Dice, of equal ones the template, then the place, that comes first. So a notice is one licence, though its siblings' notices are nearly alike, and
+    what a whole licence quotes isn't another. The best window of a licence that is left counts, of equal ones the
+    first; ``alternatives`` are the licences that gave way to it where it was the strongest, in
+    order, joined by commas.
 
     Null and empty texts and texts without notices have no rows. Texts are scanned whole, however
-    long. Rows with one doc_id count together; a null doc_id is kept; an empty table gives none.
+    long, where they are; what leaves them are windows over the threshold, which meet by stretches
+    of ``STRETCH`` words. Rows with one doc_id count together; a null doc_id is kept; an empty table gives none.
     """
     index = Index(known or templates(), threshold)
     least = index.low * min(map(len, index.sets))
@@ -132,13 +158,13 @@ def scan_licenses(docs: DataFrame, threshold: float = THRESHOLD, known: tuple[tu
     found_by = listed({g: [k * SPAN - o for k, o in places] for g, places in index.anchors.items()}, "map<string,array<bigint>>")
     anchors = ", ".join(f"'{g}'" for g in sorted(index.anchors))
 
-    rows = docs.where(F.col("text").isNotNull()).select("doc_id", _once(F.regexp_extract_all(F.lower(F.col("text").cast("string")), F.lit("[a-z0-9]+"), F.lit(0))).alias("words")).where(F.size("words") > least)
-    rows = rows.select("doc_id", _once(bigrams(F.col("words"))).alias("grams"))
+    rows = docs.where(F.col("text").isNotNull()).select("doc_id", F.xxhash64("text").alias("row"), _once(F.regexp_extract_all(F.lower(F.col("text").cast("string")), F.lit("[a-z0-9]+"), F.lit(0))).alias("words")).where(F.size("words") > least)
+    rows = rows.select("doc_id", "row", _once(bigrams(F.col("words"))).alias("grams"))
     hits = F.expr(f"filter(transform(grams, (g, i) -> CASE WHEN g IN ({anchors}) THEN struct(g AS g, i AS i) END), x -> x IS NOT NULL)")
-    rows = rows.select("doc_id", "grams", _once(hits).alias("hits")).where(F.size("hits") > 0)
+    rows = rows.select("doc_id", "row", "grams", _once(hits).alias("hits")).where(F.size("hits") > 0)
     at = F.flatten(F.transform("hits", lambda h: F.transform(F.element_at(found_by, h.g), lambda place: place + h.i)))
     # Half a span more, so that a start before the text stays with its template.
-    rows = rows.select("doc_id", "grams", _once(F.array_distinct(F.transform(at, lambda x: x + SPAN // 2))).alias("windows"))
+    rows = rows.select("doc_id", "row", "grams", _once(F.array_distinct(F.transform(at, lambda x: x + SPAN // 2))).alias("windows"))
 
     def compare(w: Column) -> Column:
         template, start = F.floor(w / F.lit(SPAN)).cast("int"), F.pmod(w, F.lit(SPAN)) - SPAN // 2
@@ -147,10 +173,17 @@ def scan_licenses(docs: DataFrame, threshold: float = THRESHOLD, known: tuple[tu
         own, other = F.array_distinct(F.slice("grams", first + 1, F.greatest(end - first, F.lit(0)))), F.get(sets, template)
         fits = F.size(own).between(index.low * F.size(other), index.high * F.size(other))
         dice = F.when(fits, 2.0 * F.size(F.array_intersect(own, other)) / (F.size(own) + F.size(other))).otherwise(0.0)
-        return F.struct(template.alias("template"), dice.alias("dice"), (-first).alias("before"))
+        shared = F.size(F.array_intersect(own, other))
+        return F.struct(template.alias("template"), dice.alias("dice"), (shared * dice).alias("strength"), first.alias("first"), end.alias("end"))
 
     good = F.filter(F.transform("windows", compare), lambda x: x.dice >= threshold)
-    found = rows.select("doc_id", F.explode(good).alias("x"))
     license = F.get(listed(index.names, "array<string>"), F.col("x.template"))
-    best = found.groupBy("doc_id", license.alias("license")).agg(F.max(F.struct("x.dice", "x.before")).alias("x"))
-    return best.select("doc_id", "license", "x.dice", (-F.col("x.before")).alias("first_word"))
+    # Rows alike in doc_id and text have the same windows.
+    found = rows.select("doc_id", F.explode(good).alias("x"), "row").select("doc_id", "row", license.alias("license"), "x.*").distinct()
+    found = written(found, "licence-windows")
+    found = written(_unbeaten(found, F.col("_license") == F.col("license"))[0], "licence-places")
+    left, beaten = _unbeaten(found, F.col("_license") != F.col("license"))
+    top = left.groupBy("doc_id", "license").agg(F.max(F.struct("dice", (-F.col("first")).alias("before"))).alias("x"))
+    others = beaten.groupBy(F.col("_d").alias("_doc"), F.col("winner").alias("_won")).agg(F.array_join(F.array_sort(F.collect_set("loser")), ",").alias("alternatives"))
+    out = top.join(others, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("license") == F.col("_won")), "left")
+    return out.select("doc_id", "license", "x.dice", (-F.col("x.before")).alias("first_word"), F.coalesce("alternatives", F.lit("")).alias("alternatives"))

@@ -182,23 +182,33 @@ def _op3_sql() -> str:
     rows = ", ".join(f"({k}, '{name}', {len(seq)}, string_split({quoted(own)}, '|'))" for k, (name, seq, own) in enumerate(zip(index.names, index.lists, index.sets, strict=True)))
     anchors = ", ".join(f"('{g}', {k}, {o})" for g, places in index.anchors.items() for k, o in places)
     return rf"""
-WITH t(k, license, n, bigrams) AS (VALUES {rows}), a(gram, k, place) AS (VALUES {anchors}), w AS (
+WITH t(k, license, n, bigrams) AS (VALUES {rows}), anchor(gram, k, place) AS (VALUES {anchors}), w AS (
   SELECT row_number() OVER () AS "row", doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS words FROM documents WHERE text IS NOT NULL
 ), g AS (
   SELECT "row", doc_id, list_transform(range(1, len(words)), lambda i: words[i] || ' ' || words[i + 1]) AS grams FROM w WHERE len(words) > 1
 ), h AS (
   SELECT "row", unnest(grams) AS gram, unnest(range(len(grams))) AS i FROM g
 ), s AS (
-  SELECT DISTINCT "row", k, i - place AS start FROM h JOIN a USING (gram)
+  SELECT DISTINCT "row", k, i - place AS start FROM h JOIN anchor USING (gram)
 ), m AS (
-  SELECT doc_id, license, bigrams, greatest(start, 0) AS first_word, list_distinct(grams[greatest(start, 0) + 1:least(start + n, len(grams))]) AS own
+  SELECT "row", doc_id, k, license, bigrams, greatest(start, 0) AS first_word, least(start + n, len(grams)) AS stop, list_distinct(grams[greatest(start, 0) + 1:least(start + n, len(grams))]) AS own
   FROM s JOIN g USING ("row") JOIN t USING (k)
 ), d AS (
-  SELECT doc_id, license, first_word, 2.0::DOUBLE * len(list_intersect(own, bigrams)) / (len(own) + len(bigrams)) AS dice FROM m
+  SELECT *, 2.0::DOUBLE * shared / (len(own) + len(bigrams)) AS dice FROM (SELECT *, len(list_intersect(own, bigrams)) AS shared FROM m)
+), c AS (
+  SELECT *, shared * dice AS strength, (first_word + stop) // 2 AS middle FROM d WHERE dice >= 0.8
+), e AS (
+  SELECT * FROM c x WHERE NOT EXISTS (SELECT 1 FROM c y WHERE x."row" = y."row" AND x.license = y.license AND y.first_word <= x.middle AND x.middle < y.stop
+    AND (y.strength > x.strength OR y.strength = x.strength AND (y.k < x.k OR y.k = x.k AND y.first_word < x.first_word)))
+), l AS (
+  SELECT x."row", x.doc_id, x.k, x.first_word, x.stop, x.license, arg_max(y.license, (y.strength, -y.k, -y.first_word)) AS winner FROM e x JOIN e y
+  ON x."row" = y."row" AND x.license <> y.license AND y.first_word <= x.middle AND x.middle < y.stop AND (y.strength > x.strength OR y.strength = x.strength AND y.k < x.k) GROUP BY ALL
 ), b AS (
-  SELECT *, row_number() OVER (PARTITION BY doc_id, license ORDER BY dice DESC, first_word) AS place FROM d WHERE dice >= 0.8
+  SELECT *, row_number() OVER (PARTITION BY doc_id, license ORDER BY dice DESC, first_word) AS place FROM e WHERE NOT EXISTS (SELECT 1 FROM l WHERE l."row" = e."row" AND l.k = e.k AND l.first_word = e.first_word AND l.stop = e.stop)
+), a AS (
+  SELECT doc_id, winner, string_agg(DISTINCT license, ',' ORDER BY license) AS alternatives FROM l GROUP BY ALL
 )
-SELECT doc_id, license, dice, first_word::INT AS first_word FROM b WHERE place = 1
+SELECT b.doc_id, license, dice, first_word::INT AS first_word, coalesce(alternatives, '') AS alternatives FROM b LEFT JOIN a ON b.doc_id IS NOT DISTINCT FROM a.doc_id AND b.license = a.winner WHERE place = 1
 """
 
 

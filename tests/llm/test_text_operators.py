@@ -116,16 +116,26 @@ def test_components_of_a_chain_and_a_star(spark, monkeypatch):
 
 
 def windows(text, known, threshold=0.8):
-    """All windows of the templates' lengths that begin anywhere, by brute force."""
-    best, grams = {}, licenses.bigram_list(text)
-    for name, template in known:
+    """Best window of each licence, (dice, -first word), and who gave way to it, by brute force over windows that begin anywhere."""
+    good, grams = [], licenses.bigram_list(text)
+    for k, (name, template) in enumerate(known):
         seq = licenses.bigram_list(template)
         for start in range(-len(seq) + 1, len(grams)):
             own = set(grams[max(start, 0) : start + len(seq)])
-            dice = 2 * len(own & set(seq)) / (len(own) + len(set(seq)))
+            shared = len(own & set(seq))
+            dice = 2 * shared / (len(own) + len(set(seq)))
             if dice >= threshold:
-                best[name] = max(best.get(name, (0, 0)), (dice, -max(start, 0)))
-    return best
+                good.append((shared * dice, -k, -max(start, 0), name, dice, min(start + len(seq), len(grams))))
+    over = lambda y, x: y[:3] > x[:3] and -y[2] <= (x[5] - x[2]) // 2 < y[5]
+    good = [x for x in good if not any(y[3] == x[3] and over(y, x) for y in good)]
+    best, others = {}, {}
+    for x in good:
+        stronger = [y for y in good if y[3] != x[3] and over(y, x)]
+        if stronger:
+            others.setdefault(max(stronger)[3], set()).add(x[3])
+        else:
+            best[x[3]] = max(best.get(x[3], (0, 0)), (x[4], x[2]))
+    return {k: (*v, ",".join(sorted(others.get(k, ())))) for k, v in best.items()}
 
 
 def test_licenses(spark):
@@ -144,19 +154,27 @@ def test_licenses(spark):
         (" ".join(w for i, w in enumerate(texts["MIT"].split()) if i % 4), None),
         ("licensed under nothing of the kind here at all", None),
         ("x", None),
+        ("This work is licensed under the GNU General Public License, version 3.", "GPL-3.0"),
+        ("It is distributed under the GNU Lesser General Public License, version 2.1, as is.", "LGPL-2.1"),
+        *((t, k) for k, t in licenses.NOTICES),
     ]
     rows = [row(i, t) for i, (t, _) in enumerate(cases)] + [row(90, None), row(91, ""), row(None, cases[0][0]), row(0, cases[0][0])]
     got = {}
     for r in licenses.scan_licenses(docs(spark, rows).withColumns({"words": F.lit(1), "grams": F.lit(2)})).collect():
-        got.setdefault(r["doc_id"], {})[r["license"]] = (r["dice"], -r["first_word"])
+        got.setdefault(r["doc_id"], {})[r["license"]] = (r["dice"], -r["first_word"], r["alternatives"])
     assert got.pop(None).keys() == {"MIT"}
-    best = {k: max(v, key=lambda x: (v[x], x == cases[k][1])) for k, v in got.items()}  # versions of one notice are near each other
-    assert best == {i: w for i, (_, w) in enumerate(cases) if w}
-    few = tuple(x for x in licenses.templates()[7:] if x[0] in ("MIT", "GPL-3.0-or-later", "BSD-2-Clause", "BSD-3-Clause"))
-    for i in (0, 1, 2, 3, 4, 7):
-        want = windows(cases[i][0], few)
-        assert {k for k in got.get(i, {}) if k in dict(few)} == want.keys()
-        assert all(got[i][k] == pytest.approx(want[k]) for k in want if i < 3)
+    assert {k: set(v) for k, v in got.items()} == {i: {w} for i, (_, w) in enumerate(cases) if w}
+    assert "AGPL-3.0-or-later" in got[12 + [k for k, _ in licenses.NOTICES].index("GPL-3.0-or-later")]["GPL-3.0-or-later"][2].split(",")
+    few = tuple(x for x in licenses.templates()[7:] if x[0] in ("MIT", "GPL-3.0-or-later", "GPL-2.0-or-later", "AGPL-3.0-or-later", "GPL-3.0", "BSD-2-Clause", "BSD-3-Clause"))
+    both = texts["BSD-3-Clause"] + " or " + gpl + " Released under the MIT License, " + texts["AGPL-3.0-or-later"] + " licensed under the GNU GPL v3"
+    some = [cases[i][0] for i in (0, 1, 2, 3, 4, 7, 10)] + [both]
+    found: dict = {}
+    for r in licenses.scan_licenses(docs(spark, [row(i, t) for i, t in enumerate(some)]), known=few).collect():
+        found.setdefault(r["doc_id"], {})[r["license"]] = (r["dice"], -r["first_word"], r["alternatives"])
+    for i, t in enumerate(some):
+        want = windows(t, few)
+        assert {k: (pytest.approx(d), f) for k, (d, f, _) in want.items()} == {k: v[:2] for k, v in found.get(i, {}).items()}
+    assert set(found[7]) == {"BSD-3-Clause", "GPL-3.0-or-later", "MIT", "AGPL-3.0-or-later", "GPL-3.0"}
     assert licenses.scan_licenses(docs(spark, [], False)).count() == 0
 
 
