@@ -35,6 +35,8 @@ from quillon.llm.shingles import mixed, shingle_set, text_bytes
 BLOCK, BLOCK_SHINGLES = 768, 1 << 20
 #: Columns of a strip and rows of a band.
 STRIP, BAND = 2048, 128
+#: Rows of a batch whose sets are held at once.
+ROWS = 1024
 #: Slots of the table of counts, a power of two, and those of a row that goes through a shuffle.
 SLOTS, CHUNK = 1 << 20, 1 << 10
 #: Candidates of a large block that all its others are compared with first.
@@ -80,12 +82,17 @@ def signs(s: np.ndarray, order: np.ndarray, num: int, den: int) -> np.ndarray:
     return mixed(first[:-1] * np.uint64(0x9E3779B97F4A7C15) + first[1:])
 
 
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches in parts of ``ROWS`` rows: what is made of a part is handed on before the next one is looked at."""
+    return (b.slice(i, ROWS) for b in batches for i in range(0, b.num_rows, ROWS))
+
+
 def slot_order(texts: DataFrame, width: int) -> np.ndarray:
     """Ranks of the slots by how many shingles of all texts fall in them: what the driver gets has a fixed size."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(SLOTS, np.uint32)
-        for batch in batches:
+        for batch in _slices(batches):
             found = [_slot(shingle_set(data, width)) for data in text_bytes(batch.column("text"))]
             counts += np.bincount(np.concatenate([np.empty(0, np.int64), *found]), minlength=SLOTS).astype(np.uint32)
         rows = counts.reshape(-1, CHUNK)
@@ -207,7 +214,7 @@ def jaccard_components(docs: DataFrame, num: int = 90, den: int = 100, width: in
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         levels = Levels(num, den)
-        for batch in batches:
+        for batch in _slices(batches):
             sets = [shingle_set(data, width) for data in text_bytes(batch.column("text"))]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "id_hash", "text_hash")), pa.array([len(s) for s in sets], pa.int64()), pa.array([_key(s) for s in sets], pa.binary()), pa.array([levels.of(len(s)) if len(s) else None for s in sets], pa.int32())], ["doc_id", "id_hash", "text_hash", "n_shingles", "key", "level"])
         release()
@@ -224,7 +231,7 @@ def jaccard_components(docs: DataFrame, num: int = 90, den: int = 100, width: in
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             levels, seen = Levels(num, den), set()
-            for batch in batches:
+            for batch in _slices(batches):
                 own, keys, level = [np.empty(0, np.uint64)], [], []
                 for data in text_bytes(batch.column("text")):
                     s = shingle_set(data, width)
@@ -261,7 +268,7 @@ def jaccard_components(docs: DataFrame, num: int = 90, den: int = 100, width: in
 
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = None
-        for batch in batches:
+        for batch in _slices(batches):
             batch = batch.filter(pa.array(_in_bitmap(wanted.value, batch.column("id_hash").to_numpy())))
             # Rows that repeat in full are mostly neighbours or alone; those left are dropped below.
             h = batch.column("id_hash").to_numpy()
