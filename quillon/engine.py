@@ -14,6 +14,7 @@ from quillon.operators import integrity, intervals, records, render, rounds, sea
 from quillon.operators.tables import written
 from quillon.sources import facts, resolver, snapshots
 from quillon.sources import files as src
+from quillon.sources.buckets import Buckets
 from quillon.streaming import watch
 
 COLUMNS = {"title": "title", "identifier": "identifiers", "path": "path", "body": "body"}
@@ -213,10 +214,11 @@ class Engine:
 
         Once: what changed, None if nothing did. Else a query that compares again every second.
         """
+        kept = Buckets(self.spark, output, "path")
+
         def listing() -> DataFrame:
-            last = snapshots.current(self.spark, output)
-            known = snapshots.table(self.spark, output, "rows", last) if last is not None and self.mounted else None
-            return self.fingerprints(known)
+            last = kept.current() if self.mounted else None
+            return self.fingerprints(kept.read(last) if last is not None else None)
 
         if once:
             return watch.refresh(self.spark, output, listing, "path", ["sha256"])

@@ -34,6 +34,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A folder of its own in the shared one, deleted when the driver's Python ends."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    atexit.register(_delete, spark, path)
+    return path
+
+
 def discard(df: DataFrame) -> None:
     """Delete a written table at once; nothing that reads it may be left to run."""
     if path := getattr(df, "_written_at", None):

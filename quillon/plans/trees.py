@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from quillon.functions import maps
 from quillon.operators import regions, structure
+from quillon.operators.tables import scratch
 from quillon.plans.queries import query
 from quillon.sources import facts, resolver
+from quillon.sources.buckets import Buckets, canonical_json
 
 # Customers are folders and orders are in them: status F is a file, O links to the customer's order
 # before (the first one to the next customer's folder), P to the one after (the last one to above the root).
@@ -145,3 +147,41 @@ def literal_regions(read):
     found = structure.directives(files, "event_id").groupBy(F.col("event_id").alias("_id")).agg(F.count("*").alias("n"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("request_no", "arguments"))), lambda x: x.arguments), ",").alias("a"))
     rows = files.select("event_id", regions.open_region(F.col("text")).alias("error")).join(found, F.col("event_id") == F.col("_id"), "left")
     return rows.select("event_id", "error", F.coalesce("n", F.lit(0)).alias("directives"), F.coalesce("a", F.lit("")).alias("arguments"))
+
+
+# --- tables in buckets -------------------------------------------------------------------------------
+
+
+def _two_snapshots(read) -> Buckets:
+    """Documents, and documents after a round: texts of low quality are marked, toxic ones gone, those of the benchmark new."""
+    d = read("documents").select("doc_id", "text")
+    kept = Buckets(d.sparkSession, scratch(d.sparkSession, "buckets"), "doc_id")
+    kept.write(d, "before", per_bucket=100)
+    labels = read("labels").groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min("quality").alias("quality"))
+    marked = d.join(labels.where("toxic = 0 AND quality = 0").select("doc_id"), "doc_id", "left_semi").withColumn("text", F.concat(F.coalesce("text", F.lit("")), F.lit("!")))
+    new = read("benchmark").select((-1 - F.col("item_id")).alias("doc_id"), "text")
+    kept.apply(marked.unionByName(new), labels.where("toxic = 1").select("doc_id"), "after", per_bucket=100)
+    return kept
+
+
+_LABELLED = "l AS (SELECT doc_id, max(toxic) AS toxic, min(quality) AS quality FROM labels GROUP BY 1)"
+
+
+@query(f"""WITH {_LABELLED} SELECT doc_id, CASE WHEN toxic = 1 THEN 'removed' ELSE 'changed' END AS state FROM documents JOIN l USING (doc_id) WHERE toxic = 1 OR quality = 0
+UNION ALL SELECT -1 - item_id, 'added' FROM benchmark""")
+def snapshot_differences(read):
+    return _two_snapshots(read).differences("before", "after", ["text"])
+
+
+@query(f"""WITH {_LABELLED}, r AS (SELECT doc_id, CASE WHEN quality = 0 THEN coalesce(text, '') || '!' ELSE text END AS text FROM documents LEFT JOIN l USING (doc_id) WHERE coalesce(toxic, 0) = 0 UNION ALL SELECT -1 - item_id, text FROM benchmark)
+SELECT doc_id, sha256(text) AS sha256, 0::BIGINT AS violations FROM r""")
+def verified_snapshot(read):
+    """The rows of the later snapshot, and the number of violations that loading it finds."""
+    kept = _two_snapshots(read)
+    return kept.read("after").select("doc_id", F.sha2("text", 256).alias("sha256"), F.lit(kept.violations("after").count()).alias("violations"))
+
+
+@query("""SELECT '{"doc_id":' || doc_id || ',"lang":' || coalesce(to_json(lang)::VARCHAR, 'null') || ',"n":null,"source":' || coalesce(to_json(source)::VARCHAR, 'null') || '}' AS json FROM documents""")
+def canonical_rows(read):
+    d = read("documents").select("source", "doc_id", F.lit(None).cast("int").alias("n"), "lang")
+    return d.select(canonical_json(d.columns).alias("json"))

@@ -17,8 +17,8 @@ def publish(spark: SparkSession, root: str, tables: dict[str, DataFrame], snapsh
     """Write all tables under ``snapshot=<id>``, then point to it, which makes them visible together.
 
     A snapshot that is there already is left as it is. The pointer is a new file with the next
-    number, which only one publisher can create; none is ever removed or replaced, so there is
-    always one published. RuntimeError if another publisher took that number, or, with
+    number, which only one publisher can create; none is ever replaced, and the last ones aren't
+    removed, so there is always one published. RuntimeError if another publisher took that number, or, with
     ``expected``, if that snapshot isn't the current one any more. A lost executor or driver
     before the end leaves the old snapshot published.
     """
@@ -43,17 +43,23 @@ def publish(spark: SparkSession, root: str, tables: dict[str, DataFrame], snapsh
     return folder
 
 
+def pointed(spark: SparkSession, root: str, name: str) -> str | None:
+    """The snapshot that a pointer names, None if its publisher is still writing it, or was lost."""
+    fs, at = _fs(spark, f"{root}/{POINTERS}/{name}")
+    stream = fs.open(at)
+    text = spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    stream.close()
+    return text[:-1] if text.endswith("\n") else None
+
+
 def _newest(spark: SparkSession, root: str) -> tuple[int, str | None]:
     """Highest number of a pointer, and the snapshot that the last complete one names."""
     fs, at = _fs(spark, f"{root}/{POINTERS}")
     names = sorted((f.getPath().getName() for f in fs.listStatus(at)), reverse=True) if fs.exists(at) else []
     names = [n for n in names if n.isdigit()]
     for n in names:
-        stream = fs.open(spark._jvm.org.apache.hadoop.fs.Path(f"{root}/{POINTERS}/{n}"))
-        text = spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
-        stream.close()
-        if text.endswith("\n"):  # else its publisher is still writing, or was lost
-            return int(names[0]), text[:-1]
+        if (found := pointed(spark, root, n)) is not None:
+            return int(names[0]), found
     return int(names[0]) if names else 0, None
 
 

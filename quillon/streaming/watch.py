@@ -11,8 +11,8 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState
 
 from quillon.operators.integrity import compared
-from quillon.operators.tables import written
-from quillon.sources.snapshots import current, publish, table
+from quillon.operators.tables import discard, written
+from quillon.sources.buckets import Buckets
 
 #: Quiet time, longest wait, poll interval, in ms.
 QUIET_MS, LONGEST_MS, POLL_MS = 100, 1000, 1000
@@ -65,49 +65,64 @@ def coalesced(events: DataFrame, key: str = "path", time: str = "ts", quiet_ms:
 
 
 def follow(changes: DataFrame, root: str, build: Callable[[DataFrame], DataFrame], key: str, values: list[str], checkpoint: str, once: bool = True) -> StreamingQuery:
-    """Publish ``build`` of all changes so far as the table ``rows`` under ``root``, batch by batch.
+    """Keep ``build`` of all changes so far as a table in buckets under ``root``, batch by batch.
 
-    Each micro-batch replaces its keys' rows in the last snapshot. It is published only if that
-    snapshot is still the current one and something changed. The snapshot's id is the batch
-    number, so a batch that runs again after a failure is published once.
+    Each micro-batch replaces its keys' rows, in the buckets that they fall in. It is published
+    only if the snapshot before is still the current one and something changed. The snapshot's id
+    is the batch number, so a batch that runs again after a failure is published once. What only
+    older snapshots than the last two have is deleted.
     """
     spark = changes.sparkSession
+    kept = Buckets(spark, root, key)
 
     def step(batch: DataFrame, number: int) -> None:
-        fresh = build(batch)
-        last = current(spark, root)
+        last = kept.current()
         if last is not None and int(last) >= number:
             return
-        if last is not None:
-            old = table(spark, root, "rows", last)
-            kept = old.join(fresh.select(key), key, "left_anti")
-            if not compared(old, kept.unionByName(fresh), [key], values).where("state != 'same'").head(1):
-                return
-            fresh = kept.unionByName(fresh)
-        publish(spark, root, {"rows": fresh}, f"{number:012d}", last)
+        fresh = written(build(batch), "batch")
+        if last is None:
+            kept.write(fresh, f"{number:012d}")
+        else:
+            moved = fresh.select(F.col(key).alias("_moved"))
+            own = kept.read(last).join(moved, F.col(key).eqNullSafe(F.col("_moved")), "left_semi")
+            if compared(own, fresh, [key], values).where("state != 'same'").head(1):
+                kept.apply(fresh, fresh.select(key).where("false"), f"{number:012d}", last)
+                kept.collect()
+        discard(fresh)
 
     writer = changes.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
     return writer.trigger(availableNow=True).start() if once else writer.trigger(processingTime=f"{POLL_MS} milliseconds").start()
 
 
-def refresh(spark: SparkSession, root: str, listing: Callable[[], DataFrame], key: str, values: list[str]) -> DataFrame | None:
-    """Publish a listing as the table ``rows`` under ``root``, if it differs from what is published.
+def refresh(spark: SparkSession, root: str, listing: Callable[[], DataFrame], key: str, values: list[str], beside: tuple[str, ...] = ("n_read",)) -> DataFrame | None:
+    """Keep a listing as a table in buckets under ``root``; only buckets in which a row moved are written.
 
-    Returns what changed (key, state: added, removed, changed), None if nothing did. What is
-    published was true before and after it was written: if the listing moved in between, nothing
-    is published, and the next round sees it.
+    Returns what changed in ``values`` (key, state: added, removed, changed), None if nothing did.
+    What is published was true before and after it was written: if the listing moved in between,
+    nothing is published, and the next round sees it. Columns ``beside`` tell of the round, and count for nothing.
     """
-    last = current(spark, root)
+    kept = Buckets(spark, root, key)
+    last = kept.current()
     now = written(listing(), "listing")
-    old = table(spark, root, "rows", last) if last is not None else now.where("false")
-    changes = compared(old, now, [key], values).where("state != 'same'")
-    if not changes.head(1) and last is not None:
+    every = [c for c in now.columns if c != key and c not in beside]
+    old = kept.read(last) if last is not None else now.where("false")
+    moved = written(compared(old, now, [key], every).where("state != 'same'"), "moved")
+    if last is not None and not moved.head(1):
+        discard(now)
         return None
-    if compared(now, listing(), [key], values).where("state != 'same'").head(1):
+    if compared(now, listing(), [key], every).where("state != 'same'").head(1):
         return None
-    changes = written(changes, "changes")
-    publish(spark, root, {"rows": now, "changes": changes}, f"{int(last) + 1 if last else 0:012d}", last)
-    return changes
+    changes = written(compared(old, now, [key], values).where("state != 'same'"), "changes")
+    number = f"{int(last) + 1 if last else 0:012d}"
+    if last is None:
+        kept.write(now, number)
+    else:
+        which = moved.select(F.col(key).alias("_moved"), "state")
+        upserts = now.join(which.where("state != 'removed'").drop("state"), F.col(key).eqNullSafe(F.col("_moved")), "left_semi")
+        kept.apply(upserts, moved.where("state = 'removed'").select(key), number, last)
+        kept.collect()
+    discard(now)
+    return changes if last is None or changes.head(1) else None
 
 
 def follow_listing(spark: SparkSession, root: str, listing: Callable[[], DataFrame], key: str, values: list[str], every_ms: int = POLL_MS) -> StreamingQuery:

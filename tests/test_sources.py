@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillon.sources import files, snapshots
+from quillon.sources.buckets import Buckets
 from quillon.streaming import watch
 
 
@@ -59,7 +60,7 @@ def test_stream_follows_files(spark, tmp_path):
     assert snapshots.current(spark, root) == "000000000000"
     (src / "b.md").write_text("two")
     go()
-    assert sorted(r["name"] for r in snapshots.table(spark, root, "rows").collect()) == ["a.md", "b.md"]
+    assert sorted(r["name"] for r in Buckets(spark, root, "name").read().collect()) == ["a.md", "b.md"]
     go()  # nothing new
     assert snapshots.current(spark, root) == "000000000001"
 
