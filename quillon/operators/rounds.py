@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quillon.functions.text import under
 from quillon.operators import structure
-from quillon.operators.integrity import compared
+from quillon.operators.integrity import compared, span_errors
 from quillon.operators.regions import open_region
 
 #: Fixed value: dirty paths of a root beyond which all of it is scanned again.
@@ -58,10 +58,32 @@ def fragment_error(markdown: Column, sources: Column, required: Column, layout:
     )
 
 
+def fragments_checked(fragments: DataFrame, files: DataFrame, fragment: str = "fragment") -> DataFrame:
+    """Fragments with ``error``, null for a sound one: first what is wrong with the text, then the first source that doesn't fit its file.
+
+    ``fragments`` have markdown, required, layout and sources (array of path, start_byte, end_byte,
+    start_line, end_line); ``files`` path and text. Sources meet their files by path, one row
+    each, and what fails comes back as ``sources[i]: error``, the smallest i of each fragment.
+    """
+    own = fragments.withColumn("_fragment", F.col(fragment))
+    each = own.select("_fragment", F.posexplode("sources").alias("_i", "_s")).select("_fragment", "_i", "_s.*")
+    bad = span_errors(each, files).groupBy("_fragment").agg(F.min(F.struct("_i", "error")).alias("_bad"))
+    met = own.join(bad.withColumnRenamed("_fragment", "_of"), F.col("_fragment").eqNullSafe(F.col("_of")), "left")
+    text = fragment_error(F.col("markdown"), F.size("sources"), F.col("required"), F.col("layout"))
+    source = F.when(F.col("_bad").isNotNull(), F.concat(F.lit("sources["), F.col("_bad._i").cast("string"), F.lit("]: "), F.col("_bad.error")))
+    return met.withColumn("error", F.coalesce(text, source)).select(*fragments.columns, "error")
+
+
+def unless(rows: DataFrame, gate: DataFrame) -> DataFrame:
+    """All rows if ``gate`` is empty, else none; one plan, in which one row of the gate is enough."""
+    shut = gate.select(F.lit(True).alias("_shut")).limit(1)
+    return rows.withColumn("_open", F.lit(True)).join(F.broadcast(shut), F.col("_open") == F.col("_shut"), "left_anti").drop("_open")
+
+
 def removed_pages(owned: DataFrame, pages: DataFrame, diagnostics: DataFrame, key: str = "page") -> DataFrame:
     """Pages owned before that this round didn't make; none if a check failed."""
     gone = owned.select(key).join(pages.select(key), key, "left_anti").distinct()
-    return gone.where(F.lit(False)) if diagnostics.where("severity = 'error'").head(1) else gone
+    return unless(gone, diagnostics.where("severity = 'error'"))
 
 
 def output_differences(index: DataFrame, published: DataFrame, key: str = "page", digest: str = "sha256") -> DataFrame:
@@ -84,7 +106,7 @@ def list_differences(old: DataFrame, new: DataFrame, owner: str, item: str) -> D
 def adopted(index: DataFrame, published: DataFrame, scope: DataFrame, key: str = "page", digest: str = "sha256") -> DataFrame:
     """Published pages that a new run may own: those with the index's hash, if ``scope`` (differences of scopes) is empty."""
     same = published.select(key, digest).join(index.select(key, digest), [key, digest], "left_semi").select(key).distinct()
-    return same.where(F.lit(False)) if scope.head(1) else same
+    return unless(same, scope)
 
 
 def without_outputs(facts: DataFrame, outputs: tuple[str, ...], path: str = "path", dependency: str = "dependency") -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.functions import text as t
+from quillon.operators.records import positions
 from quillon.operators.stretches import Stretches
 
 #: The weight of a match by field.
@@ -142,3 +143,36 @@ def next_of_kind(rows: DataFrame, page: str, position: str, kind: str, wanted: s
     """Rows with ``next_value``: ``value`` of the nearest following row of the wanted kind, at most ``within`` rows on."""
     ahead = Window.partitionBy(page).orderBy(position).rowsBetween(1, within)
     return rows.withColumn("next_value", F.first(F.when(F.col(kind) == wanted, F.col(value)), ignorenulls=True).over(ahead))
+
+
+def marker_runs(rows: DataFrame, page: str, position: str, marker: Column) -> DataFrame:
+    """Rows that are no markers with the markers right beside them: ``markers_before``, ``markers_after`` (counts).
+
+    Positions are gapless from 0. Only rows that are no markers are looked at, each beside the one
+    before and the one after, so a run of markers of any length is two numbers; pages go by stretches.
+    """
+    ends = rows.groupBy(F.col(page).alias("_page")).agg(F.max(position).alias("_last"))
+    others = rows.where(~marker)
+    found = Stretches(others, page, F.col(position)).previous(F.col(position), "_before").done()
+    found = Stretches(found, page, -F.col(position)).previous(F.col(position), "_after").done()
+    found = found.join(ends, F.col(page).eqNullSafe(F.col("_page")))
+    before = F.col(position) - F.coalesce("_before", F.lit(-1)) - 1
+    after = F.coalesce("_after", F.col("_last") + 1) - F.col(position) - 1
+    return found.withColumns({"markers_before": before.cast("long"), "markers_after": after.cast("long")}).select(*rows.columns, "markers_before", "markers_after")
+
+
+def calls_drained(occurrences: DataFrame, record: str, page: str, position: str, plugin: Column, site: str) -> DataFrame:
+    """All occurrences that a plugin's calls brought, as following cursors to the end gives them: the rows with ``number`` (from 0 per record).
+
+    Kept are those of ``plugin`` with a call site. Numbers go by record, page and position over
+    many tasks: counts of pages are summed up, rows number themselves on their page.
+    """
+    kept = occurrences.where(plugin & F.col(site).isNotNull())
+    both = F.xxhash64(record, page)
+    numbered = positions(kept.withColumnRenamed(position, "_at0").withColumn("_both", both), "_both", "_at0")
+    numbered = numbered.withColumnRenamed("position", "_own0").withColumnRenamed("_at0", position)
+    counts = kept.groupBy(F.col(record).alias("_record"), F.col(page).alias("_page")).agg(F.count("*").alias("_n"))
+    before = Window.partitionBy("_record").orderBy("_page").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.withColumn("_start", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    met = numbered.join(starts, F.col(record).eqNullSafe(F.col("_record")) & F.col(page).eqNullSafe(F.col("_page")))
+    return met.withColumn("number", F.col("_start") + F.col("_own0")).select(*occurrences.columns, "number")

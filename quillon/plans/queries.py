@@ -486,17 +486,19 @@ def record_handles(read):
     return ids.withColumn("handle", hashing.handles(F.col("record_id"), "0" * 64))
 
 
-@query(f"SELECT count(*) AS handles, 0::BIGINT AS collisions FROM ({_IDS})")
+@query(f"SELECT left(id, 3) AS handle, count(*) AS targets FROM ({_IDS}) GROUP BY 1 HAVING count(*) > 1")
 def handle_uniqueness(read):
+    """Handles as short as three digits stand for several records; those of eleven are made sure of on the way."""
     named = record_handles(read)
-    clashes = integrity.collisions(named, "handle", "record_id").select(F.lit(1).alias("clash"))
-    return named.select(F.lit(0).alias("clash")).union(clashes).agg(F.count_if(F.col("clash") == 0).alias("handles"), F.count_if(F.col("clash") == 1).alias("collisions"))
+    short = named.select("record_id", F.left("record_id", F.lit(3)).alias("handle"))
+    clashes = integrity.collisions(named, "handle", "record_id").select("handle", "targets")
+    return integrity.collisions(short, "handle", "record_id").select("handle", "targets").unionByName(clashes)
 
 
-@query("""SELECT coalesce(error, 'ok') AS error, count(*) AS n FROM (SELECT doc_id, CASE WHEN doc_id % 17 = 0 THEN 'source_error' WHEN doc_id % 5 = 0 AND strlen(text) <= strlen(text) + 1 THEN 'invalid_range'
- WHEN doc_id % 3 = 0 THEN 'wrong_lines' END AS error FROM documents WHERE strlen(text) > 0) GROUP BY 1""")
+@query("""SELECT coalesce(error, 'ok') AS error, count(*) AS n FROM (SELECT doc_id, CASE WHEN doc_id % 17 = 0 THEN 'source_error' WHEN doc_id % 5 = 0 OR strlen(text) = 0 THEN 'invalid_range'
+ WHEN doc_id % 3 = 0 THEN 'wrong_lines' END AS error FROM documents) GROUP BY 1""")
 def spans_valid(read):
-    d = read("documents").where("octet_length(text) > 0")
+    d = read("documents")
     files = d.where("doc_id % 17 != 0").select(F.col("doc_id").alias("path"), "text")
     size = F.octet_length("text")
     spans = d.select(
@@ -507,15 +509,23 @@ def spans_valid(read):
     return spans.join(errors, "path", "left").groupBy(F.coalesce("error", F.lit("ok")).alias("error")).agg(F.count("*").alias("n"))
 
 
-@query(f"""SELECT 'no_occurrence' AS "check", id AS subject FROM (SELECT {_ID} AS id, min(doc_id) AS m FROM documents WHERE {_FULL} GROUP BY 1) WHERE m NOT IN (SELECT doc_id FROM labels)""")
+@query(f"""WITH l AS (SELECT doc_id, max(toxic) AS toxic, min(quality) AS quality FROM labels GROUP BY 1),
+d AS (SELECT doc_id, lang, source, {_ID} AS id, strlen(text) AS size, coalesce(toxic, 0) AS toxic, coalesce(quality, 1) AS quality FROM documents LEFT JOIN l USING (doc_id) WHERE {_FULL}),
+r AS (SELECT CASE WHEN toxic = 1 THEN upper(id) ELSE id END AS id, CASE WHEN quality = 0 THEN 0 ELSE size END AS stop FROM d),
+o AS (SELECT id, source AS page, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 + toxic AS position FROM d WHERE lang <> 'fr' UNION ALL SELECT sha256('b' || item_id), 'benchmark', row_number() OVER (ORDER BY item_id) - 1 FROM benchmark)
+SELECT 'id_form' AS "check", id AS subject FROM r WHERE NOT regexp_matches(id, '^[0-9a-f]{{64}}$') UNION ALL SELECT 'id_twice', id FROM r GROUP BY id HAVING count(*) > 1
+UNION ALL SELECT 'span', id FROM r WHERE stop <= 0 UNION ALL SELECT 'unknown_record', id FROM o WHERE id NOT IN (SELECT id FROM r) UNION ALL SELECT 'no_occurrence', id FROM r WHERE id NOT IN (SELECT id FROM o)
+UNION ALL SELECT 'position', page FROM (SELECT *, row_number() OVER (PARTITION BY page ORDER BY position) - 1 AS want FROM o) WHERE want <> position""")
 def index_validation(read):
-    rows = rec.with_record_id(read("documents"), "lang", "text")
-    all_records = rec.record_counts(rows, "doc_id")
-    known = all_records.select("record_id", F.lit("").alias("body"), F.lit(0).alias("start_byte"), F.lit(1).alias("end_byte"))
-    labelled = all_records.join(read("labels").select(F.col("doc_id").alias("first_doc_id")), "first_doc_id", "left_semi")
-    some = rows.join(labelled.select("record_id"), "record_id")
-    placed = rec.positions(some, "source", "doc_id").select("record_id", F.col("source").alias("page"), "position")
-    return integrity.index_violations(known, placed)
+    """An index with every kind of damage: toxic documents have wrong ids and places, copies come twice, those of low quality have no span, French ones no place."""
+    labels = read("labels").groupBy(F.col("doc_id").alias("_doc")).agg(F.max("toxic").alias("toxic"), F.min("quality").alias("quality"))
+    rows = rec.with_record_id(read("documents"), "lang", "text").join(labels, F.col("doc_id") == F.col("_doc"), "left")
+    toxic = F.coalesce("toxic", F.lit(0))
+    stop = F.when(F.col("quality") == 0, 0).otherwise(F.octet_length("text"))
+    known = rows.select(F.when(toxic == 1, F.upper("record_id")).otherwise(F.col("record_id")).alias("record_id"), F.lit(0).alias("start_byte"), stop.alias("end_byte"))
+    placed = rec.positions(rows.where("lang != 'fr'"), "source", "doc_id").select("record_id", F.col("source").alias("page"), (F.col("position") + toxic).alias("position"))
+    strange = rec.positions(read("benchmark").withColumn("page", F.lit("benchmark")), "page", "item_id").select(F.sha2(F.concat(F.lit("b"), "item_id"), 256).alias("record_id"), "page", "position")
+    return integrity.index_violations(known, placed.unionByName(strange))
 
 
 # --- pages and plugins --------------------------------------------------------------------------

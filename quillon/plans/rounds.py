@@ -172,11 +172,14 @@ def output_comparison(read):
     return rounds.output_differences(*_digests(read))
 
 
-@query("SELECT DISTINCT a.user_id AS page FROM events a JOIN events b ON a.user_id = b.user_id AND a.event_type = 'click' AND b.event_type = 'purchase' AND floor(a.value) = floor(b.value)")
+@query("SELECT DISTINCT a.user_id AS page, 'same' AS scope FROM events a JOIN events b ON a.user_id = b.user_id AND a.event_type = 'click' AND b.event_type = 'purchase' AND floor(a.value) = floor(b.value)")
 def adopted_pages(read):
+    """With a scope that is the same, and with one that differs, in which nothing is adopted."""
     e = read("events").select(F.col("user_id").alias("page"), F.sha2(F.floor("value").cast("string"), 256).alias("sha256"), "event_type")
-    scope = read("nation").where("n_nationkey IS NULL")
-    return rounds.adopted(e.where("event_type = 'purchase'"), e.where("event_type = 'click'"), scope)
+    keys = read("documents").select("doc_id")
+    same, other = (integrity.set_differences(keys, x, "doc_id") for x in (keys, read("labels").select("doc_id")))
+    found = [rounds.adopted(e.where("event_type = 'purchase'"), e.where("event_type = 'click'"), scope).withColumn("scope", F.lit(name)) for name, scope in (("same", same), ("other", other))]
+    return found[0].unionByName(found[1])
 
 
 @query("""SELECT user_id, count(*) FILTER (a = 0) AS added, count(*) FILTER (b = 0) AS removed FROM (SELECT user_id, floor(value)::BIGINT AS item, count(*) FILTER (dayofyear(ts) % 2 = 0) AS a, count(*) FILTER (dayofyear(ts) % 2 = 1) AS b FROM events GROUP BY 1, 2) GROUP BY 1

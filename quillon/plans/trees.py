@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import bisect
+
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.functions import maps
-from quillon.operators import regions, structure
+from quillon.operators import plugins, project_docs, regions, rounds, search, structure
+from quillon.operators.records import positions
 from quillon.operators.tables import scratch
 from quillon.plans.queries import query
 from quillon.sources import facts, resolver
@@ -185,3 +189,83 @@ def verified_snapshot(read):
 def canonical_rows(read):
     d = read("documents").select("source", "doc_id", F.lit(None).cast("int").alias("n"), "lang")
     return d.select(canonical_json(d.columns).alias("json"))
+
+
+# --- plugins, fragments, drains ----------------------------------------------------------------------
+
+
+@query("""WITH d AS (SELECT doc_id, source, coalesce(lang, 'none') AS lang, source || '/' || coalesce(lang, 'none') AS project, text FROM documents), l AS (SELECT doc_id, max(toxic) AS toxic FROM labels GROUP BY 1)
+SELECT project, doc_id AS request_no, 0 AS part, 'text' AS kind, 'Doc ' || doc_id || ': ` ' || source || ' `, version ` ' || lang || ' `.' || chr(10) AS markdown, NULL::VARCHAR AS error, 'Cargo.toml' AS path FROM d JOIN l USING (doc_id) WHERE toxic = 0
+UNION ALL SELECT project, doc_id, part, CASE part WHEN 1 THEN 'standard_call' ELSE 'text' END, CASE part WHEN 0 THEN '## API ` d' || doc_id || ' `' || chr(10) || chr(10) || 'The model defines this interface.'
+ WHEN 1 THEN '{"positional":["src/model.rs"],"named":{"id":["d' || doc_id || '"]}}' ELSE 'The source above keeps its bytes and its place.' END, NULL, NULL FROM d JOIN l USING (doc_id), (VALUES (0), (1), (2)) AS v(part) WHERE toxic = 1
+UNION ALL SELECT project, r, row_number() OVER (PARTITION BY project ORDER BY path) - 1, 'text', '- ` ' || path || ' `: ' || (length(text) - length(replace(text, chr(10), '')) + (text <> '' AND NOT ends_with(text, chr(10)))::INT) || ' source lines.' || chr(10), NULL, path
+ FROM (SELECT project, 'src/d' || doc_id || '.rs' AS path, coalesce(text, '') AS text, min(-1 - doc_id) OVER (PARTITION BY project) AS r FROM d)""")
+def project_documentation(read):
+    """Each source and language as a project, its documents as modules; labelled documents ask for the package or an interface."""
+    d = read("documents").select("doc_id", "source", F.coalesce("lang", F.lit("none")).alias("lang"), F.coalesce("text", F.lit("")).alias("text")).withColumn("project", F.concat_ws("/", "source", "lang"))
+    labels = read("labels").groupBy(F.col("doc_id").alias("_doc")).agg(F.max("toxic").alias("toxic"))
+    manifest = F.concat(F.lit('[package]\nname = "'), "source", F.lit('"\nversion = "'), "lang", F.lit('"\n'))
+    files = d.select("project", F.concat(F.lit("src/d"), "doc_id", F.lit(".rs")).alias("path"), "text").unionByName(d.select("project", F.lit("Cargo.toml").alias("path"), manifest.alias("text")).distinct())
+    asked = d.join(labels, F.col("doc_id") == F.col("_doc")).select(
+        "project", F.col("doc_id").alias("request_no"), F.when(F.col("toxic") == 1, "api").otherwise("package").alias("directive"),
+        F.when(F.col("toxic") == 1, F.concat(F.lit('["d'), "doc_id", F.lit('"]'))).otherwise(F.concat(F.lit('["Doc '), "doc_id", F.lit('"]'))).alias("arguments"),
+    )
+    every = d.groupBy("project").agg(F.min(-1 - F.col("doc_id")).alias("request_no")).select("project", "request_no", F.lit("modules").alias("directive"), F.lit("[]").alias("arguments"))
+    return project_docs.documented(asked.unionByName(every), files)
+
+
+def _counted(inputs, requests):
+    """A plugin for the whole round: how many inputs there are, and how many of them come before each request's."""
+    paths = [r["path"] for batch in inputs for r in batch]
+    asked = 0
+    for batch in requests:
+        asked += len(batch)
+        said = [f"{bisect.bisect_left(paths, r['path'])} of {len(paths)}" for r in batch]
+        yield pd.DataFrame({"request_no": [r["request_no"] for r in batch], "markdown": said, "error": None})
+    if not asked:
+        yield pd.DataFrame({"request_no": [-1], "markdown": [f"{len(paths)} inputs"], "error": [None]})
+
+
+@query("""WITH i AS (SELECT DISTINCT 'p' || page_id AS path FROM pages), c AS (SELECT path, row_number() OVER (ORDER BY path) - 1 AS k, count(*) OVER () AS n FROM i)
+SELECT turn * 1000000 + conv_id AS request_no, 'whole' AS owner, k || ' of ' || n AS markdown, NULL::VARCHAR AS error FROM conversations JOIN c ON path = 'p' || (SELECT min(page_id) FROM pages)
+UNION ALL SELECT -1, 'idle', (SELECT count(*) FROM i) || ' inputs', NULL""")
+def whole_round_plugins(read):
+    registry = plugins.Registry()
+    registry.add("whole", ["w"], _counted, contract="whole")
+    registry.add("idle", ["i"], _counted, contract="whole")
+    inputs = read("pages").select(F.concat(F.lit("p"), "page_id").alias("path")).distinct()
+    first = read("pages").agg(F.concat(F.lit("p"), F.min("page_id")).alias("path"))
+    asked = read("conversations").select((F.col("turn") * 1000000 + F.col("conv_id")).alias("request_no"), F.lit("whole").alias("owner"), F.lit("w").alias("name"), F.lit("").alias("arguments"), F.lit(1).alias("_one"))
+    asked = asked.join(F.broadcast(first.withColumn("_one", F.lit(1))), "_one").drop("_one")
+    return plugins.run_plugins(asked, registry, inputs=inputs)
+
+
+@query("""WITH l AS (SELECT doc_id, max(toxic) AS toxic, min(quality) AS quality FROM labels GROUP BY 1), d AS (SELECT documents.*, toxic, quality, strlen(text) AS size, 1 + length(text) - length(replace(text, chr(10), '')) - ends_with(text, chr(10))::INT AS lines FROM documents LEFT JOIN l USING (doc_id))
+SELECT doc_id AS fragment, CASE WHEN quality = 0 THEN 'open_html' WHEN toxic IS NULL AND lang = 'de' THEN 'sources[1]: wrong_lines' WHEN toxic = 1 THEN 'sources[1]: invalid_range' WHEN lang = 'fr' THEN 'sources[2]: source_error' END AS error FROM d""")
+def fragment_spans(read):
+    """Fragments whose first source is sound; others, further on, are not, by labels and languages."""
+    labels = read("labels").groupBy(F.col("doc_id").alias("_doc")).agg(F.max("toxic").alias("toxic"), F.min("quality").alias("quality"))
+    d = read("documents").join(labels, F.col("doc_id") == F.col("_doc"), "left")
+    size, lines = F.octet_length("text"), F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1 - F.col("text").endswith("\n").cast("int")
+    span = lambda path, end, last: F.struct(path.alias("path"), F.lit(0).alias("start_byte"), end.alias("end_byte"), F.lit(1).alias("start_line"), last.alias("end_line"))
+    own = F.col("doc_id").cast("string")
+    wrong = F.when(F.col("toxic").isNull() & (F.col("lang") == "de"), lines + 1).otherwise(lines)
+    last = F.when(F.col("lang") == "fr", F.concat(F.lit("no"), own)).otherwise(own)
+    sources = F.array(span(own, size, lines), span(own, F.when(F.col("toxic") == 1, size + 1).otherwise(size), wrong), span(last, size, lines))
+    text = F.when(F.col("quality") == 0, F.lit("a\n\n<!-- b\n")).otherwise(F.lit("a\n\n<!-- b -->\n"))
+    fragments = d.select(F.col("doc_id").alias("fragment"), text.alias("markdown"), F.lit(True).alias("required"), F.lit(False).alias("layout"), sources.alias("sources"))
+    return rounds.fragments_checked(fragments, d.select(own.alias("path"), "text")).select("fragment", "error")
+
+
+@query("""WITH g AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS position, length(text) > 200 AS marker FROM conversations), o AS (SELECT * FROM g WHERE NOT marker)
+SELECT conv_id, position, position - coalesce(lag(position) OVER w, -1) - 1 AS markers_before, coalesce(lead(position) OVER w, (SELECT max(position) FROM g x WHERE x.conv_id = o.conv_id) + 1) - position - 1 AS markers_after FROM o WINDOW w AS (PARTITION BY conv_id ORDER BY position)""")
+def adjacent_markers(read):
+    rows = positions(read("conversations"), "conv_id", "turn")
+    return search.marker_runs(rows.select("conv_id", "position", "text"), "conv_id", "position", F.length("text") > 200).select("conv_id", "position", "markers_before", "markers_after")
+
+
+@query("""SELECT event_id, row_number() OVER (PARTITION BY event_type ORDER BY user_id, event_id) - 1 AS number FROM events WHERE value >= 1 AND user_id > 5""")
+def drained_calls(read):
+    """Events as occurrences of their type on their user's page; those of small value have no call site."""
+    e = read("events").withColumn("site", F.when(F.col("value") >= 1, F.col("value")))
+    return search.calls_drained(e, "event_type", "user_id", "event_id", F.col("user_id") > 5, "site").select("event_id", "number")
