@@ -15,6 +15,7 @@ from quillon.operators.tables import scratch
 from quillon.plans.queries import query
 from quillon.sources import facts, resolver
 from quillon.sources.buckets import Buckets, canonical_json
+from quillon.streaming import supervise
 
 # Customers are folders and orders are in them: status F is a file, O links to the customer's order
 # before (the first one to the next customer's folder), P to the one after (the last one to above the root).
@@ -269,3 +270,14 @@ def drained_calls(read):
     """Events as occurrences of their type on their user's page; those of small value have no call site."""
     e = read("events").withColumn("site", F.when(F.col("value") >= 1, F.col("value")))
     return search.calls_drained(e, "event_type", "user_id", "event_id", F.col("user_id") > 5, "site").select("event_id", "number")
+
+
+@query(f"""WITH RECURSIVE {_TREE}, f AS (SELECT regexp_replace(path, '/.*$', '') AS folder, target[4:] AS next FROM e WHERE kind = 'link' AND starts_with(target, '../c')),
+s AS (SELECT DISTINCT 'c' || c_custkey AS folder FROM customer WHERE c_acctbal < 0), r AS (SELECT folder, 0 AS round FROM s UNION SELECT f.next, round + 1 FROM r JOIN f USING (folder) WHERE round < 400)
+SELECT folder, min(round)::INT AS round FROM r GROUP BY 1""")
+def subscription_rounds(read):
+    """Folders of customers with debts, and those that links in them lead to, until nothing new appears."""
+    links = _tree(read).where("kind = 'link' AND target LIKE '../c%'").select(F.regexp_replace("path", "/.*$", "").alias("_from"), F.substring("target", 4, 100).alias("_to"))
+    start = read("customer").where("c_acctbal < 0").select(F.concat(F.lit("c"), "c_custkey").alias("folder"))
+    step = lambda now: now.join(links, F.col("folder") == F.col("_from")).select(F.col("_to").alias("folder"))
+    return supervise.until_nothing_new(start, step, "folder")
