@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from quillon.functions import hashing
+from quillon.functions import hashing, maps
 from quillon.functions import text as t
 from quillon.operators import integrity, intervals, records, render, rounds, search, structure
 from quillon.operators.tables import written
@@ -17,7 +17,8 @@ from quillon.sources import files as src
 from quillon.sources.buckets import Buckets
 from quillon.streaming import watch
 
-COLUMNS = {"title": "title", "identifier": "identifiers", "path": "path", "body": "body"}
+#: Fields of a search and their columns; bodies are searched as a reader sees them.
+COLUMNS = {"title": "title", "identifier": "identifiers", "path": "path", "body": "field"}
 #: What a snapshot is made by; another version's is stale.
 GENERATOR = "quillon 1"
 
@@ -77,9 +78,11 @@ class Engine:
         return output.removeprefix(source + "/") if output.startswith(source + "/") else None
 
     def rows(self, files: DataFrame) -> DataFrame:
-        """Every leaf and segment of the files: path, seq, kind, title, body, identifiers, start_byte, end_byte, error.
+        """Every leaf and segment of the files: path, position, kind, title, body, identifiers, start_byte, end_byte, source_runs, field, field_runs.
 
         A Markdown leaf carries the titles above it; code carries its words as identifiers.
+        ``source_runs`` lead from the body to the file's bytes; ``field`` is what a reader sees of
+        the body, without marks, and ``field_runs`` lead from it to the body.
         """
         md, code = (files.where(F.col("path").endswith(".md")), files.where(~F.col("path").endswith(".md")))
         leaves = structure.leaves(md)
@@ -90,17 +93,24 @@ class Engine:
         )
         both = both.withColumn("title", intervals.latest_before(both, "path", ["start_byte", "_k"], F.col("_t"))).where("leaf IS NOT NULL")
         prose = both.select("path", "start_byte", F.col("leaf.end_byte").alias("end_byte"), F.lit("prose").alias("kind"), "title", F.col("leaf.text").alias("body"), F.lit(None).cast("array<string>").alias("identifiers"))
+        size = F.octet_length("body").cast("long")
+        prose = prose.withColumn("source_runs", F.array(F.struct(F.lit(0).cast("long").alias("at"), size.alias("end"), F.col("start_byte").alias("src"), (F.col("start_byte") + size).alias("src_end"))))
         parts = structure.segments(code).where("kind != 'layout'")
         identifiers = F.when(F.col("kind") == "code", F.array_distinct(t.words(F.col("text"))))
-        parts = parts.select("path", "start_byte", "end_byte", "kind", F.lit(None).cast("string").alias("title"), F.col("text").alias("body"), identifiers.alias("identifiers"))
-        return records.positions(records.with_record_id(prose.unionByName(parts), "kind", "path", "body"), "path", "start_byte")
+        parts = parts.select("path", "start_byte", "end_byte", "kind", F.lit(None).cast("string").alias("title"), F.col("text").alias("body"), identifiers.alias("identifiers"), F.col("runs").alias("source_runs"))
+        rows = prose.unionByName(parts)
+        seen = maps.made(F.when(F.col("kind") == "prose", F.col("body")), "lf", "visible")
+        whole = F.array(F.struct(F.lit(0).cast("long").alias("at"), size.alias("end"), F.lit(0).cast("long").alias("src"), size.alias("src_end")))
+        rows = rows.withColumn("_seen", seen)
+        rows = rows.withColumns({"field": F.coalesce("_seen.text", "body"), "field_runs": F.coalesce("_seen.runs", whole)}).drop("_seen")
+        return records.positions(records.with_record_id(rows, "kind", "path", "body"), "path", "start_byte")
 
     def build(self) -> str:
         """Publish a snapshot of the source tree; a file that can't be decoded stops it. Returns the snapshot's id."""
         files = self.files()
         if bad := files.where("error IS NOT NULL").select("path", "error").head(5):
             raise ValueError(f"source_error: {[(r['path'], r['error']) for r in bad]}")
-        rows = self.rows(files)
+        rows = written(self.rows(files), "records")
         # The listing comes before the bytes are read: what is edited in between is read again at the next check.
         listed = self.listing() if self.mounted else None
         hashed = files.select("path", "sha256", "n_bytes")
@@ -144,11 +154,21 @@ class Engine:
         found = search.search(rows, COLUMNS, query, limit, None, ties=("path", "position", "record_id"))
         terms = t.query_terms(query)
         at = F.array_min(F.array(*(t.first_hit(F.col("body"), x) for x in terms))) if terms else F.lit(None).cast("int")
-        found = search.matched(found, COLUMNS, query)
+        found = self._placed(search.matched(found, COLUMNS, query))
         why = rounds.under_reasons(path, F.array("path"), F.array("path")) if path is not None else F.array().cast("array<string>")
         found = found.withColumn("path_matches", why)
         return found.select("handle", "kind", "path", "title", t.snippet(F.col("body"), at).alias("snippet"), "matches", "terms", "term_count", "exact", "score", "path_matches")
 
+    def _placed(self, found: DataFrame) -> DataFrame:
+        """Matches in bodies with their bytes in the body, ``body_range``, and in the file, ``source_range``; null for other fields."""
+        # Places of the field are characters, maps count bytes.
+        size = lambda n: F.octet_length(F.left("field", n)).cast("long")
+        ranges = F.transform("matches", lambda m: F.when(m.field == "body", F.struct(size(m.start).alias("start"), size(m.end).alias("end"))))
+        found = found.withColumn("_body", maps.source_ranges(F.col("field_runs"), ranges))
+        found = found.withColumn("_source", maps.source_ranges(F.col("source_runs"), F.col("_body")))
+        each = F.transform("matches", lambda m, i: F.struct(m.term.alias("term"), m.field.alias("field"), m.text.alias("text"), m.start.alias("start"), m.end.alias("end"), F.get("_body", i).alias("body_range"), F.get("_source", i).alias("source_range")))
+        return found.withColumn("matches", each).drop("_body", "_source")
+
     def answer(self, query: str, path: str | None = None, limit: int = 10, snapshot: bool = False) -> dict:
         """The whole answer: snapshot, freshness, query_terms, total_matches, returned, truncated, hits (rows, at most ``limit``)."""
         total = search.scored(self._asked(query, path, limit, snapshot), COLUMNS, query).count()

@@ -123,3 +123,24 @@ def test_a_page_that_would_be_the_folder_of_another_stops_the_round(spark, tree,
     (tree / "notes.md.md" / "b.md").write_text("# mine\n")
     with pytest.raises(ValueError, match="target_conflict.*parent_of_target"):
         Engine(spark, str(tree), str(tmp_path / "out")).build()
+
+
+def test_matches_lead_back_to_bodies_and_files(spark, tmp_path):
+    src = tmp_path / "src"
+    src.mkdir()
+    guide = "# Plan\n\nWater **the _roses_** &amp; [lilies](http://x.y/roses) at `dawn  x`.\n"
+    code = "x = 1\n  // roses grow\r\n  // by the wall\nlet y;\n"
+    (src / "guide.md").write_bytes(guide.encode())
+    (src / "a.js").write_bytes(code.encode())
+    e = Engine(spark, str(src), str(tmp_path / "out"))
+    e.build()
+    texts = {"guide.md": guide.encode(), "a.js": code.encode()}
+    seen = {}
+    for r in e.search("roses wall lilies").collect():
+        for m in r["matches"]:
+            if m["field"] == "body":
+                a, b = m["source_range"]["start"], m["source_range"]["end"]
+                assert texts[r["path"]][a:b].decode().lower() == m["term"]
+                seen.setdefault(r["path"], set()).add(m["term"])
+    assert seen == {"guide.md": {"roses", "lilies"}, "a.js": {"roses", "wall"}}
+    assert e.search("http").count() == 0 and e.search("x.y/roses").count() == 0  # a link's target is nothing that a reader sees
