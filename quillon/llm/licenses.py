@@ -166,17 +166,25 @@ def scan_licenses(docs: DataFrame, threshold: float = THRESHOLD, known: tuple[tu
     # Half a span more, so that a start before the text stays with its template.
     rows = rows.select("doc_id", "row", "grams", _once(F.array_distinct(F.transform(at, lambda x: x + SPAN // 2))).alias("windows"))
 
-    def compare(w: Column) -> Column:
+    def window(w: Column) -> Column:
         template, start = F.floor(w / F.lit(SPAN)).cast("int"), F.pmod(w, F.lit(SPAN)) - SPAN // 2
         first = F.greatest(start, F.lit(0)).cast("int")
         end = F.least(start + F.get(sizes, template), F.size("grams")).cast("int")
-        own, other = F.array_distinct(F.slice("grams", first + 1, F.greatest(end - first, F.lit(0)))), F.get(sets, template)
-        fits = F.size(own).between(index.low * F.size(other), index.high * F.size(other))
-        dice = F.when(fits, 2.0 * F.size(F.array_intersect(own, other)) / (F.size(own) + F.size(other))).otherwise(0.0)
-        shared = F.size(F.array_intersect(own, other))
-        return F.struct(template.alias("template"), dice.alias("dice"), (shared * dice).alias("strength"), first.alias("first"), end.alias("end"))
+        own = F.array_distinct(F.slice("grams", first + 1, F.greatest(end - first, F.lit(0))))
+        return F.struct(template.alias("template"), first.alias("first"), end.alias("end"), own.alias("own"))
+
+    def compare(w: Column) -> Column:
+        other = F.get(sets, w.template)
+        fits = F.size(w.own).between(index.low * F.size(other), index.high * F.size(other))
+        shared = F.when(fits, F.size(F.array_intersect(w.own, other))).otherwise(0)
+        return F.struct(w.template.alias("template"), w.first.alias("first"), w.end.alias("end"), shared.alias("shared"), (F.size(w.own) + F.size(other)).alias("both"))
+
+    def rated(w: Column) -> Column:
+        dice = 2.0 * w.shared / w.both
+        return F.struct(w.template.alias("template"), dice.alias("dice"), (w.shared * dice).alias("strength"), w.first.alias("first"), w.end.alias("end"))
 
-    good = F.filter(F.transform("windows", compare), lambda x: x.dice >= threshold)
+    # Step by step, so that each window's bigrams are cut out and compared once.
+    good = F.filter(F.transform(F.transform(F.transform("windows", window), compare), rated), lambda x: x.dice >= threshold)
     license = F.get(listed(index.names, "array<string>"), F.col("x.template"))
     # Rows alike in doc_id and text have the same windows.
     found = rows.select("doc_id", F.explode(good).alias("x"), "row").select("doc_id", "row", license.alias("license"), "x.*").distinct()
