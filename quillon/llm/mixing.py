@@ -92,9 +92,10 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int
     expected copies are summed up from the source's one random offset; a document is emitted once
     for each integer that its part of the sum crosses. Expected copies are what is left of the
     target by what is left of the source when a level of sizes begins, so that shorter documents
-    make up for what longer ones took too often or too rarely. Before the offset is drawn, each
-    document's expectation is target / source_size; the words taken miss the target by about one
-    of the shorter documents, as far as there are any. Within a level all terms are equal, so a
+    make up for what longer ones took too often or too rarely. So later levels depend on what
+    earlier ones drew; a document's expectation is target / source_size only on the first level, and
+    on others as far as no rate there had to be cut off at 0 or ``most``. The words taken miss the
+    target by about one of the shorter documents, as far as there are any. Within a level all terms are equal, so a
     prefix sum needs the document's rank only, which `ranked` finds without gathering a source.
 
     Null text: size 0. Null source: a source of its own, last. A source without words: target 0,

@@ -440,6 +440,11 @@ def count_tokens(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", limit: i
     All come from the text's prefix table, ``steps``: n_tokens is its last count, fitting_chars
     the longest prefix, in characters, that has at most ``limit`` tokens. A null text counts as
     empty: 0 of all. Each row is counted by itself; repeated rows give repeated results.
+
+    Words of letters up to U+024F are kept by a worker and looked up. Others go through the table a
+    character at a time, and long ones aren't kept: texts of other scripts, above all without
+    white space, take more than ten times as long. A run of combining marks of alternating
+    classes without a base takes time that grows with its square.
     """
     return answers(prefix_tables(docs, tokenizer), limit)
 
