@@ -162,6 +162,14 @@ def relative_url(target: Column, page: Column) -> Column:
     return percent_encoded(F.concat(up, F.array_join(F.slice(b, same + 1, F.size(b)), "/")))
 
 
+def joined_path(folder: Column, path: Column) -> Column:
+    """The path below the root that a relative path means as seen from a folder; null if it leads out of the root."""
+    parts = F.concat(F.split(folder, "/"), F.split(path, "/"))
+    up = lambda acc: F.when(F.size(acc) > 0, F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))))
+    step = lambda acc, p: F.when(p.isin("", "."), acc).when(p == "..", up(acc)).otherwise(F.array_append(acc, p))
+    return F.aggregate(parts, F.array().cast("array<string>"), step, lambda acc: F.array_join(acc, "/"))
+
+
 def byte_slice(text: Column, offset: Column, budget: int) -> Column:
     """Struct of text, start, end, next: at most ``budget`` characters from a byte offset on.
 

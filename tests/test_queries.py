@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from quillon.plans import rounds, trees  # noqa: F401 - they register their queries
+from quillon.plans import rounds, specs, trees  # noqa: F401 - they register their queries
 from quillon.plans.queries import QUERIES, SQL
 from tools.oracle_check import normal
 
