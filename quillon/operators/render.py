@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillon.functions import text as t
+from quillon.operators import structure
 
 
 def provenance(label: str, path: Column, first: Column, last: Column, start: Column, end: Column, page: Column) -> Column:
@@ -40,11 +41,14 @@ def included(requests: DataFrame, files: DataFrame) -> DataFrame:
     Errors are rows: source_error, invalid_range, empty_selection.
     """
     got = requests.join(files.select("path", "text", F.lit(True).alias("_there")), "path", "left")
-    count = F.size(F.split("text", r"(?<=\n)")) - F.col("text").endswith("\n").cast("int")
-    lines = F.array_join(F.slice(F.split("text", r"(?<=\n)"), F.greatest(F.coalesce("first", F.lit(1)), F.lit(1)), F.greatest(F.coalesce(F.col("last") - F.col("first") + 1, count), F.lit(0))), "")
+    # Files are cut where lines are asked for, once; so is the selection, which several expressions look at.
+    got = got.withColumn("_cut", structure.once(F.when(F.col("first").isNotNull() | F.col("last").isNotNull(), F.split("text", r"(?<=\n)"))))
+    count = F.size("_cut") - F.col("text").endswith("\n").cast("int")
+    chosen = F.array_join(F.slice("_cut", F.greatest(F.coalesce("first", F.lit(1)), F.lit(1)), F.greatest(F.coalesce(F.col("last") - F.col("first") + 1, count), F.lit(0))), "")
+    got = got.withColumn("_lines", structure.once(F.when(F.col("_cut").isNull(), F.col("text")).otherwise(chosen)))
     legal = F.col("first").isNull() | ((F.col("first") >= 1) & (F.col("first") <= F.col("last")) & (F.col("last") <= count))
-    error = F.when(F.col("_there").isNull(), "source_error").when(~legal, "invalid_range").when(F.trim(F.regexp_replace(lines, r"\s", "")) == "", "empty_selection")
-    return got.withColumns({"error": error, "markdown": F.when(error.isNull(), lines)}).drop("text", "_there")
+    error = F.when(F.col("_there").isNull(), "source_error").when(~legal, "invalid_range").when(~F.col("_lines").rlike(r"\S"), "empty_selection")
+    return got.withColumns({"error": error, "markdown": F.when(error.isNull(), F.col("_lines"))}).drop("text", "_there", "_cut", "_lines")
 
 
 def included_sections(requests: DataFrame, files: DataFrame, sections: DataFrame, last_only: bool = False) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.operators import clauses, lint
+from quillon.operators import clauses, delegation, lint
 from quillon.plans.queries import query
 
 _CLAUSE = "'SPEC-' || upper(lang) || '-' || lpad(({0} % 1000)::VARCHAR, 3, '0')"
@@ -69,3 +69,48 @@ def clause_records(read):
     rows = lines.where("l_returnflag = 'N' AND l_linestatus = 'F'").select("clause", F.col("name").alias("row_no"), F.col("path").alias("text"))
     parts = read("part").select(F.col("p_partkey").alias("clause"), F.col("p_name").alias("text"))
     return clauses.assembled(parts, lines.where("l_returnflag = 'R'"), lines.where("l_returnflag = 'A'"), rows)
+
+
+_NODES = """n AS (SELECT l_orderkey AS request, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) - 1 AS node, min(l_partkey) AS part, min_by(l_suppkey, l_partkey * 1000000 + l_suppkey) AS supp, min(l_returnflag) AS flag FROM lineitem GROUP BY l_orderkey, l_linenumber)"""
+
+
+@query(f"""WITH {_NODES}, x AS (SELECT request, node, CASE flag WHEN 'N' THEN 'part ' || part WHEN 'A' THEN CASE WHEN part % 2 = 0 THEN line || ends ELSE '```python' || chr(10) || line || chr(10) || '```' END WHEN 'R' THEN 's' || supp || '.md.md' END AS m,
+ CASE WHEN flag = 'A' AND part % 7 = 0 THEN 'invalid_arguments' WHEN flag = 'A' AND doc_id IS NULL THEN 'source_error' WHEN flag = 'A' AND trim(line, ' ' || chr(9) || chr(13)) = '' THEN 'empty_selection' WHEN flag = 'R' AND supp % 5 = 0 THEN 'unknown_directive' WHEN flag = 'R' AND coalesce(s_acctbal, 0) <= 0 THEN 'page_not_selected' END AS error
+ FROM (SELECT n.*, d.doc_id, s.s_acctbal, string_split(d.text, chr(10))[1] AS line, CASE WHEN contains(d.text, chr(10)) THEN chr(10) ELSE '' END AS ends FROM n LEFT JOIN documents d ON d.doc_id = n.part LEFT JOIN supplier s ON s.s_suppkey = n.supp))
+SELECT request, CASE WHEN count(error) = 0 THEN string_agg(m, chr(10) || chr(10) ORDER BY node) END AS markdown, 'content[' || min(node) FILTER (error IS NOT NULL) || ']: ' || min_by(error, node) FILTER (error IS NOT NULL) AS error, count(*) AS nodes FROM x GROUP BY 1""")
+def delegated_contents(read):
+    """Orders as contents of a plugin: text, includes of a first line, fenced if it is code, links; some malformed or not the engine's."""
+    return delegation.delegated(_contents(read), _suffixed(read), read("supplier").where("s_acctbal > 0").select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string"), F.lit(".md")).alias("path")))
+
+
+def _suffixed(read) -> DataFrame:
+    n = F.col("doc_id")
+    return read("documents").select(F.concat(F.lit("d"), n.cast("string"), F.when(n % 2 == 0, ".md").otherwise(".py")).alias("path"), "text")
+
+
+def _contents(read) -> DataFrame:
+    n = read("lineitem").groupBy(F.col("l_orderkey").alias("request"), F.col("l_linenumber").alias("at")).agg(F.min("l_partkey").alias("part"), F.min(F.struct("l_partkey", "l_suppkey")).getField("l_suppkey").alias("supp"), F.min("l_returnflag").alias("flag"))
+    part, supp, flag = F.col("part").cast("string"), F.col("supp").cast("string"), F.col("flag")
+    path = F.when(flag == "A", F.concat(F.lit('"d'), part, F.when(F.col("part") % 2 == 0, ".md").otherwise(".py"), F.lit('"'), F.when(F.col("part") % 7 == 0, " lines=1").otherwise(" lines=[1, 1]"))).when(flag == "R", F.concat(F.lit('"s'), supp, F.lit('.md"')))
+    directive = F.when(flag == "A", "include").when(flag == "R", F.when(F.col("supp") % 5 == 0, "audit").otherwise("link"))
+    node = F.struct(F.when(flag == "N", "text").otherwise("standard_call").alias("kind"), F.when(flag == "N", F.concat(F.lit("part "), part)).alias("markdown"), directive.alias("directive"), path.alias("arguments"))
+    each = n.select("request", "at", node.alias("node")).groupBy("request").agg(F.to_json(F.transform(F.array_sort(F.collect_list(F.struct("at", "node"))), lambda x: x.node)).alias("content"))
+    return each.select("request", F.concat(F.lit("pages/p"), F.col("request").cast("string"), F.lit(".md")).alias("page"), "content")
+
+
+@query(f"""WITH {_NODES} SELECT DISTINCT request, CASE flag WHEN 'A' THEN 'd' || part || CASE WHEN part % 2 = 0 THEN '.md' ELSE '.py' END ELSE 's' || supp || '.md' END AS path, CASE flag WHEN 'A' THEN 'source' ELSE 'page' END AS kind
+FROM n WHERE (flag = 'A' AND part % 7 <> 0) OR (flag = 'R' AND supp % 5 <> 0)""")
+def content_dependencies(read):
+    return delegation.dependencies(_contents(read))
+
+
+@query("""WITH d AS (SELECT doc_id, 'd' || doc_id || CASE WHEN doc_id % 2 = 0 THEN '.md' ELSE '.py' END AS path, text FROM documents), m AS (SELECT max(text) AS text FROM d WHERE path = 'd2.md'), k AS (SELECT count(*) AS n FROM d WHERE path = 'd3.py'),
+x AS (SELECT CASE WHEN m.text IS NULL THEN 'content[1]: source_error' WHEN trim(m.text) = '' THEN 'content[1]: empty_selection' WHEN k.n = 0 THEN 'content[2]: page_not_selected' END AS error, m.text AS text, k.n AS n FROM m, k)
+SELECT 'result:' || doc_id AS request, CASE WHEN error IS NULL THEN 'Before' || chr(10) || chr(10) || x.text || chr(10) || chr(10) || '../d3.py.md' || chr(10) || chr(10) || 'After' END AS markdown, error, 4 AS nodes FROM d, x
+UNION ALL SELECT 'append:d3.py', CASE WHEN n > 0 THEN 'd3.py.md' END, CASE WHEN n = 0 THEN 'content[0]: page_not_selected' END, 1 FROM k
+UNION ALL SELECT 'report:overview', CASE WHEN n > 0 THEN '../../pages/d3.py.md' END, CASE WHEN n = 0 THEN 'content[0]: page_not_selected' END, 1 FROM k""")
+def navigation_contents(read):
+    """Every document's page asks for navigation; one URL for each place where it stands."""
+    files = _suffixed(read)
+    asked = read("documents").select(F.col("doc_id").alias("request"), F.concat(F.lit("pages/"), "source", F.lit("/d"), F.col("doc_id").cast("string"), F.lit(".md")).alias("page"))
+    return delegation.delegated(delegation.navigation(asked, "d2.md", "d3.py"), files, files.select("path"))
