@@ -187,15 +187,22 @@ class Engine:
 
     def occurrences(self, handle: str, cursor: str | None = None) -> DataFrame:
         """A page of five of a record's places: path, position, start_byte, end_byte, total, next_cursor."""
+        return self._listed(handle, "occurrences", cursor, ["path", "position", "start_byte", "end_byte"], ["path", "position"])
+
+    def sources(self, handle: str, cursor: str | None = None) -> DataFrame:
+        """A page of five of the spans that a record is made of, each once: path, start_byte, end_byte, total, next_cursor."""
+        return self._listed(handle, "sources", cursor, ["path", "start_byte", "end_byte"], ["path", "start_byte", "end_byte"])
+
+    def _listed(self, handle: str, name: str, cursor: str | None, columns: list[str], order: list[str]) -> DataFrame:
         snapshot = snapshots.current(self.spark, self.output)
-        record, name, offset = read_cursor(cursor, snapshot) if cursor else (handle, "occurrences", 0)
-        if record != handle or name != "occurrences":
+        record, asked, offset = read_cursor(cursor, snapshot) if cursor else (handle, name, 0)
+        if record != handle or asked != name:
             raise ValueError("the cursor belongs to another list")
         rows = snapshots.table(self.spark, self.output, "records", snapshot).where(F.col("handle") == handle)
-        page = search.cursor_page(rows, "handle", ["path", "position"], snapshot, name, offset)
+        page = search.cursor_page(rows.select("handle", *columns).distinct(), "handle", order, snapshot, name, offset)
         if not page.head(1):
             raise ValueError("no such page")
-        return page.select("path", "position", "start_byte", "end_byte", "total", "next_cursor").orderBy("path", "position")
+        return page.select(*columns, "total", "next_cursor").orderBy(*order)
 
     def read(self, handle: str, offset: int = 0, context: int = 0) -> DataFrame:
         """A record's body from a byte offset on, its sources and, with ``context``, its neighbours on the page.

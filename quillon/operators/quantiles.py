@@ -9,8 +9,11 @@ from pyspark.sql import functions as F
 DIGIT = 16
 
 
-def exact_quantiles(rows: DataFrame, key: str, value: str, at: dict[str, float]) -> DataFrame:
-    """Interpolated quantiles: key and one column for each name in ``at``; null where a key has no values.
+def exact_quantiles(rows: DataFrame, key: str, value: str, at: dict[str, float], nearest: bool = False) -> DataFrame:
+    """Quantiles, interpolated or, with ``nearest``, of the nearest rank: key and one column for each name in ``at``; null where a key has no values.
+
+    The nearest rank of n values is the smallest that isn't below quantile * n, one at least: of
+    five values the largest is the 0.95 quantile.
 
     A double's bits, as a number in the doubles' order, are read from the top, 16 at a time: each
     pass counts the next 16 bits of the values that begin as the wanted ranks' values do. A task
@@ -38,7 +41,7 @@ def exact_quantiles(rows: DataFrame, key: str, value: str, at: dict[str, float])
         counts = counts.withColumn("upto", F.sum("n").over(group.orderBy("prefix").rowsBetween(Window.unboundedPreceding, 0)))
         if state is None:
             last = F.sum("n").over(group) - 1
-            places = [F.lit(q) * last for q in at.values()]
+            places = [F.greatest(F.ceil(F.lit(q) * (last + 1)) - 1, F.lit(0)).cast("double") if nearest else F.lit(q) * last for q in at.values()]
             ranks = [F.struct(F.lit(n).alias("name"), F.lit(i).alias("side"), p.alias("place"), r(p).cast("long").alias("r")) for n, p in zip(names, places, strict=True) for i, r in enumerate((F.floor, F.ceil))]
             counts = counts.withColumn("ranks", F.array(*ranks))
         found = counts.select("k", "prefix", "v", F.explode("ranks").alias("x"), (F.col("upto") - F.col("n")).alias("before"), "upto").where("x.r >= before AND x.r < upto")

@@ -389,6 +389,12 @@ def percentiles(read):
     return found.join(flagged, found["event_type"].eqNullSafe(flagged["type"])).drop("type")
 
 
+@query("""WITH r AS (SELECT l_suppkey, l_extendedprice AS v, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_extendedprice) AS i, count(*) OVER (PARTITION BY l_suppkey) AS n FROM lineitem)
+SELECT l_suppkey, max(v) FILTER (i = ceil(0.5::DOUBLE * n)) AS p50, max(v) FILTER (i = ceil(0.95::DOUBLE * n)) AS p95 FROM r GROUP BY 1""")
+def nearest_rank_percentiles(read):
+    return exact_quantiles(read("lineitem"), "l_suppkey", "l_extendedprice", {"p50": 0.5, "p95": 0.95}, nearest=True)
+
+
 # --- joins, comparisons, integrity --------------------------------------------------------------
 
 

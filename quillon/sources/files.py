@@ -11,6 +11,10 @@ from pyspark.sql import functions as F
 from quillon.functions.text import under
 from quillon.operators.structure import language
 
+#: Fixed value: what a directive may be called.
+DIRECTIVE_NAME = r"[a-z][a-z0-9_-]*(?:\.[a-z][a-z0-9_-]*)*"
+#: The engine's own directives.
+BUILT_IN = ("include", "link")
 #: Folders that are never read.
 SKIPPED = (".git", "target", "node_modules", ".quillon")
 OUTPUTS = ("pages", "reports", "search")
@@ -83,6 +87,7 @@ def settings(text: str) -> dict:
         raise ValueError(f"unknown keys: {sorted(extra)}")
     if extra := got.get("inputs", {}).keys() - {"exclude"}:
         raise ValueError(f"unknown keys of inputs: {sorted(extra)}")
+    owners: dict[str, str] = {}
     for name, plugin in got.get("plugins", {}).items():
         if not re.fullmatch(r"[a-z][a-z0-9_-]*", name):
             raise ValueError(f"{name!r} is no plugin id")
@@ -90,7 +95,20 @@ def settings(text: str) -> dict:
             raise ValueError(f"unknown keys of {name}: {sorted(extra)}")
         if not plugin.get("command") or not plugin.get("directives"):
             raise ValueError(f"{name} needs a command and directives")
-        if not set(plugin.get("override", [])) <= set(plugin["directives"]):
+        if bad := [d for d in plugin["directives"] if not isinstance(d, str) or not re.fullmatch(DIRECTIVE_NAME, d)]:
+            raise ValueError(f"{name}: {bad} are no directive names")
+        if len(set(plugin["directives"])) < len(plugin["directives"]):
+            raise ValueError(f"{name} lists a directive twice")
+        override = plugin.get("override", [])
+        if bad := [d for d in override if d not in BUILT_IN]:
+            raise ValueError(f"{name}: {bad} aren't the engine's, so they can't be overridden")
+        for directive in plugin["directives"]:
+            if directive in owners:
+                raise ValueError(f"directive {directive} belongs to {owners[directive]} and to {name}")
+            if directive in BUILT_IN and directive not in override:
+                raise ValueError(f"{name}: {directive} is the engine's; list it under override to replace it")
+            owners[directive] = name
+        if not set(override) <= set(plugin["directives"]) or len(set(override)) < len(override):
             raise ValueError(f"{name} overrides what it doesn't own")
         if plugin.setdefault("timeout_ms", 30_000) < 1:
             raise ValueError(f"{name}: timeout_ms must be positive")

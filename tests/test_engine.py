@@ -43,6 +43,11 @@ def test_reads_and_freshness(spark, tree, tmp_path):
     assert e.read(handle).head()["body"]["text"] == "Add compost, then rest.\n"
     assert [r["neighbour"] for r in e.read(handle, context=1).collect()] == [0, 1]
     assert [(r["path"], r["total"], r["next_cursor"]) for r in e.occurrences(handle).collect()] == [("notes.md", 1, None)]
+    source = e.sources(handle).collect()
+    assert [(r["path"], r["total"], r["next_cursor"]) for r in source] == [("notes.md", 1, None)]
+    assert (tree / "notes.md").read_bytes()[source[0]["start_byte"] : source[0]["end_byte"]] == b"Add compost, then rest.\n"
+    with pytest.raises(ValueError):
+        e.sources(handle, f"{first}:{handle}:occurrences:0")
     with pytest.raises(KeyError):
         e.read("0" * 11)
     for bad in (lambda: e.read("short"), lambda: e.occurrences(handle, "x:y:occurrences:5"), lambda: e.occurrences(handle, f"{first}:{handle}:occurrences:5")):

@@ -29,6 +29,16 @@ def test_settings():
             files.settings(bad)
 
 
+def test_directives_of_settings():
+    head = 'config_version = 1\n[plugins.p]\ncommand = ["c"]\n'
+    two = '[plugins.q]\ncommand = ["c"]\n'
+    for good in ('directives = ["a.b", "c-d"]\n', 'directives = ["link"]\noverride = ["link"]\n', f'directives = ["a"]\n{two}directives = ["b"]\n'):
+        files.settings(head + good)
+    for bad in ('directives = ["A"]\n', 'directives = ["a."]\n', 'directives = [1]\n', 'directives = ["a", "a"]\n', 'directives = ["include"]\n', f'directives = ["a"]\n{two}directives = ["a"]\n', f'directives = ["link"]\noverride = ["link"]\n{two}directives = ["link"]\noverride = ["link"]\n', 'directives = ["a"]\noverride = ["a"]\n', 'directives = ["link"]\noverride = ["link", "link"]\n'):
+        with pytest.raises(ValueError):
+            files.settings(head + bad)
+
+
 def test_publication(spark, tmp_path):
     root = str(tmp_path)
     assert snapshots.current(spark, root) is None
