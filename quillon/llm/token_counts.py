@@ -159,6 +159,9 @@ class WordPrefixes:
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         rest = [b for b in range(256) if b not in plain]
         self.byte = dict(zip(plain, map(chr, plain), strict=True)) | {b: chr(256 + i) for i, b in enumerate(rest)}
+        # Tokens within a run and, without its mark, at the end of one; those that merging can't end with are taken out once that is known.
+        self.inner = set(self.vocab)
+        self.outer = {t.removesuffix(self.end) for t in self.vocab if t.endswith(self.end)}
         # The edges of tokens that come out of merging their characters, None for others, and whether a pair comes
         # out of merging both, inside a run and at its end.
         self.alone: dict[str, tuple[list, list] | None] = {}
@@ -196,6 +199,8 @@ class WordPrefixes:
                     right.append((symbols[-1], rank))
                 symbols[at : at + 2] = [symbols[at] + symbols[at + 1]]
             known[token] = None if len(symbols) > 1 else ([*left, (symbols[0], NEVER)], [*right, (symbols[0], NEVER)])
+            if len(symbols) > 1:
+                (self.outer if closes else self.inner).discard(token)
         return known[token]
 
     def stands(self, left: str, right: str, closes: bool) -> bool:
@@ -241,28 +246,33 @@ class WordPrefixes:
 
     def counts(self, piece: str) -> list[int]:
         """Counts of all prefixes of a piece in lower case, the empty one first."""
-        s = "".join(self.byte[b] for b in piece.encode())
-        vocab, alone, beside, reach = self.vocab, self.alone, self.beside, self.reach
+        s = piece.encode().decode("latin-1").translate(self.byte)
+        tokens, alone, beside, reach = self.inner, self.alone, self.beside, self.reach
         last, count = [""], [0]
         for i in range(1, len(s) + 1):
             for n in range(1, min(i, reach.get(s[i - 1], 1)) + 1):
                 t = s[i - n : i]
-                if t in vocab and (alone.get(t) or self.stands("", t, False)):
+                if t in tokens:
                     left = last[i - n]
-                    if not left or beside.get((left, t)) or self.stands(left, t, False):
+                    fits = beside.get((left, t)) if left else t in alone or self.stands("", t, False)
+                    if fits or fits is None and self.stands(left, t, False):
                         last.append(t)
                         count.append(count[i - n] + 1)
                         break
             else:
                 raise ValueError(f"no token ends {piece[:20]!r}")
-        out, at, end, reach = [0], 0, self.end, self.reach_end
+        out, at = [0], 0
+        tokens, alone, beside, reach = self.outer, self.alone_end, self.beside_end, self.reach_end
         for size in map(len, piece) if len(s) == len(piece) else (len(c.encode()) for c in piece):
             at += size
             for n in range(1, min(at, reach.get(s[at - 1], 1)) + 1):
                 t = s[at - n : at]
-                if t + end in vocab and self.stands("", t, True) and ((left := last[at - n]) == "" or self.stands(left, t, True)):
-                    out.append(count[at - n] + 1)
-                    break
+                if t in tokens:
+                    left = last[at - n]
+                    fits = beside.get((left, t)) if left else t in alone or self.stands("", t, True)
+                    if fits or fits is None and self.stands(left, t, True):
+                        out.append(count[at - n] + 1)
+                        break
             else:
                 raise ValueError(f"no token ends {piece[:20]!r}")
         return out
