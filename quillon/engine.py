@@ -127,7 +127,7 @@ class Engine:
         pages = render.assembled(chunks, "path", "position", "chunk").withColumn("page", render.page_path(F.col("path")))
         ids = rows.select("record_id").union(hashed.select(hashing.content_id(F.col("path"), F.col("sha256"))))
         got = integrity.snapshot_identity(ids).head()
-        snapshot = got["snapshot"] if got else hashing.base62(0)
+        snapshot = got["snapshot"] or hashing.base62(0)
         tables = {"records": rows.withColumn("handle", hashing.handles(F.col("record_id"), snapshot)), "files": hashed, "pages": pages, "sample": self.sample(hashed)}
         snapshots.publish(self.spark, self.output, tables, snapshot)
         return snapshot

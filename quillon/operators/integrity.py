@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -91,22 +95,37 @@ def index_violations(records: DataFrame, occurrences: DataFrame) -> DataFrame:
     )
 
 
-def snapshot_identity(records: DataFrame, column: str = "record_id", together: int = 1000) -> DataFrame:
-    """One hash over all records in the order of their ids: one row ``snapshot``, ``records``.
+def snapshot_identity(records: DataFrame, column: str = "record_id") -> DataFrame:
+    """One hash over all records in the order of their ids: one row ``snapshot``, ``records``, both null without records.
 
-    A tree over the ids, which are hex hashes and so spread evenly: ids with one prefix give a
-    hash, these with a prefix shorter by two give one, and so on. The first prefix's length
-    follows the count, so that a group has about ``together`` ids, and later ones 256.
+    Ids with the same first two hex digits give a hash, and these hashes, in their order, the
+    snapshot's, whatever the count. Ids are hashed as they come, sorted, so no group is held.
     """
-    depth, n = 2, records.count()
-    while n > together * 16**depth:
-        depth += 2
-    level = records.select(F.col(column).alias("k"), F.col(column).alias("h"), F.lit(1).cast("long").alias("n"))
-    while depth >= 0:
-        joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "h"))), lambda x: x.h), "")
-        level = level.groupBy(F.substring("k", 1, depth).alias("k")).agg(F.sha2(joined, 256).alias("h"), F.sum("n").alias("n"))
-        depth -= 2
-    return level.select(F.col("h").alias("snapshot"), F.col("n").alias("records"))
+    ids = records.select(F.left(F.col(column), F.lit(2)).alias("p"), F.col(column).alias("k"))
+    level = ids.repartition("p").sortWithinPartitions("p", "k").mapInArrow(_hashed, "p string, h string, n long")
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p", "h"))), lambda x: x.h), "")
+    return level.agg(F.when(F.count("h") > 0, F.sha2(joined, 256)).alias("snapshot"), F.sum("n").alias("records"))
+
+
+def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each run of a prefix its ids' hash and count; null ids count, but aren't hashed."""
+    prefix, sha, n, out = None, None, 0, []
+
+    def end() -> None:
+        if n:
+            out.append({"p": prefix, "h": None if prefix is None else sha.hexdigest(), "n": n})
+
+    for batch in batches:
+        runs = pc.run_end_encode(batch["p"])
+        at = 0
+        for p, stop in zip(runs.values.to_pylist(), runs.run_ends.to_pylist(), strict=True):
+            if n == 0 or p != prefix:
+                end()
+                prefix, sha, n = p, hashlib.sha256(), 0
+            sha.update("".join(k for k in batch["k"].slice(at, stop - at).to_pylist() if k is not None).encode())
+            n, at = n + stop - at, stop
+    end()
+    yield pa.RecordBatch.from_pylist(out, schema=pa.schema([("p", pa.string()), ("h", pa.string()), ("n", pa.int64())]))
 
 
 def affected(changes: DataFrame, facts: DataFrame) -> DataFrame:
