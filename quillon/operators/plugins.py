@@ -6,6 +6,7 @@ import json
 import subprocess
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 
 import pandas as pd
 import pyarrow as pa
@@ -24,8 +25,8 @@ class Registry:
     contracts: dict[str, str] = field(default_factory=dict)
 
     def add(self, plugin: str, directives: list[str], run: Callable, override: tuple[str, ...] = (), contract: str = "page") -> None:
-        """``contract``: ``page`` or ``whole``, see ``run_plugins``."""
-        if contract not in ("page", "whole"):
+        """``contract``: ``request``, ``page`` or ``whole``, see ``run_plugins``."""
+        if contract not in ("request", "page", "whole"):
             raise ValueError(f"{contract!r} is no contract")
         if plugin in self.run:
             raise ValueError(f"plugin {plugin} is there already")
@@ -45,8 +46,10 @@ class Registry:
 def run_plugins(requests: DataFrame, registry: Registry, pages: str = "path", inputs: DataFrame | None = None) -> DataFrame:
     """Results of all requests (request_no, owner, path, name, arguments): request_no, owner, markdown, error.
 
-    What a plugin gets in one call is its contract, and holds at any size. ``page``: the requests of
-    one page, in order; calls run in many tasks. ``whole``: all that the round asks of it, and the
+    What a plugin gets in one call is its contract, and holds at any size. ``request``: it answers each
+    request by itself, so calls get any of them, where they are; nothing is shuffled, and a page with
+    any share of the requests is many tasks. ``page``: the requests of one page, in order; calls run
+    in many tasks, each page in one. ``whole``: all that the round asks of it, and the
     whole list of ``inputs`` (path, ...), also if there is no request: exactly one call. Such a
     plugin is given two iterators of Arrow batches, inputs in the order of their paths and requests
     in theirs, and yields batches of results; its one task streams them and holds neither. A
@@ -54,15 +57,27 @@ def run_plugins(requests: DataFrame, registry: Registry, pages: str = "path", in
     """
     run = registry.run
     whole = sorted(p for p in run if registry.contracts[p] == "whole")
-    by_page = requests.where(~F.col("owner").isin(whole)) if whole else requests
+    single = sorted(p for p in run if registry.contracts[p] == "request")
+    by_page = requests.where(~F.col("owner").isin(whole + single)) if whole or single else requests
+
+    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for owner, own in pdf.groupby("owner", sort=False):
+                yield run[owner](own).assign(owner=owner).reindex(columns=["request_no", "owner", "markdown", "error"])
 
     def page(pdf: pd.DataFrame) -> pd.DataFrame:
         owner = pdf["owner"].iloc[0]
         out = run[owner](pdf.sort_values("request_no", kind="stable"))
         return out.assign(owner=owner).reindex(columns=["request_no", "owner", "markdown", "error"])
 
-    found = by_page.groupBy("owner", pages).applyInPandas(page, RESULT)
-    return found.unionByName(_whole(requests, registry, whole, inputs)) if whole else found
+    found = []
+    if single:
+        found.append(requests.where(F.col("owner").isin(single)).mapInPandas(each, RESULT))
+    if len(whole) + len(single) < len(run) or not run:
+        found.append(by_page.groupBy("owner", pages).applyInPandas(page, RESULT))
+    if whole:
+        found.append(_whole(requests, registry, whole, inputs))
+    return reduce(DataFrame.unionByName, found)
 
 
 def _whole(requests: DataFrame, registry: Registry, names: list[str], inputs: DataFrame | None) -> DataFrame:

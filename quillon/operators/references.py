@@ -28,9 +28,10 @@ def unreferenced(definitions: DataFrame, references: DataFrame, key: str) -> Dat
 def routed(directives: DataFrame, owners: DataFrame, name: str = "name") -> DataFrame:
     """Directives with their ``owner``; an unknown name has ``error`` unknown_directive.
 
-    Owners are a configuration's few rows: Spark sees their size and broadcasts them by itself.
+    Owners are a configuration's few rows. A list of the driver's has no size that Spark knows, so
+    they are broadcast by name; else all directives of a name would meet in one task.
     """
-    out = directives.join(owners, name, "left")
+    out = directives.join(F.broadcast(owners), name, "left")
     return out.withColumn("error", F.when(F.col("owner").isNull(), "unknown_directive"))
 
 

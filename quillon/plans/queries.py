@@ -559,14 +559,14 @@ def include_lines(read):
 
 
 def _count_words(pdf):
-    return pdf.assign(markdown=pdf["arguments"].str.len().astype(str) + " characters", error=None)
+    return pdf.assign(markdown=[None if a is None else f"{len(a)} characters" for a in pdf["arguments"]], error=None)
 
 
 @query("""SELECT doc_id AS request_no, CASE WHEN lang = 'en' THEN 'english' ELSE 'others' END AS owner, length(text)::VARCHAR || ' characters' AS markdown, NULL::VARCHAR AS error FROM documents""")
 def plugin_batch(read):
     registry = plugins.Registry()
-    registry.add("english", ["count_en"], _count_words)
-    registry.add("others", ["count_other"], _count_words)
+    registry.add("english", ["count_en"], _count_words, contract="request")
+    registry.add("others", ["count_other"], _count_words, contract="request")
     d = read("documents")
     asked = d.select(F.col("doc_id").alias("request_no"), F.col("source").alias("path"), F.when(F.col("lang") == "en", "count_en").otherwise("count_other").alias("name"), F.col("text").alias("arguments"))
     routed = references.routed(asked, registry.table(d.sparkSession)).drop("error")

@@ -4,7 +4,7 @@ import hashlib
 
 from pyspark.sql import functions as F
 
-from quillon.operators import integrity
+from quillon.operators import integrity, plugins, references
 
 
 def test_snapshot_identity_of_many(spark):
@@ -18,3 +18,19 @@ def test_snapshot_identity_of_many(spark):
     assert [tuple(r) for r in got] == [(want, n)]
     none = integrity.snapshot_identity(spark.createDataFrame([], "record_id string")).collect()
     assert [tuple(r) for r in none] == [(None, None)]
+
+
+def test_plugin_by_request(spark):
+    """Requests that are answered by themselves stay where they are, however many one page has."""
+    calls = lambda pdf: pdf.assign(markdown=[None if a is None else a + "!" for a in pdf["arguments"]], error=None)
+    registry = plugins.Registry()
+    registry.add("one", ["a"], calls, contract="request")
+    registry.add("two", ["b"], lambda pdf: pdf.assign(markdown="page of " + str(len(pdf)), error=None))
+    asked = spark.range(900).select(F.col("id").alias("request_no"), F.when(F.col("id") % 3 == 0, "two").otherwise("one").alias("owner"), F.lit("p").alias("path"), F.lit("a").alias("name"), F.when(F.col("id") % 7 > 0, F.col("id").cast("string")).alias("arguments"))
+    rows = {r["request_no"]: (r["owner"], r["markdown"]) for r in plugins.run_plugins(asked, registry).collect()}
+    assert rows == {i: ("two", "page of 300") if i % 3 == 0 else ("one", f"{i}!" if i % 7 else None) for i in range(900)}
+    alone = plugins.Registry()
+    alone.add("one", ["a"], calls, contract="request")
+    routed = references.routed(asked.drop("owner"), alone.table(spark)).drop("error")
+    plan = plugins.run_plugins(routed, alone)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == plan.count("BroadcastExchange") == 1
