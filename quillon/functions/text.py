@@ -73,13 +73,21 @@ def _ascii_any_case(term: str) -> str:
     return "".join(f"[{c}{c.upper()}]" if c in LOWER else re.escape(c) for c in term)
 
 
-def first_hit(text: Column, term: str) -> Column:
-    """Position (from 0) of a term's first whole-word match in a text, null if there is none."""
-    pattern = re.escape(term) if re.match(f"[{HAN}]", term) else rf"(?<!{EDGE}){_ascii_any_case(term)}(?!{EDGE})"
+def _before(text: Column, pattern: str) -> Column:
+    """How many characters are before a pattern's first match; null if there is none."""
     # The length of what is before it: in code points, which positions of regexes aren't.
     return F.when(text.rlike(pattern), F.length(F.get(F.split(text, pattern, 2), 0)))
 
 
+def first_hit(text: Column, term: str) -> Column:
+    """Position (from 0) of a term's first whole-word match in a text, null if there is none."""
+    if re.match(f"[{HAN}]", term):
+        return _before(text, re.escape(term))
+    # What is before a word is looked at behind the word, where few places are left.
+    bare = _ascii_any_case(term)
+    return _before(text, rf"{bare}(?!{EDGE})(?<!{EDGE}{bare})")
+
+
 def first_range(text: Column, term: str) -> Column:
     """Where a term first matches a field: struct start, end; null if it doesn't, see `matches`.
 
@@ -92,9 +100,10 @@ def first_range(text: Column, term: str) -> Column:
     if not re.match(f"[{HAN}]", term):
         inner = rf"[\p{{L}}\p{{N}}&&[^{HAN}]]"
         forms = "|".join(sorted({re.escape(x) for x in (term, term[:1].translate(_TO_UPPER) + term[1:], term.translate(_TO_UPPER))}))
-        pattern = rf"(?:(?<!{inner})|(?<=[a-z0-9])(?=[A-Z])|(?<=[^ ])(?=[A-Z][a-z]))(?:{forms})(?:(?!{inner})|(?<=[a-z0-9])(?=[A-Z])|(?=[A-Z][a-z]))"
-        at = F.coalesce(at, F.when(text.rlike(pattern), F.length(F.get(F.split(text, pattern, 2), 0))))
-    return F.when(at.isNotNull(), F.struct(at.alias("start"), (at + len(term)).alias("end")))
+        pattern = rf"(?={forms})(?:(?<!{inner})|(?<=[a-z0-9])(?=[A-Z])|(?<=[^ ])(?=[A-Z][a-z]))(?:{forms})(?:(?!{inner})|(?<=[a-z0-9])(?=[A-Z])|(?=[A-Z][a-z]))"
+        at = F.coalesce(at, _before(text, pattern))
+    # As an item of an array: the place is looked for once, not wherever it is used.
+    return F.get(F.transform(F.filter(F.array(at), lambda a: a.isNotNull()), lambda a: F.struct(a.alias("start"), (a + len(term)).alias("end"))), 0)
 
 
 def snippet(text: Column, at: Column) -> Column:

@@ -32,6 +32,10 @@ def _field(rows: DataFrame, column: str, test) -> Column:
     return F.coalesce(F.exists(column, test) if many else test(F.col(column)), F.lit(False))
 
 
+def _hit(term: str, field: str, shown: Column):
+    return lambda at: F.struct(F.lit(term).alias("term"), F.lit(field).alias("field"), shown.alias("text"), at.start.alias("start"), at.end.alias("end"))
+
+
 def scored(rows: DataFrame, columns: dict[str, str], query: str) -> DataFrame:
     """``rows`` that match a query, with terms, term_count, score and exact.
 
@@ -72,9 +76,10 @@ def matched(rows: DataFrame, columns: dict[str, str], query: str) -> DataFrame:
                 text = F.col(column).cast("string")
             at = t.first_range(text, term)
             shown = F.lit(None).cast("string") if field == "body" else text
-            each.append(F.when(at.isNotNull(), F.struct(F.lit(term).alias("term"), F.lit(field).alias("field"), shown.alias("text"), at.getField("start").alias("start"), at.getField("end").alias("end"))))
+            each.append(F.transform(F.array_compact(F.array(at)), _hit(term, field, shown)))
     none = F.array().cast("array<struct<term:string,field:string,text:string,start:int,end:int>>")
-    return rows.withColumn("matches", F.array_compact(F.array(*each)) if each else none)
+    # As a generator's row: what explodes or filters the matches later doesn't look for them again.
+    return rows.withColumn("matches", F.explode(F.array(F.flatten(F.array(*each)) if each else none)))
 
 
 def search(rows: DataFrame, columns: dict[str, str], query: str, limit: int = 10, path: str | None = None, path_column: str = "path", ties: tuple[str, ...] = ()) -> DataFrame:

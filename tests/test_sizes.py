@@ -5,6 +5,7 @@ import hashlib
 from pyspark.sql import functions as F
 
 from quillon.operators import integrity, plugins, references
+from quillon.operators import search as srch
 
 
 def test_snapshot_identity_of_many(spark):
@@ -34,3 +35,13 @@ def test_plugin_by_request(spark):
     routed = references.routed(asked.drop("owner"), alone.table(spark)).drop("error")
     plan = plugins.run_plugins(routed, alone)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == plan.count("BroadcastExchange") == 1
+
+
+def test_hits_are_looked_for_once(spark):
+    """The plan has two patterns for each term and field, however often places are used."""
+    rows = spark.createDataFrame([(1, "xthe the_ THE", "the"), (2, "Theory aThe", "x"), (3, None, "a.the"), (4, "😀the", "")], "id int, body string, name string")
+    found = srch.matched(rows, {"body": "body", "identifier": "name"}, "the").select("id", F.explode("matches").alias("m"))
+    got = sorted((r["id"], r["m"]["field"], r["m"]["start"], r["m"]["end"]) for r in found.collect())
+    assert got == [(1, "body", 10, 13), (1, "identifier", 0, 3), (2, "body", 8, 11), (3, "identifier", 2, 5), (4, "body", 1, 4)]
+    plan = found.where("m.start >= 0")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("RLIKE") == 4
