@@ -127,14 +127,17 @@ def line_slice(text: Column, first: int, last: int) -> Column:
 
 
 def lf(text: Column) -> Column:
-    return F.regexp_replace(text, r"\r\n?", "\n")
+    return F.replace(F.replace(text, F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n"))
 
 
 def source_offset(text: Column, at: Column) -> Column:
-    """The place in a text of a place in its view with LF ends: one more for each CRLF before it."""
-    ends = F.transform(F.split(text, "\r\n"), lambda x: F.length(x) + 1)
-    crossed = F.aggregate(ends, F.struct(F.lit(0).alias("at"), F.lit(0).alias("n")), lambda acc, n: F.struct((acc.at + n).alias("at"), (acc.n + (acc.at + n <= at).cast("int")).alias("n")), lambda acc: acc.n)
-    return at + crossed
+    """The place in a text of a place in its view with LF ends: one more for each CRLF before it.
+
+    With one mark for each CRLF the text is as long as its view, so the marks before the place are counted.
+    """
+    mark = F.lit("\0")
+    before = F.left(F.replace(F.replace(text, mark, F.lit(" ")), F.lit("\r\n"), mark), at)
+    return at + F.length(before) - F.length(F.replace(before, mark, F.lit("")))
 
 
 def longest_run(text: Column, char: str = "`") -> Column:

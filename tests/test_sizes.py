@@ -1,9 +1,12 @@
 """Steps whose work must grow no faster than their input."""
 
 import hashlib
+import re
+import time
 
 from pyspark.sql import functions as F
 
+from quillon.functions import text as t
 from quillon.operators import integrity, plugins, references
 from quillon.operators import search as srch
 
@@ -45,3 +48,20 @@ def test_hits_are_looked_for_once(spark):
     assert got == [(1, "body", 10, 13), (1, "identifier", 0, 3), (2, "body", 8, 11), (3, "identifier", 2, 5), (4, "body", 1, 4)]
     plan = found.where("m.start >= 0")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("RLIKE") == 4
+
+
+def test_places_in_many_lines(spark):
+    """Each line is looked at once; 20,000 lines took minutes while the view was made again for each."""
+    odd = ["", "a", "\r\n", "\r\r\n\n\r", "\0\r\n\0x\r\n", "é\r\n😀\r", "ab\r\ncd\r\n"]
+    df = spark.createDataFrame([(x,) for x in odd], "x string")
+    for at in range(6):
+        got = df.select("x", t.lf(F.col("x")).alias("v"), t.source_offset(F.col("x"), F.lit(at)).alias("s")).collect()
+        for r in got:
+            assert r["v"] == re.sub("\r\n?", "\n", r["x"])
+            if at <= len(r["v"]):
+                marked = r["x"].replace("\r\n", "\x01")
+                assert r["s"] == at + marked[:at].count("\x01")
+    long = spark.range(1).select(F.repeat(F.lit("a line of words\r\n"), 20_000).alias("x"))
+    began = time.time()
+    assert long.select(t.source_offset(F.col("x"), F.length(t.lf(F.col("x"))))).first()[0] == 20_000 * 17
+    assert time.time() - began < 20
