@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from quillon.functions import text as t
 from quillon.operators import integrity, plugins, references
 from quillon.operators import search as srch
+from quillon.sources import resolver
 
 
 def test_snapshot_identity_of_many(spark):
@@ -65,3 +66,21 @@ def test_places_in_many_lines(spark):
     began = time.time()
     assert long.select(t.source_offset(F.col("x"), F.length(t.lf(F.col("x"))))).first()[0] == 20_000 * 17
     assert time.time() - began < 20
+
+
+def test_entries_are_met_once(spark):
+    """Facts come with the kinds that paths are checked by; what asks for the root meets all entries where they are."""
+    entries = [("a", "directory", None), ("a/f", "file", None), ("a/l", "link", "../b"), ("b", "directory", None), ("b/g", "file", None), ("c", "link", "a/l/g")]
+    table = spark.createDataFrame(entries, "path string, kind string, target string").withColumns({"identity": F.upper("path"), "n_bytes": F.lit(1), "sha256": F.lit("x")})
+    asked = spark.createDataFrame([("a/f", "file"), ("c", "file"), ("c", "unlinked_file"), (".", "directory"), ("a/no", "metadata"), ("a/l/../a", "metadata"), ("a/f/x", "metadata")], "path string, ask string")
+    got = resolver.facts(asked, table)
+    rows = sorted((r["path"], r["ask"], r["resolved"], r["node"], r["identity"], r["sha256"]) for r in got.where("missing IS NULL").collect())
+    assert rows == [(".", "directory", "", "directory", None, None), ("a/f", "file", "a/f", "file", "A/F", "x"), ("a/l/../a", "metadata", "a", "directory", "A", None), ("c", "file", "b/g", "file", "B/G", "x"), ("c", "unlinked_file", "b/g", "file", "B/G", None)]
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan(got).count("Join") == plan(resolver.resolve(asked, table)).count("Join")
+    found = resolver.members(spark.createDataFrame([("", False), (".", True), ("a", False), ("a/l", True)], "path string, recursive boolean"), table)
+    listed = {}
+    for r in found.collect():
+        listed.setdefault(r["path"], set()).add(r["member"])
+    assert listed == {"": {"a", "b", "c"}, ".": {e[0] for e in entries}, "a": {"a/f", "a/l"}, "a/l": {"b/g"}}
+    assert "BroadcastNestedLoopJoin" in found._jdf.queryExecution().executedPlan().toString()
