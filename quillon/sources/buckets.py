@@ -22,6 +22,8 @@ from quillon.sources import snapshots
 VERSION = 1
 #: Rows of a bucket, about, when a table is made; with ``MOST`` times as many it is dealt out anew.
 ROWS, MOST = 50_000, 4
+#: Buckets of a table at most: beyond, they hold more rows, since each is a folder and a file of each write, and a path for the driver.
+BUCKETS = 512
 PIECES = 4
 
 
@@ -42,6 +44,11 @@ def digests(rows: DataFrame, by: list[str], columns: list[str]) -> DataFrame:
     return sums.select(*by, "n", F.sha2(F.concat_ws(",", F.col("n").cast("string"), *(F.col(f"_p{i}").cast("string") for i in range(PIECES))), 256).alias("digest"))
 
 
+def count_for(n: int, per_bucket: int) -> int:
+    """How many buckets a table of ``n`` rows is dealt into."""
+    return min(max(1, -(-n // per_bucket)), BUCKETS)
+
+
 class Buckets:
     """A table of rows with one key column, under a folder that all executors share."""
 
@@ -82,8 +89,6 @@ class Buckets:
         schema = rows.schema
         dealt = rows.withColumn("_bucket", self._of(buckets)).repartition("_bucket")
         dealt.write.partitionBy("_bucket").parquet(f"{self.root}/{folder}")
-        if not dealt.head(1):
-            return self.spark.createDataFrame([], "bucket int, folder string, n long, digest string")
         # The column of folders comes last, whatever the table's own columns are.
         back = self.spark.read.option("basePath", f"{self.root}/{folder}").schema(T.StructType([*schema.fields, T.StructField("_bucket", T.IntegerType())])).parquet(f"{self.root}/{folder}")
         found = digests(back, ["_bucket"], [c for c in rows.columns if c != "_bucket"])
@@ -104,7 +109,7 @@ class Buckets:
         rows = written(rows, "rows")
         if rows.groupBy(self.key).count().where("count > 1").head(1):
             raise ValueError(f"{self.key} isn't a key")
-        buckets = max(1, -(-rows.count() // per_bucket))
+        buckets = count_for(rows.count(), per_bucket)
         self._publish(self._stored(rows, buckets), buckets, _ddl(rows), snapshot, expected)
         return buckets
 
@@ -129,7 +134,8 @@ class Buckets:
         moved = keys.select(F.col(self.key).alias("_moved"))
         kept = old.join(moved, F.col(self.key).eqNullSafe(F.col("_moved")), "left_anti")
         new = kept.unionByName(upserts.select(*old.columns))
-        if meta["n"] + upserts.count() > MOST * per_bucket * n:
+        most = meta["n"] + upserts.count()
+        if most > MOST * per_bucket * n and count_for(most, per_bucket) > n:
             rest = self.read(last, [b for b in range(n) if b not in set(touched)])
             return self.write(rest.unionByName(new), snapshot, expected or last, per_bucket)
         stored = self._stored(new, n)

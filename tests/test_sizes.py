@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from quillon.functions import text as t
 from quillon.operators import integrity, plugins, references
 from quillon.operators import search as srch
-from quillon.sources import resolver
+from quillon.sources import buckets, resolver
 
 
 def test_snapshot_identity_of_many(spark):
@@ -84,3 +84,16 @@ def test_entries_are_met_once(spark):
         listed.setdefault(r["path"], set()).add(r["member"])
     assert listed == {"": {"a", "b", "c"}, ".": {e[0] for e in entries}, "a": {"a/f", "a/l"}, "a/l": {"b/g"}}
     assert "BroadcastNestedLoopJoin" in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_number_of_buckets_is_bounded(spark, tmp_path, monkeypatch):
+    """Folders don't grow with the rows without end; a table at the bound isn't dealt anew by each round."""
+    monkeypatch.setattr(buckets, "BUCKETS", 8)
+    t = buckets.Buckets(spark, f"file://{tmp_path}", "id")
+    rows = lambda a, b, v: spark.range(a, b).select("id", F.lit(v).alias("v"))
+    none = spark.createDataFrame([], "id long")
+    assert t.write(rows(0, 1000, 0), "a", per_bucket=10) == 8
+    assert t.apply(rows(5, 6, 1), none, "b", per_bucket=10) == 1
+    assert [(r["id"], r["state"]) for r in t.differences("a", "b", ["v"]).collect()] == [(5, "changed")]
+    assert t.apply(none.selectExpr("id", "0 AS v"), rows(0, 1000, 0).select("id"), "c", per_bucket=10) == 8
+    assert t.read("c").count() == 0 and t.violations("c").count() == 0
