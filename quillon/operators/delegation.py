@@ -21,7 +21,7 @@ def nodes(results: DataFrame, content: str = "content", request: str = "request"
     A content that is no list, or null, is one node with error invalid_content; an empty list is
     one with empty_content. Arguments aren't looked at yet.
     """
-    listed = results.withColumn("_c", F.when(F.col(content).rlike(r"^\s*\["), F.from_json(content, NODES)))
+    listed = results.withColumn("_c", structure.once(F.when(F.col(content).rlike(r"^\s*\["), F.from_json(content, NODES))))
     bad = F.when(F.col("_c").isNull(), "invalid_content").when(F.size("_c") == 0, "empty_content")
     each = listed.withColumn("_bad", bad).drop(content).select("*", F.posexplode_outer("_c").alias("node", "_n")).drop("_c")
     n = F.col("_n")

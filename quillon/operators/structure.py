@@ -193,6 +193,9 @@ def directives(files: DataFrame, key: str = "path", text: str = "text") -> DataF
 ARGUMENT = r"""(?<![^ \t])(?:([a-z][a-z0-9_-]*)[ \t]*=[ \t]*)?("(?:[^"\\]|\\.)*"|'(?:[^'\\]|\\['\\])*'|\[(?:[^\[\]"]|"(?:[^"\\]|\\.)*"|\[[^\[\]]*\])*\]|[^\s"'\[\]=]+)(?![^ \t])"""
 NUMBER = r"-?(?:0|[1-9][0-9]*)(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?"
 SAFE = float((1 << 53) - 1)
+#: What is JSON at sight: strings without escapes, short lists of small numbers.
+PLAIN_STRING = r'"[^"\\\x00-\x1f]{0,1000}+"'
+PLAIN = rf"(?:{PLAIN_STRING}|\[(?:(?:0|[1-9][0-9]{{0,8}})(?:, ?(?:0|[1-9][0-9]{{0,8}})){{0,8}})?\])"
 
 
 def arguments(text: Column) -> Column:
@@ -210,7 +213,7 @@ def arguments(text: Column) -> Column:
     def legal(v: Column) -> Column:
         number = v.cast("double")
         scalar = v.isin("true", "false", "null") | (v.rlike(f"^{NUMBER}$") & (F.abs(number) < float("inf")) & ((number != F.floor(number)) | (F.abs(number) <= SAFE)))
-        return F.when(v.rlike("^'"), ~v.rlike(r"[\x00-\x1f]")).when(v.rlike(r'^["\[]'), F.try_parse_json(v).isNotNull()).otherwise(scalar)
+        return F.when(v.rlike(f"^{PLAIN}\\z"), True).when(v.rlike("^'"), ~v.rlike(r"[\x00-\x1f]")).when(v.rlike(r'^["\[]'), F.try_parse_json(v).isNotNull()).otherwise(scalar)
 
     item = "struct<key:string,value:string>"
 
@@ -236,7 +239,10 @@ def arguments(text: Column) -> Column:
     whole = F.regexp_extract_all(text, F.lit(ARGUMENT), F.lit(0))
     split = lambda m: F.struct(F.regexp_extract(m, ARGUMENT, 1).alias("key"), F.regexp_extract(m, ARGUMENT, 2).alias("value"))
     raw = F.array(F.struct(F.transform(whole, split).alias("pairs"), F.regexp_replace(text, ARGUMENT, "").alias("rest")))
-    return F.transform(F.transform(raw, lambda r: checked(r.pairs, r.rest)), shown)[0]
+    parsed = F.transform(F.transform(raw, lambda r: checked(r.pairs, r.rest)), shown)[0]
+    # Most often there is one plain string, which needs no parser.
+    alone = F.struct(F.array(text).alias("positional"), F.create_map().cast("map<string,string>").alias("named"), F.lit(None).cast("string").alias("error"))
+    return F.when(text.rlike(rf"^{PLAIN_STRING}\z"), alone).otherwise(parsed)
 
 
 def plain(value: Column) -> Column:

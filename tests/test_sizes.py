@@ -4,10 +4,12 @@ import hashlib
 import re
 import time
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
+from quillon.functions import maps
 from quillon.functions import text as t
-from quillon.operators import integrity, plugins, references
+from quillon.operators import delegation, integrity, plugins, references, structure
 from quillon.operators import search as srch
 from quillon.sources import buckets, resolver
 
@@ -97,3 +99,23 @@ def test_number_of_buckets_is_bounded(spark, tmp_path, monkeypatch):
     assert [(r["id"], r["state"]) for r in t.differences("a", "b", ["v"]).collect()] == [(5, "changed")]
     assert t.apply(none.selectExpr("id", "0 AS v"), rows(0, 1000, 0).select("id"), "c", per_bucket=10) == 8
     assert t.read("c").count() == 0 and t.violations("c").count() == 0
+
+
+def test_texts_are_made_some_at_a_time(monkeypatch):
+    """A batch of any length holds the objects of a few texts only."""
+    lengths, whole = [], maps._made
+    monkeypatch.setattr(maps, "_made", lambda pairs: lengths.append(len(pairs)) or whole(pairs))
+    texts = [None if i % 9 == 0 else f"a{i}\r\nb" for i in range(1000)]
+    got = maps._stepped(pa.array(texts), ("lf",)).to_pylist()
+    assert [None if g["text"] is None else g["text"] for g in got] == [None if x is None else x.replace("\r\n", "\n") for x in texts]
+    assert max(lengths) <= maps.TOGETHER and len(maps._stepped(pa.array([], pa.string()), ("lf",))) == 0
+
+
+def test_contents_are_parsed_once(spark):
+    """The plan parses a content's list once; a plain string is an argument at sight."""
+    rows = spark.createDataFrame([(1, '[{"kind":"text","markdown":"m"}]'), (2, "[]"), (3, None)], "request int, content string")
+    got = delegation.nodes(rows)
+    assert sorted((r["request"], r["markdown"], r["error"]) for r in got.collect()) == [(1, "m", None), (2, None, "empty_content"), (3, None, "invalid_content")]
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("from_json") == 1
+    plain = spark.range(1).select(structure.arguments(F.lit('"a b"')).alias("a")).first()["a"]
+    assert (plain["positional"], plain["named"], plain["error"]) == (['"a b"'], {}, None)
